@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cairn.plans import drift_queries, scalar_queries, segment_queries, table_queries  # noqa: F401  they register themselves
+from cairn.plans.base import QUERIES, SQL
+
 FLAGSHIP = "a9_chi_square"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
