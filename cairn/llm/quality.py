@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,17 @@ def shape(word: str) -> str:
 
 
 SHAPES = ("<lower>", "<UPPER>", "<Title>", "<mixed>", "<digits>", "<marks>")
+#: Stand beside a word that repeats the one before it, or the one before that.
+AGAIN = ("<again>", "<again2>")
+
+
+def repeats(words: list[str]) -> list[np.ndarray]:
+    """For each of AGAIN the places of the words that it stands beside."""
+    out = []
+    for gap in (1, 2):
+        same = np.fromiter(map(eq, words[gap:], words[:-gap]), dtype=bool, count=max(0, len(words) - gap))
+        out.append(np.flatnonzero(same) + gap)
+    return out
 
 
 @dataclass
@@ -65,6 +77,8 @@ class Model:
         ids, total = np.fromiter(map(self.row, words), dtype=np.int64, count=len(words)), np.zeros(DIM)
         for at in range(0, len(ids), 1 << 16):
             total += self.vectors[ids[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        for name, at in zip(AGAIN, repeats(words), strict=True):
+            total += len(at) * self.vectors[self.rows[name]].astype(np.float64)
         return total / len(ids)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -81,10 +95,10 @@ class Model:
 def word_vectors(texts: list[list[str]], model: Model) -> None:
     """Fills model.rows and model.vectors: every word within WINDOW places adds its index vector and that of its shape."""
     seen = Counter(w for t in texts for w in t)
-    words = [*SHAPES, *(w for w, n in seen.most_common(WORDS) if n >= 3)]
-    model.rows = {w: i for i, w in enumerate(words)}
-    index = np.stack([index_vector(w) + (0 if w in SHAPES else index_vector(shape(w))) for w in words])
-    shapes = np.array([i if w in SHAPES else model.rows[shape(w)] for i, w in enumerate(words)])
+    words = [*SHAPES, *AGAIN, *(w for w, n in seen.most_common(WORDS) if n >= 3)]
+    model.rows, own = {w: i for i, w in enumerate(words)}, len(SHAPES) + len(AGAIN)
+    index = np.stack([index_vector(w) + (0 if i < own else index_vector(shape(w))) for i, w in enumerate(words)])
+    shapes = np.array([i if i < own else model.rows[shape(w)] for i, w in enumerate(words)])
     total = np.zeros((len(words), DIM), dtype=np.float64)
     count = np.zeros(len(words))
     for t in texts:
@@ -93,11 +107,14 @@ def word_vectors(texts: list[list[str]], model: Model) -> None:
         for d in range(1, min(WINDOW, len(ids) - 1) + 1):
             around[d:] += index[ids[:-d]]
             around[:-d] += index[ids[d:]]
-        for rows in {0: ids, 1: shapes[ids]}.values():
+        again = [(np.full(len(p), model.rows[name]), around[p]) for name, p in zip(AGAIN, repeats(t), strict=True)]
+        for rows, near in [(ids, around), (shapes[ids], around), *again]:
+            if not len(rows):
+                continue
             order = np.argsort(rows, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
             at = rows[order][starts]
-            total[at] += np.add.reduceat(around[order], starts, axis=0)
+            total[at] += np.add.reduceat(near[order], starts, axis=0)
             count[at] += np.diff(np.r_[starts, len(rows)])
     mean = total / np.maximum(count, 1)[:, None]
     # a word's own index vector stands beside what is around it, so that rare words keep a trace of themselves
@@ -130,11 +147,13 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], seed: int = 11
             slope = weight[part] * (sigmoid(hidden @ w2 + b2[0]) - y[part]) / len(part)
             back = np.outer(slope, w2) * (hidden > 0)
             adam.step(z[part].T @ back + 1e-4 * w1, back.sum(axis=0), hidden.T @ slope + 1e-4 * w2, np.array([slope.sum()]))
-    logits = model.logits(x[held])
+    logits, ones = model.logits(x[held]), y[held].sum()
+    # Platt's targets, so that a held part without mistakes doesn't call for certainty
+    target = np.where(y[held] == 1, (ones + 1) / (ones + 2), 1 / (len(held) - ones + 2))
 
     def loss(t: float) -> float:
         p = np.clip(sigmoid(logits / t), 1e-9, 1 - 1e-9)
-        return -(weight[held] * (y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))).sum()
+        return -(weight[held] * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum()
 
     model.temperature = min(np.geomspace(0.25, 8, 101).tolist(), key=loss)
     return model
