@@ -252,11 +252,10 @@ def s1_read_annotations(spark, sf):
     k = F.col("turn") % 3
     text = F.when(k == 0, F.to_json(F.struct(key.alias("video_id"), F.struct(F.col("turn").alias("n")).alias("stats")))).when(k == 1, F.lit('{"video_id": "x", ')).otherwise(F.lit('{"stats": {"n": 1}}'))
     c.select(text.alias("value")).write.text(path)
-    # one document a line here: a file for each document would be millions of files
-    kind = "video_id string, stats struct<n: bigint>, _corrupt string"
-    rows = spark.read.schema(kind).json(path, columnNameOfCorruptRecord="_corrupt")
-    good = F.col("_corrupt").isNull() & F.col("video_id").isNotNull()
-    return rows.select(F.when(good, F.col("video_id")).alias("video_id"), F.when(good, F.col("stats.n")).alias("n"), good.alias("good"))
+    # one document a line: a file for each document would be millions of files
+    good, bad = IO.read_annotations(spark, path, "video_id string, stats struct<n: bigint>", one_per_file=False)
+    none = bad.select(F.lit(None).cast("string").alias("video_id"), F.lit(None).cast("bigint").alias("n"), F.lit(False).alias("good"))
+    return good.select("video_id", "stats.n", F.lit(True).alias("good")).unionByName(none)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS video_id, toxic AS label FROM labels WHERE doc_id % 5 <> 0")

@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from cairn.functions.scalars import map_label
 
 
-def read_annotations(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "video_id") -> tuple[DataFrame, DataFrame]:
-    """S1. (good, bad) of a folder of JSON documents, one a file. good has a column file; bad is (file, error). Nothing fails the read."""
+def read_annotations(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "video_id", one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1. (good, bad) of a folder of JSON documents, one a file or (better at scale) one a line. good has a column file; bad is (file, error). Nothing fails the read."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = spark.read.schema(whole).option("multiLine", one_per_file).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     df = df.withColumn("file", F.col("_metadata.file_path"))
     broken, keyless = F.col("_corrupt").isNotNull(), F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
     bad = df.filter(broken | keyless).select("file", F.when(broken, "unreadable JSON").otherwise(f"no {key}").alias("error"))
