@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,14 @@ SPACE = r"[\x20\x09-\x0D]"
 NULL_ID = -(2**63)
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="cairn-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new local one."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder in spark.checkpoint.dir; only where that is unset (tests), a local one of this process."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
