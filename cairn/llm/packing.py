@@ -115,8 +115,8 @@ def cut_pieces(
         encoder = WordEncoder.of(source.value)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                ids = encoder.ids(text) + end
+            for doc_id, ids in zip(batch.doc_id, encoder.ids(batch.text), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))

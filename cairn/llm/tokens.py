@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,31 @@ from pyspark.sql import functions as F
 from cairn.llm.common import ids_and_text, real_id
 
 BLOCK = 1 << 16
+MARKS = b".,;:!?*#$%&()"
 MAGIC = b"PLN1"
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+#: Characters of texts that are encoded together.
+GROUP = 1 << 22
+
+
+def word_parts(word: bytes) -> tuple[bytes, ...]:
+    """Parts of a word whose ids, joined, are the word's: a stem and the marks at its end. ASCII words are lower-cased first.
+
+    The tokenizer cuts between letters or digits and marks, and lower-cases by itself. Words with '<' (special tokens) or with an
+    end that isn't plainly a letter or digit stay whole.
+    """
+    if b"<" in word:
+        return (word,)
+    plain = word.isascii()
+    if plain:
+        word = word.lower()
+    stem = word.rstrip(MARKS)
+    if not stem or len(stem) == len(word):
+        return (word,)
+    if stem[-1:].isalnum() or not plain and stem.decode()[-1].isalpha():
+        return stem, word[len(stem) :]
+    return (word,)
 
 
 class WordEncoder:
@@ -51,15 +74,36 @@ class WordEncoder:
             cls._by_source[source] = cls(source)
         return cls._by_source[source]
 
-    def ids(self, text: str) -> bytes:
-        """Ids without special tokens, as little-endian unsigned 32-bit integers."""
-        words, known = text.encode().split(), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := [w for w in set(words) if w not in known]:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(known.__getitem__, words))
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text without special tokens, as little-endian unsigned 32-bit integers. Texts are taken in groups, whose words
+        are few enough to stay in the processor's cache; only a group's distinct words are looked up among all known ones."""
+        group: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            group.append(text.encode().split())
+            if (size := size + len(text)) >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        here = dict.fromkeys(chain.from_iterable(group))
+        new = []
+        for w in here:
+            if (ids := self.known.get(w)) is None:
+                new.append(w)
+            else:
+                here[w] = ids
+        parts = list(map(word_parts, new))
+        unseen = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.known]
+        for p, e in zip(unseen, self.tokenizer.encode_batch_fast([p.decode() for p in unseen], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, ps in zip(new, parts, strict=True):
+            here[w] = self.known[w] = b"".join(map(self.known.__getitem__, ps))
+        return (b"".join(map(here.__getitem__, words)) for words in group)
 
 
 def tokenizer_source(spark: SparkSession, path: str):
@@ -125,8 +169,8 @@ def write_ids(
             return pd.DataFrame([row], columns=["shard", "block", "n_ids", "doc_nos", "doc_ids", "counts", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                ids, at = encoder.ids(text) + end, 0
+            for doc_id, ids in zip(batch.doc_id, encoder.ids(batch.text), strict=True):
+                ids, at = ids + end, 0
                 while at < len(ids):
                     part = ids[at : at + 4 * block - len(held)]
                     held += part
