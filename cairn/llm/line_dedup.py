@@ -27,6 +27,8 @@ CELLS = 1 << 20
 BLOCK = 4096
 #: Candidates that a line sends to verification for each word and round; rounds go on until no line has more.
 TRIES = 4
+#: Rows that are compared in one go, at least.
+TOGETHER = 100_000
 SLACK = 1e-9
 
 
@@ -126,15 +128,36 @@ def prefixes(sets: DataFrame, counts, least: float) -> DataFrame:
     )
 
 
-def compatible(size: np.ndarray, place: np.ndarray, sketch: np.ndarray, j: int, i: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows i can be similar to row j, by length, by place in the prefix and by sketch."""
+def compatible(size: np.ndarray, place: np.ndarray, sketch: np.ndarray, j: np.ndarray, i: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows j[k] and i[k] can be similar, by length, by place in the prefix and by sketch."""
     both = size[i] + size[j]
     need = np.ceil(both * (least / (1 + least)) - SLACK)  # common words of similar sets
-    may = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 + np.minimum(place[i], place[j])
+    may = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
     apart = np.bitwise_count(sketch[i] ^ sketch[j])
     return (np.minimum(size[i], size[j]) >= need) & (may >= need) & (both - apart >= 2 * need)
 
 
+def earlier(start: np.ndarray, size, place, sketch, same: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (j, i) of rows of one group, i before j, that can be similar: the first `most` of each j. start: the first row of each
+    row's group; same: number of the line that a row stands for. Groups are gone through side by side, from their first rows on, and
+    a row drops out as soon as it has `most`."""
+    rows = np.arange(len(start))
+    many = np.zeros(len(start), dtype=np.int64)
+    js, is_ = [], []
+    active, e = rows[rows > start], 0
+    while len(active):
+        i = start[active] + e
+        hit = compatible(size, place, sketch, active, i, least) & (same[active] != same[i])
+        js.append(active[hit])
+        is_.append(i[hit])
+        many[active[hit]] += 1
+        e += 1
+        active = active[(active > start[active] + e) & (many[active] < most)]
+    j, i = np.concatenate([*js, rows[:0]]), np.concatenate([*is_, rows[:0]])
+    order = np.lexsort((i, j))
+    return j[order], i[order]
+
+
 def candidates(rows: DataFrame, least: float, skip: int, block: int = BLOCK) -> DataFrame:
     """rows: prefix rows. For each line up to TRIES earlier lines under a word that may be similar, after the first `skip`:
     (doc_id, line_no, to_doc, to_line, more); more: there are others."""
@@ -151,32 +174,34 @@ def candidates(rows: DataFrame, least: float, skip: int, block: int = BLOCK) ->
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held, rows = [], 0
         for batch in batches:
-            if batch.empty:
-                continue
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            tail = int(((rest.word == rest.word.iat[-1]) & (rest.pair == rest.pair.iat[-1])).to_numpy().argmax())
-            if tail:
-                yield found(rest.iloc[:tail])
-                rest = rest.iloc[tail:].reset_index(drop=True)
-        if rest is not None:
-            yield found(rest)
+            held.append(batch)
+            rows += len(batch)
+            if rows >= TOGETHER:
+                whole = pd.concat(held, ignore_index=True)
+                tail = int(((whole.word == whole.word.iat[-1]) & (whole.pair == whole.pair.iat[-1])).to_numpy().argmax())
+                held, rows = [whole.iloc[tail:]], len(whole) - tail
+                if tail:
+                    yield found(whole.iloc[:tail])
+        if rows:
+            yield found(pd.concat(held, ignore_index=True))
 
     def found(part: pd.DataFrame) -> pd.DataFrame:
         word, pair_ = part.word.to_numpy(), part.pair.to_numpy()
         doc, line = part.doc_id.to_numpy(), part.line_no.to_numpy()
         size, place, sketch = part["size"].to_numpy(), part.place.to_numpy(), part.sketch.to_numpy().view(np.uint64)
-        new = np.r_[True, (word[1:] != word[:-1]) | (pair_[1:] != pair_[:-1])]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
-        out = []
-        # rows of a group stand in (doc_id, line_no) order: row j is compared with its group's earlier rows
-        for j in np.flatnonzero(~new):
-            i = np.arange(start[j], j)
-            i = i[compatible(size, place, sketch, j, i, least) & ((doc[i] != doc[j]) | (line[i] != line[j]))]
-            more = len(i) > skip + TRIES
-            out.extend((doc[j], line[j], doc[x], line[x], more) for x in i[skip : skip + TRIES])
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "to_doc", "to_line", "more"])
+        changed = lambda *cols: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
+        # rows of a group stand in (doc_id, line_no) order; two words of a line can share their 32-bit code
+        start = np.maximum.accumulate(np.where(changed(word, pair_), np.arange(len(word)), 0))
+        j, i = earlier(start, size, place, sketch, np.cumsum(changed(word, pair_, doc, line)), least, skip + TRIES + 1)
+        first = np.maximum.accumulate(np.where(changed(j), np.arange(len(j)), 0)) if len(j) else j
+        rank = np.arange(len(j)) - first
+        more = np.bincount(j, minlength=len(word))[j] > skip + TRIES
+        take = (rank >= skip) & (rank < skip + TRIES)
+        return pd.DataFrame(
+            {"doc_id": doc[j[take]], "line_no": line[j[take]], "to_doc": doc[i[take]], "to_line": line[i[take]], "more": more[take]}
+        )
 
     ordered = dealt.repartition("word", "pair").sortWithinPartitions("word", "pair", "doc_id", "line_no")
     return ordered.mapInPandas(search, "doc_id long, line_no int, to_doc long, to_line int, more boolean")
