@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -37,9 +36,9 @@ def fit_scaler(df: DataFrame, logs: Sequence[str], plain: Sequence[str] = ()) ->
     without values gets 0 and 1. Two aggregates of one row each, whatever the number of fields."""
     clips = {}
     if logs:
-        row = df.agg(*[F.percentile(_raw(c, None, True), 0.99).alias(c) for c in logs]).first()
+        floored = {c: F.when(to_double(c).isNotNull(), F.greatest(to_double(c), F.lit(0.0))) for c in logs}
+        row = df.agg(*[F.percentile(x, 0.99).alias(c) for c, x in floored.items()]).first()
         clips = {c: None if row[c] is None else float(row[c]) for c in logs}
-    clips = {c: None if v is None else math.expm1(v) for c, v in clips.items()}
     aggs = []
     for c in (*logs, *plain):
         x = _raw(c, clips.get(c), c in logs)
