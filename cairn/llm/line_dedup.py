@@ -25,8 +25,9 @@ from cairn.llm.common import ids_and_text, real_id, stored
 CELLS = 1 << 20
 #: Rows under one word that a task compares; more are dealt out in pairs of blocks.
 BLOCK = 4096
-#: Candidates that a line sends to verification for each word and round; rounds go on until no line has more.
-TRIES = 4
+#: Candidates that a line sends to verification for each word in the first round. Each further round, for lines whose candidates
+#: all failed, takes GROWTH times as many, until no line has more.
+TRIES, GROWTH = 2, 16
 #: Rows that are compared in one go, at least.
 TOGETHER = 100_000
 SLACK = 1e-9
@@ -137,14 +138,14 @@ def compatible(size: np.ndarray, place: np.ndarray, sketch: np.ndarray, j: np.nd
     return (np.minimum(size[i], size[j]) >= need) & (may >= need) & (both - apart >= 2 * need)
 
 
-def earlier(start: np.ndarray, size, place, sketch, same: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def earlier(start: np.ndarray, size, place, sketch, same: np.ndarray, ask: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (j, i) of rows of one group, i before j, that can be similar: the first `most` of each j. start: the first row of each
-    row's group; same: number of the line that a row stands for. Groups are gone through side by side, from their first rows on, and
+    row's group; same: number of the line that a row stands for; ask: the rows j that are wanted. Groups are gone through side by side, from their first rows on, and
     a row drops out as soon as it has `most`."""
     rows = np.arange(len(start))
     many = np.zeros(len(start), dtype=np.int64)
     js, is_ = [], []
-    active, e = rows[rows > start], 0
+    active, e = rows[(rows > start) & ask], 0
     while len(active):
         i = start[active] + e
         hit = compatible(size, place, sketch, active, i, least) & (same[active] != same[i])
@@ -158,9 +159,9 @@ def earlier(start: np.ndarray, size, place, sketch, same: np.ndarray, least: flo
     return j[order], i[order]
 
 
-def candidates(rows: DataFrame, least: float, skip: int, block: int = BLOCK) -> DataFrame:
-    """rows: prefix rows. For each line up to TRIES earlier lines under a word that may be similar, after the first `skip`:
-    (doc_id, line_no, to_doc, to_line, more); more: there are others."""
+def candidates(rows: DataFrame, least: float, skip: int, tries: int, block: int = BLOCK) -> DataFrame:
+    """rows: prefix rows with `ask`. For each line that asks up to `tries` earlier lines under a word that may be similar, after the
+    first `skip`: (doc_id, line_no, to_doc, to_line, more); more: there are others."""
     hot = stored(rows.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot")
     hot = hot.select("word", F.ceil(F.col("n") / (block // 2)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks"))
@@ -170,7 +171,7 @@ def candidates(rows: DataFrame, least: float, skip: int, block: int = BLOCK) ->
     )
     dealt = rows.join(hot, "word", "left").select(
         "word", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("pair"),
-        "doc_id", "line_no", "size", "place", "sketch",
+        "doc_id", "line_no", "size", "place", "sketch", "ask",
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,11 +195,11 @@ def candidates(rows: DataFrame, least: float, skip: int, block: int = BLOCK) ->
         changed = lambda *cols: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
         # rows of a group stand in (doc_id, line_no) order; two words of a line can share their 32-bit code
         start = np.maximum.accumulate(np.where(changed(word, pair_), np.arange(len(word)), 0))
-        j, i = earlier(start, size, place, sketch, np.cumsum(changed(word, pair_, doc, line)), least, skip + TRIES + 1)
+        j, i = earlier(start, size, place, sketch, np.cumsum(changed(word, pair_, doc, line)), part.ask.to_numpy(dtype=bool), least, skip + tries + 1)
         first = np.maximum.accumulate(np.where(changed(j), np.arange(len(j)), 0)) if len(j) else j
         rank = np.arange(len(j)) - first
-        more = np.bincount(j, minlength=len(word))[j] > skip + TRIES
-        take = (rank >= skip) & (rank < skip + TRIES)
+        more = np.bincount(j, minlength=len(word))[j] > skip + tries
+        take = (rank >= skip) & (rank < skip + tries)
         return pd.DataFrame(
             {"doc_id": doc[j[take]], "line_no": line[j[take]], "to_doc": doc[i[take]], "to_line": line[i[take]], "more": more[take]}
         )
@@ -217,7 +218,7 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line")
     )
     sets = stored(lines.select("sid", "first.doc_id", "first.line_no", "line"), "sets")
-    heads = prefixes(sets, counts, least)
+    heads = stored(prefixes(sets, counts, least), "heads")
     texts = sets.select("doc_id", "line_no", "line")
 
     @F.pandas_udf("boolean")
@@ -229,9 +230,9 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    near, skip, open_ = None, 0, heads
+    near, skip, tries, open_ = None, 0, TRIES, heads.withColumn("ask", F.lit(True))
     while True:  # one round unless a line's first candidates all fail and it has others
-        pairs = stored(candidates(open_, least, skip), "candidates")
+        pairs = stored(candidates(open_, least, skip, tries), "candidates")
         distinct = pairs.groupBy("doc_id", "line_no", "to_doc", "to_line").agg(F.max("more").alias("more"))
         sides = distinct.join(texts, ["doc_id", "line_no"]).join(
             texts.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("line").alias("to")), ["to_doc", "to_line"]
@@ -243,10 +244,11 @@ def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
         left = stored(by_line.filter("more and not hit").select("doc_id", "line_no"), "open")
         if left.isEmpty():
             break
-        # lines that have more candidates, under their words; the earlier lines under those words come along
-        skip += TRIES
-        asked = heads.join(left, ["doc_id", "line_no"], "left_semi").select("word").distinct()
-        open_ = heads.join(stored(asked, "asked"), "word", "left_semi")
+        # lines that have more candidates ask again; the rows of the words in their prefixes come along
+        skip, tries = skip + tries, tries * GROWTH
+        rows_ = open_.drop("ask").join(left.withColumn("ask", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        words = stored(rows_.filter("ask").select("word").distinct(), "asked")
+        open_ = stored(rows_.join(words, "word", "left_semi"), "again")
     firsts = stored(
         sets.select("sid", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line")).join(
             stored(near.distinct(), "near").select(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.lit(True).alias("near")),

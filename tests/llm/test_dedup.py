@@ -111,6 +111,7 @@ def lines_by_hand(docs, least):
 @pytest.mark.parametrize("block, tries", [(4096, 4), (8, 1)])
 def test_lines_by_hand(spark, monkeypatch, block, tries):
     monkeypatch.setattr(line_dedup, "TRIES", tries)
+    monkeypatch.setattr(line_dedup, "GROWTH", 2)
     monkeypatch.setattr(line_dedup.candidates, "__defaults__", (block,))
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
