@@ -130,10 +130,11 @@ def prefixes(sets: DataFrame, counts, least: float) -> DataFrame:
 
 
 def compatible(size: np.ndarray, place: np.ndarray, sketch: np.ndarray, j: np.ndarray, i: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows j[k] and i[k] can be similar, by length, by place in the prefix and by sketch."""
+    """Whether rows j[k] and i[k] can be similar, by length, by place in the prefix and by sketch. Places are judged as if no word
+    before them were common: similar lines are found under the first word that they share."""
     both = size[i] + size[j]
     need = np.ceil(both * (least / (1 + least)) - SLACK)  # common words of similar sets
-    may = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
+    may = np.minimum(size[i] - place[i], size[j] - place[j])
     apart = np.bitwise_count(sketch[i] ^ sketch[j])
     return (np.minimum(size[i], size[j]) >= need) & (may >= need) & (both - apart >= 2 * need)
 
