@@ -9,6 +9,7 @@ so that Spark can write and read them wherever it can write and read tables, and
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,31 +26,21 @@ from pyspark.sql import functions as F
 from cairn.llm.common import ids_and_text, real_id
 
 BLOCK = 1 << 16
-MARKS = b".,;:!?*#$%&()"
+AFTER_LETTER = re.compile(rb"[.,;:!?*#$%&()](?<=[A-Za-z0-9].)")
 MAGIC = b"PLN1"
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 800_000
+REMEMBERED = 1_100_000
 #: Characters of texts that are encoded together.
 GROUP = 1 << 22
 
 
-def word_parts(word: bytes) -> tuple[bytes, ...]:
-    """Parts of a word whose ids, joined, are the word's: a stem and the marks at its end. ASCII words are lower-cased first.
-
-    The tokenizer cuts between letters or digits and marks, and lower-cases by itself. Words with '<' (special tokens) or with an
-    end that isn't plainly a letter or digit stay whole.
-    """
-    if b"<" in word:
-        return (word,)
-    plain = word.isascii()
-    if plain:
-        word = word.lower()
-    stem = word.rstrip(MARKS)
-    if not stem or len(stem) == len(word):
-        return (word,)
-    if stem[-1:].isalnum() or not plain and stem.decode()[-1].isalpha():
-        return stem, word[len(stem) :]
-    return (word,)
+def words_of(text: str) -> list[bytes]:
+    """Words whose ids, joined, are the text's: cut at ASCII white space and between an ASCII letter or digit and a mark, where the
+    tokenizer cuts, too. It lower-cases by itself, so that ASCII texts may be lower-cased first (but not into special tokens)."""
+    raw = text.encode()
+    if text.isascii() and "<" not in text:
+        raw = raw.lower()
+    return AFTER_LETTER.sub(rb" \g<0>", raw).split()
 
 
 class WordEncoder:
@@ -80,7 +71,7 @@ class WordEncoder:
         group: list[list[bytes]] = []
         size = 0
         for text in texts:
-            group.append(text.encode().split())
+            group.append(words_of(text))
             if (size := size + len(text)) >= GROUP:
                 yield from self._group(group)
                 group, size = [], 0
@@ -96,13 +87,9 @@ class WordEncoder:
                 new.append(w)
             else:
                 here[w] = ids
-        parts = list(map(word_parts, new))
-        unseen = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.known]
-        for p, e in zip(unseen, self.tokenizer.encode_batch_fast([p.decode() for p in unseen], add_special_tokens=False), strict=True):
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             ids = e.ids
-            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        for w, ps in zip(new, parts, strict=True):
-            here[w] = self.known[w] = b"".join(map(self.known.__getitem__, ps))
+            here[w] = self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return (b"".join(map(here.__getitem__, words)) for words in group)
 
 

@@ -23,7 +23,9 @@ def tokenizer():
 
 def test_word_encoder_is_exact(tokenizer):
     encoder = tokens.WordEncoder(open(queries.word_bpe(), encoding="utf-8").read())
-    texts = [t or "" for t in HARD] * 2
+    rng = random.Random(8)
+    odd = ["".join(rng.choices("aBz9 \t.,'s't!?#&-<|>_\u2014\u00e9\u00c9\u0301\u0331Hh\u00a0\u0130\u03a3\u4e00\U0001f600", k=rng.randint(1, 40))) for _ in range(3000)]
+    texts = [t or "" for t in HARD] * 2 + odd + ["A<|ENDOFTEXT|>.", "x.<|endoftext|>", "END.<|endoftext|> A."]
     for t, ids in zip(texts, encoder.ids(texts), strict=True):
         assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
 
