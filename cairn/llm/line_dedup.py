@@ -24,7 +24,7 @@ from cairn.llm.common import ids_and_text, real_id, stored
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
 #: Rows under one word that a task compares; more are dealt out in pairs of blocks.
-BLOCK = 4096
+BLOCK = 1024
 #: Candidates that a line sends to verification for each word in the first round. Each further round, for lines whose candidates
 #: all failed, takes GROWTH times as many, until no line has more.
 TRIES, GROWTH = 2, 16
