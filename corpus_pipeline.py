@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from cairn.llm import decontaminate, line_dedup, near_copies, packing, toxicity
 from cairn.llm.common import new_path
 from cairn.llm.queries import table, word_bpe
 
@@ -22,7 +22,8 @@ def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    """Five-word shingles, Jaccard similarity 0.8 or more; op2_simhash has the parameters of its contract."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
