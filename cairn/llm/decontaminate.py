@@ -162,6 +162,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of docs without a test item, with all their columns."""
-    found = stored(hits(docs, benchmark, rate, id_col, **columns).select(real_id().alias("_hit_id")).distinct(), "hits")
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")
+    """The rows of docs without a test item, with all their columns. Each row is judged by its own text, whatever its identifier."""
+    text_col = columns.get("text_col", "text")
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.withColumn("_row", key)
+    found = stored(hits(keyed, benchmark, rate, "_row", **columns).select(F.col("doc_id").alias("_hit_row")).distinct(), "hits")
+    return docs.join(found, key == F.col("_hit_row"), "left_anti")

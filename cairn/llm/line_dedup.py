@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, real_id, stored
+from cairn.llm.common import NULL_ID, ids_and_text, real_id, stored
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
@@ -283,12 +283,27 @@ def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     )
 
 
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _row, a long by which its rows are told apart: the identifier, or, where several rows have it, a number
+    below -2^62 that follows from identifier and text. Only equal rows share it."""
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    many = stored(docs.select(own.alias("_own")).groupBy("_own").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    if many.isEmpty():
+        return docs.withColumn("_row", own)
+    hashed = F.lit(-(2**62)) - F.pmod(F.xxhash64(own, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(2**62))
+    keyed = docs.join(many, own == F.col("_own"), "left")
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_n").isNull(), own).otherwise(hashed).alias("_row"))
+
+
 def line_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the later lines taken out of the texts; a text may become empty, a null text stays null. All columns stay."""
-    gone = removed_lines(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))
-    gone = stored(gone.withColumn("_removed_id", real_id()).select("_removed_id", "_removed"), "removed")
+    """docs with the later lines taken out of the texts; a text may become empty, a null text stays null. All columns stay.
+    Rows that share an identifier, or have none, are judged one by one: they come before all others, in no order of
+    meaning. Rows equal in identifier and text share their decisions."""
+    docs_ = row_keys(docs, id_col, text_col)
+    gone = removed_lines(docs_, least, "_row", text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))
+    gone = stored(gone.select(F.col("doc_id").alias("_removed_row"), "_removed"), "removed")
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    joined = docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_removed_id")), "left")
+    joined = docs_.join(gone, F.col("_row") == F.col("_removed_row"), "left")
     new = F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(f"`{text_col}`"))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -194,12 +194,3 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(named, "fp").select(
         real_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns. Rows with a null
-    identifier stay only in components without any identifier."""
-    kept = near_classes(docs, id_col, text_col, words, bits).filter("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_kept_id")
-    ).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
