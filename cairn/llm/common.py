@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +22,93 @@ SPACE = r"[\x20\x09-\x0D]"
 NULL_ID = -(2**63)
 
 
+#: Folders of the scratch() blocks that are open, innermost last.
+_open: ContextVar[tuple[str, ...]] = ContextVar("open", default=())
+
+
 @cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="cairn-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a local one of this process."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of this process if Spark runs in this machine alone, as
+    in tests, and an error otherwise: other machines couldn't read it."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir()
+
+
+def new_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A path that doesn't exist yet, in the innermost open scratch() or, if outer, in what surrounds that."""
+    folders = (shared_dir(spark), *_open.get())
+    return f"{folders[-2 if outer and len(folders) > 1 else -1]}/{name}-{uuid.uuid4().hex}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, path: str | None = None) -> Iterator[str]:
+    """Tables stored in the block go to a folder of its own, which is deleted at its end (but not if path is given): what leaves
+    the block must be stored outside, with outer=True."""
+    folder = path or new_path(spark, "scratch")
+    token = _open.set((*_open.get(), folder))
+    try:
+        yield folder
+    finally:
+        _open.reset(token)
+        if path is None:
+            delete(spark, folder)
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, outer)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Cells of a table of counts are sent in runs of this many.
+RUN = 1 << 14
+
+
+def cell_counts(rows: DataFrame, cells: int, cells_of: Callable[[Iterable], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often cells_of(values of the only column) names each of `cells` cells: so many numbers, whatever the size of the input."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, held, n = np.zeros(cells, dtype=np.int64), [], 0
+        for batch in batches:
+            for at in cells_of(batch.iloc[:, 0]):
+                held.append(at)
+                n += len(at)
+                if n >= cells:
+                    total += np.bincount(np.concatenate(held), minlength=cells)
+                    held, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=cells)
+        if total.any():
+            kind = np.min_scalar_type(int(total.max()))
+            yield pd.DataFrame({"run": np.arange(cells // RUN), "bytes": kind.itemsize, "n": [x.tobytes() for x in total.astype(kind).reshape(-1, RUN)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for run, size, n in zip(batch.run, batch.bytes, batch.n, strict=True):
+                total[run] = total.get(run, 0) + np.frombuffer(n, dtype=f"<u{size}").astype(np.int64)
+        yield pd.DataFrame({"run": list(total), "bytes": 8, "n": [x.tobytes() for x in total.values()]})
+
+    schema = "run long, bytes int, n binary"
+    out = np.zeros(cells, dtype=np.int64)
+    for r in rows.mapInPandas(count, schema).repartition("run").mapInPandas(add, schema).collect():
+        out[r.run * RUN : (r.run + 1) * RUN] = np.frombuffer(r.n, dtype=np.int64)
+    return out
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, as (doc_id, text): null identifiers become NULL_ID, null texts empty."""
     return docs.select(

@@ -2,34 +2,42 @@
 
 A line is the set of its lower-cased words. Lines with equal sets are reduced to the first of them, by (doc_id, line
 number); then every line that has an earlier one with a Jaccard similarity of at least `least` is removed. Words are
-ordered by rarity, so that similar lines share a word of their short prefixes; the positional and length filters and a
-64-bit parity sketch of the set rule out nearly all other pairs, and the rest are verified on the words themselves.
+ordered by rarity, so that similar lines share a word of their short prefixes; under a shared word the place and length
+filters and a 64-bit parity sketch of the set rule out nearly all other pairs, and the rest are verified on the words
+themselves.
+
+A word with many lines is no key by itself. Similar but unequal sets share four words at least, so prefixes longer by a
+word share two words, longer by two words three, and so on: lines under such a word meet under words that follow it,
+too. Only what is still common after four words is searched in parts; there lines without a hit go on to all others.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from hashlib import blake2b
-from itertools import repeat
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NULL_ID, ids_and_text, real_id, stored
+from cairn.llm import words as w
+from cairn.llm.common import NULL_ID, cell_counts, ids_and_text, real_id, scratch, stored
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
-#: Rows under one word that a task compares; more are dealt out in pairs of blocks.
+#: Lines under one key that are compared with each other.
 BLOCK = 1024
-#: Candidates that a line sends to verification for each word in the first round. Each further round, for lines whose candidates
-#: all failed, takes GROWTH times as many, until no line has more.
-TRIES, GROWTH = 2, 16
-#: Rows that are compared in one go, at least.
-TOGETHER = 100_000
+#: Words of the longest key: similar sets that aren't equal share as many at least (4 of 5 words at a similarity of 0.8).
+DEPTH = 4
+#: Candidates that a line sends to verification for each key at first; what is left after that is few and taken whole.
+TRIES = 3
+#: Bits of the table of the lines whose words are wanted for verification; a bit that several lines share costs time only.
+BITS = 1 << 25
+#: Lines that a task looks at together for equal ones, rows and pairs that it compares in one go.
+AT_ONCE, TOGETHER, MOST_PAIRS = 100_000, 200_000, 4_000_000
 SLACK = 1e-9
 
 
@@ -37,244 +45,399 @@ def words_of(line: str) -> list[bytes]:
     return line.lower().encode("utf-8", "surrogatepass").split()
 
 
-def cell(word: bytes) -> int:
-    return zlib.crc32(word) & (CELLS - 1)
+def prefix_size(size, least: float):
+    """Words of a prefix: sets of `size` words that are similar to another share one of them."""
+    return size - np.ceil(least * size - SLACK).astype(np.int64) + 1
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each cell occur in all documents; CELLS numbers whatever the size of the input."""
+def depth(least: float) -> int:
+    """Words that similar sets share at least if they aren't equal."""
+    return max(1, min(DEPTH, ceil(least / (1 - least) - SLACK))) if least < 1 else 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, dtype=np.int64)
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How often the words of each cell occur in all documents."""
+
+    def cells_of(texts: pd.Series) -> Iterator[np.ndarray]:
+        for group in w.groups(texts):
+            yield (w.words(w.lower_bytes(group))[0] & np.uint64(CELLS - 1)).astype(np.int64)
+
+    return cell_counts(docs.select("text"), CELLS, cells_of)
+
+
+LINES = pa.schema(
+    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("sketch", pa.int64()), ("words", pa.list_(pa.int32()))]
+)
+LINES_SQL = "a long, b long, doc_id long, line_no int, size int, sketch long, words array<int>"
+
+
+def lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
+
+
+def line_sets(data: bytes, rank: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """For some of the lines of data at a time, those with words: number, digest of the set (a, b), size, sketch, number of words
+    that follow, and the rarest words of all of them, one line after the other."""
+    codes, line = w.words(data)
+    if not len(line):
+        return
+    cut = np.searchsorted(line, np.arange(0, int(line[-1]) + 1, 1 << 14)).tolist()
+    for lo, hi in zip(cut, [*cut[1:], len(line)], strict=True):
+        if lo == hi:
+            continue
+        c, n = codes[lo:hi], line[lo:hi]
+        # line, rarity and more of the hash in one number, so that one sort puts equal words together and rare ones first
+        key = (n & ((1 << 14) - 1)).astype(np.uint64) << np.uint64(50) | rank[(c & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(30) | c >> np.uint64(34)
+        order = np.argsort(key)
+        c, n = c[order], n[order]
+        new = np.r_[True, (c[1:] != c[:-1]) | (n[1:] != n[:-1])]
+        c, n = c[new], n[new]
+        start = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+        size = np.diff(np.r_[start, len(n)])
+        # parity of the words at each of 64 places: sets that differ in d words differ in at most d bits
+        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (w.mixed(c, 2) & np.uint64(63)), start)
+        a, b = np.add.reduceat(w.mixed(c, 3), start), np.add.reduceat(w.mixed(c, 4), start)
+        many = np.minimum(size, prefix_size(size, least) + depth(least) - 1)
+        at = np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        yield n[start], a.view(np.int64), b.view(np.int64), size, sketch.view(np.int64), many, (c[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def firsts_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by digest, doc_id and line number; whether a row in that order is, or equals, the first of its digest)."""
+    order = np.lexsort((line, doc, b, a))
+    a, b, doc, line = a[order], b[order], doc[order], line[order]
+    run = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
+    head = np.flatnonzero(run)[np.cumsum(run) - 1]
+    return order, (doc == doc[head]) & (line == line[head])
+
+
+def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
+    """A row for each line with words, as LINES. size is 0 and words are empty if an equal line before it has been seen; its digest
+    is then replaced by another, so that many equal lines don't meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for text in batch.text:
-                words = words_of(text)
-                if words:
-                    codes = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) & (CELLS - 1)
-                    at, n = np.unique(codes, return_counts=True)
-                    total[at] += n
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 17):
-            part = at[lo : lo + (1 << 17)]
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
-
-    counts = docs.select("text").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, dtype=np.int64)
-    out[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return out
+            ids, at = batch.column("doc_id").to_numpy(), 0
+            for group in w.groups(batch.column("text").to_pylist()):
+                lines = np.array([t.count("\n") + 1 for t in group])
+                begin = np.r_[0, np.cumsum(lines)[:-1]]
+                for no, *rest in line_sets(w.lower_bytes(group), rank.value, least):
+                    text = np.searchsorted(begin, no, side="right") - 1
+                    held.append((ids[at + text], (no - begin[text]).astype(np.int32), *rest))
+                    n += len(no)
+                    if n >= AT_ONCE:
+                        yield combined(held)
+                        held, n = [], 0
+                at += len(group)
+        if held:
+            yield combined(held)
+
+    def combined(parts: list[tuple]) -> pa.RecordBatch:
+        doc, line, a, b, size, sketch, many, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = firsts_of(a, b, doc, line)
+        keep = np.empty(len(doc), dtype=bool)
+        keep[order] = first
+        own = w.mixed(doc.view(np.uint64) ^ w.mixed(line.astype(np.uint64), 5), 6).view(np.int64)
+        a = np.where(keep, a, own)
+        flat, many = flat[np.repeat(keep, many)], np.where(keep, many, 0)
+        columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), sketch]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists(flat, many)], schema=LINES)
+
+    return docs.mapInArrow(run, LINES_SQL)
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """lines with size 0 wherever another row with an equal set comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # digest, doc_id and line number of the latest first line
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, doc, line, size = (batch.column(k).to_numpy() for k in range(5))
+            start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            head = np.flatnonzero(start)[np.cumsum(start) - 1]
+            d, n = doc[head], line[head]
+            if last and last[:2] == (a[0], b[0]):
+                d, n = np.where(head == 0, last[2], d), np.where(head == 0, last[3], n)
+            last = (a[-1], b[-1], d[-1], n[-1])
+            first = pa.array((doc == d) & (line == n) & (size > 0))
+            no = pa.array(np.zeros(len(a), dtype=np.int32))
+            out = [batch.column(2), batch.column(3), pa.compute.if_else(first, batch.column(4), no), batch.column(5), batch.column(6)]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line_no", "size", "sketch", "words"])
+
+    ordered = lines.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id", "line_no")
+    return ordered.mapInArrow(run, "doc_id long, line_no int, size int, sketch long, words array<int>")
+
+
+def prefix_of(least: float) -> Column:
+    size = F.col("size")
+    return size - F.ceil(least * size - SLACK).cast("int") + 1
+
+
+def keyed(sets: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows under keys of at most `block` lines, rows under longer keys that are commoner still): key, doc_id, line_no, size,
+    place, sketch. size - place is how many words a line may share with others at most, if the key's are the first of them."""
+    kept, open_ = None, None
+    for k in range(depth(least)):
+        first = F.lit(0) if open_ is None else F.col("place") + 1
+        last = F.least(prefix_of(least) + k, F.size("words")) - 1  # equal to what line_sets keeps
+        source = sets if open_ is None else open_
+        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        before = [] if open_ is None else [F.col("key").alias("_key")]
+        rows = source.select(*before, "doc_id", "line_no", "size", "sketch", "words", F.explode(places).alias("place"))
+        word = F.get("words", F.col("place"))
+        rows = rows.withColumn("key", word.cast("long") if open_ is None else F.xxhash64("_key", word))
+        rows = rows.select("key", "doc_id", "line_no", "size", "place", "sketch", "words")
+        hot = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
+        none = hot.isEmpty()
+        here = (rows if none else rows.join(hot, "key", "left_anti")).drop("words").withColumn("place", F.col("place") - k)
+        kept = here if kept is None else kept.unionByName(here)
+        if none:
+            return kept, here.limit(0)
+        open_ = stored(rows.join(hot, "key"), "common")
+    return kept, open_.drop("words").withColumn("place", F.col("place") - depth(least) + 1)
+
+
+def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (w.mixed(doc.astype(np.int64).view(np.uint64) ^ w.mixed(line.astype(np.uint64), 7), 8) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def best(j: np.ndarray, i: np.ndarray, apart: np.ndarray, tries: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `tries` pairs of each j that differ least; more[j] is set where it has others."""
+    order = np.lexsort((i, apart, j))
+    j, i, apart = j[order], i[order], apart[order]
+    new = np.r_[True, j[1:] != j[:-1]] if len(j) else np.zeros(0, dtype=bool)
+    rank = np.arange(len(j)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    more[j[rank >= tries]] = True
+    take = rank < tries
+    return j[take], i[take], apart[take]
+
+
+def pairs_in(group: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, least: float, tries: int) -> tuple:
+    """Pairs (j, i) of rows of one group, i the earlier line, that can be similar: up to `tries` of each j, those whose sketches
+    differ least; and for each pair whether its j has others. group: numbers that don't fall; line: numbers of lines, which
+    rise within a group but for rows of one line.
+
+    Places are judged as if no word before them were common: similar lines are found under the first words that they share.
+    Then all that they share stands from there on, so that u >= size must hold both ways. The rows are held against
+    themselves moved on by 1, 2, ... places, and groups that are too small for a move drop out."""
+    n = len(group)
+    new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    many = np.diff(np.r_[new, n])
+    rows, g, many = np.arange(n), np.repeat(np.arange(len(new)), many), np.repeat(many, many)
+    s, u = size.astype(np.float64), (size - place) * ((1 + least) / least) - size + 1e-6
+    more = np.zeros(n, dtype=bool)
+    found, held, e = [], 0, 1
+    while len(rows) > e:
+        large = many > e
+        if large.mean() < 0.8:
+            rows, g, many, s, u = (x[large] for x in (rows, g, many, s, u))
+            continue
+        at = np.flatnonzero((u[e:] >= s[:-e]) & (u[:-e] >= s[e:]) & (g[e:] == g[:-e]))
+        j, i = rows[at + e], rows[at]
+        both = size[i] + size[j]
+        need = 2 * np.ceil(both * (least / (1 + least)) - SLACK)
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+        ok = (both - apart >= need) & (line[i] != line[j])
+        found.append((j[ok], i[ok], apart[ok]))
+        held += int(ok.sum())
+        if held > MOST_PAIRS:
+            found = [best(*(np.concatenate(x) for x in zip(*found, strict=True)), tries, more)]
+            held = len(found[0][0])
+        e += 1
+    if not found:
+        return rows[:0], rows[:0], more[:0]
+    j, i, _ = best(*(np.concatenate(x) for x in zip(*found, strict=True)), tries, more)
+    return j, i, more[j]
 
 
-def occurrences(docs: DataFrame, with_line: bool) -> DataFrame:
-    """(doc_id, line_no, sid) of each line with words; sid is a 128-bit digest of its set of words. And the line, if asked for."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 200):
-                batch = whole.iloc[at : at + 200]
-                out = []
-                for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                    for no, line in enumerate(text.split("\n")):
-                        if words := set(words_of(line)):
-                            sid = blake2b(b" ".join(sorted(words)), digest_size=16).digest()
-                            out.append((doc_id, no, sid, line) if with_line else (doc_id, no, sid))
-                yield pd.DataFrame(out, columns=["doc_id", "line_no", "sid", *(["line"] if with_line else [])])
-
-    return docs.mapInPandas(run, "doc_id long, line_no int, sid binary" + ", line string" * with_line)
-
-
-def prefix_size(n: int, least: float) -> int:
-    return n - ceil(least * n - SLACK) + 1
-
-
-def prefixes(sets: DataFrame, counts, least: float) -> DataFrame:
-    """A row for each word of a line's prefix: word (32 bits), doc_id, line_no, size, place, sketch. Words that occur once in the
-    corpus are left out: no other line has them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = counts.value
-        for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.iloc[at : at + 2000]
-                code, size, sketch = [], [], []
-                for line in batch.line:
-                    words = set(words_of(line))
-                    code.extend(map(zlib.crc32, words))
-                    size.append(len(words))
-                codes, sizes = np.array(code, dtype=np.int64), np.array(size)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                rarity = table[codes & (CELLS - 1)]
-                order = np.lexsort((codes, rarity, row))
-                codes, rarity = codes[order], rarity[order]
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                # parity of the words at each of 64 places: sets that differ in d words differ in at most d bits
-                bit = np.uint64(1) << ((codes * 0x9E3779B1 >> 12) & 63).astype(np.uint64)
-                sketch = np.bitwise_xor.reduceat(bit, starts) if len(starts) else np.zeros(0, dtype=np.uint64)
-                place = np.arange(len(codes)) - starts[row]
-                prefix = sizes - np.ceil(least * sizes - SLACK).astype(np.int64) + 1
-                take = (place < prefix[row]) & (rarity > 1)
-                r = row[take]
-                yield pd.DataFrame(
-                    {
-                        "word": codes[take].astype(np.uint32).view(np.int32),
-                        "doc_id": batch.doc_id.to_numpy()[r],
-                        "line_no": batch.line_no.to_numpy()[r],
-                        "size": sizes[r].astype(np.int32),
-                        "place": place[take].astype(np.int32),
-                        "sketch": sketch[r].view(np.int64),
-                    }
-                )
-
-    return sets.select("doc_id", "line_no", "line").mapInPandas(
-        run, "word int, doc_id long, line_no int, size int, place int, sketch long"
-    )
+PAIRS = "doc_id long, line_no int, to_doc long, to_line int, bit long, to_bit long, more boolean"
 
 
-def compatible(size: np.ndarray, place: np.ndarray, sketch: np.ndarray, j: np.ndarray, i: np.ndarray, least: float) -> np.ndarray:
-    """Whether rows j[k] and i[k] can be similar, by length, by place in the prefix and by sketch. Places are judged as if no word
-    before them were common: similar lines are found under the first word that they share."""
-    both = size[i] + size[j]
-    need = np.ceil(both * (least / (1 + least)) - SLACK)  # common words of similar sets
-    may = np.minimum(size[i] - place[i], size[j] - place[j])
-    apart = np.bitwise_count(sketch[i] ^ sketch[j])
-    return (np.minimum(size[i], size[j]) >= need) & (may >= need) & (both - apart >= 2 * need)
-
-
-def earlier(start: np.ndarray, size, place, sketch, same: np.ndarray, ask: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (j, i) of rows of one group, i before j, that can be similar: the first `most` of each j. start: the first row of each
-    row's group; same: number of the line that a row stands for; ask: the rows j that are wanted. Groups are gone through side by side, from their first rows on, and
-    a row drops out as soon as it has `most`."""
-    rows = np.arange(len(start))
-    many = np.zeros(len(start), dtype=np.int64)
-    js, is_ = [], []
-    active, e = rows[(rows > start) & ask], 0
-    while len(active):
-        i = start[active] + e
-        hit = compatible(size, place, sketch, active, i, least) & (same[active] != same[i])
-        js.append(active[hit])
-        is_.append(i[hit])
-        many[active[hit]] += 1
-        e += 1
-        active = active[(active > start[active] + e) & (many[active] < most)]
-    j, i = np.concatenate([*js, rows[:0]]), np.concatenate([*is_, rows[:0]])
-    order = np.lexsort((i, j))
-    return j[order], i[order]
-
-
-def candidates(rows: DataFrame, least: float, skip: int, tries: int, block: int = BLOCK) -> DataFrame:
-    """rows: prefix rows with `ask`. For each line that asks up to `tries` earlier lines under a word that may be similar, after the
-    first `skip`: (doc_id, line_no, to_doc, to_line, more); more: there are others."""
-    hot = stored(rows.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot")
-    hot = hot.select("word", F.ceil(F.col("n") / (block // 2)).cast("long").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id", "line_no"), F.col("blocks"))
-    pair = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other) + 1,
-    )
-    dealt = rows.join(hot, "word", "left").select(
-        "word", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)).alias("pair"),
-        "doc_id", "line_no", "size", "place", "sketch", "ask",
-    )
+def candidates(rows: DataFrame, least: float, tries: int, whole: bool = True) -> DataFrame:
+    """rows: key, part, doc_id, line_no, size, place, sketch. For each line up to `tries` earlier ones under (key, part) that may be
+    similar, as PAIRS; more: there are others, as if so everywhere where the parts aren't the whole."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
+        held, n = [], 0
         for batch in batches:
             held.append(batch)
-            rows += len(batch)
-            if rows >= TOGETHER:
-                whole = pd.concat(held, ignore_index=True)
-                tail = int(((whole.word == whole.word.iat[-1]) & (whole.pair == whole.pair.iat[-1])).to_numpy().argmax())
-                held, rows = [whole.iloc[tail:]], len(whole) - tail
+            n += len(batch)
+            if n >= TOGETHER:
+                all_ = pd.concat(held, ignore_index=True)
+                tail = int(((all_.key == all_.key.iat[-1]) & (all_.part == all_.part.iat[-1])).to_numpy().argmax())
+                held, n = [all_.iloc[tail:]], len(all_) - tail
                 if tail:
-                    yield found(whole.iloc[:tail])
-        if rows:
+                    yield found(all_.iloc[:tail])
+        if n:
             yield found(pd.concat(held, ignore_index=True))
 
     def found(part: pd.DataFrame) -> pd.DataFrame:
-        word, pair_ = part.word.to_numpy(), part.pair.to_numpy()
         doc, line = part.doc_id.to_numpy(), part.line_no.to_numpy()
-        size, place, sketch = part["size"].to_numpy(), part.place.to_numpy(), part.sketch.to_numpy().view(np.uint64)
-        changed = lambda *cols: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
-        # rows of a group stand in (doc_id, line_no) order; two words of a line can share their 32-bit code
-        start = np.maximum.accumulate(np.where(changed(word, pair_), np.arange(len(word)), 0))
-        j, i = earlier(start, size, place, sketch, np.cumsum(changed(word, pair_, doc, line)), part.ask.to_numpy(dtype=bool), least, skip + tries + 1)
-        first = np.maximum.accumulate(np.where(changed(j), np.arange(len(j)), 0)) if len(j) else j
-        rank = np.arange(len(j)) - first
-        more = np.bincount(j, minlength=len(word))[j] > skip + tries
-        take = (rank >= skip) & (rank < skip + tries)
+        changed = lambda *names: np.cumsum(np.r_[True, np.logical_or.reduce([(x := part[c].to_numpy())[1:] != x[:-1] for c in names])])
+        group, own = changed("key", "part"), changed("key", "part", "doc_id", "line_no")
+        j, i, more = pairs_in(group, own, part["size"].to_numpy().astype(np.int64), part.place.to_numpy().astype(np.int64), part.sketch.to_numpy().view(np.uint64), least, tries)
         return pd.DataFrame(
-            {"doc_id": doc[j[take]], "line_no": line[j[take]], "to_doc": doc[i[take]], "to_line": line[i[take]], "more": more[take]}
-        )
+            {
+                "doc_id": doc[j], "line_no": line[j], "to_doc": doc[i], "to_line": line[i],
+                "bit": line_bit(doc[j], line[j]), "to_bit": line_bit(doc[i], line[i]), "more": more | (not whole),
+            }
+        )
+
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "line_no")
+    return ordered.mapInPandas(search, PAIRS)
+
+
+def wanted(pairs: DataFrame) -> np.ndarray:
+    """BITS bits as bytes: which bits the lines of the pairs have."""
+    bit = pairs.select(F.explode(F.array(F.col("bit") + 1, F.col("to_bit") + 1)).alias("bit"))
+    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in rows.collect():  # at most BITS / 2^15 rows of 4 KB
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits).ljust(4096, b"\0"), dtype=np.uint8)
+    return out
 
-    ordered = dealt.repartition("word", "pair").sortWithinPartitions("word", "pair", "doc_id", "line_no")
-    return ordered.mapInPandas(search, "doc_id long, line_no int, to_doc long, to_line int, more boolean")
 
+def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """pairs with hit, whether the two lines are similar by their words. Only lines with a wanted bit leave the documents."""
+    bits = docs.sparkSession.sparkContext.broadcast(wanted(pairs))  # BITS bits
 
-def removed_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, near): the lines to remove, numbered from 0; near tells similar lines from those with equal sets.
-    null identifiers are NULL_ID here and come first."""
-    rows = ids_and_text(docs, id_col, text_col)
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows))  # CELLS numbers
-    places = stored(occurrences(rows, False), "places")
-    lines = occurrences(rows, True).groupBy("sid").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line")
-    )
-    sets = stored(lines.select("sid", "first.doc_id", "first.line_no", "line"), "sets")
-    heads = stored(prefixes(sets, counts, least), "heads")
-    texts = sets.select("doc_id", "line_no", "line")
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, all_ = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
+            many = np.array([t.count("\n") + 1 for t in all_], dtype=np.int64)
+            begin = np.r_[0, np.cumsum(many)]
+            doc, line = np.repeat(ids, many), np.arange(begin[-1]) - np.repeat(begin[:-1], many)
+            bit = line_bit(doc, line)
+            at = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            row = (np.searchsorted(begin, at, side="right") - 1).tolist()
+            cut = {r: all_[r].split("\n") for r in set(row)}
+            found = pa.array([cut[r][n] for r, n in zip(row, line[at].tolist(), strict=True)], type=pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(line[at].astype(np.int32)), found], names=["doc_id", "line_no", "line"])
+
+    # rows equal in identifier and text give a line more than once
+    lines = stored(docs.mapInArrow(texts, "doc_id long, line_no int, line string").distinct(), "lines")
 
     @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
-            p, q = set(words_of(x)), set(words_of(y))
-            common = len(p & q)
-            return common >= least * (len(p) + len(q) - common) - SLACK
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    near, skip, tries, open_ = None, 0, TRIES, heads.withColumn("ask", F.lit(True))
-    while True:  # one round unless a line's first candidates all fail and it has others
-        pairs = stored(candidates(open_, least, skip, tries), "candidates")
-        distinct = pairs.groupBy("doc_id", "line_no", "to_doc", "to_line").agg(F.max("more").alias("more"))
-        sides = distinct.join(texts, ["doc_id", "line_no"]).join(
-            texts.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("line").alias("to")), ["to_doc", "to_line"]
-        )
-        checked = stored(sides.select("doc_id", "line_no", similar("line", "to").alias("hit"), "more"), "checked")
-        by_line = checked.groupBy("doc_id", "line_no").agg(F.max("hit").alias("hit"), F.max("more").alias("more"))
-        hit = by_line.filter("hit").select("doc_id", "line_no")
-        near = hit if near is None else near.unionByName(hit)
-        left = stored(by_line.filter("more and not hit").select("doc_id", "line_no"), "open")
-        if left.isEmpty():
-            break
-        # lines that have more candidates ask again; the rows of the words in their prefixes come along
-        skip, tries = skip + tries, tries * GROWTH
-        rows_ = open_.drop("ask").join(left.withColumn("ask", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        words = stored(rows_.filter("ask").select("word").distinct(), "asked")
-        open_ = stored(rows_.join(words, "word", "left_semi"), "again")
-    firsts = stored(
-        sets.select("sid", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line")).join(
-            stored(near.distinct(), "near").select(F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.lit(True).alias("near")),
-            ["first_doc", "first_line"], "left",
-        ), "firsts",
-    )
-    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
-    return places.join(firsts, "sid").filter(F.col("near") | later).select(
-        "doc_id", "line_no", F.coalesce("near", F.lit(False)).alias("near")
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: str, q: str) -> bool:
+            a, b = set(words_of(p)), set(words_of(q))
+            common = len(a & b)
+            return common >= least * (len(a) + len(b) - common) - SLACK
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    sides = pairs.join(lines, ["doc_id", "line_no"]).join(
+        lines.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("line").alias("to")), ["to_doc", "to_line"]
     )
+    return sides.select("doc_id", "line_no", check("line", "to").alias("hit"), "more")
+
+
+def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, tries: int) -> DataFrame:
+    """sets: doc_id, line_no, size, sketch, words of distinct sets. (doc_id, line_no) of those with an earlier similar one."""
+    rows, common = keyed(sets, least, block)
+    line = ["doc_id", "line_no"]
+
+    def judged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(lines with a similar one among those found, lines without that have more candidates)."""
+        pairs = stored(found.groupBy("doc_id", "line_no", "to_doc", "to_line", "bit", "to_bit").agg(F.max("more").alias("more")), "pairs")
+        checked = stored(similar(pairs, docs, least), "checked").groupBy(*line).agg(F.max("hit").alias("hit"), F.max("more").alias("more"))
+        checked = stored(checked, "judged")
+        return checked.filter("hit").select(*line), checked.filter("more and not hit").select(*line)
+
+    def hits_among(rows: DataFrame, asking: DataFrame) -> DataFrame:
+        """All pairs of asking rows and earlier ones under their keys that may be similar, verified."""
+        a, b = asking.alias("a"), rows.alias("b")
+        both = F.col("a.size") + F.col("b.size")
+        need = F.ceil(both * (least / (1 + least)) - SLACK)
+        rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+        apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+        earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & (rest >= need) & (both - apart >= 2 * need))
+        met = met.select(*(F.col(f"a.{c}") for c in line), F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line")).distinct()
+
+        def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                yield x.assign(bit=line_bit(x.doc_id.to_numpy(), x.line_no.to_numpy()), to_bit=line_bit(x.to_doc.to_numpy(), x.to_line.to_numpy()), more=False)
+
+        return judged(met.mapInPandas(bits, PAIRS))[0]
+
+    plain = rows.withColumn("part", F.lit(0))
+    near, left = judged(candidates(plain, least, tries))
+    if not left.isEmpty():
+        near = near.unionByName(hits_among(rows, rows.join(left, line, "left_semi")))
+    if not common.isEmpty():
+        # under keys that stay common: lines find a similar one in their own part, in rounds with those that found none yet,
+        # until hardly any do; these few, or such as have none, are then held against all
+        asking = stored(common.join(near, line, "left_anti"), "asking")
+        before = asking.count()
+        while before:
+            sizes = asking.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
+            dealt = asking.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("parts")).cast("int")).drop("parts")
+            hit = judged(candidates(dealt, least, tries, whole=False))[0]
+            near = near.unionByName(hit)
+            asking = stored(asking.join(hit, line, "left_anti"), "asking")
+            if (after := asking.count()) > before // 2:
+                break
+            before = after
+        near = near.unionByName(hits_among(common, asking))
+    return near.distinct()
+
+
+def removed_lines(
+    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, tries: int = TRIES
+) -> DataFrame:
+    """(doc_id, line_no, near), stored: the lines to remove, numbered from 0; near tells lines that are only similar to an earlier
+    one from later lines with an equal set. Identifiers must tell documents apart; null is NULL_ID here and comes first."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        rows = ids_and_text(docs, id_col, text_col)
+        order = np.argsort(word_counts(rows), kind="stable")
+        rank = np.empty(CELLS, dtype=np.uint64)
+        rank[order] = np.arange(CELLS, dtype=np.uint64)
+        lines = stored(first_lines(all_lines(rows, spark.sparkContext.broadcast(rank), least)), "sets")  # CELLS numbers
+        near = near_lines(lines.filter("size > 0"), rows, least, block, tries)
+        equal = lines.filter("size = 0").select("doc_id", "line_no", F.lit(False).alias("near"))
+        return stored(equal.unionByName(near.withColumn("near", F.lit(True))), "removed", outer=True)
 
 
-def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_equal and n_near (lines removed for either reason), removed (their numbers).
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, a struct of docs' columns, and key, a long by which rows are told apart): the key is the identifier, or, where several
+    rows have it, a number below -2^62 that follows from identifier and text. Only equal rows share it."""
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    if many.isEmpty():
+        return rows
+    hashed = F.lit(-(2**62)) - F.pmod(F.xxhash64("key", "text"), F.lit(2**61))
+    return rows.join(many, "key", "left").select("row", F.when(F.col("n").isNull(), F.col("key")).otherwise(hashed).alias("key"), "text")
 
-    Blank lines are never removed. Null texts count as one blank line. Null identifiers come first and count as one
-    document, and rows that repeat an identifier share their decisions. Other columns are ignored.
-    """
-    gone = removed_lines(docs, least, id_col, text_col).groupBy("doc_id").agg(
+
+def decisions(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row_keys, one row for each key with lines to remove: key, n_equal, n_near, removed)."""
+    rows = row_keys(docs, id_col, text_col)
+    gone = removed_lines(rows.select("key", "text"), least, "key", "text").groupBy("doc_id").agg(
         F.sum((~F.col("near")).cast("int")).cast("int").alias("n_equal"),
         F.sum(F.col("near").cast("int")).cast("int").alias("n_near"),
         F.array_sort(F.collect_set("line_no")).alias("removed"),
     )
-    rows = ids_and_text(docs, id_col, text_col).select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    return rows.join(stored(gone, "removed"), "doc_id", "left").select(
+    return rows, stored(gone.withColumnRenamed("doc_id", "key"), "decisions")
+
+
+def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_equal (lines removed that equal an earlier one), n_near (that are only similar to
+    one), removed (the numbers of both, from 0).
+
+    Blank lines are never removed; null and empty texts are one blank line. Rows that share an identifier, or have none, are
+    judged one by one: they come before all others, in no order of meaning. Rows equal in identifier and text share their
+    decisions. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows, gone = decisions(docs, least, id_col, text_col)
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    ids = rows.select(F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "key", n_lines.alias("n_lines"))
+    return ids.join(gone, "key", "left").select(
         real_id().alias("doc_id"),
         "n_lines",
         F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
@@ -283,27 +446,10 @@ def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     )
 
 
-def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _row, a long by which its rows are told apart: the identifier, or, where several rows have it, a number
-    below -2^62 that follows from identifier and text. Only equal rows share it."""
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    many = stored(docs.select(own.alias("_own")).groupBy("_own").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
-    if many.isEmpty():
-        return docs.withColumn("_row", own)
-    hashed = F.lit(-(2**62)) - F.pmod(F.xxhash64(own, F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(2**62))
-    keyed = docs.join(many, own == F.col("_own"), "left")
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("_n").isNull(), own).otherwise(hashed).alias("_row"))
-
-
 def line_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the later lines taken out of the texts; a text may become empty, a null text stays null. All columns stay.
-    Rows that share an identifier, or have none, are judged one by one: they come before all others, in no order of
-    meaning. Rows equal in identifier and text share their decisions."""
-    docs_ = row_keys(docs, id_col, text_col)
-    gone = removed_lines(docs_, least, "_row", text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))
-    gone = stored(gone.select(F.col("doc_id").alias("_removed_row"), "_removed"), "removed")
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
-    joined = docs_.join(gone, F.col("_row") == F.col("_removed_row"), "left")
-    new = F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(f"`{text_col}`"))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """docs with the later lines taken out of the texts; a text may become empty, a null text stays null. All columns stay,
+    whatever their names. Rows are judged as by line_decisions; an empty table stays empty."""
+    rows, gone = decisions(docs, least, id_col, text_col)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    new = F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(f"row.`{text_col}`"))
+    return rows.join(gone, "key", "left").select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
