@@ -109,6 +109,21 @@ def cell_counts(rows: DataFrame, cells: int, cells_of: Callable[[Iterable], Iter
     return out
 
 
+def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits as bytes: which of the numbers from 0 on are in the only column."""
+    n = numbers.toDF("n").select((F.col("n") + 1).alias("n"))
+    rows = n.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows.collect():  # at most bits / 2^15 rows of 4 KB
+        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+        out[(r.bucket - 1) * 4096 :][: len(part)] = part
+    return out
+
+
+def has_bit(table: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return table[n >> 3] >> (n & 7).astype(np.uint8) & 1
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, as (doc_id, text): null identifiers become NULL_ID, null texts empty."""
     return docs.select(
@@ -117,6 +132,18 @@ def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, a struct of docs' columns, and key, a long by which rows are told apart): the key is the identifier, or, where several
+    rows have it, a number below -2^62 that follows from identifier and text. Only equal rows share it."""
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    if many.isEmpty():
+        return rows
+    hashed = F.lit(-(2**62)) - F.pmod(F.xxhash64("key", "text"), F.lit(2**61))
+    return rows.join(many, "key", "left").select("row", F.when(F.col("n").isNull(), F.col("key")).otherwise(hashed).alias("key"), "text")
+
+
 def real_id(col: str = "doc_id") -> Column:
     return F.when(F.col(col) != NULL_ID, F.col(col))
 

@@ -19,12 +19,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import words as w
-from cairn.llm.common import NULL_ID, cell_counts, ids_and_text, real_id, scratch, stored
+from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_keys, scratch, stored
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
@@ -32,12 +31,12 @@ CELLS = 1 << 20
 BLOCK = 1024
 #: Words of the longest key: similar sets that aren't equal share as many at least (4 of 5 words at a similarity of 0.8).
 DEPTH = 4
-#: Candidates that a line sends to verification for each key at first; what is left after that is few and taken whole.
-TRIES = 3
 #: Bits of the table of the lines whose words are wanted for verification; a bit that several lines share costs time only.
 BITS = 1 << 25
 #: Lines that a task looks at together for equal ones, rows and pairs that it compares in one go.
 AT_ONCE, TOGETHER, MOST_PAIRS = 100_000, 200_000, 4_000_000
+#: Rows of two or three numbers that are broadcast at most.
+FEW = 200_000
 SLACK = 1e-9
 
 
@@ -113,7 +112,8 @@ def firsts_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) -
 
 def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
     """A row for each line with words, as LINES. size is 0 and words are empty if an equal line before it has been seen; its digest
-    is then replaced by another, so that many equal lines don't meet."""
+    is then replaced by another, so that many equal lines don't meet. And a row for each document with line number -1 and
+    minus its number of lines as size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -121,7 +121,10 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
             ids, at = batch.column("doc_id").to_numpy(), 0
             for group in w.groups(batch.column("text").to_pylist()):
                 lines = np.array([t.count("\n") + 1 for t in group])
-                begin = np.r_[0, np.cumsum(lines)[:-1]]
+                begin, here = np.r_[0, np.cumsum(lines)[:-1]], ids[at : at + len(group)]
+                digest, none = w.mixed(here.view(np.uint64), 9).view(np.int64), np.zeros(len(group), dtype=np.int64)
+                held.append((here, np.full(len(group), -1, dtype=np.int32), digest, none, -lines, none, none, np.zeros(0, dtype=np.int32)))
+                n += len(group)
                 for no, *rest in line_sets(w.lower_bytes(group), rank.value, least):
                     text = np.searchsorted(begin, no, side="right") - 1
                     held.append((ids[at + text], (no - begin[text]).astype(np.int32), *rest))
@@ -141,36 +144,65 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
         own = w.mixed(doc.view(np.uint64) ^ w.mixed(line.astype(np.uint64), 5), 6).view(np.int64)
         a = np.where(keep, a, own)
         flat, many = flat[np.repeat(keep, many)], np.where(keep, many, 0)
-        columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), sketch]
+        columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), sketch.astype(np.int64)]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists(flat, many)], schema=LINES)
 
     return docs.mapInArrow(run, LINES_SQL)
 
 
+def in_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Some batches together at a time, cut where the column `key` changes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            whole = pa.Table.from_batches(held)
+            keys = whole.column(key).to_numpy()
+            tail = int((keys == keys[-1]).argmax())
+            if tail:
+                yield whole.slice(0, tail)
+                held, n = whole.slice(tail).to_batches(), n - tail
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """lines with size 0 wherever another row with an equal set comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # digest, doc_id and line number of the latest first line
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, doc, line, size = (batch.column(k).to_numpy() for k in range(5))
-            start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            head = np.flatnonzero(start)[np.cumsum(start) - 1]
-            d, n = doc[head], line[head]
-            if last and last[:2] == (a[0], b[0]):
-                d, n = np.where(head == 0, last[2], d), np.where(head == 0, last[3], n)
-            last = (a[-1], b[-1], d[-1], n[-1])
-            first = pa.array((doc == d) & (line == n) & (size > 0))
-            no = pa.array(np.zeros(len(a), dtype=np.int32))
-            out = [batch.column(2), batch.column(3), pa.compute.if_else(first, batch.column(4), no), batch.column(5), batch.column(6)]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line_no", "size", "sketch", "words"])
-
-    ordered = lines.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id", "line_no")
+        for part in in_groups(batches, 0):
+            a, b, doc, line, size = (part.column(k).to_numpy() for k in range(5))
+            order, first = firsts_of(a, b, doc, line)
+            new = np.empty(len(a), dtype=np.int32)
+            new[order] = np.where(first, size[order], 0)
+            out = part.set_column(4, "size", pa.array(new)).select(["doc_id", "line_no", "size", "sketch", "words"])
+            yield from out.to_batches()
+
+    ordered = lines.repartition("a", "b").sortWithinPartitions("a")
     return ordered.mapInArrow(run, "doc_id long, line_no int, size int, sketch long, words array<int>")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A stored table of few columns, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def common_cells(sets: DataFrame, least: float, block: int) -> DataFrame | None:
+    """(cell) of the cells that more than `block` prefix words fall in. Only their words can have that many lines. None if these
+    are many."""
+
+    def cells_of(lists: pd.Series) -> Iterator[np.ndarray]:
+        if len(lists):
+            yield np.concatenate(list(lists)).astype(np.int64) & (CELLS - 1)
+
+    prefix = sets.select(F.slice("words", F.lit(1), prefix_of(least)).alias("words"))
+    cells = np.flatnonzero(cell_counts(prefix, CELLS, cells_of) > block)
+    if len(cells) > FEW:
+        return None
+    return sets.sparkSession.createDataFrame(pd.DataFrame({"cell": cells.astype(np.int32)}), "cell int")
+
+
 def prefix_of(least: float) -> Column:
     size = F.col("size")
     return size - F.ceil(least * size - SLACK).cast("int") + 1
@@ -190,8 +222,12 @@ def keyed(sets: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFra
         word = F.get("words", F.col("place"))
         rows = rows.withColumn("key", word.cast("long") if open_ is None else F.xxhash64("_key", word))
         rows = rows.select("key", "doc_id", "line_no", "size", "place", "sketch", "words")
-        hot = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
+        counted = rows.select("key")
+        if open_ is None and (cells := common_cells(sets, least, block)) is not None:
+            counted = counted.withColumn("cell", F.col("key").bitwiseAND(CELLS - 1).cast("int")).join(F.broadcast(cells), "cell")
+        hot = stored(counted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
         none = hot.isEmpty()
+        hot = few(hot)
         here = (rows if none else rows.join(hot, "key", "left_anti")).drop("words").withColumn("place", F.col("place") - k)
         kept = here if kept is None else kept.unionByName(here)
         if none:
@@ -204,21 +240,20 @@ def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (w.mixed(doc.astype(np.int64).view(np.uint64) ^ w.mixed(line.astype(np.uint64), 7), 8) & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def best(j: np.ndarray, i: np.ndarray, apart: np.ndarray, tries: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `tries` pairs of each j that differ least; more[j] is set where it has others."""
+def best(j: np.ndarray, i: np.ndarray, apart: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pair of each j that differs least; more[j] is set where it has others."""
     order = np.lexsort((i, apart, j))
     j, i, apart = j[order], i[order], apart[order]
     new = np.r_[True, j[1:] != j[:-1]] if len(j) else np.zeros(0, dtype=bool)
-    rank = np.arange(len(j)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    more[j[rank >= tries]] = True
-    take = rank < tries
-    return j[take], i[take], apart[take]
+    more[j[~new]] = True
+    return j[new], i[new], apart[new]
 
 
-def pairs_in(group: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, least: float, tries: int) -> tuple:
-    """Pairs (j, i) of rows of one group, i the earlier line, that can be similar: up to `tries` of each j, those whose sketches
-    differ least; and for each pair whether its j has others. group: numbers that don't fall; line: numbers of lines, which
-    rise within a group but for rows of one line.
+def pairs_in(
+    group: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (j, i) of rows of one group, i the earlier line, that can be similar: of each j the one whose sketch differs least; in how
+    many bits; and whether j has others. group: numbers that don't fall.
 
     Places are judged as if no word before them were common: similar lines are found under the first words that they share.
     Then all that they share stands from there on, so that u >= size must hold both ways. The rows are held against
@@ -229,7 +264,11 @@ def pairs_in(group: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.nd
     rows, g, many = np.arange(n), np.repeat(np.arange(len(new)), many), np.repeat(many, many)
     s, u = size.astype(np.float64), (size - place) * ((1 + least) / least) - size + 1e-6
     more = np.zeros(n, dtype=bool)
-    found, held, e = [], 0, 1
+    found, held, e = [(rows[:0], rows[:0], rows[:0])], 0, 1
+
+    def reduced() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [best(*(np.concatenate(x) for x in zip(*found, strict=True)), more)]
+
     while len(rows) > e:
         large = many > e
         if large.mean() < 0.8:
@@ -238,71 +277,63 @@ def pairs_in(group: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.nd
         at = np.flatnonzero((u[e:] >= s[:-e]) & (u[:-e] >= s[e:]) & (g[e:] == g[:-e]))
         j, i = rows[at + e], rows[at]
         both = size[i] + size[j]
-        need = 2 * np.ceil(both * (least / (1 + least)) - SLACK)
         apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
-        ok = (both - apart >= need) & (line[i] != line[j])
-        found.append((j[ok], i[ok], apart[ok]))
-        held += int(ok.sum())
-        if held > MOST_PAIRS:
-            found = [best(*(np.concatenate(x) for x in zip(*found, strict=True)), tries, more)]
+        ok = both - apart >= 2 * np.ceil(both * (least / (1 + least)) - SLACK)
+        j, i, apart = j[ok], i[ok], apart[ok]
+        turn = (doc[j] < doc[i]) | (doc[j] == doc[i]) & (line[j] < line[i])
+        same = (doc[j] == doc[i]) & (line[j] == line[i])  # two words of a line may share their 32 bits
+        found.append((np.where(turn, i, j)[~same], np.where(turn, j, i)[~same], apart[~same]))
+        if (held := held + len(j)) > MOST_PAIRS:
+            found = reduced()
             held = len(found[0][0])
         e += 1
-    if not found:
-        return rows[:0], rows[:0], more[:0]
-    j, i, _ = best(*(np.concatenate(x) for x in zip(*found, strict=True)), tries, more)
-    return j, i, more[j]
-
+    j, i, apart = reduced()[0]
+    return j, i, apart, more[j]
 
-PAIRS = "doc_id long, line_no int, to_doc long, to_line int, bit long, to_bit long, more boolean"
 
-
-def candidates(rows: DataFrame, least: float, tries: int, whole: bool = True) -> DataFrame:
-    """rows: key, part, doc_id, line_no, size, place, sketch. For each line up to `tries` earlier ones under (key, part) that may be
-    similar, as PAIRS; more: there are others, as if so everywhere where the parts aren't the whole."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= TOGETHER:
-                all_ = pd.concat(held, ignore_index=True)
-                tail = int(((all_.key == all_.key.iat[-1]) & (all_.part == all_.part.iat[-1])).to_numpy().argmax())
-                held, n = [all_.iloc[tail:]], len(all_) - tail
-                if tail:
-                    yield found(all_.iloc[:tail])
-        if n:
-            yield found(pd.concat(held, ignore_index=True))
-
-    def found(part: pd.DataFrame) -> pd.DataFrame:
-        doc, line = part.doc_id.to_numpy(), part.line_no.to_numpy()
-        changed = lambda *names: np.cumsum(np.r_[True, np.logical_or.reduce([(x := part[c].to_numpy())[1:] != x[:-1] for c in names])])
-        group, own = changed("key", "part"), changed("key", "part", "doc_id", "line_no")
-        j, i, more = pairs_in(group, own, part["size"].to_numpy().astype(np.int64), part.place.to_numpy().astype(np.int64), part.sketch.to_numpy().view(np.uint64), least, tries)
-        return pd.DataFrame(
-            {
-                "doc_id": doc[j], "line_no": line[j], "to_doc": doc[i], "to_line": line[i],
-                "bit": line_bit(doc[j], line[j]), "to_bit": line_bit(doc[i], line[i]), "more": more | (not whole),
-            }
-        )
-
-    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "line_no")
-    return ordered.mapInPandas(search, PAIRS)
-
-
-def wanted(pairs: DataFrame) -> np.ndarray:
-    """BITS bits as bytes: which bits the lines of the pairs have."""
-    bit = pairs.select(F.explode(F.array(F.col("bit") + 1, F.col("to_bit") + 1)).alias("bit"))
-    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in rows.collect():  # at most BITS / 2^15 rows of 4 KB
-        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits).ljust(4096, b"\0"), dtype=np.uint8)
-    return out
+FOUND = pa.schema(
+    [("doc_id", pa.int64()), ("line_no", pa.int32()), ("apart", pa.int32()), ("to_doc", pa.int64()), ("to_line", pa.int32()), ("more", pa.bool_())]
+)
+FOUND_SQL = "doc_id long, line_no int, apart int, to_doc long, to_line int, more boolean"
+
+
+def candidates(rows: DataFrame, least: float) -> DataFrame:
+    """rows: key, doc_id, line_no, size, place, sketch, whole. For lines with earlier ones under a key that may be similar the one that
+    differs least, and whether there are others, as FOUND. Where a key's rows aren't its whole group, there may always be others."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_groups(batches, 0):
+            key, doc, line, shape, sketch, whole = (part.column(k).to_numpy() for k in range(6))
+            group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+            j, i, apart, more = pairs_in(group, doc, line, shape >> 32, shape & 0xFFFFFFFF, sketch.view(np.uint64), least)
+            # of the pairs of a line under several keys the best is enough
+            more |= ~whole[j]
+            order = np.lexsort((line[i], doc[i], apart, line[j], doc[j]))
+            j, i, apart, more = j[order], i[order], apart[order], more[order]
+            new = np.r_[True, (doc[j][1:] != doc[j][:-1]) | (line[j][1:] != line[j][:-1])] if len(j) else np.zeros(0, dtype=bool)
+            start = np.flatnonzero(new)
+            if len(start):
+                head = start[np.cumsum(new) - 1]
+                more = np.logical_or.reduceat(more | (doc[i] != doc[i[head]]) | (line[i] != line[i[head]]), start)
+            else:
+                more = np.zeros(0, dtype=bool)
+            j, i, apart = j[start], i[start], apart[start].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[j], line[j], apart, doc[i], line[i], more))], schema=FOUND)
+
+    packed = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("shape"), "sketch", "whole")
+    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(search, FOUND_SQL)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """pairs with hit, whether the two lines are similar by their words. Only lines with a wanted bit leave the documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted(pairs))  # BITS bits
+
+    def bits_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            ends = line_bit(x.doc_id.to_numpy(), x.line_no.to_numpy()), line_bit(x.to_doc.to_numpy(), x.to_line.to_numpy())
+            yield pd.DataFrame({"bit": np.concatenate(ends)})
+
+    wanted = bit_table(pairs.select("doc_id", "line_no", "to_doc", "to_line").mapInPandas(bits_of, "bit long"), BITS)
+    bits = docs.sparkSession.sparkContext.broadcast(wanted)  # BITS bits
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +342,7 @@ def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             begin = np.r_[0, np.cumsum(many)]
             doc, line = np.repeat(ids, many), np.arange(begin[-1]) - np.repeat(begin[:-1], many)
             bit = line_bit(doc, line)
-            at = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            at = np.flatnonzero(has_bit(bits.value, bit))
             row = (np.searchsorted(begin, at, side="right") - 1).tolist()
             cut = {r: all_[r].split("\n") for r in set(row)}
             found = pa.array([cut[r][n] for r, n in zip(row, line[at].tolist(), strict=True)], type=pa.string())
@@ -335,62 +366,68 @@ def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return sides.select("doc_id", "line_no", check("line", "to").alias("hit"), "more")
 
 
-def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, tries: int) -> DataFrame:
+def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int) -> DataFrame:
     """sets: doc_id, line_no, size, sketch, words of distinct sets. (doc_id, line_no) of those with an earlier similar one."""
     rows, common = keyed(sets, least, block)
     line = ["doc_id", "line_no"]
 
-    def judged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(lines with a similar one among those found, lines without that have more candidates)."""
-        pairs = stored(found.groupBy("doc_id", "line_no", "to_doc", "to_line", "bit", "to_bit").agg(F.max("more").alias("more")), "pairs")
-        checked = stored(similar(pairs, docs, least), "checked").groupBy(*line).agg(F.max("hit").alias("hit"), F.max("more").alias("more"))
-        checked = stored(checked, "judged")
-        return checked.filter("hit").select(*line), checked.filter("more and not hit").select(*line)
-
-    def hits_among(rows: DataFrame, asking: DataFrame) -> DataFrame:
-        """All pairs of asking rows and earlier ones under their keys that may be similar, verified."""
-        a, b = asking.alias("a"), rows.alias("b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Each line of the pairs once, with hit and more."""
+        checked = similar(stored(pairs, "pairs"), docs, least)
+        return stored(checked.groupBy(*line).agg(F.max("hit").alias("hit"), F.max("more").alias("more")), "judged")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        """Lines that have candidates, each judged by the one that differs least."""
+        to = F.struct("to_doc", "to_line")
+        found = candidates(rows, least).groupBy(*line).agg(
+            F.min(F.struct("apart", "to_doc", "to_line")).alias("best"), (F.max("more") | (F.min(to) != F.max(to))).alias("more")
+        )
+        return verified(found.select(*line, "best.to_doc", "best.to_line", "more"))
+
+    def any_of(asking: DataFrame) -> DataFrame:
+        """Lines of the asking rows that are similar to any earlier line under their keys: all pairs that may be are verified."""
+        a, b = few(asking).alias("a"), rows.unionByName(common).alias("b")
         both = F.col("a.size") + F.col("b.size")
         need = F.ceil(both * (least / (1 + least)) - SLACK)
         rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
         apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
         earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & earlier & (rest >= need) & (both - apart >= 2 * need))
-        met = met.select(*(F.col(f"a.{c}") for c in line), F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line")).distinct()
-
-        def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                yield x.assign(bit=line_bit(x.doc_id.to_numpy(), x.line_no.to_numpy()), to_bit=line_bit(x.to_doc.to_numpy(), x.to_line.to_numpy()), more=False)
-
-        return judged(met.mapInPandas(bits, PAIRS))[0]
-
-    plain = rows.withColumn("part", F.lit(0))
-    near, left = judged(candidates(plain, least, tries))
-    if not left.isEmpty():
-        near = near.unionByName(hits_among(rows, rows.join(left, line, "left_semi")))
-    if not common.isEmpty():
-        # under keys that stay common: lines find a similar one in their own part, in rounds with those that found none yet,
-        # until hardly any do; these few, or such as have none, are then held against all
+        met = b.join(a, (F.col("a.key") == F.col("b.key")) & earlier & (rest >= need) & (both - apart >= 2 * need))
+        met = met.select(*(F.col(f"a.{c}") for c in line), F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line"))
+        return verified(met.distinct().withColumn("more", F.lit(False))).filter("hit").select(*line)
+
+    none = common.isEmpty()
+    first, asking = rows.withColumn("whole", F.lit(True)), None
+    if not none:  # rows under keys that stay common are dealt out; each part is searched by itself
+        first = first.unionByName(dealt(common, block))
+    judged = nearest(first)
+    near = judged.filter("hit").select(*line)
+    left = stored(judged.filter("more and not hit").select(*line), "left")
+    if not none:
+        # lines without a hit are searched once more among themselves, until that hardly finds any
         asking = stored(common.join(near, line, "left_anti"), "asking")
-        before = asking.count()
-        while before:
-            sizes = asking.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("parts"))
-            dealt = asking.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("parts")).cast("int")).drop("parts")
-            hit = judged(candidates(dealt, least, tries, whole=False))[0]
-            near = near.unionByName(hit)
+        before, after = common.count(), asking.count()
+        while block < after <= before // 2:
+            hit = nearest(dealt(asking, block)).filter("hit").select(*line)
+            near = stored(near.unionByName(hit), "near")
             asking = stored(asking.join(hit, line, "left_anti"), "asking")
-            if (after := asking.count()) > before // 2:
-                break
-            before = after
-        near = near.unionByName(hits_among(common, asking))
-    return near.distinct()
-
-
-def removed_lines(
-    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, tries: int = TRIES
-) -> DataFrame:
-    """(doc_id, line_no, near), stored: the lines to remove, numbered from 0; near tells lines that are only similar to an earlier
-    one from later lines with an equal set. Identifiers must tell documents apart; null is NULL_ID here and comes first."""
+            before, after = after, asking.count()
+    again = rows.join(few(left), line, "left_semi")
+    again = stored(again if asking is None else again.unionByName(asking), "again")
+    return (near if again.isEmpty() else near.unionByName(any_of(again))).distinct()
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows with keys that stand for parts of their groups, of about `block` rows each."""
+    sizes = few(stored(rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")), "sizes"))
+    part = F.pmod(F.xxhash64("doc_id", "line_no"), F.col("parts"))
+    return rows.join(sizes, "key").withColumn("key", F.xxhash64("key", part)).drop("parts").withColumn("whole", F.lit(False))
+
+
+def judged_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, line_no, near, n_lines), stored: the lines to remove, numbered from 0; near tells lines that are only similar to an
+    earlier one from later lines with an equal set. And a row for each document with line number -1 and n_lines, which is
+    null otherwise. Identifiers must tell documents apart; null is NULL_ID here and comes first."""
     spark = docs.sparkSession
     with scratch(spark):
         rows = ids_and_text(docs, id_col, text_col)
@@ -398,32 +435,16 @@ def removed_lines(
         rank = np.empty(CELLS, dtype=np.uint64)
         rank[order] = np.arange(CELLS, dtype=np.uint64)
         lines = stored(first_lines(all_lines(rows, spark.sparkContext.broadcast(rank), least)), "sets")  # CELLS numbers
-        near = near_lines(lines.filter("size > 0"), rows, least, block, tries)
-        equal = lines.filter("size = 0").select("doc_id", "line_no", F.lit(False).alias("near"))
-        return stored(equal.unionByName(near.withColumn("near", F.lit(True))), "removed", outer=True)
-
+        near = near_lines(lines.filter("size > 0"), rows, least, block)
+        n_lines = F.when(F.col("size") < 0, -F.col("size"))
+        equal = lines.filter("size <= 0").select("doc_id", "line_no", F.lit(False).alias("near"), n_lines.alias("n_lines"))
+        near = near.select("doc_id", "line_no", F.lit(True).alias("near"), F.lit(None).cast("int").alias("n_lines"))
+        return stored(equal.unionByName(near), "judged", outer=True)
 
-def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, a struct of docs' columns, and key, a long by which rows are told apart): the key is the identifier, or, where several
-    rows have it, a number below -2^62 that follows from identifier and text. Only equal rows share it."""
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    many = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
-    if many.isEmpty():
-        return rows
-    hashed = F.lit(-(2**62)) - F.pmod(F.xxhash64("key", "text"), F.lit(2**61))
-    return rows.join(many, "key", "left").select("row", F.when(F.col("n").isNull(), F.col("key")).otherwise(hashed).alias("key"), "text")
 
-
-def decisions(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row_keys, one row for each key with lines to remove: key, n_equal, n_near, removed)."""
-    rows = row_keys(docs, id_col, text_col)
-    gone = removed_lines(rows.select("key", "text"), least, "key", "text").groupBy("doc_id").agg(
-        F.sum((~F.col("near")).cast("int")).cast("int").alias("n_equal"),
-        F.sum(F.col("near").cast("int")).cast("int").alias("n_near"),
-        F.array_sort(F.collect_set("line_no")).alias("removed"),
-    )
-    return rows, stored(gone.withColumnRenamed("doc_id", "key"), "decisions")
+def removed_lines(docs: DataFrame, *args, **more) -> DataFrame:
+    """(doc_id, line_no, near) of judged_lines, without the rows of documents."""
+    return judged_lines(docs, *args, **more).filter("line_no >= 0").drop("n_lines")
 
 
 def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -434,22 +455,24 @@ def line_decisions(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     judged one by one: they come before all others, in no order of meaning. Rows equal in identifier and text share their
     decisions. Other columns are ignored; an empty table gives an empty result.
     """
-    rows, gone = decisions(docs, least, id_col, text_col)
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    ids = rows.select(F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "key", n_lines.alias("n_lines"))
-    return ids.join(gone, "key", "left").select(
-        real_id().alias("doc_id"),
-        "n_lines",
-        F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
-        F.coalesce("n_near", F.lit(0)).alias("n_near"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    rows = row_keys(docs, id_col, text_col)
+    removed = F.when(F.col("line_no") >= 0, F.col("line_no"))
+    by_key = judged_lines(rows.select("key", "text"), least, "key", "text").groupBy(F.col("doc_id").alias("key")).agg(
+        F.max("n_lines").alias("n_lines"),
+        F.count(F.when(~F.col("near"), removed)).cast("int").alias("n_equal"),
+        F.count(F.when(F.col("near"), removed)).cast("int").alias("n_near"),
+        F.array_sort(F.collect_set(removed)).alias("removed"),
     )
+    ids = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "key")
+    return ids.join(stored(by_key, "decisions"), "key").select("doc_id", "n_lines", "n_equal", "n_near", "removed")
 
 
 def line_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later lines taken out of the texts; a text may become empty, a null text stays null. All columns stay,
     whatever their names. Rows are judged as by line_decisions; an empty table stays empty."""
-    rows, gone = decisions(docs, least, id_col, text_col)
+    rows = row_keys(docs, id_col, text_col)
+    gone = removed_lines(rows.select("key", "text"), least, "key", "text").groupBy(F.col("doc_id").alias("key"))
+    gone = stored(gone.agg(F.collect_set("line_no").alias("removed")), "removed")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
     new = F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(f"row.`{text_col}`"))
     return rows.join(gone, "key", "left").select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
