@@ -1,16 +1,18 @@
 """Exact deduplication by content-defined chunk recipes, in SQL functions only.
 
-A text is cut where a word's hash says so, so equal passages give equal chunks wherever they stand. Each chunk is
-known by its SHA-256; one shuffle of the distinct chunks proves that no identifier stands for two chunks. After that
-documents are compared by their ordered lists of identifiers: whole texts never move.
+A text is cut once, where a word's hash says so, so equal passages give equal chunks wherever they stand. The chunks are
+stored with their identifiers, SHA-256; one shuffle of the distinct chunks proves that no identifier stands for two of
+them. Then documents are compared by their ordered lists of these identifiers alone: whole texts never move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, let, stored
+from cairn.llm.common import SPACE, let, scratch, stored
 
 #: A word ends a chunk with this inverse probability; a chunk has at most MOST words.
 WORDS, MOST = 128, 4096
@@ -41,14 +43,21 @@ def chunks(text: Column, words: int = WORDS) -> Column:
     return let(split, cut)
 
 
-def clashing(texts: DataFrame) -> DataFrame:
-    """Identifiers (column id) that stand for more than one chunk: an empty table unless SHA-256 is broken."""
-    chunk = texts.select(F.explode("chunks").alias("chunk"))
-    store = chunk.select(F.unhex(F.sha2("chunk", 256)).alias("id"), "chunk").groupBy("id", "chunk").agg(F.count("*").alias("n"))
+#: How a chunk is named: by the first of these under which no two chunks share an identifier. The last is the chunk itself.
+NAMES: tuple[Callable[[Column], Column], ...] = (
+    lambda c: F.unhex(F.sha2(c, 256)),
+    lambda c: F.concat(F.unhex(F.sha2(c, 512)), F.unhex(F.sha2(F.reverse(c), 256))),
+    lambda c: F.encode(c, "UTF-8"),
+)
+
+
+def clashing(pieces: DataFrame) -> DataFrame:
+    """pieces: arrays of (id, chunk). Identifiers that stand for more than one chunk: an empty table unless SHA-256 is broken."""
+    store = pieces.select(F.inline("pieces")).groupBy("id", "chunk").agg(F.count("*").alias("n"))
     return store.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, names: tuple = NAMES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space is one space; null is the empty text. Of equal
@@ -56,28 +65,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeps all its rows. Rows that repeat the keep_id of their group all count as kept. Other columns are ignored; an
     empty table gives an empty result.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("text"))
-    cut = texts.withColumn("chunks", chunks(F.col("text"), words))
-    clash = clashing(cut)
-    bad = [] if clash.isEmpty() else [stored(clash, "clashing")]
-    recipes = cut.select(
-        "doc_id",
-        F.sha2("text", 256).alias("text_sha256"),
-        F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("recipe"),
-        *(["text"] if bad else []),
-    )
-    key = ["text_sha256", "recipe"]
-    for ids in bad:  # lists with an identifier of two chunks are told apart by the text itself
-        hit = recipes.select("recipe", F.explode("recipe").alias("id")).join(ids, "id", "left_semi").select("recipe").distinct()
-        recipes = recipes.join(hit.withColumn("_hit", F.lit(True)), "recipe", "left").withColumn(
-            "own", F.when(F.col("_hit"), F.col("text")).otherwise("")
-        )
-        key.append("own")
-    recipes = stored(recipes.select("doc_id", *key), "recipes")
-    groups = stored(
-        recipes.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
-    )
-    return recipes.join(groups, key).select(
+    for name in names:
+        with scratch(spark):
+            cut = stored(
+                texts.select(
+                    "doc_id", F.sha2("text", 256).alias("text_sha256"),
+                    F.transform(chunks(F.col("text"), words), lambda c: F.struct(name(c).alias("id"), c.alias("chunk"))).alias("pieces"),  # noqa: B023
+                ), "pieces",
+            )
+            if not clashing(cut).isEmpty():
+                continue
+            recipes = stored(cut.select("doc_id", "text_sha256", F.col("pieces.id").alias("recipe")), "recipes", outer=True)
+            break
+    groups = stored(recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    return recipes.join(groups, "recipe").select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),

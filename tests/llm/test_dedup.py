@@ -45,8 +45,13 @@ def test_chunks_give_the_text_back_and_follow_the_content(spark):
 
 
 def test_a_clash_of_identifiers_is_found(spark):
-    cut = spark.createDataFrame([(["a", "b"],), (["a"],)], "chunks array<string>")
-    assert exact_dedup.clashing(cut).count() == 0
+    weak = lambda c: F.encode(F.length(c).cast("string"), "UTF-8")
+    piece = lambda *cs: [(str(len(c)).encode(), c) for c in cs]
+    cut = spark.createDataFrame([(piece("a", "bc"),), (piece("a", "bd"),)], "pieces array<struct<id: binary, chunk: string>>")
+    assert [bytes(r.id) for r in exact_dedup.clashing(cut).collect()] == [b"2"]
+    want = Counter(tuple(r) for r in exact_dedup.exact_dedup(hard(spark)).collect())
+    for names in [(weak, *exact_dedup.NAMES), (weak, weak, exact_dedup.NAMES[-1])]:
+        assert Counter(tuple(r) for r in exact_dedup.exact_dedup(hard(spark), names=names).collect()) == want
 
 
 def components_by_hand(fps, ids, bits):
@@ -108,8 +113,8 @@ def lines_by_hand(docs, least):
     return {(d, n) for d, n, s in occ if first[s] != (d, n) or s in near}
 
 
-@pytest.mark.parametrize("block, tries", [(1024, 3), (1024, 1), (8, 1), (2, 2)])
-def test_lines_by_hand(spark, block, tries):
+@pytest.mark.parametrize("block", [1024, 8, 2])
+def test_lines_by_hand(spark, block):
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
     docs = []
@@ -123,7 +128,7 @@ def test_lines_by_hand(spark, block, tries):
         docs.append((d, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (None, docs[3][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, line string")
-    got = {(r.doc_id if r.doc_id > -(2**63) else None, r.line_no) for r in line_dedup.removed_lines(df, block=block, tries=tries).collect()}
+    got = {(r.doc_id if r.doc_id > -(2**63) else None, r.line_no) for r in line_dedup.removed_lines(df, block=block).collect()}
     want = lines_by_hand(docs, 0.8)
     assert got == want and want
     if block < 1024:
