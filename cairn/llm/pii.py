@@ -2,7 +2,8 @@
 
 Values that pass their check (Luhn, mod 97, octets, calendar) are permuted by a keyed Feistel network within their
 format: digits stay digits, letters letters, a card keeps a valid check digit, a date is another valid date in the same
-layout. Equal values get equal pseudonyms in every document, different values different ones.
+layout. Blanks and other separators take no part: they are put back where they stood. So equal values get equal
+pseudonyms in every document and every layout, different values different ones.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from cairn.llm.common import let
 ROUNDS = 10
 #: Days of 400 Gregorian years, after which the calendar repeats, as a product for the two halves of a date.
 CYCLE, HALVES = 146_097, (189, 773)
+#: Dates have four-digit years: the years from 200 to 9799 are 24 times 400, and the days before and after them are one more set.
+EDGE_HALVES, BEFORE = (93, 1567), 72_683
+#: The telephone country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 EMAIL = r"(?<![\p{L}\p{N}.+_%-])[\p{L}\p{N}][\p{L}\p{N}.+_%-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9][A-Za-z0-9-]{0,62})+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -24,7 +29,7 @@ IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[
 PHONE = r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
 LOCAL_PHONE = r"(?<![\p{L}\p{N}.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![\p{L}\p{N}-])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
+CARD = r"(?<![\p{L}\p{N}])(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
 ANY = "|".join((EMAIL, IBAN, ISO_DATE, DATE, IPV4, PHONE, LOCAL_PHONE, SSN, CARD))
 
 
@@ -54,18 +59,39 @@ def _hash(text: Column) -> Column:
     return F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(12)), 16, 10).cast("long")
 
 
-def permuted(text: Column, key: Column) -> Column:
-    """ASCII digits and letters permuted within their kind; every other character stays."""
-    code = F.ascii
-    base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(0)
-    radix = lambda c: F.when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), 26).otherwise(1)
+def moves(c: Column) -> Column:
+    """Whether a character takes part: ASCII digits and letters do."""
+    return c.between("0", "9") | c.between("a", "z") | c.between("A", "Z")
+
+
+def bare(text: Column) -> Column:
+    """The characters of text that take part."""
+    return F.filter(chars(text), moves)
+
+
+def relaid(text: Column, new: Column) -> Column:
+    """text with the characters that take part replaced by those of the array `new`, one by one."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def put(done: Column, c: Column) -> Column:
+        return F.struct(
+            F.concat(done["out"], F.when(moves(c), F.get(new, done["at"])).otherwise(c)).alias("out"), (done["at"] + moves(c).cast("int")).alias("at")
+        )
+
+    return F.aggregate(chars(text), start, put, lambda done: done["out"])
+
 
-    def whole(letters: Column) -> Column:
-        start = F.transform(letters, lambda c: F.when(base(c) > 0, code(c) - base(c)).otherwise(0))
-        moved = feistel(start, F.transform(letters, radix), key)
-        return F.array_join(F.zip_with(letters, moved, lambda c, v: F.when(base(c) > 0, F.char(base(c) + v)).otherwise(c)), "")
+def moved(letters: Column, key: Column) -> Column:
+    """An array of ASCII digits and letters permuted within their kinds."""
+    base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65)
+    radices = F.transform(letters, lambda c: F.when(c.between("0", "9"), 10).otherwise(26))
+    values = feistel(F.transform(letters, lambda c: F.ascii(c) - base(c)), radices, key)
+    return F.zip_with(letters, values, lambda c, v: F.char(base(c) + v))
 
-    return let(chars(text), whole)
+
+def permuted(text: Column, key: Column) -> Column:
+    """ASCII digits and letters permuted within their kind; every other character stays, and takes no part."""
+    return let(bare(text), lambda letters: relaid(text, moved(letters, key)))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -90,23 +116,37 @@ def only_digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def joined(letters: Column) -> Column:
+    return F.array_join(letters, "")
+
+
 def _card(m: Column, key: Column) -> Column:
-    def moved(body: Column) -> Column:  # all but the last digit, then the digit that makes the sum a multiple of ten
-        return F.concat(body, F.pmod(-luhn_sum(F.concat(only_digits(body), F.lit("0"))), F.lit(10)).cast("string"))
+    """The longest part of m from its start to the end of a group of digits that has 13 to 19 digits and a good Luhn sum is the card."""
+
+    def good(end: Column) -> Column:
+        part = only_digits(F.substr(m, F.lit(1), end))
+        ends = (end == F.length(m)) | ~F.substr(m, end + 1, F.lit(1)).between("0", "9") & F.substr(m, end, F.lit(1)).between("0", "9")
+        return F.when(ends & F.length(part).between(13, 19), luhn_sum(part) % 10 == 0).otherwise(False)
+
+    def new(card: Column) -> Column:  # all but the last digit are moved; the last makes the sum a multiple of ten
+        letters = bare(card)
+        body = moved(F.slice(letters, F.lit(1), F.size(letters) - 1), key)
+        last = lambda x: F.pmod(-luhn_sum(F.concat(joined(x), F.lit("0"))), F.lit(10)).cast("string")
+        return let(body, lambda x: relaid(card, F.concat(x, F.array(last(x)))))
 
-    body = F.substr(m, F.lit(1), F.length(m) - 1)
-    return F.when(luhn_sum(only_digits(m)) % 10 == 0, let(permuted(body, key), moved)).otherwise(m)
+    ends = F.filter(F.sequence(F.lit(1), F.length(m)), good)
+    cut = lambda end: F.concat(new(F.substr(m, F.lit(1), end)), F.substr(m, end + 1))
+    return let(F.array_max(ends), lambda end: F.when(end.isNotNull(), cut(end)).otherwise(m))
 
 
 def _iban(m: Column, key: Column) -> Column:
-    country = F.substr(m, F.lit(1), F.lit(2))
-    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    valid = mod97(F.concat(F.substr(bare(m), F.lit(5)), F.substr(bare(m), F.lit(1), F.lit(4)))) == 1
-    moved = let(
-        permuted(F.substr(m, F.lit(5)), key),
-        lambda rest: F.concat(country, F.lpad((98 - mod97(F.concat(bare(rest), country, F.lit("00")))).cast("string"), 2, "0"), rest),
-    )
-    return F.when(valid, moved).otherwise(m)
+    def new(letters: Column) -> Column:
+        country, rest = F.slice(letters, 1, 2), F.slice(letters, F.lit(5), F.size(letters) - 4)
+        valid = mod97(F.concat(joined(rest), joined(F.slice(letters, 1, 4)))) == 1
+        check = lambda x: chars(F.lpad((98 - mod97(F.concat(joined(x), joined(country), F.lit("00")))).cast("string"), 2, "0"))
+        return F.when(valid, let(moved(rest, key), lambda x: relaid(m, F.concat(country, check(x), x)))).otherwise(m)
+
+    return let(bare(m), new)
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -114,15 +154,23 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def moved_day(day: Column, key: Column) -> Column:
-    """Another day of the same 400 years, counted from 1800."""
-    start = F.lit("1800-01-01").cast("date")
-    n = F.date_diff(day, start)
-    place = F.pmod(n, F.lit(CYCLE))
-    halves = F.array((place / HALVES[1]).cast("int"), F.pmod(place, F.lit(HALVES[1])))
-    return let(
-        feistel(halves, F.array(*map(F.lit, HALVES)), key),
-        lambda h: F.date_add(start, n - place + F.get(h, 0) * HALVES[1] + F.get(h, 1)),
-    )
+    """Another day of the same 400 years, counted from the year 200; days of the years before 200 and from 9800 on change places
+    with each other."""
+    first, last = F.lit("0001-01-01").cast("date"), F.lit("9799-12-31").cast("date")
+    n = F.date_diff(day, first)
+    inner = (n >= BEFORE) & (day <= last)
+    since = n - BEFORE
+    place = F.when(inner, F.pmod(since, F.lit(CYCLE))).when(day > last, since - 24 * CYCLE + BEFORE).otherwise(n)
+
+    def new(p: Column, halves: tuple[int, int]) -> Column:
+        pair = F.array((p / halves[1]).cast("int"), F.pmod(p, F.lit(halves[1])).cast("int"))
+        return let(feistel(pair, F.array(*map(F.lit, halves)), key), lambda h: F.get(h, 0) * halves[1] + F.get(h, 1))
+
+    def placed(p: Column) -> Column:
+        edge = let(new(p, EDGE_HALVES), lambda q: F.when(q < BEFORE, q).otherwise(q + 24 * CYCLE))
+        return F.date_add(first, F.when(inner, n - p + new(p, HALVES)).otherwise(edge).cast("int"))
+
+    return let(place, placed)
 
 
 def _iso(m: Column, key: Column) -> Column:
@@ -157,9 +205,14 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    code = F.regexp_extract(m, r"^\+(?:1|[0-9]{1,3})", 0)
-    valid = F.length(only_digits(m)).between(8, 15)
-    return F.when(valid, F.concat(code, permuted(F.substr(m, F.length(code) + 1), key))).otherwise(m)
+    """The country code stays; which digits it has follows from the digits alone."""
+
+    def new(letters: Column) -> Column:
+        code = F.length(F.regexp_extract(joined(letters), COUNTRY, 0))
+        rest = moved(F.slice(letters, code + 1, F.size(letters) - code), key)
+        return F.when(F.size(letters).between(8, 15), relaid(m, F.concat(F.slice(letters, F.lit(1), code), rest))).otherwise(m)
+
+    return let(bare(m), new)
 
 
 def kind(m: Column) -> Column:
