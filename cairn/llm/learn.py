@@ -14,23 +14,24 @@ def sample(
 ) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
     """Up to `each` labelled rows of either class as (doc_id, text, label), and how many rows each class has.
 
-    Only rows of folds other than 2 (crc32 of doc_id as text, modulo 4) are seen. The sample is the rows with the smallest
-    hash of their doc_id; texts of over most_chars characters and null labels are left out. Each distinct text comes
-    once. The driver holds at most 2 x each x most_chars characters.
+    Only rows of folds other than 2 (crc32 of doc_id as text, modulo 4) are seen. The sample is the identifiers with the
+    smallest hash; a doc_id with several labels has the greatest, and if several texts have it, the least one counts; texts of
+    over most_chars characters and null labels are left out. Each distinct text comes once. The driver holds at most
+    2 x each x most_chars characters.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.filter((crc_fold(F.col("doc_id")) != 2) & F.col("y").isin(0, 1))
+    known = known.filter((crc_fold(F.col("doc_id")) != 2) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id")
-    chosen = order.filter("y = 0").limit(each).unionByName(order.filter("y = 1").limit(each)).select("doc_id", "y").dropDuplicates(["doc_id"])
+    chosen = order.filter("y = 0").limit(each).unionByName(order.filter("y = 1").limit(each)).select("doc_id", "y")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     texts = texts.filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
     # broadcast: at most 2 x each rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     first = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.y)):
         first.setdefault(r.text, (r.doc_id, r.text, r.y))
-    return sorted(first.values()), counts
+    return sorted(first.values()), {int(y): n for y, n in counts.items()}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ forward-backward gives each token's marginal, and a calibrated sum of marginals
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import crc_fold, ids_and_text, real_id
 from cairn.llm.learn import Adam, logistic, sample, sigmoid
+from cairn.llm.words import groups
 
 TOKEN = re.compile(r"\w+")
-CHAIN = 64  # tokens of one chain; a text is cut into chains
+#: Tokens that are gone through together, and texts that stand side by side in them.
+TOGETHER, LANES = 1 << 20, 512
 #: Rows of either class that the model is fitted on, and the longest text among them.
 SAMPLE, MOST_CHARS = 3000, 20_000
 #: A feature marks toxic tokens from this many standard deviations and this ratio of rates.
@@ -32,26 +35,68 @@ def features(token: str) -> list[str]:
     return [token, *(f"{token[:n]}*" for n in range(3, 9) if len(token) >= n)]
 
 
-def marginals(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """s: (chains, tokens) score of state 1 over state 0; edge: 2 x 2 transition scores. Probability of state 1, same shape."""
-    n, steps = s.shape
-    odds = np.exp(np.clip(s, -30, 30))
-    t = np.exp(edge)
-    ahead, back = np.empty((steps, n)), np.ones((steps, n))  # shares of state 1 so far; odds that what follows adds
-    a = odds[:, 0] / (1 + odds[:, 0])
+@dataclass
+class Lanes:
+    """Texts laid end to end in lanes, so that a step goes on by one token in all lanes. cell[k]: place (step x lanes + lane) of the
+    k-th token of all texts; start: whether a place begins a text (or is empty), where the chain begins anew."""
+
+    cell: np.ndarray
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray) -> Lanes:
+        lanes = int(min(LANES, max(1, (sizes > 0).sum())))
+        heap, at = [(0, k) for k in range(lanes)], np.zeros((2, len(sizes)), dtype=np.int64)
+        for text in np.argsort(-sizes, kind="stable"):
+            end, lane = heap[0]
+            at[:, text] = end, lane
+            heapq.heapreplace(heap, (end + int(sizes[text]), lane))
+        steps = max(max(heap)[0], 1)
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        step, lane = np.repeat(at[0], sizes) + inside, np.repeat(at[1], sizes)
+        start = np.ones((steps, lanes), dtype=bool)
+        start[step, lane] = inside == 0
+        return cls(step * lanes + lane, start)
+
+    def laid(self, values: np.ndarray, empty: float) -> np.ndarray:
+        out = np.full(self.start.size, empty)
+        out[self.cell] = values
+        return out.reshape(self.start.shape)
+
+
+def passes(s: np.ndarray, start: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward over lanes; s: score of state 1 over state 0, edge: 2 x 2 transition scores. (odds of a token by itself;
+    share of state 1 so far; odds that what follows adds)."""
+    odds, t = np.exp(np.clip(s, -30, 30)), np.exp(edge)
+    ahead, back = np.empty_like(odds), np.ones_like(odds)
+    a = odds[0] / (1 + odds[0])
     ahead[0] = a
-    for i in range(1, steps):
-        one = (a * t[1, 1] + (1 - a) * t[0, 1]) * odds[:, i]
-        zero = a * t[1, 0] + (1 - a) * t[0, 0]
-        a = one / (one + zero)
+    for i in range(1, len(s)):
+        one = np.where(start[i], 1.0, a * t[1, 1] + (1 - a) * t[0, 1]) * odds[i]
+        a = one / (one + np.where(start[i], 1.0, a * t[1, 0] + (1 - a) * t[0, 0]))
         ahead[i] = a
-    b = np.ones(n)
-    for i in range(steps - 2, -1, -1):
-        next_ = odds[:, i + 1] * b
-        b = (t[1, 0] + t[1, 1] * next_) / (t[0, 0] + t[0, 1] * next_)
-        back[i] = b
+    for i in range(len(s) - 2, -1, -1):
+        next_ = odds[i + 1] * back[i + 1]
+        back[i] = np.where(start[i + 1], 1.0, (t[1, 0] + t[1, 1] * next_) / (t[0, 0] + t[0, 1] * next_))
+    return odds, ahead, back
+
+
+def marginals(s: np.ndarray, sizes: np.ndarray, edge: np.ndarray, lanes: Lanes | None = None) -> np.ndarray:
+    """Probability of state 1 of each token of all texts, one text after the other; s: their scores, sizes: tokens of each text."""
+    lanes = lanes or Lanes.of(sizes)
+    _, ahead, back = passes(lanes.laid(s, -30.0), lanes.start, edge)
+    one = ahead * back
+    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell]
+
+
+def pair_sums(s: np.ndarray, lanes: Lanes, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of state 1 of each token, expected number of steps from state a to state b: 2 x 2)."""
+    odds, ahead, back = passes(lanes.laid(s, -30.0), lanes.start, edge)
+    t, f, after = np.exp(edge), ahead[:-1], odds[1:] * back[1:]
+    joint = np.stack([(1 - f) * t[0, 0], (1 - f) * t[0, 1] * after, f * t[1, 0], f * t[1, 1] * after])
+    joint = joint / joint.sum(axis=0) * ~lanes.start[1:]
     one = ahead * back
-    return (one / (one + 1 - ahead)).T
+    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell], joint.sum(axis=(1, 2)).reshape(2, 2)
 
 
 @dataclass
@@ -72,16 +117,18 @@ class Model:
         return s
 
     def tokens(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Marginals of each text's tokens."""
-        sizes = [-(-len(t) // CHAIN) * CHAIN for t in texts]
-        flat = np.full(sum(sizes), -30.0)
-        at = 0
-        for t, size in zip(texts, sizes, strict=True):
-            flat[at : at + len(t)] = np.fromiter(map(self.score, t), dtype=np.float64, count=len(t))
-            at += size
-        p = marginals(flat.reshape(-1, CHAIN), self.edge).reshape(-1) if len(flat) else flat
-        ends = np.cumsum([0, *sizes])
-        return [p[a : a + len(t)] for a, t in zip(ends, texts, strict=False)]
+        """Marginals of each text's tokens, over the whole text."""
+        out, begin, n = [], 0, 0
+        for k, t in enumerate(texts):
+            n += len(t)
+            if n >= TOGETHER or k == len(texts) - 1:
+                part = texts[begin : k + 1]
+                sizes = np.array([len(x) for x in part], dtype=np.int64)
+                flat = np.fromiter((self.score(x) for y in part for x in y), dtype=np.float64, count=int(sizes.sum()))
+                p = marginals(flat, sizes, self.edge) if len(flat) else flat
+                out += np.split(p, np.cumsum(sizes)[:-1])
+                begin, n = k + 1, 0
+        return out
 
     def document(self, p: np.ndarray) -> np.ndarray:
         """Most likely token, expected number of toxic tokens and their share."""
@@ -110,133 +157,121 @@ def marks(rows: list[tuple[list[str], int]]) -> set[str]:
     return out
 
 
-def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], seed: int = 7, epochs: int = 12) -> Model:
-    """rows: (doc_id, text, label). Without rows of both classes the score is the share of toxic rows, or near 0."""
+def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 60) -> Model:
+    """rows: (doc_id, text, label); all their tokens are learnt from. Without rows of both classes the score is the share of toxic
+    rows, or near 0."""
     data = [(TOKEN.findall(text.lower()), y) for _, text, y in rows]
     n1 = sum(y for _, y in data)
     total = sum(counts.values())
     if not 0 < n1 < len(data):
         share = (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.01
         return Model(final=np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    rng = np.random.default_rng(seed)
     marked = marks(data)
-    chains, gold = [], []
-    for tokens, y in data:
-        toxic = np.array([y and any(f in marked for f in features(t)) for t in tokens], dtype=bool)
-        starts = set(rng.integers(0, max(1, len(tokens) - CHAIN + 1), size=2).tolist())
-        starts |= {max(0, int(i) - int(rng.integers(CHAIN))) for i in np.flatnonzero(toxic)[:8]}
-        if not y:  # tokens of clean documents that look toxic, too
-            starts |= {max(0, i - CHAIN // 2) for i, t in enumerate(tokens) if any(f in marked for f in features(t))}
-        for a in sorted(starts):
-            if tokens[a : a + CHAIN]:
-                chains.append(tokens[a : a + CHAIN])
-                gold.append(toxic[a : a + CHAIN])
-    common = Counter(f for chain in chains for t in set(chain) for f in features(t))
+    tokens: dict[str, int] = {}
+    sizes = np.array([len(t) for t, _ in data], dtype=np.int64)
+    ids = np.fromiter((tokens.setdefault(x, len(tokens)) for t, _ in data for x in t), dtype=np.int64, count=int(sizes.sum()))
+    owned = [features(t) for t in tokens]
+    times = np.bincount(ids, minlength=len(tokens))
+    common: Counter = Counter()
+    for own, n in zip(owned, times.tolist(), strict=True):
+        for f in own:
+            common[f] += n
     index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in common.items() if n >= 3 or f in marked))}
-    ids = np.zeros((len(chains), CHAIN, 7), dtype=np.int32)
-    y = np.zeros((len(chains), CHAIN))
-    real = np.zeros((len(chains), CHAIN), dtype=bool)
-    for c, (chain, g) in enumerate(zip(chains, gold, strict=True)):
-        for i, t in enumerate(chain):
-            f = [index[x] for x in features(t) if x in index]
-            ids[c, i, : len(f)] = f
-        y[c, : len(chain)], real[c, : len(chain)] = g, True
+    held = np.zeros((len(tokens), 7), dtype=np.int64)  # the features of each distinct token; 0 stands for none
+    for row, own in zip(held, owned, strict=True):
+        f = [index[x] for x in own if x in index]
+        row[: len(f)] = f
+    toxic = np.array([any(f in marked for f in own) for own in owned], dtype=bool)
+    gold = (toxic[ids] & np.repeat([y == 1 for _, y in data], sizes)).astype(float)
+    lanes = Lanes.of(sizes)
+    first = np.zeros(len(ids), dtype=bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    step = np.flatnonzero(~first)
+    seen = np.bincount((2 * gold[step - 1] + gold[step]).astype(np.int64), minlength=4).reshape(2, 2)
     w, edge, bias = np.zeros(len(index) + 1), np.zeros((2, 2)), np.array([-3.0])
-    adam = Adam(w, edge, bias, rate=0.05)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 256)):
-            k, g, r = ids[part], y[part], real[part]
-            s = np.where(r, w[k].sum(axis=2) + bias[0], -30.0)
-            p = marginals(s, edge)
-            # the slope of the log likelihood is what the labels have less what the model expects
-            slope = np.where(r, p - g, 0.0) / len(part)
-            gw = np.bincount(k.reshape(-1), np.repeat(slope.reshape(-1), k.shape[2]), minlength=len(w)) + 1e-5 * w
-            gw[0] = 0
-            pairs = pair_marginals(s, edge)
-            both = r[:, 1:] & r[:, :-1]
-            ge = np.array([[((pairs[a][b] - ((g[:, :-1] == a) & (g[:, 1:] == b))) * both).sum() for b in (0, 1)] for a in (0, 1)]) / len(part)
-            adam.step(gw, ge + 1e-3 * edge, np.array([slope.sum()]))
+    adam = Adam(w, edge, bias, rate=0.2)
+    for _ in range(steps):
+        p, expected = pair_sums((w[held].sum(axis=1) + bias[0])[ids], lanes, edge)
+        # the slope of the log likelihood, for each text, is what the model expects less what the labels have
+        slope = (p - gold) / len(data)
+        by_token = np.bincount(ids, slope, minlength=len(tokens))
+        gw = np.bincount(held.reshape(-1), np.repeat(by_token, held.shape[1]), minlength=len(w)) + 1e-5 * w
+        gw[0] = 0
+        adam.step(gw, (expected - seen) / len(data) + 1e-3 * edge, np.array([slope.sum()]))
     names = sorted(index, key=index.get)
     model = Model({f: float(w[index[f]]) for f in names if abs(w[index[f]]) > 1e-4}, edge, bias=float(bias[0]))
-    ps = model.tokens([t for t, _ in data])
-    x = np.array([model.document(p) for p in ps])
+    x = np.array([model.document(p) for p in model.tokens([t for t, _ in data])])
     labels = np.array([v for _, v in data], dtype=float)
     weight = np.where(labels == 1, counts[1] / n1, counts[0] / (len(data) - n1))
     model.final = logistic(x, labels, weight / weight.mean())
     return model
 
 
-def pair_marginals(s: np.ndarray, edge: np.ndarray) -> list[list[np.ndarray]]:
-    """Probability of state a at a token and b at the next, for each a and b."""
-    odds, t = np.exp(np.clip(s, -30, 30)), np.exp(edge)
-    steps = s.shape[1]
-    a = odds[:, 0] / (1 + odds[:, 0])
-    ahead = [a]
-    for i in range(1, steps):
-        one, zero = (a * t[1, 1] + (1 - a) * t[0, 1]) * odds[:, i], a * t[1, 0] + (1 - a) * t[0, 0]
-        a = one / (one + zero)
-        ahead.append(a)
-    back = [np.ones(len(s))]
-    for i in range(steps - 2, -1, -1):
-        next_ = odds[:, i + 1] * back[-1]
-        back.append((t[1, 0] + t[1, 1] * next_) / (t[0, 0] + t[0, 1] * next_))
-    f, b = np.stack(ahead, axis=1)[:, :-1], np.stack(back[::-1], axis=1)[:, 1:]
-    after = odds[:, 1:] * b
-    joint = [[(1 - f) * t[0, 0], (1 - f) * t[0, 1] * after], [f * t[1, 0], f * t[1, 1] * after]]
-    total = sum(sum(x) for x in joint)
-    return [[x / total for x in row] for row in joint]
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on a bounded sample: SAMPLE rows of either class, texts of at most MOST_CHARS characters."""
     return fit(*sample(docs, labels, "toxic", SAMPLE, MOST_CHARS, id_col, text_col))
 
 
+def lowered(text: str) -> tuple[str, list[int] | None]:
+    """(text in lower case, place in text of each of its characters; None if they are the same)."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    places = [i for i, c in enumerate(text) for _ in c.lower()]
+    return low, [*places, len(text)]
+
+
 def spans_of(text: str, p: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """(start, end, highest marginal) of runs of tokens with a marginal of at least `least`; offsets are characters of
-    the lower-cased text."""
+    """(start, end, highest marginal) of runs of tokens with a marginal of at least `least`; offsets are characters of text."""
+    if not len(p) or p.max() < least:
+        return []
+    low, places = lowered(text)
     out: list[list] = []
     last = -2
-    for i, m in enumerate(TOKEN.finditer(text.lower())):
+    for i, m in enumerate(TOKEN.finditer(low)):
         if p[i] >= least:
             if last == i - 1:
                 out[-1][1:] = [m.end(), max(out[-1][2], float(p[i]))]
             else:
                 out.append([m.start(), m.end(), float(p[i])])
             last = i
-    return [tuple(x) for x in out]
+    return [(a, b, q) if places is None else (places[a], places[b - 1] + 1, q) for a, b, q in out]
+
+
+def judged(model: Model, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, list[np.ndarray]]]:
+    """(some of the texts, their scores, the marginals of their tokens), in order."""
+    for group in groups(texts):
+        ps = model.tokens([TOKEN.findall(t.lower()) for t in group])
+        yield group, model.scores(ps), ps
 
 
-def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, spans: bool = True) -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1) and, if asked for, spans (start, end, p). Null and empty texts get the
-    score of a text without tokens; null identifiers stay null; other columns are ignored."""
+def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """One row per input row: doc_id, score (0 to 1) and spans (start, end, p: characters of the text and highest marginal). Null and
+    empty texts get the score of a text without tokens; null identifiers stay null; repeated rows are repeated; other columns are
+    ignored; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.iloc[at : at + 500]
-                ps = shared.value.tokens([TOKEN.findall(t.lower()) for t in batch.text])
-                out = pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "score": shared.value.scores(ps)})
-                if spans:
-                    out["spans"] = [
-                        [{"start": a, "end": b, "p": q} for a, b, q in spans_of(t, p, least)] if len(p) and p.max() >= least else []
-                        for t, p in zip(batch.text, ps, strict=True)
-                    ]
-                yield out
-
-    schema = "doc_id long, score double" + ", spans array<struct<start: int, end: int, p: double>>" * spans
+        for batch in batches:
+            scores, spans = [], []
+            for group, score, ps in judged(shared.value, list(batch.text)):
+                scores.append(score)
+                spans += [[{"start": a, "end": b, "p": q} for a, b, q in spans_of(t, p, least)] for t, p in zip(group, ps, strict=True)]
+            yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "score": np.concatenate([*scores, np.zeros(0)]), "spans": spans})
+
+    schema = "doc_id long, score double, spans array<struct<start: int, end: int, p: double>>"
     return ids_and_text(docs, id_col, text_col).mapInPandas(run, schema).withColumn("doc_id", real_id())
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
-    scored = tag(docs, train(docs, labels, id_col, text_col), id_col, text_col, spans=False)
+    """doc_id, held_out, score, predicted and spans for every row."""
+    scored = tag(docs, train(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select(
         "doc_id",
         F.coalesce(crc_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        "spans",
     )
 
 
@@ -246,9 +281,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(texts), 500):
-            out.append(shared.value.scores(shared.value.tokens([TOKEN.findall((t or "").lower()) for t in texts.iloc[at : at + 500]])))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(np.concatenate([*(s for _, s, _ in judged(shared.value, [t or "" for t in texts])), np.zeros(0)]))
 
     return docs.filter(score(F.col(f"`{text_col}`")) < threshold)
