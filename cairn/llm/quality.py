@@ -1,7 +1,8 @@
 """Document quality by random-indexing word vectors and a small network.
 
-Each word has a fixed sparse random index vector; a word's vector is the sum of the index vectors around it. A document is the
-mean over its words, which a two-layer network scores; its probabilities are calibrated by one temperature.
+Each word has a fixed sparse random index vector, a function of the word. A word's vector is that and the mean of the index
+vectors around it in the fitted texts; words that are hardly seen there take the surroundings of their shape. A document is
+the mean over its words, which a two-layer network scores; its probabilities are calibrated by one temperature.
 """
 
 from __future__ import annotations
@@ -19,19 +20,23 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, crc_fold, ids_and_text, real_id
 from cairn.llm.learn import Adam, sample, sigmoid
+from cairn.llm.words import groups, mixed
 
 DIM, ONES, WINDOW, HIDDEN = 96, 6, 2, 24
-#: Words with vectors of their own; all others share the vector of their shape.
-WORDS = 30_000
+#: Times that a word stands in the fitted texts from which on its own surroundings count.
+SEEN = 3
 #: Rows of either class that the model is fitted on, and the longest text among them.
 SAMPLE, MOST_CHARS = 4000, 20_000
 
 
-def index_vector(word: str) -> np.ndarray:
-    """ONES places of +1 or -1, drawn by the word's checksum."""
-    rng = np.random.default_rng(zlib.crc32(word.encode("utf-8", "surrogatepass")))
-    out = np.zeros(DIM, dtype=np.float32)
-    out[rng.choice(DIM, ONES, replace=False)] = rng.choice([-1.0, 1.0], ONES)
+def index_vectors(words: list[str]) -> np.ndarray:
+    """One place of +1 or -1 in each of ONES equal parts, by the word's mixed checksum."""
+    codes = mixed(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words)))
+    out, part = np.zeros((len(words), DIM), dtype=np.float32), DIM // ONES
+    for k in range(ONES):
+        own = codes >> np.uint64(10 * k)
+        at = (own & np.uint64(511)) % np.uint64(part)
+        out[np.arange(len(words)), at.astype(np.int64) + k * part] = np.where(own >> np.uint64(9) & np.uint64(1), 1.0, -1.0)
     return out
 
 
@@ -60,26 +65,38 @@ def repeats(words: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    rows: dict[str, int] = field(default_factory=dict)  # word or shape -> row of vectors
-    vectors: np.ndarray = field(default_factory=lambda: np.zeros((len(SHAPES), DIM), dtype=np.float32))
+    rows: dict[str, int] = field(default_factory=dict)  # word, shape or AGAIN -> row of around
+    around: np.ndarray = field(default_factory=lambda: np.zeros((len(SHAPES), DIM), dtype=np.float16))
     layers: tuple = ()
     temperature: float = 1.0
     share: float = 0.5  # what an untrained model answers
 
-    def row(self, word: str) -> int:
-        r = self.rows.get(word)
-        return self.rows[shape(word)] if r is None else r
-
-    def pooled(self, text: str) -> np.ndarray:
-        words = WORD.findall(text)
-        if not words or not self.rows:
-            return np.zeros(DIM)
-        ids, total = np.fromiter(map(self.row, words), dtype=np.int64, count=len(words)), np.zeros(DIM)
-        for at in range(0, len(ids), 1 << 16):
-            total += self.vectors[ids[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        for name, at in zip(AGAIN, repeats(words), strict=True):
-            total += len(at) * self.vectors[self.rows[name]].astype(np.float64)
-        return total / len(ids)
+    def vectors(self, words: list[str]) -> np.ndarray:
+        shapes = [shape(w) for w in words]
+        near = np.fromiter((self.rows[s] if (r := self.rows.get(w)) is None else r for w, s in zip(words, shapes, strict=True)), dtype=np.int64, count=len(words))
+        kinds = index_vectors(list(SHAPES))
+        return index_vectors(words) + kinds[[SHAPES.index(s) for s in shapes]] + self.around[near].astype(np.float32)
+
+    def pooled(self, texts: list[str]) -> np.ndarray:
+        """A row for each text. A text's words are looked up once each."""
+        out = np.zeros((len(texts), DIM))
+        if not self.rows:
+            return out
+        again = index_vectors(list(AGAIN)) + self.around[[self.rows[name] for name in AGAIN]].astype(np.float32)
+        begin = 0
+        for group in groups(texts):
+            split = [WORD.findall(t) for t in group]
+            number: dict[str, int] = {}
+            ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)) for words in split]
+            table = self.vectors(list(number)) if number else np.zeros((0, DIM), dtype=np.float32)
+            for k, (words, at) in enumerate(zip(split, ids, strict=True), begin):
+                for lo in range(0, len(at), 1 << 14):
+                    out[k] += table[at[lo : lo + (1 << 14)]].sum(axis=0, dtype=np.float64)
+                for vector, places in zip(again, repeats(words), strict=True):
+                    out[k] += len(places) * vector.astype(np.float64)
+                out[k] /= max(1, len(at))
+            begin += len(group)
+        return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         mean, std, w1, b1, w2, b2 = self.layers
@@ -88,27 +105,28 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.layers:
             return np.full(len(texts), self.share)
-        x = np.array([self.pooled(t) for t in texts]).reshape(-1, DIM)
-        return sigmoid(self.logits(x) / self.temperature)
+        return sigmoid(self.logits(self.pooled(texts)) / self.temperature)
 
 
-def word_vectors(texts: list[list[str]], model: Model) -> None:
-    """Fills model.rows and model.vectors: every word within WINDOW places adds its index vector and that of its shape."""
+def learn_vectors(texts: list[list[str]], model: Model) -> None:
+    """Fills model.rows and model.around: every word within WINDOW places adds its index vector and that of its shape. What stands
+    around a word also counts for its shape."""
     seen = Counter(w for t in texts for w in t)
-    words = [*SHAPES, *AGAIN, *(w for w, n in seen.most_common(WORDS) if n >= 3)]
-    model.rows, own = {w: i for i, w in enumerate(words)}, len(SHAPES) + len(AGAIN)
-    index = np.stack([index_vector(w) + (0 if i < own else index_vector(shape(w))) for i, w in enumerate(words)])
-    shapes = np.array([i if i < own else model.rows[shape(w)] for i, w in enumerate(words)])
-    total = np.zeros((len(words), DIM), dtype=np.float64)
-    count = np.zeros(len(words))
+    words = [*SHAPES, *AGAIN, *sorted(w for w, n in seen.items() if n >= SEEN)]
+    model.rows = {w: i for i, w in enumerate(words)}
+    kinds = index_vectors(list(SHAPES))
+    total, count = np.zeros((len(words), DIM), dtype=np.float32), np.zeros(len(words))
     for t in texts:
-        ids = np.fromiter(map(model.row, t), dtype=np.int64, count=len(t))
-        around = np.zeros((len(ids), DIM), dtype=np.float32)
-        for d in range(1, min(WINDOW, len(ids) - 1) + 1):
-            around[d:] += index[ids[:-d]]
-            around[:-d] += index[ids[d:]]
+        kind = np.fromiter((SHAPES.index(shape(w)) for w in t), dtype=np.int64, count=len(t))
+        own = np.fromiter((model.rows.get(w, -1) for w in t), dtype=np.int64, count=len(t))
+        index = index_vectors(t) + kinds[kind]
+        around = np.zeros((len(t), DIM), dtype=np.float32)
+        for d in range(1, min(WINDOW, len(t) - 1) + 1):
+            around[d:] += index[:-d]
+            around[:-d] += index[d:]
+        known = np.flatnonzero(own >= 0)
         again = [(np.full(len(p), model.rows[name]), around[p]) for name, p in zip(AGAIN, repeats(t), strict=True)]
-        for rows, near in [(ids, around), (shapes[ids], around), *again]:
+        for rows, near in [(own[known], around[known]), (kind, around), *again]:
             if not len(rows):
                 continue
             order = np.argsort(rows, kind="stable")
@@ -116,9 +134,8 @@ def word_vectors(texts: list[list[str]], model: Model) -> None:
             at = rows[order][starts]
             total[at] += np.add.reduceat(near[order], starts, axis=0)
             count[at] += np.diff(np.r_[starts, len(rows)])
-    mean = total / np.maximum(count, 1)[:, None]
-    # a word's own index vector stands beside what is around it, so that rare words keep a trace of themselves
-    model.vectors = (mean / (2 * WINDOW) + index).astype(np.float32)
+    total /= np.maximum(count, 1)[:, None].astype(np.float32) * 2 * WINDOW
+    model.around = total.astype(np.float16)
 
 
 def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], seed: int = 11, epochs: int = 60) -> Model:
@@ -129,8 +146,8 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], seed: int = 11
     if not 0 < y.sum() < len(y):
         return Model(share=(counts.get(1, 0) + 0.5) / (total + 1) if total else 0.5)
     model, rng = Model(), np.random.default_rng(seed)
-    word_vectors([WORD.findall(r[1]) for r in rows], model)
-    x = np.array([model.pooled(r[1]) for r in rows])
+    learn_vectors([WORD.findall(r[1]) for r in rows], model)
+    x = model.pooled([r[1] for r in rows])
     weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (len(y) - y.sum()))
     weight /= weight.mean()
     order = rng.permutation(len(y))
@@ -166,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1). Null and empty texts get the score of a zero vector; null
-    identifiers stay null; other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS x DIM
+    identifiers stay null; repeated rows are repeated; other columns are ignored; an empty table gives an empty result."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
