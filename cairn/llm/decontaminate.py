@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, real_id, stored
+from cairn.llm.common import ids_and_text, row_keys, stored
 
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 PASS_CHARS = 2_000_000
@@ -118,7 +118,7 @@ def hits(
 
     end is where the best match ends in the plain text. Empty and null items match nothing, an item of few characters
     matches wherever it occurs. Items that repeat, and null item_ids, each give rows of their own (null stays null). The items
-    are taken in passes of at most pass_chars characters (or one item), so what is broadcast is bounded.
+    are dealt by hash into passes of about half of pass_chars characters each, so what is broadcast is bounded.
     """
     spark = docs.sparkSession
     items = stored(
@@ -147,24 +147,24 @@ def hits(
     return reduce(DataFrame.unionByName, [one(n) for n in range(passes)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """One row per input row: doc_id, contaminated, n_items, item_ids (sorted). Null identifiers share one decision; a
-    repeated identifier counts as one document. Empty tables give no rows or nothing contaminated."""
-    found = stored(hits(docs, benchmark, rate, id_col, **columns), "hits")
-    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.lit(True).alias("hit"))
-    ids = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"))
-    return ids.join(stored(lists, "contaminated"), "doc_id", "left").select(
-        real_id().alias("doc_id"),
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """One row per input row: doc_id, contaminated, n_items, item_ids (sorted; null identifiers of items aren't named). Each row is
+    judged by its own text, whatever its identifier; null and empty texts hold nothing. Other columns of docs are ignored.
+    Empty tables give no rows or nothing contaminated."""
+    rows = row_keys(docs, id_col, text_col)
+    found = stored(hits(rows.select("key", "text"), benchmark, rate, "key", "text", **columns), "hits")
+    lists = found.groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.lit(True).alias("hit"))
+    ids = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "key")
+    return ids.join(stored(lists, "contaminated"), "key", "left").select(
+        "doc_id",
         F.coalesce("hit", F.lit(False)).alias("contaminated"),
         F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The rows of docs without a test item, with all their columns. Each row is judged by its own text, whatever its identifier."""
-    text_col = columns.get("text_col", "text")
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    keyed = docs.withColumn("_row", key)
-    found = stored(hits(keyed, benchmark, rate, "_row", **columns).select(F.col("doc_id").alias("_hit_row")).distinct(), "hits")
-    return docs.join(found, key == F.col("_hit_row"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of docs without a test item, with all their columns, whatever their names. Rows are judged as by contamination."""
+    rows = row_keys(docs, id_col, text_col)
+    found = stored(hits(rows.select("key", "text"), benchmark, rate, "key", "text", **columns).select(F.col("doc_id").alias("key")).distinct(), "hits")
+    return rows.select("row", "key").join(found, "key", "left_anti").select("row.*")
