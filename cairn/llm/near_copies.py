@@ -1,4 +1,4 @@
-"""Near copies by an exact set-similarity join on word shingles.
+"""Verification and completion of near copies: an exact set-similarity join on word shingles.
 
 A text is the set of its shingles. Two texts are near copies if the Jaccard similarity of their sets is at least `least`.
 Shingles are ordered by rarity, so that near copies share one of their short prefixes; the length and place filters
@@ -15,19 +15,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import NULL_ID, ids_and_text, stored
+from cairn.llm.common import bit_table, cell_counts, has_bit, stored
 from cairn.llm.components import components
 
-#: Cells of the table of shingle counts, and the runs in which tasks send it: shingles share a cell by hash, which only affects their order.
-CELLS, RUN = 1 << 20, 1 << 14
+#: Cells of the table of shingle counts: shingles share a cell by hash, which only affects their order.
+CELLS = 1 << 20
+#: Bits of the table of shingles that several prefixes have.
+BITS = 1 << 25
 #: Rows of two longs that are broadcast at most.
 FEW = 200_000
 SLACK = 1e-9
 
 
 def shingles(text: str, words: int) -> np.ndarray:
-    """The set of a text's shingles as sorted 64-bit hashes, of words as in simhash.fingerprint. Fewer words than a shingle
-    give one shingle, no words none."""
+    """A text's shingles, repeats included, as 64-bit hashes; words as in simhash.fingerprint. Fewer words than a shingle give
+    one shingle, no words none."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, dtype=np.uint64)
@@ -37,53 +39,25 @@ def shingles(text: str, words: int) -> np.ndarray:
     for i in range(min(words, len(w))):
         out = (out ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
 def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
     """How many texts hold the shingles of each cell; CELLS numbers whatever the size of the input."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for text in batch.text:
-                np.add.at(total, (shingles(text, words) & np.uint64(CELLS - 1)).astype(np.int64), 1)
-        if total.any():
-            yield pd.DataFrame({"run": np.arange(CELLS // RUN), "n": [x.tobytes() for x in total.reshape(-1, RUN)]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for run, n in zip(batch.run, batch.n, strict=True):
-                total[run] = total.get(run, 0) + np.frombuffer(n, dtype=np.int64)
-        yield pd.DataFrame({"run": list(total), "n": [x.tobytes() for x in total.values()]})
-
-    schema = "run long, n binary"
-    out = np.zeros(CELLS, dtype=np.int64)
-    for r in rows.select("text").mapInPandas(count, schema).repartition("run").mapInPandas(add, schema).collect():
-        out[r.run * RUN : (r.run + 1) * RUN] = np.frombuffer(r.n, dtype=np.int64)
-    return out
-
+    def cells_of(texts: pd.Series) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield (np.unique(shingles(text, words)) & np.uint64(CELLS - 1)).astype(np.int64)
 
-def prefixes(rows: DataFrame, counts, words: int, least: float) -> DataFrame:
-    """rows with sid, the hash of the set; size, its shingles; prefix, the rarest of them."""
+    return cell_counts(rows.select("text"), CELLS, cells_of)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = counts.value
-        for batch in batches:
-            sid, size, prefix = [], [], []
-            for text in batch.text:
-                codes = shingles(text, words)
-                n = len(codes)
-                sid.append(xxhash.xxh64_intdigest(codes.tobytes(), 42))
-                size.append(n)
-                codes = codes[np.argsort(table[(codes & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
-                prefix.append(codes[: n - int(np.ceil(least * n - SLACK)) + 1].view(np.int64))
-            yield pd.DataFrame(
-                {"doc_id": batch.doc_id, "tag": batch.tag, "sid": np.array(sid, dtype=np.uint64).view(np.int64), "size": size, "prefix": prefix}
-            )
 
-    return rows.mapInPandas(run, "doc_id long, tag long, sid long, size int, prefix array<long>")
+def set_and_prefix(codes: np.ndarray, table: np.ndarray, least: float) -> tuple[int, int, np.ndarray]:
+    """(hash of the set of shingles, its size, the rarest of them: its prefix). table: counts of the cells."""
+    own = np.unique(codes)
+    sid = xxhash.xxh64_intdigest(own.tobytes(), 42)
+    rare = own[np.argsort(table[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
+    return sid, len(own), rare[: len(own) - int(np.ceil(least * len(own) - SLACK)) + 1].view(np.int64)
 
 
 def compatible(least: float) -> Column:
@@ -101,7 +75,7 @@ def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, le
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"sid": batch.sid, "codes": [shingles(t, words).view(np.int64) for t in batch.text]})
+            yield pd.DataFrame({"sid": batch.sid, "codes": [np.unique(shingles(t, words)).view(np.int64) for t in batch.text]})
 
     # equal rows that repeat an identifier give a set more than once
     sets = stored(texts.mapInPandas(run, "sid long, codes array<long>").dropDuplicates(["sid"]), "shingles")
@@ -112,56 +86,54 @@ def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, le
     return sides.filter(common >= least * (F.size("x") + F.size("y") - common) - SLACK).select("a", "b")
 
 
-def near_links(rows: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
-    """sets: (sid, size, prefix, doc_id, tag), one row per set. Links (a, b) whose components are those of all similar pairs.
+def with_bits(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(sid, size, place, shingle) of the shingles of prefixes that have a bit of a shared one: nearly only these, as long as they
+    are fewer than the bits. So the others aren't moved a second time."""
+    table = bit_table(shared.select(F.col("shingle").bitwiseAND(BITS - 1)), BITS)
+    bits = sets.sparkSession.sparkContext.broadcast(table)  # BITS bits
 
-    First each set is held against the least one under each shingle of its prefix; what that connects needn't be compared
-    any more, and of the rest all pairs under a shingle are."""
-    placed = sets.select("sid", "size", F.posexplode("prefix").alias("place", "shingle"))
-    shared = stored(placed.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("sid", "size", "place")).alias("head")).filter("n > 1"), "shared")
-    heads = shared.select("shingle", "head.*")
-    placed = stored(placed.join(shared.select("shingle"), "shingle"), "placed")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            many = np.array([len(x) for x in batch.prefix], dtype=np.int64)
+            if not many.sum():
+                continue
+            flat = np.concatenate(list(batch.prefix)).astype(np.int64)
+            bit, row = flat & (BITS - 1), np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+            at = np.flatnonzero(has_bit(bits.value, bit))
+            yield pd.DataFrame({"sid": batch.sid.to_numpy()[row[at]], "size": batch["size"].to_numpy()[row[at]], "place": place[at].astype(np.int32), "shingle": flat[at]})
+
+    return sets.select("sid", "size", "prefix").mapInPandas(run, "sid long, size int, place int, shingle long")
+
+
+def near_links(rows: DataFrame, sets: DataFrame, known: DataFrame, words: int, least: float) -> DataFrame:
+    """rows: (doc_id, tag, text); sets: (sid, size, prefix, doc_id, tag), one row per set; known: links (a, b) of similar sets that
+    have been found before. Links, the known ones among them, whose components are those of all similar pairs.
+
+    First each set is held against the least one under each shingle of its prefix, where the known links don't connect them
+    yet; what that connects needn't be compared any more, and of the rest all pairs under a shingle are."""
+
+    def rooted(links: DataFrame, of: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "sid")
+        return of.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+    shingle = sets.select(F.explode("prefix").alias("shingle"))
+    shared = stored(shingle.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "shared")
+    placed = rooted(known, with_bits(sets, shared).join(shared, "shingle", "left_semi"))
+    placed = stored(placed, "placed")
+    head = F.min(F.struct("sid", "size", "place", "root")).alias("head")
+    heads = placed.groupBy("shingle").agg(head, F.max("root").alias("hi"), F.min("root").alias("lo")).filter("lo != hi").select("shingle", "head.*")
     firsts = sets.select("sid", "doc_id", "tag")
 
-    met = heads.alias("a").join(placed.alias("b"), "shingle").filter((F.col("a.sid") != F.col("b.sid")) & compatible(least))
+    met = heads.alias("a").join(placed.alias("b"), "shingle").filter((F.col("a.root") != F.col("b.root")) & compatible(least))
     pairs = stored(met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct(), "pairs")
-    links = stored(similar(pairs, rows, firsts, words, least), "links")
+    links = stored(known.unionByName(similar(pairs, rows, firsts, words, least)), "links")
 
-    roots = components(links).withColumnRenamed("node", "sid")
-    rooted = stored(placed.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-    apart = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
-    rest = stored(rooted.join(apart, "shingle"), "rest")
+    again = stored(rooted(links, placed.drop("root")), "rooted")
+    apart = again.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
+    rest = stored(again.join(apart, "shingle"), "rest")
     met = rest.alias("a").join(rest.alias("b"), "shingle").filter(
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & compatible(least)
     )
     more = met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     return links.unionByName(stored(similar(stored(more, "pairs"), rows, firsts, words, least), "links"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of docs for each component of near copies, with all its columns: the one with the smallest doc_id.
-
-    Texts without words are copies of each other. Rows are judged by themselves, so a null or repeated identifier takes
-    part like any other; a null one comes last. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = ids_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(rows, words))  # CELLS numbers
-    prints = stored(prefixes(rows, counts, words, least), "prints")
-    # a null identifier last
-    first = F.min(F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "tag")).alias("first")
-    sets = prints.groupBy("sid").agg(first, F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-    sets = stored(sets.select("sid", "first.doc_id", "first.tag", "size", "prefix"), "sets")
-    roots = components(near_links(rows, sets, words, least)).withColumnRenamed("node", "sid")
-    rooted = stored(sets.select("sid", "doc_id", "tag").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-    kept = stored(rooted.groupBy("root").agg(first).select("first.doc_id", "first.tag"), "kept")
-    same = prints.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = stored(kept.join(same, ["doc_id", "tag"], "left").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.coalesce("n", F.lit(1)).alias("_n")), "kept")
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    tag = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    found = docs.join(kept, (own == F.col("_id")) & (tag == F.col("_tag")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = found.filter("_n = 1").select(*columns)
-    if kept.filter("_n > 1").isEmpty():
-        return out
-    return out.unionByName(found.filter("_n > 1").dropDuplicates(["_id", "_tag"]).select(*columns))

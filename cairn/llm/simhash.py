@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, real_id, stored
+from cairn.llm import near_copies
+from cairn.llm.common import NULL_ID, ids_and_text, real_id, scratch, stored
 from cairn.llm.components import components
 
 #: Widths of the six parts of a fingerprint, from the lowest bit.
@@ -36,12 +37,16 @@ def fingerprint(text: str, words: int = 4) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
     n = max(1, len(w) - words + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -194,3 +199,75 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(named, "fp").select(
         real_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Rows of two longs that are broadcast at most.
+FEW = 200_000
+
+
+def verified_links(rows: DataFrame, sets: DataFrame, words: int, least: float, bits: int) -> DataFrame:
+    """Links (a, b) of sets whose fingerprints differ in at most `bits` places and whose similarity is at least `least`, by the
+    Gray-ordered index: sets of one fingerprint are linked to the first of them, and these along the index's links."""
+    reps = stored(sets.groupBy("fp").agg(F.min("sid").alias("rep")), "reps")
+    same = sets.join(reps, "fp").filter("sid != rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    found = stored(near_links(reps.select("fp"), bits).distinct(), "found")
+    ends = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = stored(same.unionByName(near).distinct(), "pairs")
+    return near_copies.similar(pairs, rows, sets.select("sid", "doc_id", "tag"), words, least)
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bits: int = 4
+) -> DataFrame:
+    """One row of docs for each component of near copies, with all its columns: the one with the smallest doc_id. Near copies are
+    texts whose sets of shingles have a Jaccard similarity of at least `least`.
+
+    The Gray-ordered index finds those whose fingerprints differ in at most `bits` places, which are nearly all; each link is
+    verified on the sets. Fingerprints of texts at the limit differ in about ten places, which no index of this kind can hold, so
+    an exact join of the sets that aren't linked yet completes the links. Texts without words are copies of each other. Rows
+    are judged by themselves, so a null or repeated identifier takes part like any other; a null one comes last. Column names
+    may be any. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    whole = docs.select(
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+    rows = ids_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
+    with scratch(spark):
+        counts = spark.sparkContext.broadcast(near_copies.shingle_counts(rows, words))  # CELLS numbers
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sid, fp, size, prefix = [], [], [], []
+                for text in batch.text:
+                    codes = near_copies.shingles(text, words)
+                    fp.append(majority(codes) if len(codes) else 0)
+                    for out, x in zip((sid, size, prefix), near_copies.set_and_prefix(codes, counts.value, least), strict=True):
+                        out.append(x)
+                long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"doc_id": batch.doc_id, "tag": batch.tag, "sid": long(sid), "fp": long(fp), "size": size, "prefix": prefix})
+
+        own = F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "tag")  # a null identifier last
+        with scratch(spark):
+            full = stored(rows.mapInPandas(run, "doc_id long, tag long, sid long, fp long, size int, prefix array<long>"), "prints")
+            head = stored(full.groupBy("sid").agg(F.min(own).alias("first")).select("sid", "first.doc_id", "first.tag"), "heads")
+            sets = full.join(head, ["sid", "doc_id", "tag"], "left_semi")
+            if full.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+                sets = stored(sets, "sets", outer=True)
+            else:
+                sets = stored(sets.dropDuplicates(["sid"]), "sets", outer=True)
+            prints = stored(full.select("doc_id", "tag", "sid"), "prints", outer=True)
+        known = stored(verified_links(rows, sets, words, least, bits), "known")
+        roots = components(near_copies.near_links(rows, sets, known, words, least)).withColumnRenamed("node", "sid")
+        rooted = sets.select("sid", "doc_id", "tag").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        kept = stored(rooted.groupBy("root").agg(F.min(own).alias("first")).select("first.doc_id", "first.tag"), "kept")
+        all_ = prints.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+        gone = stored(all_.join(kept, ["doc_id", "tag"], "left_anti").select("doc_id", "tag"), "gone", outer=True)
+        twice = stored(all_.filter("n > 1").join(kept, ["doc_id", "tag"], "left_semi").select("doc_id", "tag"), "twice", outer=True)
+    key = ["doc_id", "tag"]
+    out = whole.join(F.broadcast(gone) if gone.count() <= FEW else gone, key, "left_anti")
+    if not twice.isEmpty():  # equal rows that repeat an identifier: one of each stays
+        out = out.join(twice, key, "left_anti").unionByName(out.join(twice, key, "left_semi").dropDuplicates(key))
+    return out.select("row.*")

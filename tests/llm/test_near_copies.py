@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 
-from cairn.llm import near_copies, simhash
+from cairn.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -13,12 +13,13 @@ def shingle_set(text, words=5):
 
 
 def jaccard(a, b):
-    p, q = shingle_set(a), shingle_set(b)
+    p, q = (x if isinstance(x, set) else shingle_set(x) for x in (a, b))
     return len(p & q) / len(p | q)
 
 
 def heads_by_hand(texts, least=0.8):
     ids = sorted(texts)
+    texts = {d: set(shingle_set(t)) for d, t in texts.items()}
     root = {d: d for d in ids}
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
@@ -62,7 +63,7 @@ def test_common_shingles_and_small_texts(spark):
     texts |= {1000 + n: "all of these texts begin with one line " + text(rng, rng.randrange(1, 60), 40) for n in range(150)}
     texts |= {2000: None, 2001: "", 2002: "A b", 2003: "a  B\n"}
     docs = spark.createDataFrame([(d, t, "en") for d, t in texts.items()], SCHEMA).repartition(3)
-    got = near_copies.drop_near_copies(docs)
+    got = simhash.near_dedup(docs)
     assert sorted(r.doc_id for r in got.collect()) == sorted(heads_by_hand(texts))
 
 
@@ -70,11 +71,11 @@ def test_null_and_repeated_identifiers(spark):
     rng = random.Random(7)
     a, b, c, d = (text(rng, 80) for _ in range(4))
     rows = [(None, a, "1"), (None, a, "2"), (None, b, "3"), (5, b, "4"), (5, c, "5"), (5, c, "5"), (None, changed(rng, a, 1), "6"), (6, d, "7")]
-    got = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     a_like = [r for r in got if r.doc_id is None]
     assert len(a_like) == 1 and jaccard(a_like[0].text, a) >= 0.8
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == sorted([(5, b), (5, c), (6, d)])
 
 
 def test_no_rows(spark):
-    assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert simhash.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
