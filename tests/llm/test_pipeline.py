@@ -1,9 +1,10 @@
 import corpus_pipeline
 import pytest
-from test_dedup import components_by_hand, lines_by_hand
+from test_dedup import lines_by_hand
+from test_near_copies import heads_by_hand
 from test_text import edits, gapless
 
-from cairn.llm import decontaminate, queries, simhash, toxicity
+from cairn.llm import decontaminate, queries, toxicity
 from cairn.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -48,9 +49,7 @@ def test_line_dedup(stages):
 
 def test_simhash(stages):
     before, after = (rows(x) for x in stages["simhash"])
-    ids = sorted(before)
-    heads = components_by_hand([simhash.fingerprint(before[d].text) for d in ids], ids, 4)
-    assert set(after) == set(heads)
+    assert set(after) == heads_by_hand({d: r.text for d, r in before.items()})
 
 
 def test_decontamination(spark, stages):

@@ -1,3 +1,5 @@
+import datetime
+import hashlib
 import random
 import re
 import zlib
@@ -5,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, packing, pii, quality, queries, tokens, toxicity, warc
@@ -219,8 +222,6 @@ def test_pseudonyms_keep_the_format(spark):
     ip = re.fullmatch(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+) not 10\.0\.0\.256", got[2])
     assert all(int(x) < 256 for x in ip.groups()) and got[2] != PRIVATE[2]
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[3]) and got[3] != PRIVATE[3]
-    import datetime
-
     day = datetime.date.fromisoformat(re.fullmatch(r"on (\d{4}-\d\d-\d\d) not 2023-02-30", got[4])[1])
     assert day != datetime.date(2024, 2, 29)
     assert re.fullmatch(r"on \d{1,2}\.\d{1,2}\.\d{4} and \d\d/\d\d/\d{4} and \d\d/\d\d/\d{4}", got[5])
@@ -240,11 +241,120 @@ def test_pseudonyms_are_one_to_one(spark):
         assert len(set(pseudonymised(spark, texts))) == len(texts)
 
 
-def test_pseudonyms_cover_the_cycle(spark):
-    df = spark.range(0, pii.CYCLE, 97).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
-    out = df.select(pii.moved_day(F.col("d"), F.lit("k")).alias("m"))
-    row = out.agg(F.count_distinct("m"), F.min("m"), F.max("m")).first()
-    assert row[0] == df.count() and str(row[1]) >= "1800-01-01" and str(row[2]) <= "2199-12-31"
+def test_days_are_permuted(spark):
+    first, last = datetime.date(1, 1, 1), datetime.date(9999, 12, 31)
+    days = [first + datetime.timedelta(n) for n in (*range(0, 145_000, 97), *range((last - first).days - 80_000, (last - first).days + 1, 89))]
+    df = spark.createDataFrame([(d.isoformat(),) for d in days], "d string").select(F.col("d").cast("date").alias("d"))
+    got = [r.m for r in df.select("d", pii.moved_day(F.col("d"), F.lit("k|date")).cast("string").alias("m")).orderBy("d").collect()]
+    assert got == [day_by_hand(d, "k|date").isoformat() for d in sorted(days)]
+    assert len(set(got)) == len(days) and all(len(x) == 10 for x in got)
+
+
+def feistel_by_hand(values, radices, key):
+    now = list(values)
+    for r in range(pii.ROUNDS):
+        turn = lambda i: i % 2 == r % 2  # noqa: B023, E731
+        rest = ",".join(str(v) for i, v in enumerate(now) if not turn(i))
+        h = lambda i: int(hashlib.sha256(f"{key}|{r}|{i}|{rest}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
+        now = [(v + h(i) % radices[i]) % radices[i] if turn(i) else v for i, v in enumerate(now)]
+    return now
+
+
+def letters_by_hand(letters, key):
+    base = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in letters]
+    new = feistel_by_hand([ord(c) - ord(b) for c, b in zip(letters, base)], [10 if b == "0" else 26 for b in base], key)
+    return "".join(chr(ord(b) + v) for b, v in zip(base, new))
+
+
+def relaid_by_hand(text, new):
+    it = iter(new)
+    return "".join(next(it) if c.isascii() and c.isalnum() else c for c in text)
+
+
+def day_by_hand(day, key):
+    n, before = (day - datetime.date(1, 1, 1)).days, 72_683
+    a, b = (189, 773) if 200 <= day.year < 9800 else (93, 1567)
+    p = (n - before) % 146_097 if a == 189 else n if day.year < 200 else n - 24 * 146_097
+    x, y = feistel_by_hand([p // b, p % b], [a, b], key)
+    q = x * b + y
+    new = n - p + q if a == 189 else q if q < before else q + 24 * 146_097
+    return datetime.date(1, 1, 1) + datetime.timedelta(new)
+
+
+def pseudonym_by_hand(m, key):
+    letters = "".join(c for c in m if c.isascii() and c.isalnum())
+    whole = lambda p: re.fullmatch(p.replace(r"\p{L}\p{N}", r"\w"), m)
+    if "@" in m:
+        local, host = m.rsplit("@", 1)
+        return relaid_by_hand(local, letters_by_hand("".join(c for c in local if c.isascii() and c.isalnum()), key + "|email")) + "@" + host
+    if m.startswith("+"):
+        code = len(re.match(pii.COUNTRY, letters)[0])
+        return relaid_by_hand(m, letters[:code] + letters_by_hand(letters[code:], key + "|phone")) if 8 <= len(letters) <= 15 else m
+    if whole(pii.IBAN):
+        number = lambda s: int("".join(str(int(c, 36)) for c in s))
+        if number(letters[4:] + letters[:4]) % 97 != 1:
+            return m
+        rest = letters_by_hand(letters[4:], key + "|iban")
+        return relaid_by_hand(m, f"{letters[:2]}{98 - number(rest + letters[:2] + '00') % 97:02d}{rest}")
+    if whole(pii.ISO_DATE):
+        try:
+            return day_by_hand(datetime.date.fromisoformat(m), key + "|date").isoformat()
+        except ValueError:
+            return m
+    if whole(pii.DATE):
+        a, mark, b, _, year = re.match(r"(\d+)([./])(\d+)([./])(\d+)", m).groups()
+        for d, mo, form in ((a, b, "dm"), (b, a, "md")):
+            try:
+                new = day_by_hand(datetime.date(int(year), int(mo), int(d)), key + "|date")
+            except ValueError:
+                continue
+            pad = "02d" if len(a) == len(b) == 2 else "d"
+            x, y = (new.day, new.month) if form == "dm" else (new.month, new.day)
+            return f"{x:{pad}}{mark}{y:{pad}}{mark}{new.year:04d}"
+        return m
+    if whole(pii.IPV4):
+        return ".".join(map(str, feistel_by_hand(list(map(int, m.split("."))), [256] * 4, key + "|ip")))
+    if whole(pii.SSN) or whole(pii.LOCAL_PHONE):
+        return relaid_by_hand(m, letters_by_hand(letters, key + ("|ssn" if whole(pii.SSN) else "|local_phone")))
+    for end in range(len(m), 0, -1):
+        digits = "".join(c for c in m[:end] if c.isdigit())
+        if m[end - 1].isdigit() and not m[end : end + 1].isdigit() and 13 <= len(digits) <= 19 and luhn(digits):
+            body = letters_by_hand(digits[:-1], key + "|card")
+            return relaid_by_hand(m[:end], body + next(c for c in "0123456789" if luhn(body + c))) + m[end:]
+    return m
+
+
+def test_pseudonyms_by_hand(spark):
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text")
+    extra = ["No.4111 1111 1111 1111 123, 4111-1111-1111-1111 12/27", "GB82WEST12345698765432 a\u0130b@x.org", "+442079460958 or +44 20 7946 0958", "0001-01-01 9999-12-31 9990-01-01 31/12/9999"] + [t for t in PRIVATE if t]
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + n, t) for n, t in enumerate(extra)], "doc_id long, text string"))
+    given = {r.doc_id: r.text or "" for r in docs.collect()}
+    any_ = regex.compile(pii.ANY)
+    changed = 0
+    for r in pii.pseudonymised(docs, "k").collect():
+        want = any_.sub(lambda m: pseudonym_by_hand(m[0], "k"), given[r.doc_id])
+        assert (r.text or "") == want, r.doc_id
+        changed += want != given[r.doc_id]
+    assert changed > len(extra) / 2
+
+
+def test_one_value_has_one_pseudonym_in_any_layout(spark):
+    pairs = [
+        ("4111 1111 1111 1111", "4111111111111111"), ("4111-1111-1111-1111", "4111 1111 1111 1111"), ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"),
+        ("+44 20 7946 0958", "+442079460958"), ("+1 (017) 555-7713", "+1 017 555 7713"), ("2024-02-29", "29.02.2024"),
+    ]
+    got = pseudonymised(spark, [x for pair in pairs for x in pair])
+    bare = lambda x: re.sub(r"[^0-9A-Z]", "", x)
+    for (a, _), x, y in zip(pairs, got[::2], got[1::2]):
+        assert x != a and (bare(x) == bare(y) or x.split("-") == y.split(".")[::-1]), (a, x, y)
+
+
+def test_pseudonyms_of_hard_rows(spark):
+    rows = [(None, None), (1, ""), (1, ""), (2, "x " * 200_000 + "jo.81@mail7.example.com"), (None, "078-05-1120")]
+    df = spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id long, text string, _found string, _new int")
+    got = pii.pseudonymised(df, "k").collect()
+    assert sorted((r.doc_id or 0, r.n_found, r.n_replaced) for r in got) == [(0, 0, 0), (0, 1, 1), (1, 0, 0), (1, 0, 0), (2, 1, 1)]
+    assert pii.pseudonymised(df.limit(0), "k").count() == 0
 
 
 def chain_by_hand(s, edge):
@@ -258,14 +368,42 @@ def chain_by_hand(s, edge):
     return p / total
 
 
-def test_marginals_by_hand():
+def test_marginals_by_hand(monkeypatch):
+    monkeypatch.setattr(toxicity, "LANES", 3)
     rng = np.random.default_rng(3)
-    s, edge = rng.normal(size=(5, 7)), rng.normal(size=(2, 2))
-    got = toxicity.marginals(s, edge)
-    for a, b in zip(got, s):
-        assert a == pytest.approx(chain_by_hand(b, edge))
-    pairs = toxicity.pair_marginals(s, edge)
-    assert pairs[1][0] + pairs[1][1] == pytest.approx(got[:, :-1]) and pairs[0][1] + pairs[1][1] == pytest.approx(got[:, 1:])
+    sizes, edge = np.array([7, 0, 3, 1, 9, 4, 2, 6]), rng.normal(size=(2, 2))
+    s = rng.normal(size=sizes.sum())
+    texts = np.split(s, np.cumsum(sizes)[:-1])
+    want = np.concatenate([chain_by_hand(x, edge) for x in texts if len(x)])
+    assert toxicity.marginals(s, sizes, edge) == pytest.approx(want)
+    p, pairs = toxicity.pair_sums(s, toxicity.Lanes.of(sizes), edge)
+    assert p == pytest.approx(want) and pairs.sum() == pytest.approx(sum(n - 1 for n in sizes if n))
+    rest = sum(want_.sum() - want_[0] for want_ in map(lambda x: chain_by_hand(x, edge), [x for x in texts if len(x)]))
+    assert pairs[:, 1].sum() == pytest.approx(rest)  # steps to state 1
+
+
+def test_scores_by_hand(spark):
+    """A document's score from its tokens' marginals, these over all paths of the whole text."""
+    rows = [(i, f"word{i % 7} you idiot go away" if i % 2 else f"word{i % 7} you friend go away", i % 2) for i in range(200)]
+    model = toxicity.fit(rows, {0: 100, 1: 100})
+    texts = ["Hello IDIOT there", "you friend", "so what idiot idiot", None, "", "\u0130\u0130\u0130 you idiot"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.tag(docs, model).collect()}
+    for i, t in enumerate(texts):
+        s = np.array([model.bias + sum(model.weights.get(f, 0) for f in toxicity.features(x)) for x in re.findall(r"\w+", (t or "").lower())])
+        p = chain_by_hand(np.clip(s, -30, 30), model.edge) if len(s) else s
+        x = [p.max(), np.log1p(p.sum()), np.sqrt(p.mean())] if len(p) else [0, 0, 0]
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(np.dot(x, model.final[:3]) + model.final[3]))), rel=1e-6)
+    assert [(s.start, s.end) for s in got[5].spans] == [(8, 13)] and got[6].score == got[0].score
+
+
+def test_toxicity_of_a_long_text(spark):
+    rows = [(i, f"word{i % 7} you idiot go away" if i % 2 else f"word{i % 7} you friend go away", i % 2) for i in range(200)]
+    model = toxicity.fit(rows, {0: 100, 1: 100})
+    long = "you friend go " * 40_000
+    docs = spark.createDataFrame([(1, long + "idiot"), (1, long), (2, "idiot")], "doc_id long, text string")
+    got = toxicity.tag(docs, model).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 1, 1]
 
 
 def test_toxicity_held_out(spark):
