@@ -3,33 +3,58 @@ documents with benchmark items go, and the rest is packed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, line_dedup, near_copies, packing, toxicity
-from cairn.llm.common import new_path
+from cairn.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from cairn.llm.common import delete, new_path, scratch
 from cairn.llm.queries import table, word_bpe
 
 
+#: The folder with the tables that the latest stage has stored.
+_left: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None) -> DataFrame:
+        """A stage's result has been written before the next one begins, which then deletes what the former has stored."""
+        while _left:
+            delete(spark, _left.pop())
+        _left.append(new_path(spark, f.__name__))
+        with scratch(spark, _left[-1]):
+            return f(spark, docs, sf_dir)
+
+    return stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the raw documents' labels and judges every text that reaches this stage."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_later_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, Jaccard similarity 0.8 or more; op2_simhash has the parameters of its contract."""
-    return near_copies.drop_near_copies(docs)
+    return simhash.near_dedup(docs)
 
 
+@_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, word_bpe(), capacity=4096, end_id=1)
 
@@ -47,9 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
