@@ -3,17 +3,19 @@
 A line is the set of its lower-cased words. Lines with equal sets are reduced to the first of them, by (doc_id, line
 number); then every line that has an earlier one with a Jaccard similarity of at least `least` is removed. Words are
 ordered by rarity, so that similar lines share a word of their short prefixes; under a shared word the place and length
-filters and a 64-bit parity sketch of the set rule out nearly all other pairs, and the rest are verified on the words
+filters and a 128-bit parity sketch of the set rule out nearly all other pairs, and the rest are verified on the words
 themselves.
 
-A word with many lines is no key by itself. Similar but unequal sets share four words at least, so prefixes longer by a
-word share two words, longer by two words three, and so on: lines under such a word meet under words that follow it,
-too. Only what is still common after four words is searched in parts; there lines without a hit go on to all others.
+Where many lines share a word they are first searched in parts; most lines of a large group of copies find a similar one
+there. If those that don't are so few that they can be held against all others under the word, they are. Otherwise keys are
+made longer: similar but unequal sets share four words at least, so prefixes longer by a word share two words, longer by
+two words three, and so on, and lines under a common word meet under each of the words that follow it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -27,8 +29,9 @@ from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
-#: Lines under one key that are compared with each other.
-BLOCK = 1024
+#: Lines under one key that are compared with each other, and, where a key has more, pairs for each of its rows that are looked at before
+#: keys are made longer.
+BLOCK, PAIRS_A_ROW = 1024, 50
 #: Words of the longest key: similar sets that aren't equal share as many at least (4 of 5 words at a similarity of 0.8).
 DEPTH = 4
 #: Bits of the table of the lines whose words are wanted for verification; a bit that several lines share costs time only.
@@ -65,9 +68,9 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 LINES = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("sketch", pa.int64()), ("words", pa.list_(pa.int32()))]
+    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.list_(pa.int32()))]
 )
-LINES_SQL = "a long, b long, doc_id long, line_no int, size int, sketch long, words array<int>"
+LINES_SQL = "a long, b long, doc_id long, line_no int, size int, low long, high long, words array<int>"
 
 
 def lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
@@ -75,8 +78,8 @@ def lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
 
 
 def line_sets(data: bytes, rank: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """For some of the lines of data at a time, those with words: number, digest of the set (a, b), size, sketch, number of words
-    that follow, and the rarest words of all of them, one line after the other."""
+    """For some of the lines of data at a time, those with words: number, digest of the set (a, b), size, sketch (low, high), number of
+    words that follow, and the rarest words of all of them, one line after the other."""
     codes, line = w.words(data)
     if not len(line):
         return
@@ -93,12 +96,14 @@ def line_sets(data: bytes, rank: np.ndarray, least: float) -> Iterator[tuple[np.
         c, n = c[new], n[new]
         start = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
         size = np.diff(np.r_[start, len(n)])
-        # parity of the words at each of 64 places: sets that differ in d words differ in at most d bits
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (w.mixed(c, 2) & np.uint64(63)), start)
+        # parity of the words at each of 128 places: sets that differ in d words differ in at most d bits
+        at = w.mixed(c, 2) & np.uint64(127)
+        bit = np.uint64(1) << (at & np.uint64(63))
+        low, high = (np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == half, bit, np.uint64(0)), start).view(np.int64) for half in (0, 1))
         a, b = np.add.reduceat(w.mixed(c, 3), start), np.add.reduceat(w.mixed(c, 4), start)
         many = np.minimum(size, prefix_size(size, least) + depth(least) - 1)
         at = np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        yield n[start], a.view(np.int64), b.view(np.int64), size, sketch.view(np.int64), many, (c[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        yield n[start], a.view(np.int64), b.view(np.int64), size, low, high, many, (c[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def firsts_of(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +128,7 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
                 lines = np.array([t.count("\n") + 1 for t in group])
                 begin, here = np.r_[0, np.cumsum(lines)[:-1]], ids[at : at + len(group)]
                 digest, none = w.mixed(here.view(np.uint64), 9).view(np.int64), np.zeros(len(group), dtype=np.int64)
-                held.append((here, np.full(len(group), -1, dtype=np.int32), digest, none, -lines, none, none, np.zeros(0, dtype=np.int32)))
+                held.append((here, np.full(len(group), -1, dtype=np.int32), digest, none, -lines, none, none, none, np.zeros(0, dtype=np.int32)))
                 n += len(group)
                 for no, *rest in line_sets(w.lower_bytes(group), rank.value, least):
                     text = np.searchsorted(begin, no, side="right") - 1
@@ -137,14 +142,14 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
             yield combined(held)
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
-        doc, line, a, b, size, sketch, many, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, line, a, b, size, low, high, many, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, first = firsts_of(a, b, doc, line)
         keep = np.empty(len(doc), dtype=bool)
         keep[order] = first
         own = w.mixed(doc.view(np.uint64) ^ w.mixed(line.astype(np.uint64), 5), 6).view(np.int64)
         a = np.where(keep, a, own)
         flat, many = flat[np.repeat(keep, many)], np.where(keep, many, 0)
-        columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), sketch.astype(np.int64)]
+        columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), low, high]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists(flat, many)], schema=LINES)
 
     return docs.mapInArrow(run, LINES_SQL)
@@ -176,11 +181,11 @@ def first_lines(lines: DataFrame) -> DataFrame:
             order, first = firsts_of(a, b, doc, line)
             new = np.empty(len(a), dtype=np.int32)
             new[order] = np.where(first, size[order], 0)
-            out = part.set_column(4, "size", pa.array(new)).select(["doc_id", "line_no", "size", "sketch", "words"])
+            out = part.set_column(4, "size", pa.array(new)).select(["doc_id", "line_no", "size", "low", "high", "words"])
             yield from out.to_batches()
 
     ordered = lines.repartition("a", "b").sortWithinPartitions("a")
-    return ordered.mapInArrow(run, "doc_id long, line_no int, size int, sketch long, words array<int>")
+    return ordered.mapInArrow(run, "doc_id long, line_no int, size int, low long, high long, words array<int>")
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -208,32 +213,27 @@ def prefix_of(least: float) -> Column:
     return size - F.ceil(least * size - SLACK).cast("int") + 1
 
 
-def keyed(sets: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """(rows under keys of at most `block` lines, rows under longer keys that are commoner still): key, doc_id, line_no, size,
-    place, sketch. size - place is how many words a line may share with others at most, if the key's are the first of them."""
-    kept, open_ = None, None
-    for k in range(depth(least)):
-        first = F.lit(0) if open_ is None else F.col("place") + 1
-        last = F.least(prefix_of(least) + k, F.size("words")) - 1  # equal to what line_sets keeps
-        source = sets if open_ is None else open_
-        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        before = [] if open_ is None else [F.col("key").alias("_key")]
-        rows = source.select(*before, "doc_id", "line_no", "size", "sketch", "words", F.explode(places).alias("place"))
-        word = F.get("words", F.col("place"))
-        rows = rows.withColumn("key", word.cast("long") if open_ is None else F.xxhash64("_key", word))
-        rows = rows.select("key", "doc_id", "line_no", "size", "place", "sketch", "words")
-        counted = rows.select("key")
-        if open_ is None and (cells := common_cells(sets, least, block)) is not None:
-            counted = counted.withColumn("cell", F.col("key").bitwiseAND(CELLS - 1).cast("int")).join(F.broadcast(cells), "cell")
-        hot = stored(counted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key"), "hot")
-        none = hot.isEmpty()
-        hot = few(hot)
-        here = (rows if none else rows.join(hot, "key", "left_anti")).drop("words").withColumn("place", F.col("place") - k)
-        kept = here if kept is None else kept.unionByName(here)
-        if none:
-            return kept, here.limit(0)
-        open_ = stored(rows.join(hot, "key"), "common")
-    return kept, open_.drop("words").withColumn("place", F.col("place") - depth(least) + 1)
+def keyed(source: DataFrame, least: float, k: int) -> DataFrame:
+    """(key, doc_id, line_no, size, place, low, high, words) of lines under keys of k + 1 words; source: sets, or, for k > 0, rows under keys
+    of k words, which get each of the words that may follow. size - place + k is how many words a line may share with others
+    at most, if the key's are the first of them."""
+    first = F.col("place") + 1 if k else F.lit(0)
+    last = F.least(prefix_of(least) + k, F.size("words")) - 1  # line_sets keeps as many words
+    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    before = [F.col("key").alias("_key")] if k else []
+    rows = source.select(*before, "doc_id", "line_no", "size", "low", "high", "words", F.explode(places).alias("place"))
+    word = F.get("words", F.col("place"))
+    return rows.select(
+        (F.xxhash64("_key", word) if k else word.cast("long")).alias("key"), "doc_id", "line_no", "size", "place", "low", "high", "words"
+    )
+
+
+def common_keys(rows: DataFrame, sets: DataFrame | None, least: float, block: int) -> DataFrame:
+    """(key, n) of the keys of more than `block` rows, stored. sets: where the rows' keys are their words."""
+    keys = rows.select("key")
+    if sets is not None and (cells := common_cells(sets, least, block)) is not None:
+        keys = keys.withColumn("cell", F.col("key").bitwiseAND(CELLS - 1).cast("int")).join(F.broadcast(cells), "cell")
+    return stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "common")
 
 
 def line_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -250,7 +250,7 @@ def best(j: np.ndarray, i: np.ndarray, apart: np.ndarray, more: np.ndarray) -> t
 
 
 def pairs_in(
-    group: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray, least: float
+    group: np.ndarray, doc: np.ndarray, line: np.ndarray, size: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, least: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (j, i) of rows of one group, i the earlier line, that can be similar: of each j the one whose sketch differs least; in how
     many bits; and whether j has others. group: numbers that don't fall.
@@ -277,7 +277,7 @@ def pairs_in(
         at = np.flatnonzero((u[e:] >= s[:-e]) & (u[:-e] >= s[e:]) & (g[e:] == g[:-e]))
         j, i = rows[at + e], rows[at]
         both = size[i] + size[j]
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int64)
+        apart = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
         ok = both - apart >= 2 * np.ceil(both * (least / (1 + least)) - SLACK)
         j, i, apart = j[ok], i[ok], apart[ok]
         turn = (doc[j] < doc[i]) | (doc[j] == doc[i]) & (line[j] < line[i])
@@ -298,14 +298,14 @@ FOUND_SQL = "doc_id long, line_no int, apart int, to_doc long, to_line int, more
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """rows: key, doc_id, line_no, size, place, sketch, whole. For lines with earlier ones under a key that may be similar the one that
+    """rows: key, doc_id, line_no, size, place, low, high, whole. For lines with earlier ones under a key that may be similar the one that
     differs least, and whether there are others, as FOUND. Where a key's rows aren't its whole group, there may always be others."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_groups(batches, 0):
-            key, doc, line, shape, sketch, whole = (part.column(k).to_numpy() for k in range(6))
+            key, doc, line, shape, low, high, whole = (part.column(k).to_numpy() for k in range(7))
             group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
-            j, i, apart, more = pairs_in(group, doc, line, shape >> 32, shape & 0xFFFFFFFF, sketch.view(np.uint64), least)
+            j, i, apart, more = pairs_in(group, doc, line, shape >> 32, shape & 0xFFFFFFFF, low.view(np.uint64), high.view(np.uint64), least)
             # of the pairs of a line under several keys the best is enough
             more |= ~whole[j]
             order = np.lexsort((line[i], doc[i], apart, line[j], doc[j]))
@@ -320,7 +320,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             j, i, apart = j[start], i[start], apart[start].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[j], line[j], apart, doc[i], line[i], more))], schema=FOUND)
 
-    packed = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("shape"), "sketch", "whole")
+    packed = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("shape"), "low", "high", "whole")
     return packed.repartition("key").sortWithinPartitions("key").mapInArrow(search, FOUND_SQL)
 
 
@@ -366,9 +366,8 @@ def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return sides.select("doc_id", "line_no", check("line", "to").alias("hit"), "more")
 
 
-def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int) -> DataFrame:
-    """sets: doc_id, line_no, size, sketch, words of distinct sets. (doc_id, line_no) of those with an earlier similar one."""
-    rows, common = keyed(sets, least, block)
+def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, pairs_a_row: int) -> DataFrame:
+    """sets: doc_id, line_no, size, low, high, words of distinct sets. (doc_id, line_no) of those with an earlier similar one."""
     line = ["doc_id", "line_no"]
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -384,47 +383,72 @@ def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int) -> Da
         )
         return verified(found.select(*line, "best.to_doc", "best.to_line", "more"))
 
-    def any_of(asking: DataFrame) -> DataFrame:
+    def any_of(asking: DataFrame, rows: DataFrame) -> DataFrame:
         """Lines of the asking rows that are similar to any earlier line under their keys: all pairs that may be are verified."""
-        a, b = few(asking).alias("a"), rows.unionByName(common).alias("b")
+        a, b = few(asking).alias("a"), rows.alias("b")
         both = F.col("a.size") + F.col("b.size")
         need = F.ceil(both * (least / (1 + least)) - SLACK)
         rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-        apart = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+        apart = sum(F.bit_count(F.col(f"a.{half}").bitwiseXOR(F.col(f"b.{half}"))) for half in ("low", "high"))
         earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
         met = b.join(a, (F.col("a.key") == F.col("b.key")) & earlier & (rest >= need) & (both - apart >= 2 * need))
         met = met.select(*(F.col(f"a.{c}") for c in line), F.col("b.doc_id").alias("to_doc"), F.col("b.line_no").alias("to_line"))
         return verified(met.distinct().withColumn("more", F.lit(False))).filter("hit").select(*line)
 
-    none = common.isEmpty()
-    first, asking = rows.withColumn("whole", F.lit(True)), None
-    if not none:  # rows under keys that stay common are dealt out; each part is searched by itself
-        first = first.unionByName(dealt(common, block))
-    judged = nearest(first)
-    near = judged.filter("hit").select(*line)
-    left = stored(judged.filter("more and not hit").select(*line), "left")
-    if not none:
-        # lines without a hit are searched once more among themselves, until that hardly finds any
-        asking = stored(common.join(near, line, "left_anti"), "asking")
-        before, after = common.count(), asking.count()
-        while block < after <= before // 2:
-            hit = nearest(dealt(asking, block)).filter("hit").select(*line)
-            near = stored(near.unionByName(hit), "near")
-            asking = stored(asking.join(hit, line, "left_anti"), "asking")
-            before, after = after, asking.count()
-    again = rows.join(few(left), line, "left_semi")
-    again = stored(again if asking is None else again.unionByName(asking), "again")
-    return (near if again.isEmpty() else near.unionByName(any_of(again))).distinct()
-
-
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """rows with keys that stand for parts of their groups, of about `block` rows each."""
-    sizes = few(stored(rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")), "sizes"))
+    near, source = [], sets
+    for k in range(depth(least)):
+        rows = keyed(source, least, k)
+        keys = common_keys(rows, None if k else sets, least, block)
+        none = keys.isEmpty()
+        rows = rows.withColumn("place", F.col("place") - k)
+        plain = (rows if none else rows.join(few(keys), "key", "left_anti")).drop("words")
+        common = None if none else stored(rows.join(few(keys.select("key")), "key"), "rows")
+        first = plain.withColumn("whole", F.lit(True))
+        # rows under common keys are dealt out, and each part is searched by itself
+        judged = nearest(first if none else first.unionByName(dealt(common.drop("words"), keys, block)))
+        near.append(judged.filter("hit").select(*line))
+        left = stored(judged.filter("more and not hit").select(*line), "left")
+        again = stored(plain.join(few(left), line, "left_semi"), "again")
+        if none:
+            if not again.isEmpty():
+                near.append(any_of(again, plain))
+            break
+        # lines under common keys without a hit are held against all others there if these are few pairs; else their keys are made longer
+        hits = stored(reduce(DataFrame.unionByName, near).distinct(), "hits")
+        asking = stored(common.drop("words").join(hits, line, "left_anti"), "asking")
+
+        def pairs_of(asking: DataFrame, keys: DataFrame = keys) -> int:
+            return asking.groupBy("key").agg(F.count("*").alias("m")).join(keys, "key").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0))).first()[0]
+
+        most, last = pairs_a_row * common.count(), k == depth(least) - 1
+        many = pairs_of(asking)
+        while last and many > most:  # once more among themselves, until that hardly finds any
+            found = nearest(dealt(asking, asking.groupBy("key").agg(F.count("*").alias("n")), block)).filter("hit").select(*line)
+            near.append(found)
+            asking = stored(asking.join(found, line, "left_anti"), "asking")
+            before, many = many, pairs_of(asking)
+            last = many <= before // 2
+        if k == depth(least) - 1 or many <= most:
+            asking = stored(again.unionByName(asking), "asking")
+            if not asking.isEmpty():
+                near.append(any_of(asking, plain.unionByName(common.drop("words"))))
+            break
+        if not again.isEmpty():
+            near.append(any_of(again, plain))
+        source = common.withColumn("place", F.col("place") + k)
+    return reduce(DataFrame.unionByName, near).distinct()
+
+
+def dealt(rows: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """rows with keys that stand for parts of their groups, of about `block` rows each; keys: (key, n)."""
+    sizes = few(stored(keys.select("key", F.ceil(F.col("n") / block).cast("long").alias("parts")), "sizes"))
     part = F.pmod(F.xxhash64("doc_id", "line_no"), F.col("parts"))
     return rows.join(sizes, "key").withColumn("key", F.xxhash64("key", part)).drop("parts").withColumn("whole", F.lit(False))
 
 
-def judged_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def judged_lines(
+    docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, pairs_a_row: int = PAIRS_A_ROW
+) -> DataFrame:
     """(doc_id, line_no, near, n_lines), stored: the lines to remove, numbered from 0; near tells lines that are only similar to an
     earlier one from later lines with an equal set. And a row for each document with line number -1 and n_lines, which is
     null otherwise. Identifiers must tell documents apart; null is NULL_ID here and comes first."""
@@ -435,7 +459,7 @@ def judged_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
         rank = np.empty(CELLS, dtype=np.uint64)
         rank[order] = np.arange(CELLS, dtype=np.uint64)
         lines = stored(first_lines(all_lines(rows, spark.sparkContext.broadcast(rank), least)), "sets")  # CELLS numbers
-        near = near_lines(lines.filter("size > 0"), rows, least, block)
+        near = near_lines(lines.filter("size > 0"), rows, least, block, pairs_a_row)
         n_lines = F.when(F.col("size") < 0, -F.col("size"))
         equal = lines.filter("size <= 0").select("doc_id", "line_no", F.lit(False).alias("near"), n_lines.alias("n_lines"))
         near = near.select("doc_id", "line_no", F.lit(True).alias("near"), F.lit(None).cast("int").alias("n_lines"))

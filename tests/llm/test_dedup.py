@@ -113,8 +113,8 @@ def lines_by_hand(docs, least):
     return {(d, n) for d, n, s in occ if first[s] != (d, n) or s in near}
 
 
-@pytest.mark.parametrize("block", [1024, 8, 2])
-def test_lines_by_hand(spark, block):
+@pytest.mark.parametrize("block, pairs_a_row", [(1024, 50), (8, 50), (4, 0), (2, 0)])
+def test_lines_by_hand(spark, block, pairs_a_row):
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
     docs = []
@@ -128,7 +128,7 @@ def test_lines_by_hand(spark, block):
         docs.append((d, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (None, docs[3][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, line string")
-    got = {(r.doc_id if r.doc_id > -(2**63) else None, r.line_no) for r in line_dedup.removed_lines(df, block=block).collect()}
+    got = {(r.doc_id if r.doc_id > -(2**63) else None, r.line_no) for r in line_dedup.removed_lines(df, block=block, pairs_a_row=pairs_a_row).collect()}
     want = lines_by_hand(docs, 0.8)
     assert got == want and want
     if block < 1024:
