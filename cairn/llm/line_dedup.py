@@ -31,7 +31,7 @@ from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_
 CELLS = 1 << 20
 #: Lines under one key that are compared with each other, and, where a key has more, pairs for each of its rows that are looked at before
 #: keys are made longer.
-BLOCK, PAIRS_A_ROW = 1024, 50
+BLOCK, PAIRS_A_ROW = 4096, 500
 #: Words of the longest key: similar sets that aren't equal share as many at least (4 of 5 words at a similarity of 0.8).
 DEPTH = 4
 #: Bits of the table of the lines whose words are wanted for verification; a bit that several lines share costs time only.
@@ -68,13 +68,27 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
 
 LINES = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.list_(pa.int32()))]
+    [("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())]
 )
-LINES_SQL = "a long, b long, doc_id long, line_no int, size int, low long, high long, words array<int>"
+LINES_SQL = "a long, b long, doc_id long, line_no int, size int, low long, high long, words binary"
 
 
-def lists(flat: np.ndarray, many: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(flat))
+def packed(flat: np.ndarray, many: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers, `many` in each, as binary values."""
+    ends = np.r_[0, np.cumsum(many) * 4].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def unpacked(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, how many each value has)."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+    if not len(values):
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return np.frombuffer(flat.tobytes(), dtype=np.int32), np.diff(ends) // 4
 
 
 def line_sets(data: bytes, rank: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -150,7 +164,7 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
         a = np.where(keep, a, own)
         flat, many = flat[np.repeat(keep, many)], np.where(keep, many, 0)
         columns = [a, b, doc, line, np.where(keep, size, 0).astype(np.int32), low, high]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists(flat, many)], schema=LINES)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), packed(flat, many)], schema=LINES)
 
     return docs.mapInArrow(run, LINES_SQL)
 
@@ -185,7 +199,7 @@ def first_lines(lines: DataFrame) -> DataFrame:
             yield from out.to_batches()
 
     ordered = lines.repartition("a", "b").sortWithinPartitions("a")
-    return ordered.mapInArrow(run, "doc_id long, line_no int, size int, low long, high long, words array<int>")
+    return ordered.mapInArrow(run, "doc_id long, line_no int, size int, low long, high long, words binary")
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -197,35 +211,52 @@ def common_cells(sets: DataFrame, least: float, block: int) -> DataFrame | None:
     """(cell) of the cells that more than `block` prefix words fall in. Only their words can have that many lines. None if these
     are many."""
 
-    def cells_of(lists: pd.Series) -> Iterator[np.ndarray]:
-        if len(lists):
-            yield np.concatenate(list(lists)).astype(np.int64) & (CELLS - 1)
+    def cells_of(words: pd.Series) -> Iterator[np.ndarray]:
+        for at in range(0, len(words), AT_ONCE):
+            flat, many = unpacked(pa.array(words.iloc[at : at + AT_ONCE], type=pa.binary()))
+            size = many - depth(least) + 1  # at least the prefix: short sets keep no more than they have
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
+            yield flat[place < np.repeat(np.maximum(size, 1), many)].astype(np.int64) & (CELLS - 1)
 
-    prefix = sets.select(F.slice("words", F.lit(1), prefix_of(least)).alias("words"))
+    prefix = sets.select("words")
     cells = np.flatnonzero(cell_counts(prefix, CELLS, cells_of) > block)
     if len(cells) > FEW:
         return None
     return sets.sparkSession.createDataFrame(pd.DataFrame({"cell": cells.astype(np.int32)}), "cell int")
 
 
-def prefix_of(least: float) -> Column:
-    size = F.col("size")
-    return size - F.ceil(least * size - SLACK).cast("int") + 1
+ROWS = [("key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]
+ROWS_SQL = "key long, doc_id long, line_no int, size int, place int, low long, high long"
 
 
-def keyed(source: DataFrame, least: float, k: int) -> DataFrame:
-    """(key, doc_id, line_no, size, place, low, high, words) of lines under keys of k + 1 words; source: sets, or, for k > 0, rows under keys
-    of k words, which get each of the words that may follow. size - place + k is how many words a line may share with others
-    at most, if the key's are the first of them."""
-    first = F.col("place") + 1 if k else F.lit(0)
-    last = F.least(prefix_of(least) + k, F.size("words")) - 1  # line_sets keeps as many words
-    places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    before = [F.col("key").alias("_key")] if k else []
-    rows = source.select(*before, "doc_id", "line_no", "size", "low", "high", "words", F.explode(places).alias("place"))
-    word = F.get("words", F.col("place"))
-    return rows.select(
-        (F.xxhash64("_key", word) if k else word.cast("long")).alias("key"), "doc_id", "line_no", "size", "place", "low", "high", "words"
-    )
+def keyed(source: DataFrame, least: float, k: int, with_words: bool = False) -> DataFrame:
+    """Rows of lines under keys of k + 1 words, as ROWS (and words); source: sets, or, for k > 0, rows under keys of k words with words,
+    which get each of the words that may follow. size - place + k is how many words a line may share with others at most, if
+    the key's are the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                flat, many = unpacked(batch.column("words"))
+                size = batch.column("size").to_numpy().astype(np.int64)
+                first = batch.column("place").to_numpy().astype(np.int64) + 1 if k else np.zeros(len(size), dtype=np.int64)
+                n = np.maximum(np.minimum(prefix_size(size, least) + k, many) - first, 0)  # line_sets keeps as many words
+                row = np.repeat(np.arange(len(size)), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+                key = flat[(np.cumsum(many) - many)[row] + place].astype(np.int64)
+                if k:
+                    key = w.mixed(batch.column("key").to_numpy()[row].view(np.uint64) ^ w.mixed(key.view(np.uint64), 10 + k), 20 + k).view(np.int64)
+                take = pa.array(row)
+                doc, line, low, high = (batch.column(c).take(take) for c in ("doc_id", "line_no", "low", "high"))
+                columns = [pa.array(key), doc, line, pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32)), low, high]
+                names = [name for name, _ in ROWS]
+                if with_words:
+                    columns, names = [*columns, batch.column("words").take(take)], [*names, "words"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    before = ["key", "place"] if k else []
+    return source.select(*before, "doc_id", "line_no", "size", "low", "high", "words").mapInArrow(run, ROWS_SQL + ", words binary" * with_words)
 
 
 def common_keys(rows: DataFrame, sets: DataFrame | None, least: float, block: int) -> DataFrame:
@@ -303,11 +334,11 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_groups(batches, 0):
-            key, doc, line, shape, low, high, whole = (part.column(k).to_numpy() for k in range(7))
+            key, doc, line, shape, low, high = (part.column(k).to_numpy() for k in range(6))
             group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
-            j, i, apart, more = pairs_in(group, doc, line, shape >> 32, shape & 0xFFFFFFFF, low.view(np.uint64), high.view(np.uint64), least)
+            j, i, apart, more = pairs_in(group, doc, line, shape >> 32, (shape & 0xFFFFFFFF) >> 1, low.view(np.uint64), high.view(np.uint64), least)
             # of the pairs of a line under several keys the best is enough
-            more |= ~whole[j]
+            more |= shape[j] & 1 == 0
             order = np.lexsort((line[i], doc[i], apart, line[j], doc[j]))
             j, i, apart, more = j[order], i[order], apart[order], more[order]
             new = np.r_[True, (doc[j][1:] != doc[j][:-1]) | (line[j][1:] != line[j][:-1])] if len(j) else np.zeros(0, dtype=bool)
@@ -320,8 +351,8 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             j, i, apart = j[start], i[start], apart[start].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[j], line[j], apart, doc[i], line[i], more))], schema=FOUND)
 
-    packed = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("shape"), "low", "high", "whole")
-    return packed.repartition("key").sortWithinPartitions("key").mapInArrow(search, FOUND_SQL)
+    rows = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place") * 2 + F.col("whole").cast("int")).alias("shape"), "low", "high")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, FOUND_SQL)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -348,6 +379,10 @@ def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             found = pa.array([cut[r][n] for r, n in zip(row, line[at].tolist(), strict=True)], type=pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(line[at].astype(np.int32)), found], names=["doc_id", "line_no", "line"])
 
+    # where few documents have wanted lines, only these are read
+    ids = stored(pairs.select(F.explode(F.array("doc_id", "to_doc")).alias("doc_id")).distinct(), "ids")
+    if ids.count() <= FEW // 10:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     # rows equal in identifier and text give a line more than once
     lines = stored(docs.mapInArrow(texts, "doc_id long, line_no int, line string").distinct(), "lines")
 
@@ -397,12 +432,12 @@ def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, pairs
 
     near, source = [], sets
     for k in range(depth(least)):
-        rows = keyed(source, least, k)
+        moved = lambda rows, k=k: rows.withColumn("place", F.col("place") - k)
+        rows = moved(keyed(source, least, k))
         keys = common_keys(rows, None if k else sets, least, block)
         none = keys.isEmpty()
-        rows = rows.withColumn("place", F.col("place") - k)
-        plain = (rows if none else rows.join(few(keys), "key", "left_anti")).drop("words")
-        common = None if none else stored(rows.join(few(keys.select("key")), "key"), "rows")
+        plain = rows if none else rows.join(few(keys), "key", "left_anti")
+        common = None if none else stored(moved(keyed(source, least, k, True)).join(few(keys.select("key")), "key"), "rows")
         first = plain.withColumn("whole", F.lit(True))
         # rows under common keys are dealt out, and each part is searched by itself
         judged = nearest(first if none else first.unionByName(dealt(common.drop("words"), keys, block)))

@@ -65,9 +65,10 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(len(a) + 1, dtype=np.uint64)
         np.cumsum(BYTE[a] * up[: len(a)], out=total[1:])
         codes.append(mixed((total[end] - total[begin]) * down[begin]))
-        ends = np.cumsum(a == 10)
-        lines.append(ends[begin] + line)
-        line += int(ends[-1])
+        ends = np.flatnonzero(a == 10)
+        before = np.searchsorted(begin, ends)  # words before each end of a line
+        lines.append(np.repeat(np.arange(line, line + len(ends) + 1), np.diff(before, prepend=0, append=len(begin))))
+        line += len(ends)
     if not codes:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(codes), np.concatenate(lines)

@@ -113,7 +113,7 @@ def lines_by_hand(docs, least):
     return {(d, n) for d, n, s in occ if first[s] != (d, n) or s in near}
 
 
-@pytest.mark.parametrize("block, pairs_a_row", [(1024, 50), (8, 50), (4, 0), (2, 0)])
+@pytest.mark.parametrize("block, pairs_a_row", [(4096, 500), (8, 50), (4, 0), (2, 0)])
 def test_lines_by_hand(spark, block, pairs_a_row):
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 25))] for _ in range(25)]
