@@ -8,6 +8,7 @@ so that Spark can write and read them wherever it can write and read tables, and
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -43,10 +44,25 @@ def words_of(text: str) -> list[bytes]:
     return AFTER_LETTER.sub(rb" \g<0>", raw).split()
 
 
-class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word between ASCII white space only once.
+#: How word_bpe_49k prepares a text.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file says that it prepares texts as word_bpe_49k does, so that words_of is exact for it."""
+    normalizer, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps, parts = normalizer.get("normalizers", []), before.get("pretokenizers", [])
+    if [x["type"] for x in steps] != NORMALIZERS or [x["type"] for x in parts] != ["Split", "ByteLevel"] or spec.get("post_processor"):
+        return False
+    replaces = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    splits = parts[0]["pattern"] == {"Regex": SPLIT} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    return bool(replaces and splits and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"])
 
-    That is exact for tokenizers that split at white space before anything else and drop it, as word_bpe_49k does.
+
+class WordEncoder:
+    """Encodes texts with the tokenizers library. Where the tokenizer splits at white space before anything else and drops it, each
+    distinct word between ASCII white space is encoded only once; texts of any other tokenizer are encoded whole.
     """
 
     _by_source: dict[str, WordEncoder] = {}
@@ -56,6 +72,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.wordwise = splits_at_spaces(json.loads(source))
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -71,6 +88,10 @@ class WordEncoder:
         group: list[list[bytes]] = []
         size = 0
         for text in texts:
+            if not self.wordwise:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
+                continue
             group.append(words_of(text))
             if (size := size + len(text)) >= GROUP:
                 yield from self._group(group)

@@ -33,6 +33,18 @@ def test_word_encoder_is_exact(tokenizer):
         assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = tokens.WordEncoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    assert not encoder.wordwise and tokens.WordEncoder(open(queries.word_bpe(), encoding="utf-8").read()).wordwise
+    for t, ids in zip(HARD, encoder.ids(t or "" for t in HARD), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_blocks_round_trip(planes):
     for n in (0, 1, 7, 1000):
