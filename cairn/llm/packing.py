@@ -66,22 +66,23 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length", tie: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id (long, from 0) and offset (long) to each row of pieces. Lengths must be 1 to capacity; `tie` are
-    columns that order pieces of one length. An empty table stays empty; repeated rows get places of their own."""
-    spark, taken = pieces.sparkSession, set(pieces.columns)
-    if clash := taken & {"sequence_id", "offset", "_dealt", "_rank", "_before"}:
-        raise ValueError(f"pieces already have columns {sorted(clash)}")
-    lengths = pieces.groupBy(F.col(length_col).cast("int").alias("length")).agg(F.count("*").alias("n"))
+    columns that order pieces of one length. An empty table stays empty; repeated rows get places of their own. Columns of pieces
+    may have any names but these two, which are replaced."""
+    spark, names = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    by = [F.col(f"`{c}`") for c in (tie or pieces.columns)]
+    pieces = pieces.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{length_col}`").cast("int").alias("_size"), F.struct(*by).alias("_tie"))
+    length_col = "_size"
+    lengths = pieces.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n"))
     rows = lengths.filter(F.col("length").between(1, capacity)).collect()  # at most `capacity` rows
     histogram = {r.length: r.n for r in rows}
     total = sum(histogram.values())
     # pieces of one length are dealt out so that no task ranks all of a common length
     dealt = max(1, min(1 << 14, total // 500))
-    by = F.pmod(F.xxhash64(*(tie or pieces.columns)), F.lit(dealt))
-    own = pieces.withColumn("_dealt", by)
+    own = pieces.withColumn("_dealt", F.pmod(F.xxhash64("_tie"), F.lit(dealt)))
     sizes = own.groupBy(F.col(length_col).alias("_length"), F.col("_dealt").alias("_part")).agg(F.count("*").alias("_n"))
     before = W.partitionBy("_length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = own.withColumn("_rank", F.row_number().over(W.partitionBy(length_col, "_dealt").orderBy(*(tie or pieces.columns))))
+    ranked = own.withColumn("_rank", F.row_number().over(W.partitionBy(length_col, "_dealt").orderBy("_tie")))
     ranked = ranked.join(sizes, (F.col(length_col) == F.col("_length")) & (F.col("_dealt") == F.col("_part")))
     plan = plan_bins(histogram, capacity)
     starts = np.r_[0, np.cumsum(plan["uses"] * plan["bins"])[:-1]] if len(plan) else np.zeros(0, dtype=np.int64)
@@ -99,7 +100,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", tie: tupl
         )
 
     placed = ranked.withColumn("_place", place(F.col(length_col).cast("long"), F.col("_before") + F.col("_rank") - 1))
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], "_place.sequence_id", "_place.offset")
+    return placed.select("_row.*", "_place.sequence_id", "_place.offset")
 
 
 def cut_pieces(
