@@ -68,8 +68,15 @@ def translate_values(c: Column | str, mapping: Mapping[str, str], is_list: bool
 
 
 def translate_map_keys(c: Column | str, mapping: Mapping[str, str]) -> Column:
-    """P5. Keys of a map; the translation must not make two keys equal."""
-    return F.transform_keys(col(c), lambda k, _: F.coalesce(_lookup(mapping, F.trim(k)), F.trim(k)))
+    """P5. Keys of a map. Of keys that become equal the later entry stays, in its place."""
+    one = lambda k: F.coalesce(_lookup(mapping, F.trim(k)), F.trim(k))
+    entries = F.transform(F.map_entries(col(c)), lambda e: F.struct(one(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def last_ones(es: Column) -> Column:
+        again = lambda e, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"])
+        return F.map_from_entries(F.filter(es, lambda e, i: ~again(e, i)))
+
+    return let(entries, last_ones)
 
 
 def dedupe_list(c: Column | str) -> Column:
@@ -154,9 +161,12 @@ def label_motion(dx, dy, a11, a21) -> Column:
     )
 
 
-def clamp_list(c: Column | str, allowed: Sequence[str], aliases: Mapping[str, str] | None = None, most: int | None = None) -> Column:
-    """P12. Aliases replaced, only allowed items kept, at most `most`; null counts as empty."""
-    items = F.coalesce(col(c), F.array().cast("array<string>"))
+def clamp_list(
+    c: Column | str, allowed: Sequence[str], aliases: Mapping[str, str] | None = None, most: int | None = None, is_list: bool = True
+) -> Column:
+    """P12. Aliases replaced, only allowed items kept, at most `most`; null counts as empty. A scalar is a list of one, '' an empty one."""
+    none = F.array().cast("array<string>")
+    items = F.coalesce(col(c), none) if is_list else F.when(col(c) != "", F.array(col(c))).otherwise(none)
     items = F.transform(items, lambda x: F.coalesce(_lookup(aliases or {}, x), x))
     kept = F.filter(items, lambda x: x.isin(*allowed))
     return kept if most is None else F.slice(kept, 1, most)
@@ -175,11 +185,12 @@ def clamp_score(c: Column | str) -> Column:
 def clamp_to_taxonomy(df: DataFrame, taxonomy: Mapping[str, Sequence[str]], aliases: Mapping[str, Mapping[str, str]], lists: Sequence[str],
                       choices: Sequence[str], score: str, tags: str, characteristics: str | None = None) -> DataFrame:
     """P12. The columns named are clamped in place: lists and choices to their taxonomy, tags (at most 10) to all of it, the score
-    to 0..1, characteristics to 20."""
+    to 0..1, characteristics to 20. Text where a list belongs becomes a list of one."""
     every = sorted({v for vs in taxonomy.values() for v in vs})
-    new = {c: clamp_list(c, taxonomy.get(c, ()), aliases.get(c)) for c in lists}
+    is_list = lambda c: isinstance(df.schema[c].dataType, T.ArrayType)
+    new = {c: clamp_list(c, taxonomy.get(c, ()), aliases.get(c), is_list=is_list(c)) for c in lists}
     new |= {c: clamp_choice(c, taxonomy.get(c, ()), aliases.get(c)) for c in choices}
-    new |= {score: clamp_score(score), tags: clamp_list(tags, every, most=10)}
+    new |= {score: clamp_score(score), tags: clamp_list(tags, every, most=10, is_list=is_list(tags))}
     if characteristics:
         new[characteristics] = F.slice(F.coalesce(F.col(characteristics), F.array().cast("array<string>")), 1, 20)
     return df.withColumns(new)
@@ -236,16 +247,15 @@ def parse_namespace(c: Column | str) -> Column:
 
 
 def parse_duration(c: Column | str) -> Column:
-    """P16. 'h:mm:ss', 'm:ss', '1h 2m 3s' with any of its parts, or bare seconds -> seconds."""
+    """P16. Seconds of a duration: numbers with the units h, m and s, or one to three numbers with colons between them."""
     s = F.trim(col(c))
-    n = lambda p, g=1: F.coalesce(F.regexp_extract(s, p, g).try_cast("int"), F.lit(0))
-    hms, ms, unit = r"^(\d{1,2}):(\d{2}):(\d{2})$", r"^(\d{1,3}):(\d{2})$", r"\d\s*[hms]"
-    return (
-        F.when(s.rlike(hms), n(hms) * 3600 + n(hms, 2) * 60 + n(hms, 3))
-        .when(s.rlike(ms), n(ms) * 60 + n(ms, 2))
-        .when(s.rlike(unit), n(r"(\d+)\s*h") * 3600 + n(r"(\d+)\s*m") * 60 + n(r"(\d+)\s*s"))
-        .when(s.rlike(r"^\d+$"), s.try_cast("int"))
-    )
+    numbers = lambda parts: F.transform(parts, lambda x: x.try_cast("int"))
+    # colons: each number is worth 60 times the next one
+    clock = F.aggregate(numbers(F.split(s, ":")), F.lit(0), lambda total, n: total * 60 + n)
+    # units: the first number before each of them
+    first = lambda unit: F.coalesce(F.get(numbers(F.regexp_extract_all(s, F.lit(f"([0-9]+)\\s*{unit}"), F.lit(1))), 0), F.lit(0))
+    units = sum((first(unit) * worth for unit, worth in (("h", 3600), ("m", 60), ("s", 1))), F.lit(0))
+    return F.when(s.rlike("^([0-9]{1,2}:[0-9]{2}|[0-9]{1,3}):[0-9]{2}$|^[0-9]+$"), clock).when(s.rlike(r"[0-9]\s*[hms]"), units)
 
 
 def format_duration(seconds: Column | str) -> Column:
@@ -262,16 +272,17 @@ def json_text(c: Column | str) -> Column:
 
 
 def extract_json(c: Column | str, schema: str) -> Column:
-    """P17. The answer's object by a schema, tried again without trailing commas; null if it can't be read."""
+    """P17. The answer's object by a schema, tried again without commas before a closing bracket; what can't be read gives an object
+    whose fields are all null."""
     text = json_text(c)
-    mended = F.regexp_replace(text, r",\s*([}\]])", "$1")
+    mended = F.regexp_replace(text, r",(?=\s*[]}])", "")
     read = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema))
-    return F.coalesce(read(text), read(mended))
+    return F.coalesce(read(text), read(mended), F.from_json(F.lit("{}"), schema))
 
 
 def is_valid_annotation(c: Column | str, lists=("shot_types", "camera_movements", "composition_styles", "overall_style"),
                         texts=("editing_rhythm", "color_tone", "lighting_style"), score: str = "confidence_score") -> Column:
-    """P18. On a struct: lists not empty, texts not blank, the score missing or a number. A wrapped document is passed as its inner struct."""
+    """P18. On a struct: lists not empty, texts not blank, the score missing or a number. annotation_of finds the struct in a document."""
     c = col(c)
     ok = c.isNotNull()
     for f in lists:
@@ -281,6 +292,14 @@ def is_valid_annotation(c: Column | str, lists=("shot_types", "camera_movements"
     return ok & (c[score].isNull() | to_double(c[score].cast("string")).isNotNull())
 
 
+def annotation_of(df: DataFrame, path: str, wrappers: Sequence[str] = ("analysis", "video_analysis")) -> Column:
+    """P18. The annotation struct of a document at a path, wrapped or bare: goes down each of the wrappers that is there."""
+    for name in wrappers:
+        if isinstance(type_at(df.schema, f"{path}.{name}"), T.StructType):
+            path = f"{path}.{name}"
+    return F.col(path)
+
+
 def is_missing(c: Column | str, kind: T.DataType) -> Column:
     """P19. Null, NaN, blank text, empty list or map."""
     c = col(c)
@@ -299,7 +318,9 @@ def flag(condition: Column) -> Column:
 
 
 def risk_flags(rhythm: Column, tone: Column, contrast: Column, movements: Column, tags: Column, high: Sequence[str], low: Sequence[str]) -> dict[str, Column]:
-    """P20. Flags by name; the tag sets are parameters."""
+    """P20. Flags by name; the tag sets are parameters. All values are compared as canonical tokens (P4), so that 'very fast' is fast."""
+    rhythm, tone, contrast = map(canon_token, (rhythm, tone, contrast))
+    movements, tags = (F.transform(c, canon_token) for c in (movements, tags))
     any_of = lambda names: F.arrays_overlap(tags, F.array(*map(F.lit, names)))
     return {
         "is_fast": flag(rhythm.isin("fast", "very_fast")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double
 from cairn.functions.stats import guarded_corr
+from cairn.operators.ranks import running
 
 
 def contingency(df: DataFrame, label: str, scalars: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
@@ -79,15 +80,13 @@ def point_biserial(df: DataFrame, cols: Sequence[str], label: str, least: int =
 
 
 def spearman(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """A12. field, rho, n: rank correlation with a numeric label, ties averaged. Ranks come from the counts of distinct values, so a
-    window sees each value once, not each row."""
+    """A12. field, rho, n: rank correlation with a numeric label, ties averaged. Ranks come from the running counts of distinct values."""
     cells = [F.struct(F.lit(c).alias("field"), to_double(c).alias("x"), F.col(label).cast("double").alias("y")) for c in cols]
     counts = df.select(F.inline(F.array(*cells))).filter("x is not null and y is not null").groupBy("field", "x", "y").agg(F.count("*").alias("n"))
 
     def ranks(side: str) -> DataFrame:
-        one = counts.groupBy("field", side).agg(F.sum("n").alias("m"))
-        upto = F.sum("m").over(W.partitionBy("field").orderBy(side))
-        return one.select("field", side, (upto - (F.col("m") - 1) / 2).alias(f"r{side}"))
+        one = running(counts.groupBy("field", side).agg(F.sum("n").alias("m")), ["field"], side, ["m"])
+        return one.select("field", side, (F.col("m_upto") - (F.col("m") - 1) / 2).alias(f"r{side}"))
 
     t = counts.join(ranks("x"), ["field", "x"]).join(ranks("y"), ["field", "y"])
     n, w = F.sum("n"), F.col("n")
@@ -120,32 +119,50 @@ def binary_features(df: DataFrame, key: str, scalars: Sequence[str], lists: Sequ
     return df.select(key, F.explode(F.array_distinct(F.array_compact(every))).alias("feature"))
 
 
-def binary_pair_corr(features: DataFrame, key: str, n: int, k: int = 100, most: int = 2000) -> DataFrame:
+def binary_pair_corr(features: DataFrame, key: str, n: int, k: int = 100, fields: Sequence[str] = (), start: int = 200) -> DataFrame:
     """A15. The k feature pairs with the largest |phi|: a, b, phi, abs_r. n is the number of entities. Features that all or no entities
-    have are left out. Pairs that never meet have a phi, too, so at most `most` features are allowed (a bound that is checked): they
-    are a vocabulary, not data."""
+    have are left out. Equal ones go by the order of columns: by the field's place in `fields` ('field=value' names the field),
+    then by name.
+
+    Pairs that meet come from each entity's own list of features. The |phi| of pairs that never meet grows with how common both are,
+    so they are listed for the commonest features only, and for more of them until none left out can be among the k."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, fields)), F.substring_index("feature", "=", 1)), F.lit(0)) if fields else F.lit(0)
     one = features.groupBy("feature").agg(F.count("*").alias("m")).filter(F.col("m") < n)
-    if (size := one.count()) > most:
-        raise ValueError(f"{size} features; pairs of more than {most} aren't listed")
-    one = F.broadcast(one)
-    # the pairs of an entity come from its own short list of features
-    lists = features.groupBy(key).agg(F.array_sort(F.collect_set("feature")).alias("f"))
+    one = one.select(F.struct(place.cast("long").alias("at"), F.col("feature")).alias("f"), "m")
+    own = features.select(key, F.struct(place.cast("long").alias("at"), F.col("feature")).alias("f"))
+    lists = own.groupBy(key).agg(F.array_sort(F.collect_set("f")).alias("f"))
     pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.filter("f", lambda _, j: j > i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("nab"))
-    grid = one.select(F.col("feature").alias("a"), F.col("m").alias("na")).join(
-        one.select(F.col("feature").alias("b"), F.col("m").alias("nb")), F.col("a") < F.col("b")
-    )
-    t = grid.join(both, ["a", "b"], "left").fillna(0, ["nab"])
-    na, nb, nab = (F.col(c).cast("double") for c in ("na", "nb", "nab"))
-    phi = (n * nab - na * nb) / F.sqrt(na * (n - na) * nb * (n - nb))
-    return t.select("a", "b", phi.alias("phi"), F.abs(phi).alias("abs_r")).orderBy(F.desc(F.round("abs_r", 9)), "a", "b").limit(k)
-
-
-def top_std_corr(features: DataFrame, key: str, n: int, top: int = 40, most: int = 2000) -> DataFrame:
+    met = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("nab"))
+    side = lambda name: one.select(F.col("f").alias(name), F.col("m").alias(f"n{name}"))
+    met = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "nab")
+
+    def phi_of(t: DataFrame) -> DataFrame:
+        na, nb, nab = (F.col(c).cast("double") for c in ("na", "nb", "nab"))
+        phi = (n * nab - na * nb) / F.sqrt(na * (n - na) * nb * (n - nb))
+        t = t.withColumns({"phi": phi, "abs_r": F.abs(phi)}).orderBy(F.desc(F.round("abs_r", 9)), "a", "b").limit(k)
+        return t.select(F.col("a.feature").alias("a"), F.col("b.feature").alias("b"), "phi", "abs_r")
+
+    spark, common = features.sparkSession, start
+    while True:
+        head = one.orderBy(F.desc("m"), "f").limit(common + 1).collect()  # `common` rows
+        shown = spark.createDataFrame([(tuple(r.f), r.m) for r in head[:common]], "f struct<at: bigint, feature: string>, m long")
+        left, right = (shown.select(F.col("f").alias(x), F.col("m").alias(f"n{x}")) for x in "ab")
+        grid = left.join(right, F.col("a") < F.col("b")).join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("nab", F.lit(0).cast("long"))
+        best = phi_of(met.unionByName(grid.select("a", "b", "na", "nb", "nab")))
+        if len(head) <= common:
+            return best
+        found = best.agg(F.count("*").alias("n"), F.min(F.round("abs_r", 9)).alias("least")).first()
+        a, b = head[0].m, head[common].m
+        if found.n == k and found.least > round((a * b / ((n - a) * (n - b))) ** 0.5, 9):
+            return best
+        common *= 4
+
+
+def top_std_corr(features: DataFrame, key: str, n: int, top: int = 40, fields: Sequence[str] = ()) -> DataFrame:
     """A15. The same among the `top` features with the highest standard deviation (shares nearest one half; ties by name)."""
     share = F.col("m") / n
     best = features.groupBy("feature").agg(F.count("*").alias("m")).orderBy(F.desc(share * (1 - share)), "feature").limit(top)
-    return binary_pair_corr(features.join(F.broadcast(best), "feature", "left_semi"), key, n, top * top, most)
+    return binary_pair_corr(features.join(F.broadcast(best), "feature", "left_semi"), key, n, top * top, fields, start=top)
 
 
 def linear_fit(df: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import is_missing, to_double
+from cairn.operators.ranks import long_numbers, quantiles
 
 
 def _unpivot(row: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -37,13 +38,11 @@ def missing_cells(df: DataFrame, key: str) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """A2. count, mean, std (n - 1), min, quartiles, max. Quartiles are exact; with an accuracy they are approximate and bounded
-    in memory whatever the number of distinct values."""
-    q = lambda p: (lambda c: F.percentile(c, p)) if accuracy is None else (lambda c: F.percentile_approx(c, p, accuracy))
-    return _wide(
-        df, cols,
-        {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": q(0.25), "p50": q(0.5), "p75": q(0.75), "max": F.max},
-    )
+    """A2. field, count, mean, std (n - 1), min, p25, p50, p75, max. Quartiles are exact, or, with an accuracy, approximate."""
+    t = _wide(df, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+    q = quantiles(long_numbers(df, cols), ["field"], [0.25, 0.5, 0.75], accuracy)
+    parts = [F.get("q", i).alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+    return t.join(q, "field", "left").select("field", "count", "mean", "std", "min", *parts, "max")
 
 
 def variance_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -79,7 +78,6 @@ def multilabel_counts(df: DataFrame, fields: Sequence[str], per_entity: bool = F
 def token_counts(df: DataFrame, dataset: str, scalars: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
     """A6. (dataset, field, value, n); null counts as __MISSING__, an empty list as __EMPTY__, list values once per row."""
     gone, empty = F.array(F.lit("__MISSING__")), F.array(F.lit("__EMPTY__"))
-    cells = [F.struct(F.lit(f).alias("field"), F.coalesce(F.array(F.col(f"`{f}`").cast("string")), gone).alias("values")) for f in scalars]
     cells = [F.struct(F.lit(f).alias("field"), F.when(F.col(f"`{f}`").isNull(), gone).otherwise(F.array(F.col(f"`{f}`").cast("string"))).alias("values")) for f in scalars]
     cells += [
         F.struct(
@@ -103,7 +101,7 @@ def build_vocab(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] = ()
     return tokens.withColumn("index_in_block", order).unionByName(unknown)
 
 
-def box_stats(df: DataFrame, cat: str, num: str, order: Sequence[str] | None = None) -> DataFrame:
+def box_stats(df: DataFrame, cat: str, num: str, order: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """A17. Per category: n, quartiles and whiskers (the outermost values within 1.5 IQR of the quartiles). With an order only those
     categories, with their position."""
     x = df.select(F.col(cat).alias("category"), to_double(num).alias("x")).filter("category is not null and x is not null")
@@ -111,7 +109,7 @@ def box_stats(df: DataFrame, cat: str, num: str, order: Sequence[str] | None = N
         at = F.array_position(F.array(*map(F.lit, order)), F.col("category"))
         x = x.withColumn("position", at.cast("int")).filter("position > 0")
     keys = ["category", *(["position"] if order is not None else [])]
-    q = x.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"))
+    q = x.groupBy(*keys).agg(F.count("*").alias("n")).join(quantiles(x, ["category"], [0.25, 0.5, 0.75], accuracy), "category")
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     inside = x.join(q.select("category", "q1", "q3"), "category").filter(F.col("x").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr))
@@ -121,7 +119,6 @@ def box_stats(df: DataFrame, cat: str, num: str, order: Sequence[str] | None = N
 
 def ingest_summary(good: DataFrame, bad: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A49. (name, value): documents_total, ok, bad and the missing rate of each numeric column."""
-    rates = [(F.count_if(to_double(c).isNull()) / F.count("*")).alias(f"{c}__r") for c in cols]
     rates = [F.try_divide(F.count_if(to_double(c).isNull()), F.count("*")).alias(f"{c}__r") for c in cols]
     row = good.agg(F.count("*").alias("ok"), *rates).crossJoin(bad.agg(F.count("*").alias("bad")))  # two single rows
     value = lambda name, c: F.struct(F.lit(name).alias("name"), c.cast("double").alias("value"))

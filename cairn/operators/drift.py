@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double
 from cairn.functions.stats import bins_below
+from cairn.operators import ranks
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 TINY = 1e-6
@@ -17,9 +18,8 @@ TINY = 1e-6
 
 def long_numbers(df: DataFrame, dataset: str | Column, cols: Sequence[str]) -> DataFrame:
     """(dataset, field, x); x is null where missing."""
-    cells = [F.struct(F.lit(c).alias("field"), to_double(c).alias("x")) for c in cols]
     name = F.col(dataset) if isinstance(dataset, str) else dataset
-    return df.select(name.alias("dataset"), F.inline(F.array(*cells)))
+    return ranks.long_numbers(df, cols, [name.alias("dataset")])
 
 
 def infer_kinds(long: DataFrame, share: float = 0.95) -> DataFrame:
@@ -37,30 +37,35 @@ def infer_kinds(long: DataFrame, share: float = 0.95) -> DataFrame:
     )
 
 
-def two_sample_summary(long: DataFrame, least: int = 50) -> DataFrame:
+def two_sample_summary(long: DataFrame, least: int = 50, sides: int = 2, accuracy: int | None = None) -> DataFrame:
     """A23. A row for each field and dataset: missing_rate, n, mean, std (n), min, quantiles, max; fields with fewer than `least` values
-    on a side are left out."""
-    q = F.percentile("x", list(QUANTILES.values()))
+    on any of the `sides`, or that a side lacks altogether, are left out."""
+    q = ranks.quantiles(long, ["field", "dataset"], list(QUANTILES.values()), accuracy)
     t = long.groupBy("field", "dataset").agg(
         (1 - F.count("x") / F.count("*")).alias("missing_rate"),
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), q.alias("_q"), F.max("x").alias("max"),
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
     )
-    small = F.min("n").over(W.partitionBy("field"))
-    t = t.withColumn("_least", small).filter(F.col("_least") >= least)
-    return t.select("field", "dataset", "missing_rate", "n", "mean", "std", "min", *[F.col("_q")[i].alias(p) for i, p in enumerate(QUANTILES)], "max")
+    by = W.partitionBy("field")  # a row for each side
+    t = t.withColumns({"_least": F.min("n").over(by), "_sides": F.count("*").over(by)}).filter((F.col("_least") >= least) & (F.col("_sides") >= sides))
+    t = t.join(q, ["field", "dataset"], "left")
+    return t.select("field", "dataset", "missing_rate", "n", "mean", "std", "min", *[F.get("q", i).alias(p) for i, p in enumerate(QUANTILES)], "max")
 
 
 def psi_bins(long: DataFrame, ref: str, tgt: str, bins: int = 10) -> DataFrame:
     """A24. (field, bin, ref_share, tgt_share, term). Both sides are clipped to the reference's 1st and 99th percentile (widened by 0.5 if
     they are equal), bins are left-closed between unique quantiles of the reference, shares are at least TINY."""
     x = long.filter("x is not null")
-    ends = x.filter(F.col("dataset") == ref).groupBy("field").agg(F.percentile("x", [0.01, 0.99]).alias("q"))
-    same = F.col("q")[0] == F.col("q")[1]
-    ends = ends.select("field", (F.col("q")[0] - F.when(same, 0.5).otherwise(0.0)).alias("lo"), (F.col("q")[1] + F.when(same, 0.5).otherwise(0.0)).alias("hi"))
-    clipped = x.join(F.broadcast(ends), "field").withColumn("x", F.least(F.greatest("x", "lo"), "hi"))  # one row a field
-    at = [i / bins for i in range(bins + 1)]
-    edges = clipped.filter(F.col("dataset") == ref).groupBy("field", "lo", "hi").agg(F.array_sort(F.array_distinct(F.percentile("x", at))).alias("e"))
-    edges = edges.select("field", F.when(F.size("e") > 1, F.col("e")).otherwise(F.array("lo", "hi")).alias("e"))
+    # clipping keeps the order of values, so the quantiles of the clipped side follow from those of the side itself
+    at = [0.01, 0.99, *(i / bins for i in range(bins + 1))]
+    stats = ranks.order_stats(x.filter(F.col("dataset") == ref), ["field"], at)
+    low, high = ranks.between(F.get("stats", 0)), ranks.between(F.get("stats", 1))
+    wide = F.when(low == high, 0.5).otherwise(0.0)
+    stats = stats.select("field", F.slice("stats", 3, bins + 1).alias("stats"), (low - wide).alias("lo"), (high + wide).alias("hi"))
+    clip = lambda v: F.least(F.greatest(v, F.col("lo")), F.col("hi"))
+    point = lambda s: clip(s["lo"]) + (clip(s["hi"]) - clip(s["lo"])) * s["part"]
+    edges = stats.select("field", "lo", "hi", F.array_sort(F.array_distinct(F.transform("stats", point))).alias("e"))
+    edges = edges.select("field", "lo", "hi", F.when(F.size("e") > 1, F.col("e")).otherwise(F.array("lo", "hi")).alias("e"))
+    clipped = x.join(F.broadcast(edges.select("field", "lo", "hi")), "field").withColumn("x", clip(F.col("x")))  # one row a field
     inner = edges.select("field", F.slice("e", 2, F.size("e") - 2).alias("inner"), (F.size("e") - 1).alias("k"))
     counts = (
         clipped.join(F.broadcast(inner), "field")
@@ -90,16 +95,12 @@ def psi_categorical(aligned: DataFrame) -> DataFrame:
 
 
 def cumulative(long: DataFrame, ref: str, tgt: str) -> DataFrame:
-    """(field, x, f_ref, f_tgt): both distribution functions at each distinct value. The window runs over distinct values."""
+    """(field, x, x_next, f_ref, f_tgt): both distribution functions at each distinct value, and the next value."""
     counts = long.filter("x is not null").groupBy("field", "x").agg(
         F.count_if(F.col("dataset") == ref).alias("r"), F.count_if(F.col("dataset") == tgt).alias("t")
     )
-    upto, all_ = W.partitionBy("field").orderBy("x"), W.partitionBy("field")
-    return counts.select(
-        "field", "x",
-        (F.sum("r").over(upto) / F.nullif(F.sum("r").over(all_), F.lit(0))).alias("f_ref"),
-        (F.sum("t").over(upto) / F.nullif(F.sum("t").over(all_), F.lit(0))).alias("f_tgt"),
-    )
+    share = lambda s: F.try_divide(f"{s}_upto", F.nullif(F.col(f"{s}_all"), F.lit(0)))
+    return ranks.running(counts, ["field"], "x", ["r", "t"]).select("field", "x", "x_next", share("r").alias("f_ref"), share("t").alias("f_tgt"))
 
 
 def ks_2samp(long: DataFrame, ref: str, tgt: str) -> DataFrame:
@@ -109,8 +110,7 @@ def ks_2samp(long: DataFrame, ref: str, tgt: str) -> DataFrame:
 
 def wasserstein(long: DataFrame, ref: str, tgt: str) -> DataFrame:
     """A27. (field, wasserstein)."""
-    step = F.lead("x").over(W.partitionBy("field").orderBy("x")) - F.col("x")
-    t = cumulative(long, ref, tgt).withColumn("step", step)
+    t = cumulative(long, ref, tgt).withColumn("step", F.col("x_next") - F.col("x"))
     return t.groupBy("field").agg(F.coalesce(F.sum(F.abs(F.col("f_ref") - F.col("f_tgt")) * F.col("step")), F.lit(0.0)).alias("wasserstein"))
 
 
@@ -139,17 +139,19 @@ def lump_other(aligned: DataFrame, k: int, forced: Sequence[str] | None = None,
 
 
 def histogram(long: DataFrame, edges: Sequence[float]) -> DataFrame:
-    """A31. (dataset, field, bin, n, density): left-closed bins, the last one closed; values outside are left out."""
-    e, last = F.array(*map(F.lit, map(float, edges))), len(edges) - 2
-    inside = long.filter(F.col("x").between(float(edges[0]), float(edges[-1])))
-    bin_ = F.least(bins_below(e, F.col("x"), strict=False) - 1, F.lit(last))
-    counts = inside.groupBy("dataset", "field", bin_.alias("bin")).agg(F.count("*").alias("n"))
-    width = F.get(e, F.col("bin") + 1) - F.get(e, F.col("bin"))
-    return counts.withColumn("density", F.col("n") / F.sum("n").over(W.partitionBy("dataset", "field")) / width)
+    """A31. (dataset, field, bin, n, density): left-closed bins, the last one closed; values outside are left out. Every bin has a row;
+    the density is null if a field has no values inside."""
+    e = list(map(float, edges))
+    inside = lambda i: (F.col("x") >= e[i]) & ((F.col("x") < e[i + 1]) if i < len(e) - 2 else (F.col("x") <= e[i + 1]))
+    counts = long.groupBy("dataset", "field").agg(F.array(*[F.count_if(inside(i)) for i in range(len(e) - 1)]).alias("_n"))
+    total = F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n)
+    t = counts.select("dataset", "field", total.alias("_all"), F.posexplode("_n").alias("bin", "n"))
+    width = F.get(F.array(*[F.lit(b - a) for a, b in zip(e, e[1:], strict=False)]), F.col("bin"))
+    return t.select("dataset", "field", "bin", "n", (F.try_divide("n", "_all") / width).alias("density"))
 
 
 def ecdf(long: DataFrame) -> DataFrame:
     """A31. (dataset, field, x, share): share of values up to each distinct value."""
     counts = long.filter("x is not null").groupBy("dataset", "field", "x").agg(F.count("*").alias("n"))
-    by = W.partitionBy("dataset", "field")
-    return counts.select("dataset", "field", "x", (F.sum("n").over(by.orderBy("x")) / F.sum("n").over(by)).alias("share"))
+    t = ranks.running(counts, ["dataset", "field"], "x", ["n"])
+    return t.select("dataset", "field", "x", (F.col("n_upto") / F.col("n_all")).alias("share"))

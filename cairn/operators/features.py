@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import log1p
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.scalars import to_double
+from cairn.functions.scalars import let, to_double
 from cairn.operators.describe import build_vocab
+from cairn.operators.ranks import long_numbers, order_stats
 
 
 @dataclass(frozen=True)
@@ -33,20 +36,19 @@ def _raw(c: str, clip: Column | float | None, log: bool) -> Column:
 
 def fit_scaler(df: DataFrame, logs: Sequence[str], plain: Sequence[str] = ()) -> dict[str, Scale]:
     """A46. `logs`: negatives to 0, clipped at the 99th percentile, log1p. Mean, std (n) and median of each; std under 1e-8 becomes 1; a field
-    without values gets 0 and 1. Two aggregates of one row each, whatever the number of fields."""
-    clips = {}
-    if logs:
-        floored = {c: F.when(to_double(c).isNotNull(), F.greatest(to_double(c), F.lit(0.0))) for c in logs}
-        row = df.agg(*[F.percentile(x, 0.99).alias(c) for c, x in floored.items()]).first()
-        clips = {c: None if row[c] is None else float(row[c]) for c in logs}
+    without values gets 0 and 1. Flooring, clipping and log1p keep the order of values, so both quantiles come from the same places."""
+    stats = {r.field: r.stats for r in order_stats(long_numbers(df, [*logs, *plain]), ["field"], [0.99, 0.5]).collect()}  # a row a field
+    at = lambda s, f: f(s.lo) + (f(s.hi) - f(s.lo)) * s.part
+    clips = {c: at(stats[c][0], lambda v: max(v, 0.0)) if c in stats else None for c in logs}
+    medians = {c: at(s[1], (lambda v, c=c: log1p(min(max(v, 0.0), clips[c]))) if c in logs else (lambda v: v)) for c, s in stats.items()}
     aggs = []
     for c in (*logs, *plain):
         x = _raw(c, clips.get(c), c in logs)
-        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std"), F.percentile(x, 0.5).alias(f"{c}__median")]
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std")]
     row = df.agg(*aggs).first()
     out = {}
     for c in (*logs, *plain):
-        mean, std, median = (row[f"{c}__{n}"] for n in ("mean", "std", "median"))
+        mean, std, median = row[f"{c}__mean"], row[f"{c}__std"], medians.get(c)
         out[c] = Scale(clips.get(c), mean or 0.0, std if std is not None and std >= 1e-8 else 1.0, median or 0.0, c in logs)
     return out
 
@@ -56,28 +58,30 @@ def scaled(c: str, s: Scale) -> Column:
     return (F.coalesce(_raw(c, s.clip, s.log), F.lit(s.median)) - s.mean) / s.std
 
 
-def vocabulary(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] = (), most: int = 10_000) -> dict[str, list[str]]:
-    """A7 as lists on the driver; a vocabulary of over `most` tokens is refused, not cut."""
-    rows = build_vocab(df, scalars, lists).orderBy("field", "index_in_block").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} tokens")
+def vocabulary(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] = ()) -> dict[str, list[str]]:
+    """A7 as lists on the driver. They have as many tokens as the vectors that are made from them have places."""
+    rows = build_vocab(df, scalars, lists).orderBy("field", "index_in_block").collect()
     out: dict[str, list[str]] = {f: [] for f in (*scalars, *lists)}
     for r in rows:
         out[r.field].append(r.token)
     return out
 
 
+def _places(tokens: Sequence[str]) -> Column:
+    """Token -> its place, as one literal that is parsed once, whatever the number of tokens."""
+    return F.from_json(F.lit(json.dumps({t: i for i, t in enumerate(tokens)})), "map<string,int>")
+
+
 def one_hot(c: str, tokens: Sequence[str]) -> Column:
     """An unknown or missing value counts as the first token, 'unknown'."""
-    vocab = F.array(*map(F.lit, tokens))
-    value = F.when(F.coalesce(F.array_contains(vocab, F.col(c)), F.lit(False)), F.col(c)).otherwise(tokens[0])
-    return F.transform(vocab, lambda t: (t == value).cast("float"))
+    at = F.coalesce(_places(tokens)[F.col(c)], F.lit(0))
+    return let(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(len(tokens) - 1)), lambda k: (k == i).cast("float")))
 
 
 def multi_hot(c: str, tokens: Sequence[str]) -> Column:
     """Unknown values are ignored."""
-    values = F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return F.transform(F.array(*map(F.lit, tokens)), lambda t: F.array_contains(values, t).cast("float"))
+    values = F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: _places(tokens)[v])
+    return let(values, lambda at: F.transform(F.sequence(F.lit(0), F.lit(len(tokens) - 1)), lambda k: F.coalesce(F.array_contains(at, k), F.lit(False)).cast("float")))
 
 
 def feature_matrix(df: DataFrame, key: str, scaler: Mapping[str, Scale], vocab: Mapping[str, Sequence[str]], lists: Sequence[str] = (),

@@ -76,6 +76,21 @@ def failures(items: DataFrame, outputs: DataFrame, key: str, valid: Column) -> D
     return known.select(key, F.explode(reasons).alias("reason"))
 
 
+def failure_report(failed: DataFrame) -> DataFrame:
+    """K7. (reason, n) of failures, and a row with reason 'total'."""
+    return failed.groupBy("reason").agg(F.count("*").alias("n")).unionByName(failed.agg(F.lit("total").alias("reason"), F.count("*").alias("n")))
+
+
+def output_detail(outputs: DataFrame, path: str, modified: str, valid: Column) -> DataFrame:
+    """K7. A row for each output file: file (its name), path, modified (ISO time to the second), is_empty (not valid: no bytes, unreadable
+    or without what must be filled in). Sort by path to number the rows."""
+    return outputs.select(
+        F.element_at(F.split(F.col(path), "/"), -1).alias("file"), F.col(path).alias("path"),
+        F.coalesce(F.date_format(F.col(modified), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("modified"),
+        F.when(F.coalesce(valid, F.lit(False)), "NO").otherwise("YES").alias("is_empty"),
+    )
+
+
 def align_counts(counts: DataFrame, dataset: str, ref: str, tgt: str) -> DataFrame:
     """K8. counts: (dataset, field, value, n). One row per field and value of either dataset: ref_n, tgt_n, zero-filled."""
     return counts.groupBy("field", "value").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import label_rhythm, to_double
 from cairn.functions.stats import bins_below
+from cairn.operators.ranks import long_numbers, quantiles
 
 
 def hist_distance(df: DataFrame, key: str, order: str, hist: str) -> DataFrame:
@@ -23,24 +24,30 @@ def hist_distance(df: DataFrame, key: str, order: str, hist: str) -> DataFrame:
 
 
 def detect_cuts(df: DataFrame, key: str, frame: str, distance: str, gap: Column | int, threshold: float = 0.55) -> DataFrame:
-    """V2. (key, cuts): frames over the threshold, each at least `gap` frames after the last accepted one. Only candidate frames are
-    gathered, in order, and folded."""
+    """V2. (key, cuts): frames over the threshold, each at least `gap` frames after the last accepted one. A candidate at least a gap
+    after the candidate before it is always accepted, so each such one begins a chain of its own, and chains are folded apart."""
     rows = df.filter(F.col(distance) > threshold).select(key, F.col(frame).cast("long").alias("f"), (F.lit(gap) if isinstance(gap, int) else gap).cast("long").alias("g"))
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list("f")).alias("fs"), F.max("g").alias("g"))
+    rows = rows.join(rows.groupBy(key).agg(F.max("g").alias("_g")), key) if not isinstance(gap, int) else rows.withColumn("_g", F.col("g"))
+    by = W.partitionBy(key).orderBy("f")
+    begins = F.coalesce(F.col("f") - F.lag("f").over(by) >= F.col("_g"), F.lit(True))
+    chains = rows.withColumn("_new", begins.cast("long")).withColumn("_chain", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    lists = chains.groupBy(key, "_chain").agg(F.sort_array(F.collect_list("f")).alias("fs"), F.max("_g").alias("_g"))
+    start = F.struct(F.get("fs", 0).alias("last"), F.array(F.get("fs", 0)).alias("kept"))
+    far = lambda acc, f: f - acc["last"] >= F.col("_g")
     fold = F.aggregate(
-        "fs", F.array().cast("array<bigint>"),
-        lambda kept, f: F.when((F.size(kept) == 0) | (f - F.element_at(F.concat(F.array(F.lit(-(10**12)).cast("bigint")), kept), -1) >= F.col("g")), F.concat(kept, F.array(f))).otherwise(kept),
+        "fs", start,
+        lambda acc, f: F.struct(F.when(far(acc, f), f).otherwise(acc["last"]).alias("last"), F.when(far(acc, f), F.concat(acc["kept"], F.array(f))).otherwise(acc["kept"]).alias("kept")),
+        lambda acc: acc["kept"],
     )
-    return lists.select(key, fold.alias("cuts"))
+    return lists.select(key, fold.alias("kept")).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("kept"))).alias("cuts"))
 
 
 def cuts_to_shots(videos: DataFrame, cuts: DataFrame, key: str, frames: str, fps: str) -> DataFrame:
     """V3. One row a shot: key, shot_no, start, end, start_sec, end_sec (3 digits), mid. videos: (key, frames, fps), one row a key."""
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("cuts", F.array().cast("array<bigint>")))
-    t = videos.join(cuts, key, "left").filter(F.col(frames) > 0)
-    t = t.select(key, frames, fps, starts.alias("_s")).select(key, frames, fps, "_s", F.posexplode("_s").alias("shot_no", "start"))
-    end = F.coalesce(F.get("_s", F.col("shot_no") + 1), F.col(frames).cast("bigint")) - 1
-    t = t.withColumn("end", end)
+    t = videos.join(cuts, key, "left").filter(F.col(frames) > 0).select(key, frames, fps, F.posexplode(starts).alias("shot_no", "start"))
+    after = F.lead("start").over(W.partitionBy(key).orderBy("shot_no"))
+    t = t.withColumn("end", F.coalesce(after, F.col(frames).cast("bigint")) - 1)
     sec = lambda c: F.bround(F.col(c) / F.col(fps), 3)
     return t.select(key, "shot_no", "start", "end", sec("start").alias("start_sec"), sec("end").alias("end_sec"), F.floor((F.col("start") + F.col("end")) / 2).alias("mid"))
 
@@ -67,8 +74,8 @@ def segment_durations(df: DataFrame, key: str, segments: str, fps: str, frames:
     )
 
 
-def quantile_code(df: DataFrame, col: str, step: float, out: str = "code") -> DataFrame:
+def quantile_code(df: DataFrame, col: str, step: float, out: str = "code", accuracy: int | None = None) -> DataFrame:
     """V6. Adds the equal-frequency code of a number: how many of the 1 / step + 1 quantile edges are below it."""
     n = round(1 / step)
-    edges = df.agg(F.percentile(to_double(col), [i / n for i in range(n + 1)]).alias("_e"))
+    edges = quantiles(long_numbers(df, [col]), ["field"], [i / n for i in range(n + 1)], accuracy).agg(F.any_value("q").alias("_e"))  # one row, null of no values
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(to_double(col).isNotNull(), bins_below(F.col("_e"), to_double(col)))).drop("_e")  # one row

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double, wrong_flag
 from cairn.functions.stats import bins_below
+from cairn.operators.ranks import long_numbers, quantiles
 
 
 def with_errors(df: DataFrame, label: str, base: str, new: str) -> DataFrame:
@@ -26,17 +27,15 @@ def slice_error(df: DataFrame, slice_: Column | str) -> DataFrame:
     return _table(df.withColumn("slice", c.cast("string")).filter("slice is not null"), "slice")
 
 
-def quantile_edges(df: DataFrame, cols: Sequence[str], q: int) -> DataFrame:
-    """(field, edges): unique quantile edges of each column, one row a field."""
-    at = [i / q for i in range(q + 1)]
-    cells = [F.struct(F.lit(c).alias("field"), F.percentile(to_double(c), at).alias("edges"), F.count_distinct(to_double(c)).alias("n")) for c in cols]
-    return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+def quantile_edges(df: DataFrame, cols: Sequence[str], q: int, accuracy: int | None = None) -> DataFrame:
+    """(field, edges): quantile edges of each column with known values, one row a field; exact, or, with an accuracy, approximate."""
+    return quantiles(long_numbers(df, cols), ["field"], [i / q for i in range(q + 1)], accuracy).withColumnRenamed("q", "edges")
 
 
 def qcut(df: DataFrame, col: str, q: int, labels: Sequence[str] | None = None, out: str = "bin") -> DataFrame:
     """A36. Adds `out`: the right-closed quantile bin from 0 (or its label); the first bin takes the minimum. Equal edges: without labels
     they are dropped, with labels the bins are of equal width instead (A37)."""
-    edges = quantile_edges(df, [col], q).select(F.array_sort(F.array_distinct("edges")).alias("_e"))
+    edges = quantile_edges(df, [col], q).agg(F.array_sort(F.array_distinct(F.any_value("edges"))).alias("_e"))  # one row
     if labels is not None:
         if edges.filter(F.size("_e") <= q).isEmpty() is False:
             return cut(df, col, q, labels, out)
@@ -48,11 +47,13 @@ def qcut(df: DataFrame, col: str, q: int, labels: Sequence[str] | None = None, o
 
 
 def cut(df: DataFrame, col: str, bins: int, labels: Sequence[str] | None = None, out: str = "bin") -> DataFrame:
-    """A37. Adds `out`: the right-closed bin of equal width from 0 (or its label); the first bin takes the minimum."""
+    """A37. Adds `out`: the right-closed bin of equal width from 0 (or its label); the first bin takes the minimum. A constant column falls
+    into the middle bin, the lower one of two, as if its range were widened on both sides."""
     x = to_double(col)
     ends = F.broadcast(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
     place = F.ceil((x - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins) - 1
-    number = F.when(x.isNotNull(), F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)), F.lit(0)).cast("int"))
+    inside = F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+    number = F.when(x.isNotNull(), F.when(F.col("_lo") == F.col("_hi"), (bins + 1) // 2 - 1).otherwise(inside))
     value = number if labels is None else F.get(F.array(*map(F.lit, labels)), number)
     return df.crossJoin(ends).withColumn(out, value).drop("_lo", "_hi")  # one row
 
@@ -69,7 +70,7 @@ def slice_all_features(df: DataFrame, categories: Sequence[str], numbers: Sequen
     edges = {}
     if numbers:  # one row a field, read by the driver to fold the edges into the plan as constants
         rows = quantile_edges(df, numbers, q).collect()
-        edges = {r.field: sorted(set(r.edges)) for r in rows if r.n > 1}
+        edges = {r.field: sorted(set(r.edges)) for r in rows if r.edges[0] < r.edges[-1]}
     cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("slice_value")) for c in categories]
     for c, e in edges.items():
         x = to_double(c)

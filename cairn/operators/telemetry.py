@@ -37,8 +37,9 @@ def read_vmstat(lines: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     header = F.when(F.array_contains(words, "us") & F.array_contains(words, "id"), words)
     above = F.last(header, ignorenulls=True).over(W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     t = lines.withColumn("_w", words).withColumn("_h", above)
-    t = t.filter(F.col("line").rlike(r"^\s*\d+(?:\s+\d+)*\s*$") & (F.size("_w") == F.size("_h")))
-    return t.select(*by, "line_no", F.map_from_arrays("_h", F.col("_w").cast("array<bigint>")).alias("cells"))
+    numbers = F.transform("_w", lambda x: F.when(x.rlike("^[0-9]+$"), x.try_cast("bigint")))
+    t = t.filter(F.size("_w") == F.size("_h")).withColumn("_n", numbers).filter(F.forall("_n", lambda n: n.isNotNull()))
+    return t.select(*by, "line_no", F.map_from_arrays("_h", "_n").alias("cells"))
 
 
 def _filled(value: Column, by: Sequence[str]) -> Column:
@@ -49,11 +50,14 @@ def log_rows(lines: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
     """Lines with what they are: epoch and phase in force, marker_no (how many markers of any kind came before), elapsed seconds of a
     finished progress bar, metrics."""
     s = F.trim("line")
-    epoch = F.regexp_extract(s, r"^Epoch\s+(\d+)\s*/\s*\d+", 1).try_cast("int")
+    parts = F.split(F.replace(s, F.lit("/"), F.lit(" ")), r"\s+")  # 'Epoch', number, number of epochs
+    number = lambda i: F.get(parts, i).try_cast("int")
+    epoch = F.when((F.get(parts, 0) == "Epoch") & s.contains("/") & number(2).isNotNull(), number(1))
     phase = F.when(s.isin("TRAIN", "VAL", "TEST"), s)
     turn = F.when(epoch.isNotNull(), "").otherwise(phase)  # an epoch marker closes the phase
     upto = W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    elapsed = F.when(s.contains("100%|"), parse_duration(F.regexp_extract(s, r"\[\s*(\d{1,3}:\d{2}(?::\d{2})?)\s*<", 1)))
+    spent = F.substring_index(F.substring_index(s, "<", 1), "[", -1)  # a bar says [spent<left, ...]
+    elapsed = F.when(s.contains("100%|") & s.contains("<") & spent.contains(":"), parse_duration(spent))
     whole = F.when(s.startswith("{") & s.endswith("}"), parse_pydict(s))
     return lines.select(
         *by, "line_no", s.alias("line"), _filled(epoch, by).alias("epoch"), _filled(turn, by).alias("phase"),
@@ -82,10 +86,10 @@ def parse_training_log(lines: DataFrame, by: Sequence[str] = ("run",)) -> dict[s
     times = found.filter(F.col("epoch_no") > 0).groupBy(*by, "epoch_no").agg(last_of("TRAIN").alias("train_sec"), last_of("VAL").alias("val_sec"))
     last_bar = found.groupBy(*by).agg(last_of("TEST").alias("test_bar_sec"), last_of("unassigned").alias("last_unassigned_sec"))
     low = F.lower("line")
-    stop = F.regexp_extract(low, r"early\s*stop\s*at\s*epoch\s*(\d+)", 1).try_cast("int")
-    said = lambda p: parse_duration(F.nullif(F.regexp_extract("line", p, 1), F.lit("")))
-    training, testing = said(r"(?i)Training complete in\s+(.+)$"), said(r"(?i)Testing complete in\s+(.+)$")
-    load = F.regexp_extract(low, r"^data load time:\s*([0-9.]+)", 1).try_cast("double")
+    after = lambda text, words: F.get(F.split(text, words), 1)
+    stop = F.regexp_substr(after(F.regexp_replace(low, r"\s", ""), "earlystopatepoch"), F.lit("^[0-9]+")).try_cast("int")
+    training, testing = parse_duration(after(low, "training complete in")), parse_duration(after(low, "testing complete in"))
+    load = F.when(low.startswith("data load time:"), F.substring_index(F.trim(after(low, "data load time:")), " ", 1).try_cast("double"))
     latest = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line_no")))
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("line_no")))
     run = rows.groupBy(*by).agg(

@@ -45,8 +45,15 @@ def k9_exclusive_values(spark, sf):
     return rounded(K.exclusive_values(aligned(spark, sf)))
 
 
-@query("""SELECT 'price' AS field, 'numeric_scalar' AS kind UNION ALL SELECT 'mixed', 'categorical_scalar' UNION ALL SELECT 'nothing', 'all_missing' UNION ALL SELECT 'words', 'categorical_multilabel'
-    UNION ALL SELECT 'dict', 'mixed_skip'""")
+def kind_sql(field: str, value: str, fixed: str = "") -> str:
+    kind = f"WHEN count({value}) > 0 THEN '{fixed}'" if fixed else f"WHEN count(try_cast({value} AS DOUBLE)) >= 0.95 * count({value}) THEN 'numeric_scalar' ELSE 'categorical_scalar'"
+    return f"SELECT '{field}' AS field, CASE WHEN count({value}) = 0 THEN 'all_missing' {kind} END AS kind FROM orders"
+
+
+@query(" UNION ALL ".join([
+    kind_sql("price", "CAST(o_totalprice AS VARCHAR)"), kind_sql("mixed", "CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE CAST(o_totalprice AS VARCHAR) END"),
+    kind_sql("nothing", "CAST(NULL AS VARCHAR)"), kind_sql("words", "o_orderpriority", "categorical_multilabel"), kind_sql("dict", "'{}'", "mixed_skip"),
+]))
 def a22_infer_kinds(spark, sf):
     o = table(spark, sf, "orders")
     cell = lambda f, v, is_list=False, is_dict=False: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), F.lit(is_list).alias("is_list"), F.lit(is_dict).alias("is_dict"))
@@ -58,7 +65,9 @@ def a22_infer_kinds(spark, sf):
 @query(f"""SELECT field, dataset, round(1 - count(x) / count(*), 6) AS missing_rate, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min,
     {", ".join(f"round(quantile_cont(x, {v}), 6) AS {k}" for k, v in R.QUANTILES.items())}, max(x) AS max FROM ({LONG}) GROUP BY ALL""")
 def a23_two_sample_summary(spark, sf):
-    return rounded(R.two_sample_summary(long(spark, sf)))
+    """A field that one side alone has is left out."""
+    one_sided = table(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.lit("F").alias("dataset"), F.lit("one_sided").alias("field"), F.col("l_tax").cast("double").alias("x"))
+    return rounded(R.two_sample_summary(long(spark, sf).unionByName(one_sided)))
 
 
 def psi_sql() -> str:
@@ -123,7 +132,8 @@ def a30_lump_other(spark, sf):
 
 
 @query(f"""WITH h AS (SELECT dataset, field, CAST(least(CASE WHEN x >= 50 THEN 5 WHEN x >= 20 THEN 4 WHEN x >= 10 THEN 3 WHEN x >= 5 THEN 2 WHEN x >= 1 THEN 1 ELSE 0 END, 4) AS INT) AS bin FROM ({LONG}) WHERE x BETWEEN 0 AND 50),
-    g AS (SELECT dataset, field, bin, count(*) AS n FROM h GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY dataset, field) / [1, 4, 5, 10, 30][bin + 1], 6) AS density FROM g""")
+    k AS (SELECT DISTINCT dataset, field, CAST(b AS INT) AS bin FROM ({LONG}), range(5) t(b)), g AS (SELECT k.dataset, k.field, k.bin, count(h.bin) AS n FROM k LEFT JOIN h ON h.dataset = k.dataset AND h.field = k.field AND h.bin = k.bin GROUP BY ALL)
+    SELECT *, round(n / sum(n) OVER (PARTITION BY dataset, field) / [1, 4, 5, 10, 30][bin + 1], 6) AS density FROM g""")
 def a31_histogram(spark, sf):
     return rounded(R.histogram(long(spark, sf), [0, 1, 5, 10, 20, 50]))
 

@@ -39,13 +39,15 @@ def p4_canon_token(spark, sf):
 
 @query("""SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'rot' WHEN 'blue' THEN 'blau' WHEN 'hot' THEN 'heiss' ELSE split_part(p_name, ' ', 1) END AS first_word,
     array_to_string(list_transform(string_split(p_name, ' '), lambda x: CASE x WHEN 'red' THEN 'rot' WHEN 'blue' THEN 'blau' WHEN 'hot' THEN 'heiss' ELSE x END), '|') AS words,
-    CASE WHEN p_type = 'SMALL' THEN 'klein' ELSE p_type END AS map_key FROM part""")
+    CASE WHEN p_type = 'SMALL' THEN 'klein' ELSE p_type END AS map_key, CASE WHEN p_type = 'SMALL' THEN 'klein=2' ELSE p_type || '=1|klein=2' END AS merged FROM part""")
 def p5_translate(spark, sf):
     words = F.split("p_name", " ")
     renamed = P.translate_map_keys(F.create_map("p_type", F.lit(1)), {"SMALL": "klein"})
+    merged = P.translate_map_keys(F.create_map("p_type", F.lit(1), F.lit("klein "), F.lit(2)), {"SMALL": "klein"})  # keys may meet
+    pairs = F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return table(spark, sf, "part").select(
         "p_partkey", P.translate_values(words[0], COLOURS).alias("first_word"),
-        F.array_join(P.translate_values(words, COLOURS, is_list=True), "|").alias("words"), F.map_keys(renamed)[0].alias("map_key"),
+        F.array_join(P.translate_values(words, COLOURS, is_list=True), "|").alias("words"), F.map_keys(renamed)[0].alias("map_key"), P.join_multi(pairs).alias("merged"),
     )
 
 
@@ -103,14 +105,17 @@ TAXONOMY = {"shots": ["red", "blue", "bolt", "ring"], "tone": ["SMALL", "LARGE",
 
 @query("""SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name, ' '), lambda x: CASE x WHEN 'rod' THEN 'bolt' ELSE x END), lambda x: x IN ('red', 'blue', 'bolt', 'ring')), '|') AS shots,
     CASE WHEN p_type IN ('SMALL', 'LARGE', 'ECONOMY') THEN p_type ELSE '' END AS tone, round(greatest(0, least(1, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size / 40.0 END)), 6) AS score,
-    array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x IN ('red', 'blue', 'bolt', 'ring', 'SMALL', 'LARGE', 'ECONOMY')), '|') AS tags FROM part""")
+    array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x IN ('red', 'blue', 'bolt', 'ring', 'SMALL', 'LARGE', 'ECONOMY')), '|') AS tags,
+    CASE WHEN p_size % 3 = 0 THEN '' WHEN split_part(p_name, ' ', 1) IN ('red', 'hot') THEN split_part(p_name, ' ', 1) ELSE '' END AS colour FROM part""")
 def p12_clamp(spark, sf):
     p = table(spark, sf, "part").select(
         "p_partkey", F.split("p_name", " ").alias("shots"), F.col("p_type").alias("tone"),
         F.when(F.col("p_size") % 5 == 0, "bad").otherwise((F.col("p_size") / 40).cast("string")).alias("score"), F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("tags"),
+        F.when(F.col("p_size") % 3 == 0, "").otherwise(F.split("p_name", " ")[0]).alias("colour"),
     )
-    out = P.clamp_to_taxonomy(p, TAXONOMY, {"shots": {"rod": "bolt"}}, ["shots"], ["tone"], "score", "tags")
-    return rounded(out.withColumns({"shots": P.join_multi("shots"), "tags": P.join_multi("tags")}))
+    out = P.clamp_to_taxonomy(p, {**TAXONOMY, "colour": ["red", "hot"]}, {"shots": {"rod": "bolt"}}, ["shots", "colour"], ["tone"], "score", "tags")
+    every = F.array(*map(F.lit, (v for vs in TAXONOMY.values() for v in vs)))
+    return rounded(out.withColumns({"shots": P.join_multi("shots"), "tags": P.join_multi(F.filter("tags", lambda t: F.array_contains(every, t))), "colour": P.join_multi("colour")}))
 
 
 @query("""SELECT l_returnflag, movement, tone, count(*) AS n FROM (SELECT l_returnflag,
@@ -154,7 +159,7 @@ def p16_duration(spark, sf):
     return o.select("o_orderkey", seconds.alias("seconds"), P.format_duration(seconds.cast("double")).alias("text"))
 
 
-@query(f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN turn WHEN 1 THEN conv_id END AS n, CASE WHEN turn % 3 < 2 THEN role END AS role
+@query(f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN turn WHEN 1 THEN conv_id END AS n, CASE WHEN turn % 3 < 2 THEN role END AS role, true AS object
     FROM (SELECT conv_id, turn, role FROM conversations)""")
 def p17_extract_json(spark, sf):
     s, k = (lambda c: F.col(c).cast("string")), F.col("turn") % 3
@@ -163,10 +168,11 @@ def p17_extract_json(spark, sf):
         F.when(k == 0, F.concat(F.lit('<think>{"n": 0}</think> Answer: ```json\n'), body("turn"), F.lit(",}```")))
         .when(k == 1, F.concat(body("conv_id"), F.lit("}"))).otherwise(F.col("role"))
     )
-    return table(spark, sf, "conversations").select("conv_id", "turn", P.extract_json(text, "n bigint, role string").alias("o")).select("conv_id", "turn", "o.n", "o.role")
+    out = table(spark, sf, "conversations").select("conv_id", "turn", P.extract_json(text, "n bigint, role string").alias("o"))
+    return out.select("conv_id", "turn", "o.n", "o.role", F.col("o").isNotNull().alias("object"))
 
 
-@query("""SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AND p_type <> 'PROMO' AS valid FROM part""")
+@query("""SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AND p_type <> 'PROMO' AS valid, valid AS wrapped, valid AS half_wrapped FROM part""")
 def p18_valid(spark, sf):
     words, none = F.split("p_name", " "), F.array().cast("array<string>")
     doc = F.struct(
@@ -174,7 +180,10 @@ def p18_valid(spark, sf):
         F.col("p_brand").alias("editing_rhythm"), F.when(F.col("p_type") != "PROMO", "x").otherwise(" ").alias("color_tone"), F.lit("y").alias("lighting_style"),
         F.when(F.col("p_size") % 3 == 0, "high").otherwise("0.5").alias("confidence_score"),
     )
-    return table(spark, sf, "part").select("p_partkey", P.is_valid_annotation(doc).alias("valid"))
+    inner = F.struct(doc.alias("video_analysis"), F.lit("x").alias("other"))
+    p = table(spark, sf, "part").select("p_partkey", doc.alias("bare"), F.struct(inner.alias("analysis"), F.lit(1).alias("stats")).alias("row"), inner.alias("half"))
+    valid = lambda c: P.is_valid_annotation(P.annotation_of(p, c))
+    return p.select("p_partkey", valid("bare").alias("valid"), valid("row").alias("wrapped"), valid("half").alias("half_wrapped"))
 
 
 @query("""SELECT o_orderkey, o_orderstatus = 'F' AS text_missing, o_custkey % 2 = 0 AS number_missing FROM orders""")
@@ -187,14 +196,17 @@ def p19_missing(spark, sf):
 
 @query("""SELECT p_partkey, CASE WHEN p_type IN ('SMALL') THEN 0 ELSE 1 END AS is_fast, CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END AS is_warm,
     CASE WHEN list_contains(string_split(p_name, ' '), 'red') THEN 1 ELSE 0 END AS has_pan, CASE WHEN list_has_any(string_split(p_name, ' '), ['hot', 'bolt']) THEN 1 ELSE 0 END AS high_risk,
-    CASE WHEN list_has_any(string_split(p_name, ' '), ['cold', 'bolt']) THEN 1 ELSE 0 END AS low_risk FROM part""")
+    CASE WHEN list_has_any(string_split(p_name, ' '), ['cold', 'bolt']) THEN 1 ELSE 0 END AS low_risk, CASE WHEN p_size >= 25 THEN 1 ELSE 0 END AS own_is_fast,
+    CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS is_high_contrast FROM part""")
 def p20_flags(spark, sf):
     words = F.split("p_name", " ")
     flags = P.risk_flags(
-        F.when(F.col("p_type") == "SMALL", "slow").otherwise("fast"), F.when(F.col("p_brand") == "Brand#1", "warm_tone"), F.lit("x"),
-        P.translate_values(words, {"red": "pan_horizontal"}, is_list=True), words, ["hot", "bolt"], ["cold", "bolt"],
+        F.when(F.col("p_type") == "SMALL", "slow").otherwise(" Very Fast"), F.when(F.col("p_brand") == "Brand#1", "Warm tone"),
+        F.when(F.col("p_size") % 2 == 0, "High-Contrast").otherwise("x"), P.translate_values(words, {"red": "Pan/Horizontal"}, is_list=True), words, ["hot", "bolt"], ["cold", "bolt"],
     )
-    return table(spark, sf, "part").select("p_partkey", *[flags[n].alias(n) for n in ("is_fast", "is_warm", "has_pan", "high_risk", "low_risk")])
+    own = P.risk_flags(P.label_rhythm(F.col("p_size") / 5), F.lit("x"), F.lit("x"), words, words, ["hot"], ["cold"])["is_fast"]
+    names = ("is_fast", "is_warm", "is_high_contrast", "has_pan", "high_risk", "low_risk")
+    return table(spark, sf, "part").select("p_partkey", *[flags[n].alias(n) for n in names], own.alias("own_is_fast"))
 
 
 @query("""SELECT p_partkey, round(greatest(p_size - 10, 0) / greatest(p_size % 7, 1), 6) AS per_shot,
@@ -213,10 +225,13 @@ def p22_flags(spark, sf):
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 3 = 0)[1:20], lambda x: CAST(x AS DOUBLE))), 5) AS thin,
-    20 AS thin_mask, 80 AS padded, 64 AS pad_mask, '0,1|2,3|-1,-1|-1,-1' AS segments FROM embeddings""")
+    CAST(least(len(embedding), 20) AS INT) AS thin_mask, CAST(greatest(len(embedding), 80) AS INT) AS padded, CAST(least(len(embedding), 80) AS INT) AS pad_mask,
+    array_to_string(list_concat(list_transform(range(0, vec_id % 6), lambda i: CAST(i AS VARCHAR) || ',' || CAST(vec_id AS VARCHAR)), list_transform(range(0, 4), lambda i: '-1,-1'))[1:4], '|') AS segments FROM embeddings""")
 def p23_fix_length(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    e = e.select("vec_id", P.fix_length("v", 20).alias("s"), P.fix_length("v", 80).alias("l"), P.pad_segments(F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(2), F.lit(3))), 4).alias("p"))
+    numbers = F.when(F.col("vec_id") % 6 > 0, F.sequence(F.lit(0), (F.col("vec_id") % 6).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    segments = F.transform(numbers, lambda i: F.array(i, F.col("vec_id").cast("int")))
+    e = e.select("vec_id", P.fix_length("v", 20).alias("s"), P.fix_length("v", 80).alias("l"), P.pad_segments(segments, 4).alias("p"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     ones = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     text = F.array_join(F.transform("p", lambda x: F.array_join(x.cast("array<string>"), ",")), "|")
@@ -280,3 +295,18 @@ def k7_reconcile(spark, sf):
 @query(f"""WITH {RECONCILE} SELECT doc_id, 'invalid' AS reason FROM o WHERE toxic <> 0 UNION ALL SELECT doc_id, 'orphan' FROM o WHERE doc_id NOT IN (SELECT doc_id FROM i)""")
 def k7_failures(spark, sf):
     return K.failures(table(spark, sf, "documents").filter("lang <> 'en'").select("doc_id"), table(spark, sf, "labels"), "doc_id", F.col("toxic") == 0)
+
+
+@query(f"""WITH {RECONCILE}, f AS (SELECT doc_id, 'invalid' AS reason FROM o WHERE toxic <> 0 UNION ALL SELECT doc_id, 'orphan' FROM o WHERE doc_id NOT IN (SELECT doc_id FROM i))
+    SELECT reason, count(*) AS n FROM f GROUP BY reason UNION ALL SELECT 'total', count(*) FROM f""")
+def k7_failure_report(spark, sf):
+    failed = K.failures(table(spark, sf, "documents").filter("lang <> 'en'").select("doc_id"), table(spark, sf, "labels"), "doc_id", F.col("toxic") == 0)
+    return K.failure_report(failed)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) || '.json' AS file, 'out/' || CAST(doc_id AS VARCHAR) || '.json' AS path,
+    CASE WHEN quality = 0 THEN '' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') END AS modified, CASE WHEN toxic = 0 THEN 'NO' ELSE 'YES' END AS is_empty FROM labels""")
+def k7_output_detail(spark, sf):
+    at = F.when(F.col("quality") != 0, F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")))
+    outputs = table(spark, sf, "labels").select(F.concat(F.lit("out/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("p"), at.alias("t"), "toxic")
+    return K.output_detail(outputs, "p", "t", F.col("toxic") == 0)

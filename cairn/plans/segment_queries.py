@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as P
@@ -89,14 +91,20 @@ def a42_host_summary(spark, sf):
     return rounded(rounded(L.host_summary(samples), 10, ["free_gib_mean", "free_gib_p95"]), 6, ["us_mean", "sy_mean", "wa_mean", "id_mean", "id_p95"])
 
 
+def hms_sql(c: str) -> str:
+    c = f"CAST({c} AS BIGINT)"
+    return f"CASE WHEN {c} IS NULL THEN '' WHEN {c} >= 3600 THEN printf('%02d:%02d:%02d', {c} // 3600, {c} % 3600 // 60, {c} % 60) ELSE printf('%02d:%02d', {c} // 60, {c} % 60) END"
+
+
 @query(f"""WITH {EPOCHS}, t AS (SELECT run, CAST(epoch AS VARCHAR) AS epoch, max(CASE WHEN role = 'user' THEN n END) AS tr, max_by(CASE WHEN role = 'assistant' THEN n + 2 END, CASE WHEN role = 'assistant' THEN turn END) AS va, 1 AS k
       FROM c WHERE epoch IS NOT NULL GROUP BY run, epoch), a AS (SELECT run, 'ALL' AS epoch, sum(tr) AS tr, sum(va) AS va, count(*) AS k FROM t GROUP BY run),
     l AS (SELECT run, max_by(n + 1, turn) AS bar FROM c WHERE role = 'user' GROUP BY run)
-    SELECT run, epoch, CAST(tr AS BIGINT) AS train_sec, CAST(va AS BIGINT) AS val_sec, CAST(CASE WHEN epoch = 'ALL' THEN bar END AS INT) AS test_sec, CASE WHEN epoch = 'ALL' THEN k END AS n_epochs
+    SELECT run, epoch, CAST(tr AS BIGINT) AS train_sec, CAST(va AS BIGINT) AS val_sec, CAST(CASE WHEN epoch = 'ALL' THEN bar END AS INT) AS test_sec, CASE WHEN epoch = 'ALL' THEN k END AS n_epochs,
+      {hms_sql('tr')} AS train_hms, {hms_sql('va')} AS val_hms
     FROM (SELECT * FROM t UNION ALL SELECT * FROM a) JOIN l USING (run)""")
 def a43_epoch_breakdown(spark, sf):
     parsed = L.parse_training_log(log(spark, sf))
-    return L.epoch_breakdown(parsed["epochs"], parsed["run"]).drop("train_hms", "val_hms")
+    return L.epoch_breakdown(parsed["epochs"], parsed["run"])
 
 
 @query(f"""WITH {EPOCHS}, m AS (SELECT run, epoch, max_by(n % 97 / 100, turn) AS f1 FROM c WHERE role = 'assistant' GROUP BY run, epoch)
@@ -237,11 +245,14 @@ def v6_quantile_code_relative(spark, sf):
 
 
 def shared_path(spark, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset, as in tests, in one of this machine if Spark runs in it alone."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='cairn-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS video_id, turn AS n, true AS good FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT NULL, NULL, false FROM conversations WHERE turn % 3 <> 0")
@@ -283,8 +294,20 @@ def s8_write_report(spark, sf):
     return spark.read.parquet(path).select("field", "value", "n")
 
 
-@query("SELECT p_partkey, 8 AS dim, '1' AS version FROM part")
+@query("""WITH c AS (SELECT quantile_cont(p_retailprice, 0.99) AS c FROM part), x AS (SELECT *, ln(1 + least(p_retailprice, c)) AS v FROM part CROSS JOIN c), s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM x),
+    t AS (SELECT list_sort(list(DISTINCT p_type)) AS types FROM part)
+    SELECT p_partkey, CAST(len(types) + 2 AS INT) AS dim, '1' AS version, round((v - m) / s, 4) AS price, CAST(list_position(types, p_type) + 2 AS INT) AS type_at FROM x CROSS JOIN s CROSS JOIN t""")
 def s9_write_features(spark, sf):
     path, p = shared_path(spark, "features"), parts(spark, sf)
     IO.write_features(X.feature_matrix(p, "p_partkey", X.fit_scaler(p, ["p_retailprice"]), X.vocabulary(p, ["p_type"]), layout="reduced"), path)
-    return spark.read.parquet(path).select("p_partkey", "dim", "version")
+    at = F.array_position(F.slice("vector", 2, 10_000), F.lit(1.0).cast("float")).cast("int") + 1
+    return spark.read.parquet(path).select("p_partkey", "dim", "version", F.round(F.get("vector", F.lit(0)).cast("double"), 4).alias("price"), at.alias("type_at"))
+
+
+@query("""WITH c AS (SELECT quantile_cont(p_retailprice, 0.99) AS c FROM part), x AS (SELECT *, ln(1 + least(p_retailprice, c)) AS v FROM part CROSS JOIN c), s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM x)
+    SELECT p_partkey, round((v - m) / s, 4) AS price, CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS large, 2 AS dim FROM x CROSS JOIN s""")
+def a47_flags_layout(spark, sf):
+    p = parts(spark, sf)
+    m = X.feature_matrix(p, "p_partkey", X.fit_scaler(p, ["p_retailprice"]), {}, flags={"large": P.flag(F.col("p_size") > 25)}, layout="flags")
+    at = lambda i: F.get("vector", F.lit(i)).cast("double")
+    return m.select("p_partkey", F.round(at(0), 4).alias("price"), at(1).alias("large"), "dim")

@@ -58,7 +58,7 @@ def test_format_duration_rounds_half_to_even(spark):
 )
 def test_extract_json(spark, text, want):
     out = one(spark, text, "string", lambda c: P.extract_json(c, "n int"))
-    assert (out and out.n) == want
+    assert out.n == want
 
 
 def test_pydict_and_namespace(spark):
@@ -178,7 +178,8 @@ def test_bins(spark):
     assert {r.bin for r in S.qcut(df, "x", 4).collect()} == {None, 0, 1, 2} - set()
     assert {r.bin for r in S.qcut(df, "x", 3, ["low", "mid", "high"]).collect()} <= {None, "low", "mid", "high"}
     same = spark.createDataFrame([(1.0,), (1.0,)], "x double")
-    assert [r.bin for r in S.cut(same, "x", 3).collect()] == [0, 0]
+    assert [r.bin for r in S.cut(same, "x", 3).collect()] == [1, 1]
+    assert [r.bin for r in S.cut(same, "x", 4).collect()] == [1, 1]
 
 
 def test_training_log(spark):
@@ -250,3 +251,58 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "q.csv").write_text("vid,label\na,1\n")
         IO.read_predictions(spark, str(tmp_path / "q.csv"), "m1")
+
+
+def test_quantiles_are_exact(spark):
+    """Distributed quantiles against Spark's percentile, with ties, one value, nulls and NaN."""
+    import random
+
+    from cairn.operators import ranks
+
+    rng = random.Random(4)
+    rows = [("a", round(rng.gauss(0, 3), 1)) for _ in range(700)] + [("b", 5.0)] + [("c", float(i)) for i in range(500)] + [("d", None), ("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "field string, x double").withColumn("x", P.to_double("x"))
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.field: r.q for r in ranks.quantiles(df, ["field"], at).collect()}
+    want = {r.field: r.q for r in df.groupBy("field").agg(F.percentile("x", at).alias("q")).collect() if r.q}
+    assert set(got) == set(want) == {"a", "b", "c"}
+    for f in want:
+        assert got[f] == pytest.approx(want[f], abs=1e-9)
+    near = {r.field: r.q for r in ranks.quantiles(df, ["field"], at, accuracy=10_000).collect()}
+    assert all(abs(a - b) <= 0.2 + (1 if f == "c" else 0) for f in want for a, b in zip(near[f], want[f]))
+    assert ranks.quantiles(df.limit(0), ["field"], at).count() == 0
+
+
+def test_running_totals(spark):
+    from cairn.operators import ranks
+
+    counts = spark.createDataFrame([("a", float(i), i % 3) for i in range(300)] + [("b", 1.0, 2)], "f string, x double, n long")
+    got = {(r.f, r.x): r for r in ranks.running(counts, ["f"], "x", ["n"], parts=7).collect()}
+    total = 0
+    for i in range(300):
+        total += i % 3
+        r = got["a", float(i)]
+        assert (r.n_upto, r.n_all, r.x_next) == (total, 300, float(i + 1) if i < 299 else None)
+    assert (got["b", 1.0].n_upto, got["b", 1.0].x_next) == (2, None)
+
+
+def test_pairs_that_never_meet(spark):
+    """More features than are listed at first: pairs that never meet may be the strongest."""
+    from math import sqrt
+
+    sets = {k: {f"f={k % 7}", f"g={k % 11}", *(["h=1"] if k < 40 else ["h=2"])} for k in range(80)}
+    rows = [(k, f) for k, fs in sets.items() for f in fs]
+    n, names = 80, sorted({f for _, f in rows})
+    has = {f: {k for k, g in rows if g == f} for f in names}
+    phi = lambda a, b: (n * len(has[a] & has[b]) - len(has[a]) * len(has[b])) / sqrt(len(has[a]) * (n - len(has[a])) * len(has[b]) * (n - len(has[b])))
+    want = sorted(((round(-abs(phi(a, b)), 9), a, b) for i, a in enumerate(names) for b in names[i + 1 :]))[:12]
+    df = spark.createDataFrame(rows, "k long, feature string")
+    got = [(round(-r.abs_r, 9), r.a, r.b) for r in A.binary_pair_corr(df, "k", n, 12, start=2).collect()]
+    assert got == want
+    first = A.binary_pair_corr(df, "k", n, 1, fields=["h", "g", "f"], start=2).first()
+    assert (first.a, first.b) == ("h=1", "h=2")
+
+
+def test_a_field_of_one_side_is_left_out(spark):
+    rows = [("r", "x", float(i)) for i in range(60)] + [("t", "x", float(i)) for i in range(60)] + [("r", "y", float(i)) for i in range(200)]
+    assert {r.field for r in R.two_sample_summary(spark.createDataFrame(rows, "dataset string, field string, x double")).collect()} == {"x"}
