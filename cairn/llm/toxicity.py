@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +30,20 @@ SAMPLE, MOST_CHARS = 3000, 20_000
 SIGMAS, RATIO = 6.0, 8.0
 
 
+#: Lengths of the beginnings of words that are features.
+KINDS = range(3, 9)
+
+
+def feature_of(token: str, kind: int) -> str | None:
+    """The word itself (kind 0) or one of its beginnings; None if it is too short."""
+    if not kind:
+        return token
+    n = KINDS[kind - 1]
+    return f"{token[:n]}*" if len(token) >= n else None
+
+
 def features(token: str) -> list[str]:
-    return [token, *(f"{token[:n]}*" for n in range(3, 9) if len(token) >= n)]
+    return [f for kind in range(len(KINDS) + 1) if (f := feature_of(token, kind))]
 
 
 @dataclass
@@ -92,11 +103,11 @@ def marginals(s: np.ndarray, sizes: np.ndarray, edge: np.ndarray, lanes: Lanes |
 def pair_sums(s: np.ndarray, lanes: Lanes, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of state 1 of each token, expected number of steps from state a to state b: 2 x 2)."""
     odds, ahead, back = passes(lanes.laid(s, -30.0), lanes.start, edge)
-    t, f, after = np.exp(edge), ahead[:-1], odds[1:] * back[1:]
-    joint = np.stack([(1 - f) * t[0, 0], (1 - f) * t[0, 1] * after, f * t[1, 0], f * t[1, 1] * after])
-    joint = joint / joint.sum(axis=0) * ~lanes.start[1:]
+    t, f, after, inside = np.exp(edge), ahead[:-1], odds[1:] * back[1:], ~lanes.start[1:]
+    joint = [(1 - f) * t[0, 0], (1 - f) * t[0, 1] * after, f * t[1, 0], f * t[1, 1] * after]
+    whole = inside / sum(joint)
     one = ahead * back
-    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell], joint.sum(axis=(1, 2)).reshape(2, 2)
+    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell], np.array([(x * whole).sum() for x in joint]).reshape(2, 2)
 
 
 @dataclass
@@ -141,69 +152,77 @@ class Model:
         return sigmoid(x @ self.final[:-1] + self.final[-1])
 
 
-def marks(rows: list[tuple[list[str], int]]) -> set[str]:
-    """Features of words that mark toxic tokens."""
-    n1 = sum(y for _, y in rows)
-    seen = {0: Counter(), 1: Counter()}
-    for tokens, y in rows:
-        seen[y].update({f for t in set(tokens) for f in features(t)})
-    p = n1 / len(rows)
-    out = set()
-    for f, a in seen[1].items():
-        n = a + seen[0][f]
-        rate1, rate0 = a / n1, (seen[0][f] + 0.5) / (len(rows) - n1 + 1)
-        if (a - n * p) / np.sqrt(n * p * (1 - p)) >= SIGMAS and rate1 / rate0 >= RATIO:
-            out.add(f)
+def marks(names: list[str], ids: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> set[str]:
+    """Features of words that mark toxic tokens. names: the distinct tokens; ids: those of all texts' tokens; owner: their texts; toxic:
+    whether a text is. One kind of feature is counted at a time: whole words, then beginnings of each length."""
+    n, n1, out = len(toxic), int(toxic.sum()), set()
+    p = n1 / n
+    for kind in range(len(KINDS) + 1):
+        own: dict[str, int] = {}
+        feature = np.array([own.setdefault(f, len(own)) if (f := feature_of(t, kind)) else -1 for t in names], dtype=np.int64)
+        pairs = owner * max(1, len(own)) + feature[ids]
+        pairs = np.unique(pairs[feature[ids] >= 0])
+        texts, f = pairs // max(1, len(own)), pairs % max(1, len(own))
+        seen, seen1 = np.bincount(f, minlength=len(own)), np.bincount(f[toxic[texts]], minlength=len(own))
+        z = (seen1 - seen * p) / np.sqrt(np.maximum(seen, 1) * p * (1 - p))
+        ratio = (seen1 / n1) / ((seen - seen1 + 0.5) / (n - n1 + 1))
+        good = (z >= SIGMAS) & (ratio >= RATIO) & (seen1 > 0)
+        out |= {name for name, i in own.items() if good[i]}
     return out
 
 
 def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 60) -> Model:
-    """rows: (doc_id, text, label); all their tokens are learnt from. Without rows of both classes the score is the share of toxic
-    rows, or near 0."""
-    data = [(TOKEN.findall(text.lower()), y) for _, text, y in rows]
-    n1 = sum(y for _, y in data)
-    total = sum(counts.values())
-    if not 0 < n1 < len(data):
+    """rows: (doc_id, text, label); all their tokens are learnt from, by the features that toxic ones have. Without rows of both classes
+    the score is the share of toxic rows, or near 0."""
+    y = np.array([r[2] for r in rows], dtype=bool)
+    n1, total = int(y.sum()), sum(counts.values())
+    if not 0 < n1 < len(y):
         share = (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.01
         return Model(final=np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    marked = marks(data)
-    tokens: dict[str, int] = {}
-    sizes = np.array([len(t) for t, _ in data], dtype=np.int64)
-    ids = np.fromiter((tokens.setdefault(x, len(tokens)) for t, _ in data for x in t), dtype=np.int64, count=int(sizes.sum()))
-    owned = [features(t) for t in tokens]
-    times = np.bincount(ids, minlength=len(tokens))
-    common: Counter = Counter()
-    for own, n in zip(owned, times.tolist(), strict=True):
-        for f in own:
-            common[f] += n
-    index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in common.items() if n >= 3 or f in marked))}
-    held = np.zeros((len(tokens), 7), dtype=np.int64)  # the features of each distinct token; 0 stands for none
-    for row, own in zip(held, owned, strict=True):
-        f = [index[x] for x in own if x in index]
-        row[: len(f)] = f
-    toxic = np.array([any(f in marked for f in own) for own in owned], dtype=bool)
-    gold = (toxic[ids] & np.repeat([y == 1 for _, y in data], sizes)).astype(float)
-    lanes = Lanes.of(sizes)
-    first = np.zeros(len(ids), dtype=bool)
-    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    step = np.flatnonzero(~first)
-    seen = np.bincount((2 * gold[step - 1] + gold[step]).astype(np.int64), minlength=4).reshape(2, 2)
+    # texts of like length together, so that lanes are full
+    order = np.argsort([-len(r[1]) for r in rows], kind="stable")
+    y, tokens, texts = y[order], {}, []
+    for k in order:
+        found = TOKEN.findall(rows[k][1].lower())
+        texts.append(np.fromiter((tokens.setdefault(t, len(tokens)) for t in found), dtype=np.int32, count=len(found)))
+    names, sizes = list(tokens), np.array(list(map(len, texts)), dtype=np.int64)
+    ids, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    del texts, tokens
+    marked = marks(names, ids, owner, y)
+    toxic = np.array([any(f in marked for f in features(t)) for t in names], dtype=bool)
+    gold = (toxic[ids] & y[owner]).astype(np.float64)
+    known = sorted({f for t, bad in zip(names, toxic.tolist(), strict=True) if bad for f in features(t)})
+    index = {f: i + 1 for i, f in enumerate(known)}
+    held = np.zeros((len(names), len(KINDS) + 1), dtype=np.int32)  # the features of each distinct token; 0 stands for none
+    for row, t in enumerate(names):
+        held[row] = [index.get(feature_of(t, kind), 0) for kind in range(len(KINDS) + 1)]
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER // 2, sizes.sum(), TOGETHER // 2)) + 1
+    parts = [(k, Lanes.of(sizes[k])) for k in np.split(np.arange(len(sizes)), np.unique(cuts)) if len(k)]
+    ends = np.r_[0, np.cumsum(sizes)]
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    seen = np.bincount((2 * gold[same] + gold[same + 1]).astype(np.int64), minlength=4).reshape(2, 2)
+    del same, owner
     w, edge, bias = np.zeros(len(index) + 1), np.zeros((2, 2)), np.array([-3.0])
     adam = Adam(w, edge, bias, rate=0.2)
     for _ in range(steps):
-        p, expected = pair_sums((w[held].sum(axis=1) + bias[0])[ids], lanes, edge)
-        # the slope of the log likelihood, for each text, is what the model expects less what the labels have
-        slope = (p - gold) / len(data)
-        by_token = np.bincount(ids, slope, minlength=len(tokens))
-        gw = np.bincount(held.reshape(-1), np.repeat(by_token, held.shape[1]), minlength=len(w)) + 1e-5 * w
+        score, by_token, ge = w[held].sum(axis=1) + bias[0], np.zeros(len(names)), -seen.astype(float)
+        for k, lanes in parts:
+            at = slice(ends[k[0]], ends[k[-1] + 1])
+            p, expected = pair_sums(score[ids[at]], lanes, edge)
+            # the slope of the log likelihood is what the model expects less what the labels have
+            by_token += np.bincount(ids[at], p - gold[at], minlength=len(names))
+            ge += expected
+        slope = by_token / len(y)
+        gw = np.bincount(held.reshape(-1), np.repeat(slope, held.shape[1]), minlength=len(w)) + 1e-5 * w
         gw[0] = 0
-        adam.step(gw, (expected - seen) / len(data) + 1e-3 * edge, np.array([slope.sum()]))
-    names = sorted(index, key=index.get)
-    model = Model({f: float(w[index[f]]) for f in names if abs(w[index[f]]) > 1e-4}, edge, bias=float(bias[0]))
-    x = np.array([model.document(p) for p in model.tokens([t for t, _ in data])])
-    labels = np.array([v for _, v in data], dtype=float)
-    weight = np.where(labels == 1, counts[1] / n1, counts[0] / (len(data) - n1))
-    model.final = logistic(x, labels, weight / weight.mean())
+        adam.step(gw, ge / len(y) + 1e-3 * edge, np.array([slope.sum()]))
+    model = Model({f: float(w[i]) for f, i in index.items()}, edge, bias=float(bias[0]))
+    score, x = w[held].sum(axis=1) + bias[0], []
+    for k, lanes in parts:
+        p = marginals(score[ids[ends[k[0]] : ends[k[-1] + 1]]], sizes[k], edge, lanes)
+        x += [model.document(q) for q in np.split(p, np.cumsum(sizes[k])[:-1])]
+    weight = np.where(y, counts[1] / n1, counts[0] / (len(y) - n1))
+    model.final = logistic(np.array(x), y.astype(float), weight / weight.mean())
     return model
 
 
