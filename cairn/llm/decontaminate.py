@@ -104,7 +104,7 @@ class Matcher:
             distance, end = min((d, a + e) for a, b in joined for d, e in [myers(item, text[a:b])])
             if distance <= k:
                 found.append((item_id, distance, end))
-        return sorted(found)
+        return sorted(found, key=lambda x: (x[0] is None, *x[1:], x[0] or 0))
 
 
 HITS = "doc_id long, item_id long, distance int, end long"

@@ -456,3 +456,53 @@ def test_quality_of_hard_rows(spark):
     rows = [(i, "plain words in a line" if i % 2 else "SHOUT!! SHOUT!! SHOUT!!", i % 2) for i in range(60)]
     got = quality.score(docs, quality.fit(rows, {0: 30, 1: 30})).collect()
     assert len(got) == len(HARD) and all(0 <= r.score <= 1 for r in got)
+
+
+def index_by_hand(word):
+    m, c = (1 << 64) - 1, zlib.crc32(word.encode())
+    for _ in range(2):
+        c = ((c ^ c >> 32) * 0xD6E8FEB86659FD93) & m
+    c ^= c >> 32
+    out, part = [0.0] * quality.DIM, quality.DIM // quality.ONES
+    for k in range(quality.ONES):
+        own = c >> 10 * k
+        out[k * part + (own & 511) % part] = 1.0 if own >> 9 & 1 else -1.0
+    return np.array(out)
+
+
+def test_quality_by_hand(spark):
+    """Vectors and network in plain Python, on repeated, unknown and no words."""
+    rows = [(i, "plain words in a line of text" if i % 2 else "SHOUT!! 12 SHOUT!! SHOUT!!", i % 2) for i in range(60)] + [(99, "seen once", 1)]
+    model = quality.fit(rows, {0: 30, 1: 31})
+    split = [quality.WORD.findall(t) for _, t, _ in rows]
+    both = lambda word: index_by_hand(word) + index_by_hand(quality.shape(word))
+    near = defaultdict(list)
+    for words in split:
+        for i, word in enumerate(words):
+            around = sum((both(words[k]) for k in range(max(0, i - 2), min(len(words), i + 3)) if k != i), np.zeros(quality.DIM))
+            near[word].append(around)
+            near[quality.shape(word)].append(around)
+            for gap, name in zip((1, 2), quality.AGAIN):
+                if i >= gap and words[i - gap] == word:
+                    near[name].append(around)
+    mean = lambda name: np.mean(near[name], axis=0) / 4 if near[name] else np.zeros(quality.DIM)
+    for name, row in model.rows.items():
+        assert model.around[row].astype(float) == pytest.approx(mean(name), abs=2e-3)
+    assert "seen" not in model.rows and "plain" in model.rows
+    texts = ["plain SHOUT!! unknownword seen seen 12", "", None, "words words words", "\u00c9t\u00e9 \u65e5\u672c"]
+    around = lambda name: model.around[model.rows[name]].astype(float)
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string"), model).collect()}
+    m, std, w1, b1, w2, b2 = model.layers
+    for i, t in enumerate(texts):
+        words = quality.WORD.findall(t or "")
+        total = np.zeros(quality.DIM)
+        for k, word in enumerate(words):
+            total += index_by_hand(word) + index_by_hand(quality.shape(word)) + around(word if word in model.rows else quality.shape(word))
+            for gap, name in zip((1, 2), quality.AGAIN):
+                if k >= gap and words[k - gap] == word:
+                    total += index_by_hand(name) + around(name)
+        x = (total / max(1, len(words)) - m) / std
+        hidden = [max(0.0, sum(x[a] * w1[a, h] for a in range(len(x))) + b1[h]) for h in range(quality.HIDDEN)]
+        z = sum(a * b for a, b in zip(hidden, w2)) + b2[0]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z / model.temperature)), rel=1e-4)
+    assert got[5] == pytest.approx(got[0], rel=1e-9)
