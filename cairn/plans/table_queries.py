@@ -240,6 +240,11 @@ def a21_pmi(spark, sf):
     return rounded(C.pair_metric(C.pair_stats(tags(spark, sf), "p_partkey", top_k=40), "pmi"))
 
 
+@query(f"WITH t AS (SELECT * FROM {TAGS}), {PAIRS} SELECT a, b, co, pa, pb, CAST(co AS DOUBLE) AS value FROM r")
+def a21_count(spark, sf):
+    return C.pair_metric(C.pair_stats(tags(spark, sf), "p_partkey", top_k=40), "count")
+
+
 CELLS = f"""c AS (SELECT model, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 0 AND pred = 0) AS tn, count(*) FILTER (label = 1 AND pred = 0) AS fn
     FROM (SELECT 'pred_base' AS model, label, pred_base AS pred FROM {PREDICTIONS} UNION ALL SELECT 'pred_new', label, pred_new FROM {PREDICTIONS}) GROUP BY model)"""
 REPORT = f"""{CELLS}, p AS (SELECT model, 0 AS class, tn AS hit, fn AS wrong, fp AS miss FROM c UNION ALL SELECT model, 1, tp, fp, fn FROM c),
