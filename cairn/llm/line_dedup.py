@@ -38,7 +38,7 @@ DEPTH = 4
 BITS = 1 << 25
 #: Lines that a task looks at together for equal ones, rows and pairs that it compares in one go.
 AT_ONCE, TOGETHER, MOST_PAIRS = 100_000, 200_000, 4_000_000
-#: Rows of two or three numbers that are broadcast at most.
+#: Rows of a few numbers that are broadcast at most.
 FEW = 200_000
 SLACK = 1e-9
 
