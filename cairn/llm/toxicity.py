@@ -171,7 +171,7 @@ def marks(names: list[str], ids: np.ndarray, owner: np.ndarray, toxic: np.ndarra
     return out
 
 
-def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 60) -> Model:
+def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 40) -> Model:
     """rows: (doc_id, text, label); all their tokens are learnt from, by the features that toxic ones have. Without rows of both classes
     the score is the share of toxic rows, or near 0."""
     y = np.array([r[2] for r in rows], dtype=bool)
@@ -196,14 +196,14 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 6
     held = np.zeros((len(names), len(KINDS) + 1), dtype=np.int32)  # the features of each distinct token; 0 stands for none
     for row, t in enumerate(names):
         held[row] = [index.get(feature_of(t, kind), 0) for kind in range(len(KINDS) + 1)]
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER // 2, sizes.sum(), TOGETHER // 2)) + 1
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER, sizes.sum(), TOGETHER)) + 1
     parts = [(k, Lanes.of(sizes[k])) for k in np.split(np.arange(len(sizes)), np.unique(cuts)) if len(k)]
     ends = np.r_[0, np.cumsum(sizes)]
     same = np.flatnonzero(owner[1:] == owner[:-1])
     seen = np.bincount((2 * gold[same] + gold[same + 1]).astype(np.int64), minlength=4).reshape(2, 2)
     del same, owner
     w, edge, bias = np.zeros(len(index) + 1), np.zeros((2, 2)), np.array([-3.0])
-    adam = Adam(w, edge, bias, rate=0.2)
+    adam = Adam(w, edge, bias, rate=0.3)
     for _ in range(steps):
         score, by_token, ge = w[held].sum(axis=1) + bias[0], np.zeros(len(names)), -seen.astype(float)
         for k, lanes in parts:
