@@ -14,18 +14,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double
-from cairn.functions.stats import bins_below
 
 #: Ranges that the distinct values of a group are dealt to, and the accuracy of their bounds.
 PARTS, ACCURACY = 64, 2000
 
 
+def below(bounds: Column, x: Column, parts: int) -> Column:
+    """How many of up to `parts` ascending bounds are below x, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(parts.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) < x, step).otherwise(0))
+
+
 def running(counts: DataFrame, by: Sequence[str], x: str, sums: Sequence[str], parts: int = PARTS) -> DataFrame:
     """counts: one row for each (by, x), x a known number. Adds, for each column s of sums, s_upto (total of rows up to this one) and
     s_all (total of the group), and x_next, the next larger x (null for the last)."""
     by = list(by)
     bounds = counts.groupBy(*by).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], ACCURACY).alias("_bounds"))
-    t = counts.join(bounds, by).withColumn("_range", bins_below(F.col("_bounds"), F.col(x))).drop("_bounds")
+    t = counts.join(bounds, by).withColumn("_range", below(F.col("_bounds"), F.col(x), parts)).drop("_bounds")
     here = t.groupBy(*by, "_range").agg(F.min(x).alias("_first"), *[F.sum(s).alias(f"_{s}") for s in sums])
     order, whole = W.partitionBy(*by).orderBy("_range"), W.partitionBy(*by)  # at most `parts` rows a group
     here = here.select(
