@@ -7,7 +7,6 @@ forward-backward gives each token's marginal, and a calibrated sum of marginals
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,8 +21,8 @@ from cairn.llm.learn import Adam, logistic, sample, sigmoid
 from cairn.llm.words import groups
 
 TOKEN = re.compile(r"\w+")
-#: Tokens that are gone through together, and texts that stand side by side in them.
-TOGETHER, LANES = 1 << 20, 512
+#: Tokens that are gone through together, and tokens of a segment of a chain.
+TOGETHER, STEP = 1 << 18, 32
 #: Rows of either class that the model is fitted on, and the longest text among them.
 SAMPLE, MOST_CHARS = 3000, 20_000
 #: A feature marks toxic tokens from this many standard deviations and this ratio of rates.
@@ -47,67 +46,94 @@ def features(token: str) -> list[str]:
 
 
 @dataclass
-class Lanes:
-    """Texts laid end to end in lanes, so that a step goes on by one token in all lanes. cell[k]: place (step x lanes + lane) of the
-    k-th token of all texts; start: whether a place begins a text (or is empty), where the chain begins anew."""
+class Chains:
+    """Texts cut into segments of STEP tokens, one segment a column, so that a step goes on by one token in all segments. The chain goes
+    on across the cuts: what a segment does to either state is a 2 x 2 matrix, and the states at its ends follow from these.
+
+    cell[k]: place (step x segments + segment) of the k-th token of all texts; real: places that hold a token; first: segments
+    that begin a text; base, many: first segment and number of segments of each text with tokens, the longest text first."""
 
     cell: np.ndarray
-    start: np.ndarray
+    real: np.ndarray
+    first: np.ndarray
+    base: np.ndarray
+    many: np.ndarray
 
     @classmethod
-    def of(cls, sizes: np.ndarray) -> Lanes:
-        lanes = int(min(LANES, max(1, (sizes > 0).sum())))
-        heap, at = [(0, k) for k in range(lanes)], np.zeros((2, len(sizes)), dtype=np.int64)
-        for text in np.argsort(-sizes, kind="stable"):
-            end, lane = heap[0]
-            at[:, text] = end, lane
-            heapq.heapreplace(heap, (end + int(sizes[text]), lane))
-        steps = max(max(heap)[0], 1)
+    def of(cls, sizes: np.ndarray) -> Chains:
+        many = -(-sizes // STEP)
+        base, n = np.cumsum(many) - many, int(many.sum())
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        step, lane = np.repeat(at[0], sizes) + inside, np.repeat(at[1], sizes)
-        start = np.ones((steps, lanes), dtype=bool)
-        start[step, lane] = inside == 0
-        return cls(step * lanes + lane, start)
-
-    def laid(self, values: np.ndarray, empty: float) -> np.ndarray:
-        out = np.full(self.start.size, empty)
+        cell = inside % STEP * n + np.repeat(base, sizes) + inside // STEP
+        real, first = np.zeros(STEP * n, dtype=bool), np.zeros(n, dtype=bool)
+        real[cell] = True
+        first[base[sizes > 0]] = True
+        order = np.argsort(-many, kind="stable")[: (many > 0).sum()]
+        return cls(cell, real.reshape(STEP, n), first, base[order], many[order])
+
+    def laid(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.real.size)
         out[self.cell] = values
-        return out.reshape(self.start.shape)
-
-
-def passes(s: np.ndarray, start: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward over lanes; s: score of state 1 over state 0, edge: 2 x 2 transition scores. (odds of a token by itself;
-    share of state 1 so far; odds that what follows adds)."""
-    odds, t = np.exp(np.clip(s, -30, 30)), np.exp(edge)
-    ahead, back = np.empty_like(odds), np.ones_like(odds)
-    a = odds[0] / (1 + odds[0])
-    ahead[0] = a
-    for i in range(1, len(s)):
-        one = np.where(start[i], 1.0, a * t[1, 1] + (1 - a) * t[0, 1]) * odds[i]
-        a = one / (one + np.where(start[i], 1.0, a * t[1, 0] + (1 - a) * t[0, 0]))
-        ahead[i] = a
-    for i in range(len(s) - 2, -1, -1):
-        next_ = odds[i + 1] * back[i + 1]
-        back[i] = np.where(start[i + 1], 1.0, (t[1, 0] + t[1, 1] * next_) / (t[0, 0] + t[0, 1] * next_))
-    return odds, ahead, back
-
-
-def marginals(s: np.ndarray, sizes: np.ndarray, edge: np.ndarray, lanes: Lanes | None = None) -> np.ndarray:
+        return out.reshape(self.real.shape)
+
+    def passes(self, s: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward; s: score of state 1 over state 0 of each token, edge: 2 x 2 transition scores. For each place: odds of the
+        token by itself; share of state 1 before it and up to it; odds that what follows adds."""
+        odds, ((t00, t01), (t10, t11)), real, first = np.exp(np.clip(self.laid(s), -30, 30)), np.exp(edge), self.real, self.first
+        n = len(first)
+        m = np.repeat(np.array([1.0, 0.0, 0.0, 1.0])[:, None], n, axis=1)  # from state 0 to 0 and 1, from state 1 to 0 and 1
+        for k in range(STEP):
+            new = np.stack([m[0] * t00 + m[1] * t10, (m[0] * t01 + m[1] * t11) * odds[k], m[2] * t00 + m[3] * t10, (m[2] * t01 + m[3] * t11) * odds[k]])
+            if not k:  # nothing leads to a text's first token
+                new = np.where(first, np.stack([m[0], m[1] * odds[k], m[2], m[3] * odds[k]]), new)
+            m = np.where(real[k], new / new.sum(axis=0), m)
+        start, end = np.full(n, 0.5), np.ones(n)
+        longest = int(self.many[0]) if len(self.many) else 0
+        share, ratio = np.full(len(self.many), 0.5), np.ones(len(self.many))
+        for k in range(longest):
+            live = int(np.searchsorted(-self.many, -k, side="left"))  # texts of more than k segments
+            at = self.base[:live] + k
+            start[at] = a = share[:live]
+            one, zero = (1 - a) * m[1, at] + a * m[3, at], (1 - a) * m[0, at] + a * m[2, at]
+            share[:live] = one / (one + zero)
+        for k in range(longest - 1, -1, -1):
+            live = int(np.searchsorted(-self.many, -k, side="left"))
+            at = self.base[:live] + k
+            end[at] = r = ratio[:live]
+            ratio[:live] = (m[2, at] + m[3, at] * r) / (m[0, at] + m[1, at] * r)
+        before, ahead, back = (np.empty((STEP, n)) for _ in range(3))
+        a = start
+        for k in range(STEP):
+            before[k] = a
+            one, zero = ((1 - a) * t01 + a * t11) * odds[k], (1 - a) * t00 + a * t10
+            if not k:
+                one, zero = np.where(first, a * odds[k], one), np.where(first, 1 - a, zero)
+            ahead[k] = a = np.where(real[k], one / (one + zero), a)
+        r = end
+        for k in range(STEP - 1, -1, -1):
+            back[k] = r
+            next_ = odds[k] * r
+            r = np.where(real[k], (t10 + t11 * next_) / (t00 + t01 * next_), r)
+        return odds, before, ahead, back
+
+
+def marginals(s: np.ndarray, sizes: np.ndarray, edge: np.ndarray, chains: Chains | None = None) -> np.ndarray:
     """Probability of state 1 of each token of all texts, one text after the other; s: their scores, sizes: tokens of each text."""
-    lanes = lanes or Lanes.of(sizes)
-    _, ahead, back = passes(lanes.laid(s, -30.0), lanes.start, edge)
+    chains = chains or Chains.of(sizes)
+    _, _, ahead, back = chains.passes(s, edge)
     one = ahead * back
-    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell]
+    return (one / (one + 1 - ahead)).reshape(-1)[chains.cell]
 
 
-def pair_sums(s: np.ndarray, lanes: Lanes, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pair_sums(s: np.ndarray, chains: Chains, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(probability of state 1 of each token, expected number of steps from state a to state b: 2 x 2)."""
-    odds, ahead, back = passes(lanes.laid(s, -30.0), lanes.start, edge)
-    t, f, after, inside = np.exp(edge), ahead[:-1], odds[1:] * back[1:], ~lanes.start[1:]
+    odds, f, ahead, back = chains.passes(s, edge)
+    t, after, inside = np.exp(edge), odds * back, chains.real.copy()
+    inside[0] &= ~chains.first
     joint = [(1 - f) * t[0, 0], (1 - f) * t[0, 1] * after, f * t[1, 0], f * t[1, 1] * after]
     whole = inside / sum(joint)
     one = ahead * back
-    return (one / (one + 1 - ahead)).reshape(-1)[lanes.cell], np.array([(x * whole).sum() for x in joint]).reshape(2, 2)
+    return (one / (one + 1 - ahead)).reshape(-1)[chains.cell], np.array([(x * whole).sum() for x in joint]).reshape(2, 2)
 
 
 @dataclass
@@ -122,7 +148,7 @@ class Model:
 
     def score(self, token: str) -> float:
         if (s := self.known.get(token)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             s = self.known[token] = self.bias + sum(self.weights.get(f, 0.0) for f in features(token))
         return s
@@ -171,7 +197,7 @@ def marks(names: list[str], ids: np.ndarray, owner: np.ndarray, toxic: np.ndarra
     return out
 
 
-def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 40) -> Model:
+def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 60) -> Model:
     """rows: (doc_id, text, label); all their tokens are learnt from, by the features that toxic ones have. Without rows of both classes
     the score is the share of toxic rows, or near 0."""
     y = np.array([r[2] for r in rows], dtype=bool)
@@ -179,11 +205,9 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 4
     if not 0 < n1 < len(y):
         share = (counts.get(1, 0) + 0.5) / (total + 1) if total else 0.01
         return Model(final=np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
-    # texts of like length together, so that lanes are full
-    order = np.argsort([-len(r[1]) for r in rows], kind="stable")
-    y, tokens, texts = y[order], {}, []
-    for k in order:
-        found = TOKEN.findall(rows[k][1].lower())
+    tokens, texts = {}, []
+    for _, text, _ in rows:
+        found = TOKEN.findall(text.lower())
         texts.append(np.fromiter((tokens.setdefault(t, len(tokens)) for t in found), dtype=np.int32, count=len(found)))
     names, sizes = list(tokens), np.array(list(map(len, texts)), dtype=np.int64)
     ids, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
@@ -196,19 +220,19 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 4
     held = np.zeros((len(names), len(KINDS) + 1), dtype=np.int32)  # the features of each distinct token; 0 stands for none
     for row, t in enumerate(names):
         held[row] = [index.get(feature_of(t, kind), 0) for kind in range(len(KINDS) + 1)]
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(TOGETHER, sizes.sum(), TOGETHER)) + 1
-    parts = [(k, Lanes.of(sizes[k])) for k in np.split(np.arange(len(sizes)), np.unique(cuts)) if len(k)]
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(2 * TOGETHER, sizes.sum(), 2 * TOGETHER)) + 1
+    parts = [(k, Chains.of(sizes[k])) for k in np.split(np.arange(len(sizes)), np.unique(cuts)) if len(k)]
     ends = np.r_[0, np.cumsum(sizes)]
     same = np.flatnonzero(owner[1:] == owner[:-1])
     seen = np.bincount((2 * gold[same] + gold[same + 1]).astype(np.int64), minlength=4).reshape(2, 2)
     del same, owner
     w, edge, bias = np.zeros(len(index) + 1), np.zeros((2, 2)), np.array([-3.0])
-    adam = Adam(w, edge, bias, rate=0.3)
+    adam = Adam(w, edge, bias, rate=0.2)
     for _ in range(steps):
         score, by_token, ge = w[held].sum(axis=1) + bias[0], np.zeros(len(names)), -seen.astype(float)
-        for k, lanes in parts:
+        for k, chains in parts:
             at = slice(ends[k[0]], ends[k[-1] + 1])
-            p, expected = pair_sums(score[ids[at]], lanes, edge)
+            p, expected = pair_sums(score[ids[at]], chains, edge)
             # the slope of the log likelihood is what the model expects less what the labels have
             by_token += np.bincount(ids[at], p - gold[at], minlength=len(names))
             ge += expected
@@ -218,8 +242,8 @@ def fit(rows: list[tuple[int, str, int]], counts: dict[int, int], steps: int = 4
         adam.step(gw, ge / len(y) + 1e-3 * edge, np.array([slope.sum()]))
     model = Model({f: float(w[i]) for f, i in index.items()}, edge, bias=float(bias[0]))
     score, x = w[held].sum(axis=1) + bias[0], []
-    for k, lanes in parts:
-        p = marginals(score[ids[ends[k[0]] : ends[k[-1] + 1]]], sizes[k], edge, lanes)
+    for k, chains in parts:
+        p = marginals(score[ids[ends[k[0]] : ends[k[-1] + 1]]], sizes[k], edge, chains)
         x += [model.document(q) for q in np.split(p, np.cumsum(sizes[k])[:-1])]
     weight = np.where(y, counts[1] / n1, counts[0] / (len(y) - n1))
     model.final = logistic(np.array(x), y.astype(float), weight / weight.mean())

@@ -380,15 +380,16 @@ def chain_by_hand(s, edge):
     return p / total
 
 
-def test_marginals_by_hand(monkeypatch):
-    monkeypatch.setattr(toxicity, "LANES", 3)
+@pytest.mark.parametrize("step", [1, 3, 4, 32])
+def test_marginals_by_hand(monkeypatch, step):
+    monkeypatch.setattr(toxicity, "STEP", step)
     rng = np.random.default_rng(3)
     sizes, edge = np.array([7, 0, 3, 1, 9, 4, 2, 6]), rng.normal(size=(2, 2))
     s = rng.normal(size=sizes.sum())
     texts = np.split(s, np.cumsum(sizes)[:-1])
     want = np.concatenate([chain_by_hand(x, edge) for x in texts if len(x)])
     assert toxicity.marginals(s, sizes, edge) == pytest.approx(want)
-    p, pairs = toxicity.pair_sums(s, toxicity.Lanes.of(sizes), edge)
+    p, pairs = toxicity.pair_sums(s, toxicity.Chains.of(sizes), edge)
     assert p == pytest.approx(want) and pairs.sum() == pytest.approx(sum(n - 1 for n in sizes if n))
     rest = sum(want_.sum() - want_[0] for want_ in map(lambda x: chain_by_hand(x, edge), [x for x in texts if len(x)]))
     assert pairs[:, 1].sum() == pytest.approx(rest)  # steps to state 1
