@@ -74,8 +74,10 @@ def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, le
     texts = rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["doc_id", "tag"]).select("sid", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"sid": batch.sid, "codes": [np.unique(shingles(t, words)).view(np.int64) for t in batch.text]})
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.iloc[at : at + 500]
+                yield pd.DataFrame({"sid": batch.sid.to_numpy(), "codes": [np.unique(shingles(t, words)).view(np.int64) for t in batch.text]})
 
     # equal rows that repeat an identifier give a set more than once
     sets = stored(texts.mapInPandas(run, "sid long, codes array<long>").dropDuplicates(["sid"]), "shingles")
@@ -93,7 +95,7 @@ def with_bits(sets: DataFrame, shared: DataFrame) -> DataFrame:
     bits = sets.sparkSession.sparkContext.broadcast(table)  # BITS bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[at : at + 1000] for whole in batches for at in range(0, len(whole), 1000)):
             many = np.array([len(x) for x in batch.prefix], dtype=np.int64)
             if not many.sum():
                 continue

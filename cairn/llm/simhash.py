@@ -239,7 +239,7 @@ def near_dedup(
         counts = spark.sparkContext.broadcast(near_copies.shingle_counts(rows, words))  # CELLS numbers
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in (whole.iloc[at : at + 500] for whole in batches for at in range(0, len(whole), 500)):
                 sid, fp, size, prefix = [], [], [], []
                 for text in batch.text:
                     codes = near_copies.shingles(text, words)
@@ -247,7 +247,7 @@ def near_dedup(
                     for out, x in zip((sid, size, prefix), near_copies.set_and_prefix(codes, counts.value, least), strict=True):
                         out.append(x)
                 long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": batch.doc_id, "tag": batch.tag, "sid": long(sid), "fp": long(fp), "size": size, "prefix": prefix})
+                yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "tag": batch.tag.to_numpy(), "sid": long(sid), "fp": long(fp), "size": size, "prefix": prefix})
 
         own = F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "tag")  # a null identifier last
         with scratch(spark):
