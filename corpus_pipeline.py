@@ -14,6 +14,8 @@ from cairn.llm.common import delete, new_path, scratch
 from cairn.llm.queries import table, word_bpe
 
 
+#: Rows that a Python worker gets at a time while the pipeline runs.
+ROWS = 1000
 #: The folder with the tables that the latest stage has stored.
 _left: list[str] = []
 
@@ -21,7 +23,9 @@ _left: list[str] = []
 def _stage(f: Callable) -> Callable:
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None) -> DataFrame:
-        """A stage's result has been written before the next one begins, which then deletes what the former has stored."""
+        """A stage's result has been written before the next one begins, which then deletes what the former has stored. Python workers
+        get ROWS texts at a time: texts may be long, and a worker holds a batch in several forms."""
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
         while _left:
             delete(spark, _left.pop())
         _left.append(new_path(spark, f.__name__))
