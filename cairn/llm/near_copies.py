@@ -67,8 +67,9 @@ def compatible(least: float) -> Column:
     return F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= need
 
 
-def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of sids whose sets are similar. Sets are made again from one text each."""
+def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, least: float, repeated: bool) -> DataFrame:
+    """Those of the pairs (a, b) of sids whose sets are similar. Sets are made again from one text each; repeated: whether equal
+    rows that share an identifier may give a set more than once."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = stored(firsts.join(wanted, "sid", "left_semi"), "wanted")
     texts = rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, ["doc_id", "tag"]).select("sid", "text")
@@ -77,15 +78,23 @@ def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, le
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.iloc[at : at + 500]
-                yield pd.DataFrame({"sid": batch.sid.to_numpy(), "codes": [np.unique(shingles(t, words)).view(np.int64) for t in batch.text]})
+                yield pd.DataFrame({"sid": batch.sid.to_numpy(), "codes": [np.unique(shingles(t, words)).tobytes() for t in batch.text]})
 
-    # equal rows that repeat an identifier give a set more than once
-    sets = stored(texts.mapInPandas(run, "sid long, codes array<long>").dropDuplicates(["sid"]), "shingles")
+    @F.pandas_udf("boolean")
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p: bytes, q: bytes) -> bool:
+            a, b = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            return common >= least * (len(a) + len(b) - common) - SLACK
+
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    sets = texts.mapInPandas(run, "sid long, codes binary")
+    sets = stored(sets.dropDuplicates(["sid"]) if repeated else sets, "shingles")
     sides = pairs.join(sets.select(F.col("sid").alias("a"), F.col("codes").alias("x")), "a").join(
         sets.select(F.col("sid").alias("b"), F.col("codes").alias("y")), "b"
     )
-    common = F.size(F.array_intersect("x", "y"))
-    return sides.filter(common >= least * (F.size("x") + F.size("y") - common) - SLACK).select("a", "b")
+    return sides.filter(check("x", "y")).select("a", "b")
 
 
 def with_bits(sets: DataFrame, shared: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def with_bits(sets: DataFrame, shared: DataFrame) -> DataFrame:
     return sets.select("sid", "size", "prefix").mapInPandas(run, "sid long, size int, place int, shingle long")
 
 
-def near_links(rows: DataFrame, sets: DataFrame, known: DataFrame, words: int, least: float) -> DataFrame:
+def near_links(rows: DataFrame, sets: DataFrame, known: DataFrame, words: int, least: float, repeated: bool) -> DataFrame:
     """rows: (doc_id, tag, text); sets: (sid, size, prefix, doc_id, tag), one row per set; known: links (a, b) of similar sets that
     have been found before. Links, the known ones among them, whose components are those of all similar pairs.
 
@@ -129,7 +138,7 @@ def near_links(rows: DataFrame, sets: DataFrame, known: DataFrame, words: int, l
 
     met = heads.alias("a").join(placed.alias("b"), "shingle").filter((F.col("a.root") != F.col("b.root")) & compatible(least))
     pairs = stored(met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct(), "pairs")
-    links = stored(known.unionByName(similar(pairs, rows, firsts, words, least)), "links")
+    links = stored(known.unionByName(similar(pairs, rows, firsts, words, least, repeated)), "links")
 
     again = stored(rooted(links, placed.drop("root")), "rooted")
     apart = again.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
@@ -138,4 +147,4 @@ def near_links(rows: DataFrame, sets: DataFrame, known: DataFrame, words: int, l
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & compatible(least)
     )
     more = met.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return links.unionByName(stored(similar(stored(more, "pairs"), rows, firsts, words, least), "links"))
+    return links.unionByName(stored(similar(stored(more, "pairs"), rows, firsts, words, least, repeated), "links"))

@@ -205,7 +205,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 FEW = 200_000
 
 
-def verified_links(rows: DataFrame, sets: DataFrame, words: int, least: float, bits: int) -> DataFrame:
+def verified_links(rows: DataFrame, sets: DataFrame, words: int, least: float, bits: int, repeated: bool) -> DataFrame:
     """Links (a, b) of sets whose fingerprints differ in at most `bits` places and whose similarity is at least `least`, by the
     Gray-ordered index: sets of one fingerprint are linked to the first of them, and these along the index's links."""
     reps = stored(sets.groupBy("fp").agg(F.min("sid").alias("rep")), "reps")
@@ -214,7 +214,7 @@ def verified_links(rows: DataFrame, sets: DataFrame, words: int, least: float, b
     ends = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
     near = found.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = stored(same.unionByName(near).distinct(), "pairs")
-    return near_copies.similar(pairs, rows, sets.select("sid", "doc_id", "tag"), words, least)
+    return near_copies.similar(pairs, rows, sets.select("sid", "doc_id", "tag"), words, least, repeated)
 
 
 def near_dedup(
@@ -254,13 +254,11 @@ def near_dedup(
             full = stored(rows.mapInPandas(run, "doc_id long, tag long, sid long, fp long, size int, prefix array<long>"), "prints")
             head = stored(full.groupBy("sid").agg(F.min(own).alias("first")).select("sid", "first.doc_id", "first.tag"), "heads")
             sets = full.join(head, ["sid", "doc_id", "tag"], "left_semi")
-            if full.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-                sets = stored(sets, "sets", outer=True)
-            else:
-                sets = stored(sets.dropDuplicates(["sid"]), "sets", outer=True)
+            repeated = not full.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+            sets = stored(sets.dropDuplicates(["sid"]) if repeated else sets, "sets", outer=True)
             prints = stored(full.select("doc_id", "tag", "sid"), "prints", outer=True)
-        known = stored(verified_links(rows, sets, words, least, bits), "known")
-        roots = components(near_copies.near_links(rows, sets, known, words, least)).withColumnRenamed("node", "sid")
+        known = stored(verified_links(rows, sets, words, least, bits, repeated), "known")
+        roots = components(near_copies.near_links(rows, sets, known, words, least, repeated)).withColumnRenamed("node", "sid")
         rooted = sets.select("sid", "doc_id", "tag").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         kept = stored(rooted.groupBy("root").agg(F.min(own).alias("first")).select("first.doc_id", "first.tag"), "kept")
         all_ = prints.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
