@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,13 @@ def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system at the end of a task: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: Cells of a table of counts are sent in runs of this many.
 RUN = 1 << 14
 
@@ -94,6 +103,7 @@ def cell_counts(rows: DataFrame, cells: int, cells_of: Callable[[Iterable], Iter
         if total.any():
             kind = np.min_scalar_type(int(total.max()))
             yield pd.DataFrame({"run": np.arange(cells // RUN), "bytes": kind.itemsize, "n": [x.tobytes() for x in total.astype(kind).reshape(-1, RUN)]})
+        tidy()
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, row_keys, stored
+from cairn.llm.common import ids_and_text, row_keys, stored, tidy
 
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 PASS_CHARS = 2_000_000
@@ -141,6 +141,7 @@ def hits(
                 found = [(d, *hit) for d, text in zip(batch.doc_id, batch.text, strict=True) for hit in matcher.find(plain(text))]
                 out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "end"])
                 yield out.astype({"item_id": "Int64"})
+            tidy()
 
         return rows.mapInPandas(search, HITS)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import words as w
-from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_keys, scratch, stored
+from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_keys, scratch, stored, tidy
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
@@ -154,6 +154,7 @@ def all_lines(docs: DataFrame, rank, least: float) -> DataFrame:
                 at += len(group)
         if held:
             yield combined(held)
+        tidy()
 
     def combined(parts: list[tuple]) -> pa.RecordBatch:
         doc, line, a, b, size, low, high, many, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -350,6 +351,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
                 more = np.zeros(0, dtype=bool)
             j, i, apart = j[start], i[start], apart[start].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[j], line[j], apart, doc[i], line[i], more))], schema=FOUND)
+        tidy()
 
     rows = rows.select("key", "doc_id", "line_no", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place") * 2 + F.col("whole").cast("int")).alias("shape"), "low", "high")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, FOUND_SQL)
@@ -378,6 +380,7 @@ def similar(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             cut = {r: all_[r].split("\n") for r in set(row)}
             found = pa.array([cut[r][n] for r, n in zip(row, line[at].tolist(), strict=True)], type=pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(line[at].astype(np.int32)), found], names=["doc_id", "line_no", "line"])
+        tidy()
 
     # where few documents have wanted lines, only these are read
     ids = stored(pairs.select(F.explode(F.array("doc_id", "to_doc")).alias("doc_id")).distinct(), "ids")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bit_table, cell_counts, has_bit, stored
+from cairn.llm.common import bit_table, cell_counts, has_bit, stored, tidy
 from cairn.llm.components import components
 
 #: Cells of the table of shingle counts: shingles share a cell by hash, which only affects their order.
@@ -79,6 +79,7 @@ def similar(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, words: int, le
             for at in range(0, len(whole), 500):
                 batch = whole.iloc[at : at + 500]
                 yield pd.DataFrame({"sid": batch.sid.to_numpy(), "codes": [np.unique(shingles(t, words)).tobytes() for t in batch.text]})
+        tidy()
 
     @F.pandas_udf("boolean")
     def check(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, real_id, stored
+from cairn.llm.common import ids_and_text, real_id, stored, tidy
 from cairn.llm.tokens import WordEncoder, tokenizer_source
 
 #: A row of the plan: pieces of this length, so many of them in each of `bins` bins from bin `first`, from this offset.
@@ -122,6 +122,7 @@ def cut_pieces(
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield pd.DataFrame(rows, columns=columns)
+        tidy()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = ids_and_text(docs, id_col, text_col).mapInPandas(cut, schema)

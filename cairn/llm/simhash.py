@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import near_copies
-from cairn.llm.common import NULL_ID, ids_and_text, real_id, scratch, stored
+from cairn.llm.common import NULL_ID, ids_and_text, real_id, scratch, stored, tidy
 from cairn.llm.components import components
 
 #: Widths of the six parts of a fingerprint, from the lowest bit.
@@ -248,6 +248,7 @@ def near_dedup(
                         out.append(x)
                 long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
                 yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "tag": batch.tag.to_numpy(), "sid": long(sid), "fp": long(fp), "size": size, "prefix": prefix})
+            tidy()
 
         own = F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "tag")  # a null identifier last
         with scratch(spark):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import crc_fold, ids_and_text, real_id
+from cairn.llm.common import crc_fold, ids_and_text, real_id, tidy
 from cairn.llm.learn import Adam, logistic, sample, sigmoid
 from cairn.llm.words import groups
 
@@ -324,6 +324,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([*(s for _, s, _ in judged(shared.value, [t or "" for t in texts])), np.zeros(0)]))
+        out = np.concatenate([*(s for _, s, _ in judged(shared.value, [t or "" for t in texts])), np.zeros(0)])
+        tidy()
+        return pd.Series(out)
 
     return docs.filter(score(F.col(f"`{text_col}`")) < threshold)
