@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, tokens, toxicity, warc
+from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, tokens, toxicity, warc
 from cairn.llm.common import new_path
 
 #: Pseudonyms depend on it; pass a secret of your own in production.
@@ -19,6 +19,12 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,11 +73,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_simhash, op3_token_planes, op4_line_dedup, op5_warc,
         op6_decontamination, op7_pseudonyms, op8_toxicity, op9_packing, op10_quality,
+        op12_bpe,
     )
 }
 
