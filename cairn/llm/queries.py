@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, tokens, toxicity, warc
+from cairn.llm import bpe, conversation_sql, decontaminate, exact_dedup, line_dedup, packing, pii, prefix_trie, quality, repair, simhash, tokens, toxicity, warc
 from cairn.llm.common import new_path
 
 #: Pseudonyms depend on it; pass a secret of your own in production.
@@ -73,20 +74,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("conv_id")
+    nodes = prefix_trie.prefix_trie(
+        table(spark, sf_dir, "conversations"), lambda rows: prefix_trie.spliced(rows, own - own % 100, F.pmod(F.crc32(own.cast("string")), F.lit(6)), 5)
+    )
+    return nodes.withColumnRenamed("saved", "saved_tokens")
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_simhash, op3_token_planes, op4_line_dedup, op5_warc,
         op6_decontamination, op7_pseudonyms, op8_toxicity, op9_packing, op10_quality,
-        op12_bpe,
+        op11_prefix_trie, op12_bpe, op13_repair,
     )
 }
 
 SQL: dict[str, str] = {
+    "op11_prefix_trie": conversation_sql.OP11,
+    "op13_repair": conversation_sql.OP13,
     "op1_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
