@@ -28,7 +28,7 @@ from cairn.llm.common import ids_and_text, real_id, stored, tidy
 from cairn.llm.tokens import from_block, to_block, tokenizer_source
 
 #: Characters of texts that share a list of words (a longer text is a block by itself).
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 #: Words whose ids a task holds at once; beyond them a word may be encoded again.
 HELD = 400_000
 #: Texts are given out when they hold so many ids.
@@ -86,7 +86,8 @@ def _ids_bytes(ids: list[int]) -> bytes:
 
 
 def _blocks(docs: DataFrame, source, slices: int, id_col: str, text_col: str, block: int) -> DataFrame:
-    """One row a block: its texts as positions in the list of its distinct words, and that list in slices by the words' hash."""
+    """One row a block: its texts as positions in the list of its distinct words, that list in slices by the words' hash, and which word is
+    in which slice."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, task, no = Words(source.value), TaskContext.get().partitionId(), 0
@@ -99,17 +100,21 @@ def _blocks(docs: DataFrame, source, slices: int, id_col: str, text_col: str, bl
 
         def out(at: dict, places: list, ids: list) -> pd.DataFrame:
             nonlocal no
+            sizes = [len(p) for p in places]
+            places = np.concatenate(places)
+            often = np.argsort(-np.bincount(places, minlength=len(at)), kind="stable")  # frequent words get small numbers, which pack well
+            number = np.empty(len(at), dtype="<u4")
+            number[often] = np.arange(len(at), dtype="<u4")
             raw = [w.encode() for w in at]
-            owner = np.fromiter((zlib.crc32(w) % slices for w in raw), dtype=np.int64, count=len(raw))
+            raw = [raw[i] for i in often.tolist()]
+            owner = np.fromiter((zlib.crc32(w) % slices for w in raw), dtype="<u4", count=len(raw))
             order = np.argsort(owner, kind="stable")
-            new = np.empty(len(raw), dtype="<u4")
-            new[order] = np.arange(len(raw), dtype="<u4")
             numbers, begins = np.unique(owner[order], return_index=True)
             edges, order = pairwise([*begins.tolist(), len(raw)]), order.tolist()
             held = [(int(s), pack.compress(GAP.join(map(raw.__getitem__, order[a:b])))) for s, (a, b) in zip(numbers, edges, strict=True)]
-            row = (task << 33 | no, ids, [len(p) for p in places], to_block(new[np.concatenate(places)].tobytes()), held)
+            row = (task << 33 | no, ids, sizes, to_block(number[places].tobytes()), to_block(owner.tobytes()), held)
             no += 1
-            return pd.DataFrame([row], columns=["block", "doc_ids", "n_words", "places", "slices"])
+            return pd.DataFrame([row], columns=["block", "doc_ids", "n_words", "places", "owners", "slices"])
 
         at, places, ids, size = fresh()
         for batch in batches:
@@ -125,7 +130,7 @@ def _blocks(docs: DataFrame, source, slices: int, id_col: str, text_col: str, bl
             yield out(at, places, ids)
         tidy()
 
-    schema = "block long, doc_ids array<long>, n_words array<long>, places binary, slices array<struct<slice: int, words: binary>>"
+    schema = "block long, doc_ids array<long>, n_words array<long>, places binary, owners binary, slices array<struct<slice: int, words: binary>>"
     return ids_and_text(docs, id_col, text_col).mapInPandas(cut, schema)
 
 
@@ -155,13 +160,16 @@ def _coded(blocks: DataFrame, source) -> DataFrame:
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
-    """Rows (doc_ids, n_words, places, parts) -> identifiers and ids of texts, a bounded number of ids at a time."""
+    """Rows (doc_ids, n_words, places, owners, parts) -> identifiers and ids of texts, a bounded number of ids at a time."""
     for batch in batches:
-        for doc_ids, n_words, places, parts in zip(batch.doc_ids, batch.n_words, batch.places, batch.parts, strict=True):
+        for doc_ids, n_words, places, owners, parts in zip(*(batch[c] for c in ("doc_ids", "n_words", "places", "owners", "parts")), strict=True):
             table: list[bytes] = []
             for part in sorted(parts, key=lambda p: p["slice"]):
                 ids, ends = from_block(part["ids"]), np.cumsum(np.frombuffer(from_block(part["sizes"]), dtype="<u4"), dtype=np.int64).tolist()
                 table += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            by_number = np.empty(len(table), dtype=object)
+            by_number[np.argsort(np.frombuffer(from_block(owners), dtype="<u4"), kind="stable")] = table
+            table = by_number.tolist()
             at, own = 0, np.frombuffer(from_block(places), dtype="<u4")
             names, held, size = [], [], 0
             for doc_id, n in zip(doc_ids, n_words, strict=True):
@@ -217,8 +225,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         tidy()
 
     # texts that are all empty have no words, and their block has no row in coded
-    rows = blocks.select("block", "doc_ids", "n_words", "places").join(coded, "block", "left")
-    rows = rows.select("doc_ids", "n_words", "places", F.coalesce("parts", F.array().cast(coded.schema["parts"].dataType)).alias("parts"))
+    rows = blocks.drop("slices").join(coded, "block", "left")
+    rows = rows.select("doc_ids", "n_words", "places", "owners", F.coalesce("parts", F.array().cast(coded.schema["parts"].dataType)).alias("parts"))
     out = rows.mapInPandas(assemble, "doc_id long, n_tokens long, ids binary" + ", decoded string" * with_text)
     return out.withColumn("doc_id", real_id())
 
