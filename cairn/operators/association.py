@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double
 from cairn.functions.stats import guarded_corr
-from cairn.operators.ranks import running
+from cairn.operators.ranks import numbered, running, with_totals
 
 
 def contingency(df: DataFrame, label: str, scalars: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
@@ -26,11 +26,8 @@ def contingency(df: DataFrame, label: str, scalars: Sequence[str], lists: Sequen
 def chi_square(table: DataFrame) -> DataFrame:
     """A9. From a contingency: field, chi2, dof, n_categories, ordered by chi2. Yates' correction at one degree of freedom, as in the
     usual libraries. Fields with fewer than two values or an empty label column are left out."""
-    by = W.partitionBy("field")
-    row = F.col("label0") + F.col("label1")
-    t = table.withColumns(
-        {"n0": F.sum("label0").over(by), "n1": F.sum("label1").over(by), "k": F.count("*").over(by).cast("int"), "row": row}
-    ).filter((F.col("k") >= 2) & (F.col("n0") > 0) & (F.col("n1") > 0))
+    t = with_totals(table, ["field"], n0=F.sum("label0"), n1=F.sum("label1"), k=F.count("*").cast("int"))
+    t = t.filter((F.col("k") >= 2) & (F.col("n0") > 0) & (F.col("n1") > 0)).withColumn("row", F.col("label0") + F.col("label1"))
 
     def part(seen: str, total: str):
         expected = F.col("row") * F.col(total) / (F.col("n0") + F.col("n1"))
@@ -50,7 +47,8 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """A10. One row: v, chi2 (no correction), n, r, k; v is null when either side has one value. Empty cells count: their expected
     value is part of the sum, taken from the margins without listing them."""
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    t = cells.withColumns({"na": F.sum("n").over(W.partitionBy("a")), "nb": F.sum("n").over(W.partitionBy("b"))})
+    margin = lambda side: cells.groupBy(side).agg(F.sum("n").alias(f"n{side}"))
+    t = cells.join(margin("a"), "a").join(margin("b"), "b")
     # sum of (o - e)^2 / e over all cells is n (sum of o^2 / (row x column) - 1), which empty cells don't change
     row = t.agg(
         F.sum("n").alias("n"),
@@ -119,13 +117,15 @@ def binary_features(df: DataFrame, key: str, scalars: Sequence[str], lists: Sequ
     return df.select(key, F.explode(F.array_distinct(F.array_compact(every))).alias("feature"))
 
 
-def binary_pair_corr(features: DataFrame, key: str, n: int, k: int = 100, fields: Sequence[str] = (), start: int = 200) -> DataFrame:
+def binary_pair_corr(features: DataFrame, key: str, n: int, k: int = 100, fields: Sequence[str] = ()) -> DataFrame:
     """A15. The k feature pairs with the largest |phi|: a, b, phi, abs_r. n is the number of entities. Features that all or no entities
     have are left out. Equal ones go by the order of columns: by the field's place in `fields` ('field=value' names the field),
     then by name.
 
-    Pairs that meet come from each entity's own list of features. The |phi| of pairs that never meet grows with how common both are,
-    so they are listed for the commonest features only, and for more of them until none left out can be among the k."""
+    Pairs that meet come from each entity's own list of features. |phi| of pairs that never meet grows with how common either is, so by
+    places in the order of commonness a pair comes after all pairs of earlier or equal places. Only features before which fewer than k
+    unmet pairs are complete can be the commoner side of one of the k: so many that most of their pairs meet, the root of twice the
+    number of meetings. Each needs its first k unmet partners, so there are as many candidates as meetings, and k for each such feature."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, fields)), F.substring_index("feature", "=", 1)), F.lit(0)) if fields else F.lit(0)
     one = features.groupBy("feature").agg(F.count("*").alias("m")).filter(F.col("m") < n)
     one = one.select(F.struct(place.cast("long").alias("at"), F.col("feature")).alias("f"), "m")
@@ -139,30 +139,32 @@ def binary_pair_corr(features: DataFrame, key: str, n: int, k: int = 100, fields
     def phi_of(t: DataFrame) -> DataFrame:
         na, nb, nab = (F.col(c).cast("double") for c in ("na", "nb", "nab"))
         phi = (n * nab - na * nb) / F.sqrt(na * (n - na) * nb * (n - nb))
-        t = t.withColumns({"phi": phi, "abs_r": F.abs(phi)}).orderBy(F.desc(F.round("abs_r", 9)), "a", "b").limit(k)
+        t = t.withColumns({"phi": phi, "abs_r": F.abs(phi)}).orderBy(F.desc(F.round(F.log("abs_r"), 10)), "a", "b").limit(k)
         return t.select(F.col("a.feature").alias("a"), F.col("b.feature").alias("b"), "phi", "abs_r")
 
-    spark, common = features.sparkSession, start
-    while True:
-        head = one.orderBy(F.desc("m"), "f").limit(common + 1).collect()  # `common` rows
-        shown = spark.createDataFrame([(tuple(r.f), r.m) for r in head[:common]], "f struct<at: bigint, feature: string>, m long")
-        left, right = (shown.select(F.col("f").alias(x), F.col("m").alias(f"n{x}")) for x in "ab")
-        grid = left.join(right, F.col("a") < F.col("b")).join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("nab", F.lit(0).cast("long"))
-        best = phi_of(met.unionByName(grid.select("a", "b", "na", "nb", "nab")))
-        if len(head) <= common:
-            return best
-        found = best.agg(F.count("*").alias("n"), F.min(F.round("abs_r", 9)).alias("least")).first()
-        a, b = head[0].m, head[common].m
-        if found.n == k and found.least > round((a * b / ((n - a) * (n - b))) ** 0.5, 9):
-            return best
-        common *= 4
+    ranked = numbered(one.select("f", "m", (-F.col("m")).alias("_less")), [], [F.col("_less"), F.col("f")], "place").select("f", "m", "place")
+    at = lambda side, number: ranked.select(F.col("f").alias(side), F.col("place").alias(number))
+    places = met.select("a", "b").join(at("a", "i"), "a").join(at("b", "j"), "b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    # i (i + 1) / 2 pairs are complete before place i as a commoner side; `shared` of them meet at the most
+    shared = lists.agg(F.sum(F.size("f").cast("long") * (F.size("f") - 1) / 2)).first()[0] or 0
+    heads = isqrt(2 * (int(shared) + k)) + 1
+    near = places.filter(F.col("i") <= heads).groupBy("i").agg(F.count("*").alias("met"))
+    first = features.sparkSession.range(heads + 1).withColumnRenamed("id", "i").join(near, "i", "left")
+    ahead = first.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + k + F.coalesce("met", F.lit(0)))).alias("j"))
+    unmet = ahead.join(places, ["i", "j"], "left_anti")
+    side = lambda number, name: ranked.select(F.col("place").alias(number), F.col("f").alias(name), F.col("m").alias(f"n{name}"))
+    unmet = unmet.join(side("i", "x"), "i").join(side("j", "y"), "j")
+    turned = F.col("x") > F.col("y")
+    swap = lambda one, two, name: F.when(turned, F.col(two)).otherwise(F.col(one)).alias(name)
+    unmet = unmet.select(swap("x", "y", "a"), swap("y", "x", "b"), swap("nx", "ny", "na"), swap("ny", "nx", "nb"), F.lit(0).cast("long").alias("nab"))
+    return phi_of(met.unionByName(unmet))
 
 
 def top_std_corr(features: DataFrame, key: str, n: int, top: int = 40, fields: Sequence[str] = ()) -> DataFrame:
     """A15. The same among the `top` features with the highest standard deviation (shares nearest one half; ties by name)."""
     share = F.col("m") / n
     best = features.groupBy("feature").agg(F.count("*").alias("m")).orderBy(F.desc(share * (1 - share)), "feature").limit(top)
-    return binary_pair_corr(features.join(F.broadcast(best), "feature", "left_semi"), key, n, top * top, fields, start=top)
+    return binary_pair_corr(features.join(F.broadcast(best), "feature", "left_semi"), key, n, top * top, fields)
 
 
 def linear_fit(df: DataFrame, x: str, y: str, least: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -37,12 +37,16 @@ def infer_kinds(long: DataFrame, share: float = 0.95) -> DataFrame:
     )
 
 
-def two_sample_summary(long: DataFrame, least: int = 50, sides: int = 2, accuracy: int | None = None) -> DataFrame:
+def two_sample_summary(long: DataFrame, least: int = 50, sides: int = 2, accuracy: int | None = None, totals: Mapping[str, int] | None = None) -> DataFrame:
     """A23. A row for each field and dataset: missing_rate, n, mean, std (n), min, quantiles, max; fields with fewer than `least` values
-    on any of the `sides`, or that a side lacks altogether, are left out."""
+    on any of the `sides`, or that a side lacks altogether, are left out. totals has the number of documents of each dataset, where
+    documents without a field have no row."""
     q = ranks.quantiles(long, ["field", "dataset"], list(QUANTILES.values()), accuracy)
+    every = F.count("*")
+    if totals:
+        every = F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("dataset"))
     t = long.groupBy("field", "dataset").agg(
-        (1 - F.count("x") / F.count("*")).alias("missing_rate"),
+        (1 - F.count("x") / every).alias("missing_rate"),
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
     )
     by = W.partitionBy("field")  # a row for each side
@@ -77,10 +81,10 @@ def psi_bins(long: DataFrame, ref: str, tgt: str, bins: int = 10) -> DataFrame:
 
 
 def _psi_terms(counts: DataFrame, item: str) -> DataFrame:
-    by = W.partitionBy("field")
-    p = F.greatest(F.col("r") / F.greatest(F.sum("r").over(by), F.lit(1)), F.lit(TINY))
-    q = F.greatest(F.col("t") / F.greatest(F.sum("t").over(by), F.lit(1)), F.lit(TINY))
-    shares = counts.select("field", item, p.alias("ref_share"), q.alias("tgt_share"))
+    t = ranks.with_totals(counts, ["field"], r_all=F.sum("r"), t_all=F.sum("t"))
+    p = F.greatest(F.col("r") / F.greatest("r_all", F.lit(1)), F.lit(TINY))
+    q = F.greatest(F.col("t") / F.greatest("t_all", F.lit(1)), F.lit(TINY))
+    shares = t.select("field", item, p.alias("ref_share"), q.alias("tgt_share"))
     return shares.withColumn("term", (F.col("ref_share") - F.col("tgt_share")) * F.log(F.col("ref_share") / F.col("tgt_share")))
 
 
@@ -122,20 +126,24 @@ def shift_rank(numeric: DataFrame, categorical: DataFrame) -> DataFrame:
 
 def enum_shares(counts: DataFrame, dataset: str = "dataset") -> DataFrame:
     """A29. Adds share: of the counts inside (dataset, field)."""
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(dataset, "field")))
+    t = ranks.with_totals(counts, [dataset, "field"], _all=F.sum("n"))
+    return t.select(*counts.columns, (F.col("n") / F.col("_all")).alias("share"))
 
 
 def lump_other(aligned: DataFrame, k: int, forced: Sequence[str] | None = None, cap: int = 60) -> DataFrame:
     """A30. (field, value, ref_n, tgt_n): the k commonest values, values of one side only (or the forced ones), at most `cap` of these by
-    count, and OTHER for the rest."""
-    n = F.col("ref_n") + F.col("tgt_n")
-    rank = F.row_number().over(W.partitionBy("field").orderBy(F.desc(n), "value"))
+    count, and OTHER for the rest. Spark takes the first rows of a field in each task before it merges them (a limit under the
+    window); the rest is what the field's totals leave."""
+    by_count = W.partitionBy("field").orderBy(F.desc(F.col("ref_n") + F.col("tgt_n")), "value")
+    first = lambda t, n: t.withColumn("_place", F.row_number().over(by_count)).filter(F.col("_place") <= n).drop("_place")
     one_side = (F.col("ref_n") == 0) | (F.col("tgt_n") == 0) if forced is None else F.col("value").isin(*forced)
-    shown = aligned.withColumn("_rank", rank).withColumn("_show", (F.col("_rank") <= k) | one_side)
-    place = F.row_number().over(W.partitionBy("field", "_show").orderBy("_rank"))
-    shown = shown.withColumn("_keep", F.col("_show") & (place <= cap))
-    value = F.when(F.col("_keep"), F.col("value")).otherwise("OTHER")
-    return shown.groupBy("field", value.alias("value")).agg(F.sum("ref_n").alias("ref_n"), F.sum("tgt_n").alias("tgt_n"))
+    t = aligned.select("field", "value", "ref_n", "tgt_n")
+    # at most k + cap rows a field from here on
+    kept = first(first(t, min(k, cap)).unionByName(first(t.filter(one_side), cap)).distinct(), cap)
+    sums = lambda d, sign: d.groupBy("field").agg(F.count("*").alias("rows"), F.sum("ref_n").alias("ref_n"), F.sum("tgt_n").alias("tgt_n")).withColumn("sign", F.lit(sign))
+    rest = sums(t, 1).unionByName(sums(kept, -1)).groupBy("field").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in ("rows", "ref_n", "tgt_n")])
+    other = rest.filter("rows > 0").select("field", F.lit("OTHER").alias("value"), "ref_n", "tgt_n")
+    return kept.unionByName(other).groupBy("field", "value").agg(F.sum("ref_n").alias("ref_n"), F.sum("tgt_n").alias("tgt_n"))
 
 
 def histogram(long: DataFrame, edges: Sequence[float]) -> DataFrame:

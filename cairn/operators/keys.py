@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.ranks import with_totals
+
 
 def join_labels(ann: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """K1. Inner equi-join; Spark broadcasts the labels if their measured size allows."""
@@ -101,8 +102,7 @@ def align_counts(counts: DataFrame, dataset: str, ref: str, tgt: str) -> DataFra
 
 def exclusive_values(aligned: DataFrame, tokens: Sequence[str] = ("__MISSING__", "__EMPTY__")) -> DataFrame:
     """K9. Values of one side only: (side, field, value, n, share of the side's field). Tokens don't count as values."""
-    by = W.partitionBy("field")
-    shares = aligned.withColumn("ref_all", F.sum("ref_n").over(by)).withColumn("tgt_all", F.sum("tgt_n").over(by))
+    shares = with_totals(aligned, ["field"], ref_all=F.sum("ref_n"), tgt_all=F.sum("tgt_n"))
     only = shares.filter(((F.col("ref_n") == 0) != (F.col("tgt_n") == 0)) & ~F.col("value").isin(*tokens))
     is_ref = F.col("tgt_n") == 0
     return only.select(

@@ -44,6 +44,30 @@ def running(counts: DataFrame, by: Sequence[str], x: str, sums: Sequence[str], p
     return out.drop("_range", "_then", *[f"_{s}_before" for s in sums])
 
 
+def with_totals(rows: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+    """rows with totals of their group `by`, which has few members such as fields and datasets: one row a group, made of partial sums and
+    broadcast, so that the rows of a large group needn't meet."""
+    return rows.join(F.broadcast(rows.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])), list(by))
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "number", bounds: int = 255) -> DataFrame:
+    """Adds `name`, from 0: the place of a row inside its group `by`, in an order that leaves no ties. The rows with the least hashes, a
+    sample that depends on nothing but the rows, cut each group into ranges of the order; places are counted inside the ranges, and
+    what the ranges before hold is added. `bounds` limits the sample; where its members lie affects balance only."""
+    by = list(by)
+    t = rows.withColumn("_key", F.struct(*[F.col(c) for c in by], *order))
+    few = t.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(bounds).orderBy("_key")
+    cuts = [r[0] for r in few.select(F.to_json(F.struct("_key"))).collect()]  # at most `bounds` rows
+    kind = t.schema["_key"].dataType.simpleString()
+    cuts = F.from_json(F.lit(f"[{','.join(cuts)}]"), f"array<struct<_key:{kind}>>")["_key"]
+    t = t.withColumn("_range", below(cuts, F.col("_key"), bounds))
+    sizes = t.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most bounds + 1 rows a group
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    here = F.row_number().over(W.partitionBy(*by, "_range").orderBy("_key"))
+    return t.withColumn("_here", here).join(sizes, [*by, "_range"]).withColumn(name, F.col("_before") + F.col("_here") - 1).drop("_key", "_range", "_here", "_before")
+
+
 def long_numbers(df: DataFrame, cols: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
     """(keep, field, x): a row for each row and column; x is null where it isn't a number."""
     cells = [F.struct(F.lit(c).alias("field"), to_double(c).alias("x")) for c in cols]

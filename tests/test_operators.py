@@ -297,9 +297,9 @@ def test_pairs_that_never_meet(spark):
     phi = lambda a, b: (n * len(has[a] & has[b]) - len(has[a]) * len(has[b])) / sqrt(len(has[a]) * (n - len(has[a])) * len(has[b]) * (n - len(has[b])))
     want = sorted(((round(-abs(phi(a, b)), 9), a, b) for i, a in enumerate(names) for b in names[i + 1 :]))[:12]
     df = spark.createDataFrame(rows, "k long, feature string")
-    got = [(round(-r.abs_r, 9), r.a, r.b) for r in A.binary_pair_corr(df, "k", n, 12, start=2).collect()]
+    got = [(round(-r.abs_r, 9), r.a, r.b) for r in A.binary_pair_corr(df, "k", n, 12).collect()]
     assert got == want
-    first = A.binary_pair_corr(df, "k", n, 1, fields=["h", "g", "f"], start=2).first()
+    first = A.binary_pair_corr(df, "k", n, 1, fields=["h", "g", "f"]).first()
     assert (first.a, first.b) == ("h=1", "h=2")
 
 
