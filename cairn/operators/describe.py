@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.scalars import is_missing, to_double
-from cairn.operators.ranks import long_numbers, quantiles
+from cairn.operators.ranks import long_numbers, numbered, quantiles
 
 
 def _unpivot(row: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -91,14 +91,15 @@ def token_counts(df: DataFrame, dataset: str, scalars: Sequence[str], lists: Seq
 
 
 def build_vocab(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
-    """A7. (field, token, index_in_block): 'unknown' at 0, then the tokens in order from 1."""
+    """A7. (field, token, index_in_block): 'unknown' at 0, then the tokens in order from 1. Tokens are numbered by ranges, so a field may have
+    very many."""
     cells = [F.struct(F.lit(f).alias("field"), F.array(F.col(f"`{f}`").cast("string")).alias("values")) for f in scalars]
     cells += [F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("values")) for f in lists]
     tokens = df.select(F.inline(F.array(*cells))).select("field", F.explode("values").alias("token"))
     tokens = tokens.filter((F.trim("token") != "") & (F.col("token") != "unknown")).distinct()
-    order = F.row_number().over(W.partitionBy("field").orderBy("token"))
+    tokens = numbered(tokens, ["field"], [F.col("token")], "_at")
     unknown = df.sparkSession.createDataFrame([(f, "unknown", 0) for f in (*scalars, *lists)], "field string, token string, index_in_block int")
-    return tokens.withColumn("index_in_block", order).unionByName(unknown)
+    return tokens.select("field", "token", (F.col("_at") + 1).cast("int").alias("index_in_block")).unionByName(unknown)
 
 
 def box_stats(df: DataFrame, cat: str, num: str, order: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ def multi_hot(c: str, tokens: Sequence[str]) -> Column:
 
 def feature_matrix(df: DataFrame, key: str, scaler: Mapping[str, Scale], vocab: Mapping[str, Sequence[str]], lists: Sequence[str] = (),
                    flags: Mapping[str, Column] | None = None, layout: str = "full", version: str = "1") -> DataFrame:
-    """A47. (key, vector array<float>, dim, version). Layouts: 'flags' (numbers and flags), 'full' (numbers, flags, one-hot, multi-hot),
+    """A47. (key, vector array<float>, dim, version), for vocabularies that fit a driver's lists; sparse_features takes any. Layouts: 'flags' (numbers and flags), 'full' (numbers, flags, one-hot, multi-hot),
     'reduced' (numbers and one-hot)."""
     parts = [F.array(*[scaled(c, s).cast("float") for c, s in scaler.items()])] if scaler else []
     if layout in ("flags", "full") and flags:
@@ -118,14 +118,53 @@ def scaler_table(df: DataFrame, scaler: Mapping[str, Scale]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, transform string, mean double, std double, median double, clip double")
 
 
-def unknown_counts(df: DataFrame, vocab: Mapping[str, Sequence[str]], lists: Sequence[str] = ()) -> DataFrame:
-    """A48. (field, unknown): values that the vocabulary doesn't have, one aggregate."""
-    cells = []
-    for f, tokens in vocab.items():
-        known = F.array(*map(F.lit, tokens))
-        if f in lists:
-            n = F.sum(F.coalesce(F.size(F.array_except(F.col(f), known)), F.lit(0)))
-        else:
-            n = F.count_if(F.col(f).isNotNull() & ~F.array_contains(known, F.col(f)))
-        cells.append(F.struct(F.lit(f).alias("field"), F.coalesce(n, F.lit(0)).alias("unknown")))
-    return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+def _tokens(df: DataFrame, keep: Sequence[str], scalars: Sequence[str], lists: Sequence[str]) -> DataFrame:
+    """(keep, field, token): a row for each known scalar and each distinct item of a list."""
+    cells = [F.struct(F.lit(f).alias("field"), F.array_compact(F.array(F.col(f"`{f}`").cast("string"))).alias("tokens")) for f in scalars]
+    cells += [F.struct(F.lit(f).alias("field"), F.array_distinct(F.col(f"`{f}`").cast("array<string>")).alias("tokens")) for f in lists]
+    return df.select(*keep, F.inline(F.array(*cells))).select(*keep, "field", F.explode("tokens").alias("token"))
+
+
+def sparse_features(df: DataFrame, key: str, scaler: Mapping[str, Scale], vocab: DataFrame, scalars: Sequence[str], lists: Sequence[str] = (),
+                    flags: Mapping[str, Column] | None = None, layout: str = "full", version: str = "1") -> DataFrame:
+    """A47. The vector of feature_matrix as (key, dim, indices array<long>, values array<float>, version): numbers always, flags, one-hot and
+    multi-hot places where they are one, by ascending index. vocab is a table (field, token, index_in_block) of any size, as build_vocab
+    makes it: tokens find their places by a join, and the driver learns one number a field. key is unique."""
+    flags = (flags or {}) if layout in ("flags", "full") else {}
+    scalars = scalars if layout in ("full", "reduced") else []
+    lists = lists if layout == "full" else []
+    sizes = {r.field: r.n for r in vocab.groupBy("field").agg((F.max("index_in_block") + 1).alias("n")).collect()}  # a row a field
+    begins, at = {}, len(scaler) + len(flags)
+    for f in (*scalars, *lists):
+        begins[f], at = at, at + sizes.get(f, 1)
+    dim = at
+    place = lambda i, value: F.struct(i.cast("long").alias("index"), value.cast("float").alias("value"))
+    dense = [place(F.lit(i), scaled(c, s)) for i, (c, s) in enumerate(scaler.items())]
+    dense += [F.when(f.cast("float") != 0, place(F.lit(len(scaler) + i), f)) for i, f in enumerate(flags.values())]
+    own = df.select(key, F.array_compact(F.array(*dense)).alias("_own") if dense else F.array().cast("array<struct<index:bigint,value:float>>").alias("_own"))
+    if not begins:
+        whole = own
+    else:
+        found = _tokens(df, [key], scalars, lists).join(vocab.select("field", "token", "index_in_block"), ["field", "token"])
+        begin = F.element_at(F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]), F.col("field"))
+        # a scalar without a place counts as unknown, the first of its block
+        known = found.groupBy(key).agg(F.sort_array(F.collect_list(begin + F.col("index_in_block"))).alias("_at"))
+        t = own.join(known, key, "left").withColumn("_at", F.coalesce("_at", F.array().cast("array<int>")))
+        inside = lambda first, last: F.exists("_at", lambda i: i.between(first, last))
+        missing = [F.when(~inside(begins[f], begins[f] + sizes.get(f, 1) - 1), F.lit(begins[f])) for f in scalars]
+        ones = F.array_sort(F.concat("_at", F.array_compact(F.array(*missing)))) if missing else F.col("_at")
+        whole = t.select(key, F.concat("_own", F.transform(ones, lambda i: place(i, F.lit(1.0)))).alias("_own"))
+    return whole.select(key, F.lit(dim).alias("dim"), F.col("_own.index").alias("indices"), F.col("_own.value").alias("values"), F.lit(version).alias("version"))
+
+
+def unknown_counts(df: DataFrame, vocab: DataFrame | Mapping[str, Sequence[str]], lists: Sequence[str] = (), scalars: Sequence[str] | None = None) -> DataFrame:
+    """A48. (field, unknown): values that the vocabulary doesn't have, those of a list once per row. vocab: a table (field, token) of any size
+    with the names of its scalar fields, or lists by field. Equal values are counted before they are held against it."""
+    spark = df.sparkSession
+    if isinstance(vocab, Mapping):
+        scalars = [f for f in vocab if f not in lists]
+        vocab = spark.createDataFrame([(f, t) for f, tokens in vocab.items() for t in tokens], "field string, token string")
+    counts = _tokens(df, [], scalars or [], lists).groupBy("field", "token").agg(F.count("*").alias("n"))
+    gone = counts.join(vocab, ["field", "token"], "left_anti").groupBy("field").agg(F.sum("n").alias("unknown"))
+    fields = spark.createDataFrame([(f,) for f in (*(scalars or []), *lists)], "field string")
+    return fields.join(gone, "field", "left").select("field", F.coalesce("unknown", F.lit(0).cast("long")).alias("unknown"))

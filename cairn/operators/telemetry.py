@@ -46,24 +46,59 @@ def _filled(value: Column, by: Sequence[str]) -> Column:
     return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
 
 
+def classified(line: Column) -> Column:
+    """What a line of a training log is, by the first rule that fits: a struct of kind, number, seconds and text.
+
+    | kind | line |
+    | --- | --- |
+    | settings | has `Namespace(...)`: text is the line |
+    | load | begins `data load time:`, then a number |
+    | stop | says `early stop at epoch`, then a whole number |
+    | training, testing | says `training complete in` or `testing complete in`, then a duration: seconds |
+    | epoch | begins `Epoch`, then two whole numbers with a slash between them; more text may follow |
+    | phase | is TRAIN, VAL or TEST: text |
+    | bar | a finished progress bar, `100%|... [spent<left, ...]`: seconds spent |
+    | metrics | a dict in braces: text |
+
+    Phrases but not `Epoch` and phases are read in any case, with any white space between their words. Other lines have a null kind."""
+    s = F.trim(F.regexp_replace(line, r"\s+", " "))
+    low = F.lower(s)
+    rest = lambda phrase: F.substring(low, F.locate(phrase, low) + len(phrase), F.length(low))
+    whole = lambda text: F.regexp_substr(F.ltrim(text), F.lit("^[0-9]+")).try_cast("int")
+    done, total = F.trim(F.split_part(F.substring(s, 6, 1000), F.lit("/"), F.lit(1))), F.split_part(s, F.lit("/"), F.lit(2))
+    is_epoch = s.startswith("Epoch ") & done.rlike("^[0-9]+$") & whole(total).isNotNull()
+    spent = F.trim(F.substring_index(F.substring_index(s, "<", 1), "[", -1))
+    rules = [
+        ("settings", s.contains("Namespace("), {"text": s}),
+        ("load", low.startswith("data load time:"), {"number": F.regexp_substr(F.ltrim(rest("data load time:")), F.lit("^[0-9.]+")).try_cast("double")}),
+        ("stop", low.contains("early stop at epoch") & whole(rest("early stop at epoch")).isNotNull(), {"number": whole(rest("early stop at epoch"))}),
+        *[(k, low.contains(f"{k} complete in "), {"seconds": parse_duration(rest(f"{k} complete in "))}) for k in ("training", "testing")],
+        ("epoch", is_epoch, {"number": done.try_cast("int")}),
+        ("phase", s.isin("TRAIN", "VAL", "TEST"), {"text": s}),
+        ("bar", s.contains("100%|"), {"seconds": F.when(s.contains("<") & spent.contains(":"), parse_duration(spent))}),
+        ("metrics", s.startswith("{") & s.endswith("}"), {"text": s}),
+    ]
+    kinds = {"number": "double", "seconds": "double", "text": "string"}
+    out = F.lit(None)
+    for kind, fits, found in reversed(rules):
+        out = F.when(fits, F.struct(F.lit(kind).alias("kind"), *[found.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])).otherwise(out)
+    return out
+
+
 def log_rows(lines: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
-    """Lines with what they are: epoch and phase in force, marker_no (how many markers of any kind came before), elapsed seconds of a
-    finished progress bar, metrics."""
-    s = F.trim("line")
-    parts = F.split(F.replace(s, F.lit("/"), F.lit(" ")), r"\s+")  # 'Epoch', number, number of epochs
-    number = lambda i: F.get(parts, i).try_cast("int")
-    epoch = F.when((F.get(parts, 0) == "Epoch") & s.contains("/") & number(2).isNotNull(), number(1))
-    phase = F.when(s.isin("TRAIN", "VAL", "TEST"), s)
-    turn = F.when(epoch.isNotNull(), "").otherwise(phase)  # an epoch marker closes the phase
+    """Lines with what they are (kind, number, seconds, text), the epoch and phase in force, marker_no (how many markers of any kind came
+    before), elapsed seconds of a finished progress bar, metrics."""
+    t = lines.select(*by, "line_no", F.trim("line").alias("line"), classified(F.col("line")).alias("what")).select(*by, "line_no", "line", "what.*")
+    is_epoch, is_phase = F.col("kind") == "epoch", F.col("kind") == "phase"
     upto = W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    spent = F.substring_index(F.substring_index(s, "<", 1), "[", -1)  # a bar says [spent<left, ...]
-    elapsed = F.when(s.contains("100%|") & s.contains("<") & spent.contains(":"), parse_duration(spent))
-    whole = F.when(s.startswith("{") & s.endswith("}"), parse_pydict(s))
-    return lines.select(
-        *by, "line_no", s.alias("line"), _filled(epoch, by).alias("epoch"), _filled(turn, by).alias("phase"),
-        F.sum(F.when(epoch.isNotNull(), 1).otherwise(0)).over(upto).alias("epoch_no"),
-        F.sum(F.when(turn.isNotNull(), 1).otherwise(0)).over(upto).alias("marker_no"),
-        elapsed.alias("elapsed"), whole.alias("metrics"),
+    return t.select(
+        *by, "line_no", "line", "kind", "number", "seconds", "text",
+        _filled(F.when(is_epoch, F.col("number")), by).cast("int").alias("epoch"),
+        _filled(F.when(is_epoch, "").when(is_phase, F.col("text")), by).alias("phase"),  # an epoch marker closes the phase
+        F.sum(F.when(is_epoch, 1).otherwise(0)).over(upto).alias("epoch_no"),
+        F.sum(F.when(is_epoch | is_phase, 1).otherwise(0)).over(upto).alias("marker_no"),
+        F.when(F.col("kind") == "bar", F.col("seconds")).alias("elapsed"),
+        F.when(F.col("kind") == "metrics", parse_pydict("text")).alias("metrics"),
     )
 
 
@@ -85,16 +120,12 @@ def parse_training_log(lines: DataFrame, by: Sequence[str] = ("run",)) -> dict[s
     epochs = rows.filter(F.col("epoch_no") > 0).select(*by, "epoch_no", "epoch").distinct()
     times = found.filter(F.col("epoch_no") > 0).groupBy(*by, "epoch_no").agg(last_of("TRAIN").alias("train_sec"), last_of("VAL").alias("val_sec"))
     last_bar = found.groupBy(*by).agg(last_of("TEST").alias("test_bar_sec"), last_of("unassigned").alias("last_unassigned_sec"))
-    low = F.lower("line")
-    after = lambda text, words: F.get(F.split(text, words), 1)
-    stop = F.regexp_substr(after(F.regexp_replace(low, r"\s", ""), "earlystopatepoch"), F.lit("^[0-9]+")).try_cast("int")
-    training, testing = parse_duration(after(low, "training complete in")), parse_duration(after(low, "testing complete in"))
-    load = F.when(low.startswith("data load time:"), F.substring_index(F.trim(after(low, "data load time:")), " ", 1).try_cast("double"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c if isinstance(c, Column) else F.col(c))
     latest = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line_no")))
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("line_no")))
     run = rows.groupBy(*by).agg(
-        latest(parse_namespace("line").cast("string")).alias("args"), latest(load).alias("data_load_sec"), latest(stop).alias("early_stop"),
-        latest(training).alias("training_sec"), first(testing).alias("testing_sec"),
+        latest(of("settings", parse_namespace("text").cast("string"))).alias("args"), latest(of("load", "number")).alias("data_load_sec"),
+        latest(of("stop", "number")).cast("int").alias("early_stop"), latest(of("training", "seconds")).alias("training_sec"), first(of("testing", "seconds")).alias("testing_sec"),
     )
     metrics = rows.filter(F.col("metrics").isNotNull() & F.col("phase").isin("VAL", "TEST"))
     metrics = metrics.groupBy(*by, "epoch", "phase").agg(F.max("line_no").alias("line_no"), F.max_by("metrics", "line_no").alias("metrics"))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as P
+from cairn.operators import describe as D
 from cairn.operators import features as X
 from cairn.operators import segments as V
 from cairn.operators import telemetry as L
@@ -17,10 +18,12 @@ TURN = "conv_id AS run, turn"
 
 
 def log(spark, sf):
-    """Conversations as training logs: a user's turn opens an epoch and its training, an assistant's turn ends with a bar and metrics."""
+    """Conversations as training logs: a user's turn opens an epoch and its training, an assistant's turn ends with a bar and metrics.
+    Text may follow an epoch's numbers."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
     bar = lambda s: F.format_string("100%%|###| 20/20 [%d:%02d<00:00]", F.floor(s / 60), s % 60)
-    user = F.array(F.format_string("Epoch %d/30", F.col("turn")), F.lit("TRAIN"), bar(F.col("n")), bar(F.col("n") + 1))
+    tail = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, ": lr=1e-4 (7/8)").otherwise(" 2/3 done")
+    user = F.array(F.concat(F.format_string("Epoch %d/30", F.col("turn")), tail), F.lit("TRAIN"), bar(F.col("n")), bar(F.col("n") + 1))
     reply = F.array(F.lit("VAL"), bar(F.col("n") + 2), F.format_string("{'auc': 0.5, 'F1': %.4f}", F.col("n") % 97 / 100))
     start = F.array(F.format_string("Namespace(dataset='d%d', lr=0.1)", F.col("conv_id") % 2), F.lit("data load time: 11.02"), F.lit("Testing complete in 1m 55s"))
     rows = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", reply).otherwise(start)
@@ -155,6 +158,32 @@ def a47_feature_matrix(spark, sf):
     return m.select("p_partkey", F.round(F.col("vector")[0].cast("double"), 4).alias("price"), F.col("dim").cast("long").alias("dim"), at.cast("int").alias("type_at"), total.cast("int").alias("n_words"))
 
 
+@query("""WITH c AS (SELECT quantile_cont(p_retailprice, 0.99) AS c FROM part), x AS (SELECT *, ln(1 + least(p_retailprice, c)) AS v FROM part CROSS JOIN c), s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM x),
+    v AS (SELECT DISTINCT 1 AS b, p_type AS token FROM part UNION SELECT DISTINCT 2, unnest(string_split(p_name, ' ')) FROM part), k AS (SELECT b, token, row_number() OVER (PARTITION BY b ORDER BY token) AS i FROM v),
+    n AS (SELECT 1 + count(*) FILTER (b = 1) AS types, 1 + count(*) FILTER (b = 2) AS words FROM v),
+    o AS (SELECT DISTINCT p_partkey, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 1 + k.i END AS slot FROM part JOIN k ON b = 1 AND token = p_type
+        UNION SELECT p_partkey, 1 + types + k.i FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) p JOIN k ON b = 2 AND token = w CROSS JOIN n)
+    SELECT p_partkey, 1 + types + words AS dim, list_prepend(0, list(slot ORDER BY slot)) AS indices, round(any_value((v - m) / s), 4) AS price, count(*) AS ones
+    FROM o JOIN x USING (p_partkey) CROSS JOIN s CROSS JOIN n GROUP BY p_partkey, types, words""")
+def a47_sparse_features(spark, sf):
+    """Every fourth part has a type that the vocabulary doesn't have."""
+    p = parts(spark, sf)
+    vocab = D.build_vocab(p, ["p_type"], ["words"])
+    some = p.withColumn("p_type", F.when(F.col("p_size") % 4 == 0, F.lit("another")).otherwise(F.col("p_type")))
+    m = X.sparse_features(some, "p_partkey", X.fit_scaler(p, ["p_retailprice"]), vocab, ["p_type"], ["words"])
+    ones = F.size(F.filter("values", lambda v: v == 1.0)) - (F.col("values")[0] == 1.0).cast("int")
+    return m.select("p_partkey", F.col("dim").cast("long").alias("dim"), "indices", F.round(F.col("values")[0].cast("double"), 4).alias("price"), ones.cast("long").alias("ones"))
+
+
+@query("""WITH v AS (SELECT DISTINCT 'p_type' AS field, p_type AS token FROM part WHERE p_size > 25 UNION SELECT DISTINCT 'words', unnest(string_split(p_name, ' ')) FROM part WHERE p_partkey % 50 = 1),
+    t AS (SELECT 'p_type' AS field, p_type AS token FROM part UNION ALL SELECT 'words', unnest(list_distinct(string_split(p_name, ' '))) FROM part)
+    SELECT f.field, count(t.token) AS unknown FROM (VALUES ('p_type'), ('words')) f(field) LEFT JOIN (SELECT * FROM t ANTI JOIN v USING (field, token)) t USING (field) GROUP BY f.field""")
+def a48_unknown_by_table(spark, sf):
+    p = parts(spark, sf)
+    vocab = D.build_vocab(p.filter("p_size > 25"), ["p_type"]).unionByName(D.build_vocab(p.filter("p_partkey % 50 = 1"), [], ["words"]))
+    return X.unknown_counts(p, vocab, ["words"], ["p_type"])
+
+
 @query("""WITH t AS (SELECT 'p_type' AS f, 'unknown' AS v, 0 AS o UNION ALL SELECT DISTINCT 'p_type', p_type, 1 FROM part), u AS (SELECT 'words' AS f, 'unknown' AS v, 0 AS o UNION ALL SELECT DISTINCT 'words', unnest(string_split(p_name, ' ')), 1 FROM part),
     a AS (SELECT 0 AS b, 'numeric' AS kind, 'p_retailprice' AS field, 'log1p z-score' AS value, 0 AS o UNION ALL SELECT 1, 'one_hot', f, v, o FROM t UNION ALL SELECT 2, 'multi_hot', f, v, o FROM u)
     SELECT CAST(row_number() OVER (ORDER BY b, o, value) - 1 AS INT) AS index, kind, field, value FROM a""")

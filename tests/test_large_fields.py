@@ -112,3 +112,30 @@ def test_vocabulary_of_a_large_field(spark):
     got = {(r.field, r.token): r.index_in_block for r in vocab.collect()}
     assert len(got) == 50_001 + 3 and got["c", "unknown"] == got["l", "unknown"] == 0 and (got["l", "a"], got["l", "b"]) == (1, 2)
     assert all(got["c", f"t{i:06}"] == i + 1 for i in range(50_000))
+
+
+def test_sparse_features_are_the_dense_ones(spark):
+    from cairn.operators import features as X
+
+    rows = [(1, 1.0, "a", ["x", "x"]), (2, None, "b", None), (3, -5.0, "zz", ["y", "q"]), (4, 2.0, None, []), (5, 2.0, "unknown", ["unknown"])]
+    df = spark.createDataFrame(rows, "id int, n double, c string, l array<string>")
+    seen = df.filter("id < 3 or id = 4").withColumn("l", F.array(F.lit("x"), F.lit("y")))
+    vocab, scaler = D.build_vocab(seen, ["c"], ["l"]), X.fit_scaler(df, ["n"])
+    lists = X.vocabulary(seen, ["c"], ["l"])
+    flags = {"big": F.col("id") > 2, "never": F.lit(False)}
+    for layout in ("full", "reduced", "flags"):
+        dense = {r.id: r for r in X.feature_matrix(df, "id", scaler, lists, ["l"], flags, layout).collect()}
+        for r in X.sparse_features(df, "id", scaler, vocab, ["c"], ["l"], flags, layout).collect():
+            vector = [0.0] * r.dim
+            for i, v in zip(r.indices, r["values"], strict=True):
+                vector[i] = v
+            assert r.indices == sorted(set(r.indices)) and vector == dense[r.id].vector
+
+
+def test_unknown_values_of_a_large_vocabulary(spark):
+    from cairn.operators import features as X
+
+    df = spark.range(0, 60_000, 1, 8).select(F.concat(F.lit("t"), "id").alias("c"), F.array(F.lit("a"), F.lit("z"), F.lit("z")).alias("l"))
+    vocab = D.build_vocab(df.filter("c like '%7'"), ["c"], []).unionByName(D.build_vocab(df.select(F.array(F.lit("a")).alias("l")), [], ["l"]))
+    assert {r.field: r.unknown for r in X.unknown_counts(df, vocab, ["l"], ["c"]).collect()} == {"c": 54_000, "l": 60_000}
+    assert {r.field: r.unknown for r in X.unknown_counts(df.limit(0), vocab, ["l"], ["c"]).collect()} == {"c": 0, "l": 0}

@@ -208,6 +208,36 @@ Testing complete in 1m 55s"""
     assert (rows["ALL"].train_sec, rows["ALL"].test_sec, rows["ALL"].n_epochs, rows["ALL"].train_hms) == (441, 9, 2, "07:21")
 
 
+LINES = {
+    "Epoch 3/29": ("epoch", 3), "Epoch 4/29: lr=1e-4": ("epoch", 4), "  Epoch  5 / 29 [12/30]": ("epoch", 5), "Epoch 6/29abc": ("epoch", 6), "Epoch x/29": (None, None), "Epoch 4": (None, None),
+    "Epochs 3/29": (None, None), "the Epoch 3/29": (None, None), "epoch 3/29": (None, None), "Epoch 3 of 4/5": (None, None), "Epoch /3": (None, None),
+    "TRAIN": ("phase", None), "VAL ": ("phase", None), "TRAINING": (None, None), "train": (None, None),
+    "Early stop  at epoch 6": ("stop", 6), "now: early stop at epoch 12, best 7": ("stop", 12), "early stop at epoch": (None, None), "early stop": (None, None),
+    "data load time: 11.02": ("load", 11.02), "Data load time:3 s": ("load", 3.0), "my data load time: 4": (None, None),
+    "Training complete in 53m 57s": ("training", 3237), "x Testing complete in 1m 55s": ("testing", 115), "100%|###| 20/20 [06:21<00:00, 1s/it]": ("bar", 381), "100%|###| done": ("bar", None),
+    " 99%|## | 19/20 [06:21<00:10]": (None, None), "Namespace(a=1)": ("settings", None), "{'auc': 0.5}": ("metrics", None), "": (None, None),
+}
+
+
+def test_kinds_of_log_lines(spark):
+    df = spark.createDataFrame([(x,) for x in LINES] + [(None,)], "line string").select("line", L.classified(F.col("line")).alias("w")).select("line", "w.*")
+    got = {r.line: (r.kind, r.number if r.number is not None else r.seconds) for r in df.collect()}
+    assert got == {**LINES, None: (None, None)}
+
+
+def test_epoch_lines_with_text_after_the_number(spark):
+    text = """Epoch 3/29
+TRAIN
+100%|###| 20/20 [06:21<00:00, 1s/it]
+Epoch 4/29: lr=1e-4
+TRAIN
+100%|###| 20/20 [00:21<00:00, 1s/it]
+VAL
+100%|###| 20/20 [00:05<00:00, 1s/it]"""
+    out = L.parse_training_log(spark.createDataFrame([("r", i, x) for i, x in enumerate(text.split("\n"))], "run string, line_no int, line string"))
+    assert {(r.epoch, r.train_sec, r.val_sec) for r in out["epochs"].collect()} == {(3, 381, None), (4, 21, 5)}
+
+
 def test_cuts_keep_their_gap(spark):
     df = spark.createDataFrame([("v", i, 0.9 if i in (2, 3, 5, 9) else 0.1) for i in range(12)], "k string, f long, d double")
     assert V.detect_cuts(df, "k", "f", "d", 3).first().cuts == [2, 5, 9]
