@@ -29,8 +29,8 @@ from cairn.llm.common import ids_and_text, real_id
 BLOCK = 1 << 16
 AFTER_LETTER = re.compile(rb"[.,;:!?*#$%&()](?<=[A-Za-z0-9].)")
 MAGIC = b"PLN1"
-#: Words whose ids a worker remembers at once.
-REMEMBERED = 1_100_000
+#: A worker remembers the ids of so many words that it has met lately, and of as many that it had met before these.
+REMEMBERED = 300_000
 #: Characters of texts that are encoded together.
 GROUP = 1 << 22
 
@@ -74,6 +74,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.wordwise = splits_at_spaces(json.loads(source))
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, source: str) -> WordEncoder:
@@ -100,14 +101,16 @@ class WordEncoder:
 
     def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         here = dict.fromkeys(chain.from_iterable(group))
         new = []
         for w in here:
             if (ids := self.known.get(w)) is None:
-                new.append(w)
-            else:
-                here[w] = ids
+                if (ids := self.older.get(w)) is None:
+                    new.append(w)
+                    continue
+                self.known[w] = ids
+            here[w] = ids
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
             ids = e.ids
             here[w] = self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
