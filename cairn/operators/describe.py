@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,6 +127,20 @@ def ingest_summary(good: DataFrame, bad: DataFrame, cols: Sequence[str]) -> Data
     return row.select(F.inline(F.array(*cells, *[value(f"missing_rate.{c}", F.col(f"`{c}__r`")) for c in cols])))
 
 
+def ingest(raw: DataFrame, ok: Column, cols: Sequence[str], path: str) -> DataFrame:
+    """A49 while the good rows of raw, those for which ok holds, are written to path as Parquet: the summary's counts are observed on the way,
+    so raw is read once."""
+    good = F.coalesce(ok, F.lit(False))
+    seen = Observation()
+    metrics = [F.count("*").alias("total"), F.count_if(good).alias("ok"), *[F.count_if(good & to_double(c).isNull()).alias(f"gone_{i}") for i, c in enumerate(cols)]]
+    raw.observe(seen, *metrics).filter(good).write.parquet(path)
+    m = seen.get
+    rate = lambda n: n / m["ok"] if m["ok"] else None
+    rows = [("documents_total", float(m["total"])), ("documents_ok", float(m["ok"])), ("documents_bad", float(m["total"] - m["ok"]))]
+    rows += [(f"missing_rate.{c}", rate(m[f"gone_{i}"])) for i, c in enumerate(cols)]
+    return raw.sparkSession.createDataFrame(rows, "name string, value double")
+
+
 def top_outliers(df: DataFrame, key: Sequence[str], cols: Sequence[str], n: int = 50) -> DataFrame:
     """T1. The n rows of each field farthest from its mean: key, field, x, z, rank. Constant fields give none; ties go by key."""
     stats = _wide(df, cols, {"mean": F.avg, "std": F.stddev_samp}).filter("std > 0")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as P
@@ -11,7 +9,7 @@ from cairn.operators import describe as D
 from cairn.operators import features as X
 from cairn.operators import segments as V
 from cairn.operators import telemetry as L
-from cairn.plans.base import query, rounded, table
+from cairn.plans.base import query, rounded, shared_path, table
 from cairn.sources import annotations as IO
 
 TURN = "conv_id AS run, turn"
@@ -273,15 +271,18 @@ def v6_quantile_code_relative(spark, sf):
     return V.quantile_code(table(spark, sf, "orders"), "o_totalprice", 0.02).select("o_orderkey", "code")
 
 
-def shared_path(spark, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. Where that is unset, as in tests, in one of this machine if Spark runs in it alone."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='cairn-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@query("SELECT 'b' || CAST(conv_id % 40 AS VARCHAR) AS video_id, count(*) AS n, true AS good FROM conversations WHERE conv_id % 40 % 3 <> 1 GROUP BY 1 UNION ALL SELECT DISTINCT NULL, conv_id % 40, false FROM conversations WHERE conv_id % 40 % 3 = 1")
+def s1_compacted(spark, sf):
+    """Groups of conversations as a document in a file each, some broken, gathered once and read from there."""
+    path, target, b = shared_path(spark, "small"), shared_path(spark, "compacted"), F.col("conv_id") % 40
+    docs = table(spark, sf, "conversations").groupBy(b.alias("b")).agg(F.count("*").alias("n"))
+    text = F.when(F.col("b") % 3 != 1, F.to_json(F.struct(F.concat(F.lit("b"), F.col("b").cast("string")).alias("video_id"), "n"))).otherwise(F.lit('{"video_id": '))
+    docs.select("b", text.alias("value")).write.partitionBy("b").text(path)
+    IO.compact(spark, path, target)
+    IO.compact(spark, path, target)
+    good, bad = IO.parse_annotations(IO.read_compacted(spark, target), "video_id string, n bigint")
+    none = bad.select(F.lit(None).cast("string").alias("video_id"), F.regexp_extract("file", "b=([0-9]+)/", 1).cast("bigint").alias("n"), F.lit(False).alias("good"))
+    return good.select("video_id", "n", F.lit(True).alias("good")).unionByName(none)
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS video_id, turn AS n, true AS good FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT NULL, NULL, false FROM conversations WHERE turn % 3 <> 0")

@@ -10,7 +10,7 @@ from cairn.operators import cooccur as C
 from cairn.operators import describe as D
 from cairn.operators import metrics as M
 from cairn.operators import slices as S
-from cairn.plans.base import query, rounded, table
+from cairn.plans.base import query, rounded, shared_path, table
 from cairn.plans.scalar_queries import PREDICTIONS, predictions
 
 NUM = ["l_quantity", "l_extendedprice", "disc", "l_tax"]
@@ -363,6 +363,16 @@ def a49_ingest_summary(spark, sf):
     return rounded(D.ingest_summary(o.filter("o_orderstatus <> 'F'"), o.filter("o_orderstatus = 'F'"), ["price"]))
 
 
+@query("""SELECT 'documents_total' AS name, CAST(count(*) AS DOUBLE) AS value FROM orders UNION ALL SELECT 'documents_ok', count(*) FILTER (o_orderstatus <> 'F') FROM orders
+    UNION ALL SELECT 'documents_bad', count(*) FILTER (o_orderstatus = 'F') FROM orders
+    UNION ALL SELECT 'missing_rate.price', round(count(*) FILTER (o_custkey % 4 = 0) / count(*), 6) FROM orders WHERE o_orderstatus <> 'F'""")
+def a49_ingest(spark, sf):
+    """The same while the good rows are written."""
+    o = table(spark, sf, "orders").withColumn("price", F.when(F.col("o_custkey") % 4 != 0, F.col("o_totalprice")))
+    return rounded(D.ingest(o, F.col("o_orderstatus") != "F", ["price"], shared_path(spark, "ingest")))
+
+
+
 @query("""SELECT o_orderkey, field, x, round(z, 6) AS z, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY round(abs(z), 9) DESC, o_orderkey) AS r FROM (
     SELECT o_orderkey, 'o_totalprice' AS field, o_totalprice AS x, (o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER () AS z FROM orders
     UNION ALL SELECT o_orderkey, 'o_custkey', o_custkey, (o_custkey - avg(o_custkey) OVER ()) / stddev_samp(o_custkey) OVER () FROM orders)) WHERE r <= 50""")
