@@ -4,7 +4,9 @@ documents with benchmark items go, and the rest is packed."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +16,27 @@ from cairn.llm.common import delete, new_path, scratch
 from cairn.llm.queries import table, word_bpe
 
 
-#: Rows that a Python worker gets at a time while the pipeline runs.
-ROWS = 1000
-#: The folder with the tables that the latest stage has stored.
-_left: list[str] = []
+#: What a Python worker gets at a time: texts and sets of shingles may be long, and a worker holds a batch in several forms.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: The folder with the tables that the latest stage of a run has stored: of run(), or else of the stages called in a session.
+_of_run: ContextVar[list[str] | None] = ContextVar("of_run", default=None)
+_of_session: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
 
 
 def _stage(f: Callable) -> Callable:
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None) -> DataFrame:
-        """A stage's result has been written before the next one begins, which then deletes what the former has stored. Python workers
-        get ROWS texts at a time: texts may be long, and a worker holds a batch in several forms."""
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-        while _left:
-            delete(spark, _left.pop())
-        _left.append(new_path(spark, f.__name__))
-        with scratch(spark, _left[-1]):
+        """A stage's result has been written before the next one begins, which then deletes what the former has stored. Its batches are
+        bounded by settings of the session, which the result needs until it has been written; run() restores them."""
+        for name, value in BATCHES.items():
+            spark.conf.set(name, value)
+        left = _of_run.get()
+        if left is None:
+            left = _of_session.setdefault(spark, [])
+        while left:
+            delete(spark, left.pop())
+        left.append(new_path(spark, f.__name__))
+        with scratch(spark, left[-1]):
             return f(spark, docs, sf_dir)
 
     return stage
@@ -76,11 +83,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what all stages keep, read from the table that the last one has written. What the stages have stored on the way
+    is deleted, and the session's settings are as before."""
+    settings = {name: spark.conf.get(name) for name in BATCHES}
+    left: list[str] = []
+    token = _of_run.set(left)
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            delete(spark, before)
-        docs, before = spark.read.parquet(path), path
+    try:
+        for name, stage in STAGES:
+            path = new_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if before:
+                delete(spark, before)
+            docs, before = spark.read.parquet(path), path
+    finally:
+        _of_run.reset(token)
+        for folder in left:
+            delete(spark, folder)
+        for name, value in settings.items():
+            spark.conf.set(name, value)
     return docs
