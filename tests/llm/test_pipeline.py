@@ -70,3 +70,16 @@ def test_packing(stages):
     packed = after.collect()
     gapless(packed, 4096)
     assert {r.doc_id for r in packed} == set(rows(before))
+
+
+def test_run_leaves_nothing_but_its_result(spark, tmp_path, monkeypatch):
+    """Settings are as before, and of all tables of two runs only the results stay."""
+    stored = []
+    monkeypatch.setattr(corpus_pipeline, "new_path", lambda s, name: stored.append(f"{tmp_path}/{name}-{len(stored)}") or stored[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", corpus_pipeline._stage(lambda s, docs, _: docs.limit(5))), ("b", corpus_pipeline._stage(lambda s, docs, _: docs))])
+    names = list(corpus_pipeline.BATCHES)
+    before = [spark.conf.get(n) for n in names]
+    first, second = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert first.count() == second.count() == 5
+    assert [spark.conf.get(n) for n in names] == before
+    assert len(list(tmp_path.iterdir())) == 2
