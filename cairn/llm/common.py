@@ -134,6 +134,20 @@ def has_bit(table: np.ndarray, n: np.ndarray) -> np.ndarray:
     return table[n >> 3] >> (n & 7).astype(np.uint8) & 1
 
 
+def split_by_key(rows: DataFrame, keys: DataFrame, bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in keys, rows whose key surely isn't), both tables with a column key. A table of bits of the keys' hashes is
+    broadcast; so only the former need to be moved for a join, nearly all of them with a partner as long as keys are fewer than bits."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(bits))
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(keys.select(bit), bits))  # bits / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(table.value, at.to_numpy()) != 0)
+
+    marked = rows.withColumn("_may", may(bit))
+    return marked.filter("_may").drop("_may"), marked.filter("not _may").drop("_may")
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, as (doc_id, text): null identifiers become NULL_ID, null texts empty."""
     return docs.select(
