@@ -52,12 +52,26 @@ def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
     return cell_counts(rows.select("text"), CELLS, cells_of)
 
 
-def set_and_prefix(codes: np.ndarray, table: np.ndarray, least: float) -> tuple[int, int, np.ndarray]:
-    """(hash of the set of shingles, its size, the rarest of them: its prefix). table: counts of the cells."""
+def set_and_prefix(codes: np.ndarray, table: np.ndarray, least: float) -> tuple[int, int, int, np.ndarray]:
+    """(both halves of a 128-bit hash of the set of shingles, its size, the rarest of them: its prefix). table: counts of the cells."""
     own = np.unique(codes)
-    sid = xxhash.xxh64_intdigest(own.tobytes(), 42)
+    whole = xxhash.xxh3_128_intdigest(own.tobytes(), 42)
     rare = own[np.argsort(table[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
-    return sid, len(own), rare[: len(own) - int(np.ceil(least * len(own) - SLACK)) + 1].view(np.int64)
+    return whole & (1 << 64) - 1, whole >> 64, len(own), rare[: len(own) - int(np.ceil(least * len(own) - SLACK)) + 1].view(np.int64)
+
+
+def told_apart(prints: DataFrame) -> DataFrame:
+    """prints: rows with sid and more, the halves of a set's hash. Stored, with a sid that no two sets share: where sets of one sid differ in
+    more, both get new ones."""
+    tries = 0
+    while True:
+        clash = stored(prints.groupBy("sid").agg(F.min("more").alias("lo"), F.max("more").alias("hi")).filter("lo != hi").select("sid"), "clashes")
+        if clash.isEmpty():
+            return prints.drop("more")
+        tries += 1
+        new = prints.join(clash.withColumn("_clash", F.lit(True)), "sid", "left")
+        sid = F.when(F.col("_clash"), F.xxhash64("sid", "more", F.lit(tries))).otherwise(F.col("sid"))
+        prints = stored(new.withColumn("sid", sid).select(*prints.columns), "prints")
 
 
 def compatible(least: float) -> Column:

@@ -218,7 +218,7 @@ def verified_links(rows: DataFrame, sets: DataFrame, words: int, least: float, b
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bits: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bits: int = 4, id_bits: int = 64,
 ) -> DataFrame:
     """One row of docs for each component of near copies, with all its columns: the one with the smallest doc_id. Near copies are
     texts whose sets of shingles have a Jaccard similarity of at least `least`.
@@ -228,31 +228,38 @@ def near_dedup(
     an exact join of the sets that aren't linked yet completes the links. Texts without words are copies of each other. Rows
     are judged by themselves, so a null or repeated identifier takes part like any other; a null one comes last. Column names
     may be any. An empty table gives an empty result.
+
+    Sets are told apart by 128 bits; `id_bits` of them name a set, and names that sets share are changed. Rows are told apart by their
+    identifier and 128 bits of their text.
     """
     spark = docs.sparkSession
+    tag = lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("tag")
     whole = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag"),
+        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), tag(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))),
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
     )
-    rows = ids_and_text(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
+    rows = ids_and_text(docs, id_col, text_col).withColumn("tag", tag(F.col("text")))
     with scratch(spark):
         counts = spark.sparkContext.broadcast(near_copies.shingle_counts(rows, words))  # CELLS numbers
 
+        mask = np.int64(-1 if id_bits >= 64 else (1 << id_bits) - 1)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in (whole.iloc[at : at + 500] for whole in batches for at in range(0, len(whole), 500)):
-                sid, fp, size, prefix = [], [], [], []
+                sid, more, fp, size, prefix = [], [], [], [], []
                 for text in batch.text:
                     codes = near_copies.shingles(text, words)
                     fp.append(majority(codes) if len(codes) else 0)
-                    for out, x in zip((sid, size, prefix), near_copies.set_and_prefix(codes, counts.value, least), strict=True):
+                    for out, x in zip((sid, more, size, prefix), near_copies.set_and_prefix(codes, counts.value, least), strict=True):
                         out.append(x)
                 long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "tag": batch.tag.to_numpy(), "sid": long(sid), "fp": long(fp), "size": size, "prefix": prefix})
+                yield pd.DataFrame({"doc_id": batch.doc_id.to_numpy(), "tag": batch.tag, "sid": long(sid) & mask, "more": long(more), "fp": long(fp), "size": size, "prefix": prefix})
             tidy()
 
         own = F.struct((F.col("doc_id") == NULL_ID).alias("none"), "doc_id", "tag")  # a null identifier last
         with scratch(spark):
-            full = stored(rows.mapInPandas(run, "doc_id long, tag long, sid long, fp long, size int, prefix array<long>"), "prints")
+            full = stored(rows.mapInPandas(run, "doc_id long, tag binary, sid long, more long, fp long, size int, prefix array<long>"), "prints")
+            full = near_copies.told_apart(full)
             head = stored(full.groupBy("sid").agg(F.min(own).alias("first")).select("sid", "first.doc_id", "first.tag"), "heads")
             sets = full.join(head, ["sid", "doc_id", "tag"], "left_semi")
             repeated = not full.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()

@@ -67,6 +67,15 @@ def test_common_shingles_and_small_texts(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(heads_by_hand(texts))
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    """Names of three bits clash nearly everywhere."""
+    rng = random.Random(13)
+    texts = {n: text(rng, 60) for n in range(40)}
+    texts |= {100 + n: changed(rng, texts[n], 1) for n in range(0, 40, 3)}
+    docs = spark.createDataFrame([(d, t, "en") for d, t in texts.items()], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs, id_bits=3).collect()) == sorted(heads_by_hand(texts))
+
+
 def test_null_and_repeated_identifiers(spark):
     rng = random.Random(7)
     a, b, c, d = (text(rng, 80) for _ in range(4))
