@@ -162,16 +162,16 @@ def piece(text: Column, done: bool) -> Column:
 PIECES = "array<struct<text:string,done:boolean>>"
 
 
-def after(pieces: Column, pattern: str, replaced: Callable[[Column], Column]) -> Column:
+def after(pieces: Column, sign: str, pattern: str, replaced: Callable[[Column], Column]) -> Column:
     """Pieces (text, done) after a search in those that aren't done: replaced(match) gives the pieces that stand for a match. Neighbours that
-    aren't done become one piece, so that the next search sees them whole."""
+    aren't done become one piece, so that the next search sees them whole. Every match holds a sign, which is sought faster."""
 
     def found(p: Column) -> Column:
         def parts(xs: Column) -> Column:
             each = F.transform(xs, lambda x, i: F.when(i % 2 == 1, replaced(x)).otherwise(F.array(piece(x, False))))
             return F.when(F.size(xs) > 1, F.flatten(each)).otherwise(F.array(p))
 
-        return F.when(p["done"], F.array(p)).otherwise(let(cut(p["text"], pattern), parts))
+        return F.when(p["done"] | ~p["text"].rlike(sign), F.array(p)).otherwise(let(cut(p["text"], pattern), parts))
 
     def join(kept: Column, p: Column) -> Column:
         last = F.get(kept, F.size(kept) - 1)
@@ -355,10 +355,14 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     text, secret = F.col(f"`{text_col}`"), F.lit(key)
     named = lambda k: F.lit(f"{key}|{k}")
     t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("given"), F.array(piece(text, False)).alias("pieces"))
-    for pattern, replaced in (
-        (ADDRESS, lambda m: _address(m, secret)), (OTHER_IBAN, lambda m: _iban(m, named("iban"), False)), (PHONE, lambda m: _phone(m, named("phone"))), (RUN, lambda m: _run(m, named("card"))), (SMALL, lambda m: _small(m, secret)),
-    ):
-        t = t.withColumn("pieces", after(F.col("pieces"), pattern, replaced))
+    for sign, pattern, replaced in (
+        ("@|[A-Z]{2}[0-9]{2}", ADDRESS, lambda m: _address(m, secret)),
+        ("[A-Z]{2}[0-9]{2}", OTHER_IBAN, lambda m: _iban(m, named("iban"), False)),
+        (r"\+[0-9]", PHONE, lambda m: _phone(m, named("phone"))),
+        ("[0-9](?:[ -]?[0-9]){12}", RUN, lambda m: _run(m, named("card"))),
+        ("[0-9][./-][0-9]", SMALL, lambda m: _small(m, secret)),
+    ):
+        t = t.withColumn("pieces", after(F.col("pieces"), sign, pattern, replaced))
     new = F.when(F.col("given").isNotNull(), F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
     out = t.select("doc_id", "given", new.alias("text"))
     return out.select("doc_id", "text", F.coalesce(F.col("text") != F.col("given"), F.lit(False)).alias("changed"))
