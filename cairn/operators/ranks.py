@@ -1,8 +1,9 @@
 """Running totals and exact quantiles of large groups, without a task that holds a whole group.
 
-Values are counted first. The distinct values of a group are then dealt by value to PARTS ranges (bounds from an
-approximate percentile of bounded size; where they lie affects balance only), totals run inside each range, and what the
-ranges before it hold is added: so no window is longer than a range, and quantiles are read off the running counts.
+Values are counted first. The distinct values of a group are then dealt by value to ranges, as many as their number asks for
+(bounds from an approximate percentile of bounded size; where they lie affects balance only), totals run inside each range,
+and what the ranges before it hold is added: so no window is longer than a range, and quantiles are read off the running
+counts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import to_double
 
-#: Ranges that the distinct values of a group are dealt to, and the accuracy of their bounds.
-PARTS, ACCURACY = 64, 2000
+#: Distinct values in a range, ranges of a group at the most, and the accuracy of their bounds.
+A_RANGE, PARTS, ACCURACY = 100_000, 1024, 4096
 
 
 def below(bounds: Column, x: Column, parts: int) -> Column:
@@ -25,12 +26,20 @@ def below(bounds: Column, x: Column, parts: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) < x, step).otherwise(0))
 
 
-def running(counts: DataFrame, by: Sequence[str], x: str, sums: Sequence[str], parts: int = PARTS) -> DataFrame:
+def ranges(counts: DataFrame, by: Sequence[str], x: str, a_range: int = A_RANGE, parts: int = PARTS) -> DataFrame:
+    """(by, _bounds): ascending bounds of the ranges of a group's rows by x, about a_range rows each, no more than `parts` ranges. A group of up
+    to a_range rows has one range."""
+    at = [i / parts for i in range(1, parts)]
+    t = counts.groupBy(*by).agg(F.percentile_approx(x, at, ACCURACY).alias("_bounds"), F.count("*").alias("_rows"))
+    every = F.greatest(F.floor(parts / F.ceil(F.col("_rows") / a_range)), F.lit(1))  # of the finest bounds, each `every`-th is one
+    return t.select(*by, F.array_distinct(F.filter("_bounds", lambda _, i: (i + 1) % every == 0)).alias("_bounds"))
+
+
+def running(counts: DataFrame, by: Sequence[str], x: str, sums: Sequence[str], a_range: int = A_RANGE, parts: int = PARTS) -> DataFrame:
     """counts: one row for each (by, x), x a known number. Adds, for each column s of sums, s_upto (total of rows up to this one) and
     s_all (total of the group), and x_next, the next larger x (null for the last)."""
     by = list(by)
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], ACCURACY).alias("_bounds"))
-    t = counts.join(bounds, by).withColumn("_range", below(F.col("_bounds"), F.col(x), parts)).drop("_bounds")
+    t = counts.join(ranges(counts, by, x, a_range, parts), by).withColumn("_range", below(F.col("_bounds"), F.col(x), parts)).drop("_bounds")
     here = t.groupBy(*by, "_range").agg(F.min(x).alias("_first"), *[F.sum(s).alias(f"_{s}") for s in sums])
     order, whole = W.partitionBy(*by).orderBy("_range"), W.partitionBy(*by)  # at most `parts` rows a group
     here = here.select(

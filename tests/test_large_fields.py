@@ -139,3 +139,15 @@ def test_unknown_values_of_a_large_vocabulary(spark):
     vocab = D.build_vocab(df.filter("c like '%7'"), ["c"], []).unionByName(D.build_vocab(df.select(F.array(F.lit("a")).alias("l")), [], ["l"]))
     assert {r.field: r.unknown for r in X.unknown_counts(df, vocab, ["l"], ["c"]).collect()} == {"c": 54_000, "l": 60_000}
     assert {r.field: r.unknown for r in X.unknown_counts(df.limit(0), vocab, ["l"], ["c"]).collect()} == {"c": 0, "l": 0}
+
+
+def test_ranges_follow_the_number_of_values(spark):
+    """Of uneven fields the small ones have one range, and the large one as many as its values ask for."""
+    sizes = {"a": 1, "b": 90, "c": 1000, "d": 20_000}
+    rows = spark.createDataFrame(list(sizes.items()), "field string, n long").select("field", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("x"))
+    counts = rows.select("field", F.col("x").cast("double").alias("x"), F.lit(1).alias("n"))
+    bounds = {r.field: r._bounds for r in ranks.ranges(counts, ["field"], "x", a_range=100, parts=64).collect()}
+    assert {f: len(b) for f, b in bounds.items()} == {"a": 0, "b": 0, "c": 10, "d": 63}
+    assert all(b == sorted(b) for b in bounds.values())
+    got = ranks.running(counts, ["field"], "x", ["n"], a_range=100, parts=64).collect()
+    assert len(got) == sum(sizes.values()) and all((r.n_upto, r.n_all, r.x_next) == (r.x, sizes[r.field], r.x + 1 if r.x < sizes[r.field] else None) for r in got)
