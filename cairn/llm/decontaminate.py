@@ -112,12 +112,12 @@ HITS = "doc_id long, item_id long, distance int, end long"
 
 def hits(
     docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_col: str = "text", pass_chars: int = PASS_CHARS,
+    item_id_col: str = "item_id", item_col: str = "text", pass_chars: int = PASS_CHARS, least_chars: int = 1,
 ) -> DataFrame:
     """(doc_id, item_id, distance, end): test items that occur in a text, both in plain form, within rate x their length edits.
 
-    end is where the best match ends in the plain text. Empty and null items match nothing, an item of few characters
-    matches wherever it occurs. Items that repeat, and null item_ids, each give rows of their own (null stays null). The items
+    end is where the best match ends in the plain text. Empty and null items match nothing, and so do items
+    of fewer than least_chars characters in plain form; other short ones match wherever they occur. Items that repeat, and null item_ids, each give rows of their own (null stays null). The items
     are dealt by hash into passes of about half of pass_chars characters each, so what is broadcast is bounded.
     """
     spark = docs.sparkSession
@@ -130,7 +130,7 @@ def hits(
     rows = ids_and_text(docs, id_col, text_col)
 
     def one(number: int) -> DataFrame:
-        block = [(r.item_id, p, budget(p, rate)) for r in dealt.filter(F.col("_pass") == number).toLocalIterator() if (p := plain(r.item))]
+        block = [(r.item_id, p, budget(p, rate)) for r in dealt.filter(F.col("_pass") == number).toLocalIterator() if len(p := plain(r.item)) >= max(1, least_chars)]
         shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +148,7 @@ def hits(
     return reduce(DataFrame.unionByName, [one(n) for n in range(passes)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """One row per input row: doc_id, contaminated, n_items, item_ids (sorted; null identifiers of items aren't named). Each row is
     judged by its own text, whatever its identifier; null and empty texts hold nothing. Other columns of docs are ignored.
     Empty tables give no rows or nothing contaminated."""
@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """The rows of docs without a test item, with all their columns, whatever their names. Rows are judged as by contamination."""
     rows = row_keys(docs, id_col, text_col)
     found = stored(hits(rows.select("key", "text"), benchmark, rate, "key", "text", **columns).select(F.col("doc_id").alias("key")).distinct(), "hits")

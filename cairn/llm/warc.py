@@ -81,7 +81,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(address, payload). A payload that doesn't have its address's digest, or an address with two payloads, is an error."""
+    """(address, payload). A payload that doesn't have its address's SHA-256 is an error, so that no address stands for two payloads."""
     store = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
     good = F.assert_true(F.sha2("payload", 256) == F.col("address"), "a payload doesn't have its address's digest")
     return store.filter(good.isNull())

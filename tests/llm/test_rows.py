@@ -76,3 +76,29 @@ def test_no_rows(spark):
     for out in (line_dedup.line_dedup(df), simhash.near_dedup(df), decontaminate.decontaminate(df, bench)):
         assert out.columns == df.columns and out.count() == 0
     assert line_dedup.line_decisions(df).count() == 0
+
+
+def test_short_items_may_be_left_out(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "x"), (3, f"see {ITEM}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " B "), (2, ITEM)], "item_id long, text string")
+    found = lambda **more: {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench, **more).collect()}
+    assert found() == {1: [1], 2: [], 3: [2]} and found(least_chars=2) == {1: [], 2: [], 3: [2]}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, least_chars=2).collect()) == [1, 2]
+
+
+def test_sample_of_labelled_rows(spark):
+    """Several labels, several texts, texts that are too long or null, equal texts, held-out rows and the bound."""
+    from zlib import crc32
+
+    from cairn.llm import learn
+
+    ids = [d for d in range(1000) if crc32(str(d).encode()) % 4 != 2][:8]
+    held = next(d for d in range(1000) if crc32(str(d).encode()) % 4 == 2)
+    a, b, c, d, e, f, g, h = ids
+    docs = [(a, "two labels"), (b, "zz"), (b, "aa"), (c, "x" * 21), (d, None), (e, "same"), (f, "same"), (g, "no label"), (h, "null label"), (held, "held out"), (None, "nobody's")]
+    labels = [(a, 0), (a, 1), (b, 0), (c, 1), (d, 1), (e, 0), (f, 1), (h, None), (held, 1), (None, 1)]
+    got, counts = learn.sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", 10, 20)
+    assert got == [(a, "two labels", 1), (b, "aa", 0), (e, "same", 0)] and counts == {0: 2, 1: 4}
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    got, counts = learn.sample(many, many.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), "toxic", 7, 20)
+    assert [sum(y == k for _, _, y in got) for k in (0, 1)] == [7, 7] and sum(counts.values()) == sum(crc32(str(d).encode()) % 4 != 2 for d in range(400))
