@@ -75,8 +75,23 @@ def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system at the end of a task: Python workers live on between tasks."""
+#: What a Python worker keeps between tasks, by name.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """make(), kept between the tasks of a worker under a name. Only the latest name's is kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidy(keep: str | None = None) -> None:
+    """Gives freed memory back to the system at the end of a task: Python workers live on between tasks. What the worker keeps under other
+    names than `keep` is dropped."""
+    for name in [n for n in _kept if n != keep]:
+        del _kept[name]
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

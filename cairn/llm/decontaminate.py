@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, row_keys, stored, tidy
+from cairn.llm.common import ids_and_text, kept, row_keys, stored, tidy
 
 #: Characters of test items that one pass over the documents looks for; more items take more passes.
 PASS_CHARS = 2_000_000
@@ -63,8 +63,6 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds items, (id, plain text, edits allowed), in plain texts."""
 
-    _last: tuple[str, Matcher] | None = None
-
     def __init__(self, items: list[tuple[int, str, int]]):
         self.items = items
         by_piece: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -76,13 +74,6 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    @classmethod
-    def of(cls, name: str, items) -> Matcher:
-        """A worker keeps the automaton of its latest pass."""
-        if not cls._last or cls._last[0] != name:
-            cls._last = (name, cls(items))
-        return cls._last[1]
-
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the plain text) of each item that occurs within its edits."""
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -136,12 +127,12 @@ def hits(
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not shared.value:
                 return
-            matcher = Matcher.of(name, shared.value)
+            matcher = kept(name, lambda: Matcher(shared.value))  # as long as tasks of this pass follow each other
             for batch in batches:
                 found = [(d, *hit) for d, text in zip(batch.doc_id, batch.text, strict=True) for hit in matcher.find(plain(text))]
                 out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "end"])
                 yield out.astype({"item_id": "Int64"})
-            tidy()
+            tidy(name)
 
         return rows.mapInPandas(search, HITS)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import words as w
-from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, row_keys, scratch, split_by_key, stored, tidy
+from cairn.llm.common import bit_table, cell_counts, has_bit, ids_and_text, let, row_keys, scratch, split_by_key, stored, tidy
 
 #: Cells of the table of word counts: words share a cell by hash, which only affects their order. It is what is broadcast.
 CELLS = 1 << 20
@@ -535,7 +535,12 @@ def line_dedup(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     rows = row_keys(docs, id_col, text_col)
     gone = removed_lines(rows.select("key", "text"), least, "key", "text").groupBy(F.col("doc_id").alias("key"))
     gone = stored(gone.agg(F.collect_set("line_no").alias("removed")), "removed")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
+
+    def left(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed").cast("array<int>"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    kept = let(F.split("text", "\n", -1), left)
     new = F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(f"row.`{text_col}`"))
     touched, others = split_by_key(rows, gone)
     touched = touched.join(gone, "key", "left").select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -122,7 +122,7 @@ def cut_pieces(
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield pd.DataFrame(rows, columns=columns)
-        tidy()
+        tidy(WordEncoder.name(source.value))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = ids_and_text(docs, id_col, text_col).mapInPandas(cut, schema)

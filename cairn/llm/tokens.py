@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ids_and_text, real_id
+from cairn.llm.common import ids_and_text, kept, real_id, tidy
 
 BLOCK = 1 << 16
 AFTER_LETTER = re.compile(rb"[.,;:!?*#$%&()](?<=[A-Za-z0-9].)")
 MAGIC = b"PLN1"
 #: A worker remembers the ids of so many words that it has met lately, and of as many that it had met before these.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters of texts that are encoded together.
 GROUP = 1 << 22
 
@@ -65,8 +65,6 @@ class WordEncoder:
     distinct word between ASCII white space is encoded only once; texts of any other tokenizer are encoded whole.
     """
 
-    _by_source: dict[str, WordEncoder] = {}
-
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -78,10 +76,12 @@ class WordEncoder:
 
     @classmethod
     def of(cls, source: str) -> WordEncoder:
-        """One encoder for each worker process, kept between tasks."""
-        if source not in cls._by_source:
-            cls._by_source[source] = cls(source)
-        return cls._by_source[source]
+        """The encoder that a worker process keeps between tasks."""
+        return kept(cls.name(source), lambda: cls(source))
+
+    @staticmethod
+    def name(source: str) -> str:
+        return f"encoder-{zlib.crc32(source.encode())}"
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text without special tokens, as little-endian unsigned 32-bit integers. Texts are taken in groups, whose words
@@ -192,6 +192,7 @@ def write_ids(
                 doc_no += 1
         if held:
             yield out(len(held) // 4)
+        tidy(WordEncoder.name(source.value))
 
     rows = ids_and_text(docs, id_col, text_col).withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
