@@ -616,3 +616,28 @@ def test_quality_by_hand(spark):
         z = sum(a * b for a, b in zip(hidden, w2)) + b2[0]
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z / model.temperature)), rel=1e-4)
     assert got[5] == pytest.approx(got[0], rel=1e-9)
+
+
+def test_workers_keep_one_thing_at_a_time():
+    from cairn.llm import common
+
+    first = common.kept("a", lambda: object())
+    common.tidy("a")
+    assert common.kept("a", lambda: object()) is first
+    common.kept("b", lambda: object())
+    assert common.kept("a", lambda: object()) is not first  # another name's tasks came between
+    common.tidy()
+    assert not common._kept
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    """Ids don't depend on what an encoder remembers."""
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        source = f.read()
+    texts = [" ".join(f"word{i % 37} x{i}" for i in range(j, j + 50)) for j in range(0, 2000, 25)]
+    want = list(tokens.WordEncoder(source).ids(texts))
+    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    monkeypatch.setattr(tokens, "GROUP", 100)
+    encoder = tokens.WordEncoder(source)
+    assert list(encoder.ids(texts)) == want
+    assert len(encoder.known) < 300 and len(encoder.older) < 300
