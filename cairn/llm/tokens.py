@@ -65,19 +65,19 @@ class WordEncoder:
     distinct word between ASCII white space is encoded only once; texts of any other tokenizer are encoded whole.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer, self.remembered = Tokenizer.from_str(source), remembered
         self.wordwise = splits_at_spaces(json.loads(source))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, source: str) -> WordEncoder:
+    def of(cls, source: str, remembered: int = REMEMBERED) -> WordEncoder:
         """The encoder that a worker process keeps between tasks."""
-        return kept(cls.name(source), lambda: cls(source))
+        return kept(cls.name(source), lambda: cls(source, remembered))
 
     @staticmethod
     def name(source: str) -> str:
@@ -100,7 +100,7 @@ class WordEncoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         here = dict.fromkeys(chain.from_iterable(group))
         new = []

@@ -66,6 +66,7 @@ def test_trie_is_that_of_brute_force(spark, block):
 def test_trie_of_rebuilt_conversations(spark):
     rng = random.Random(3)
     rows = [(c, t, "user", rng.choice("xy")) for c in [*range(0, 12), *range(100, 130), 205, 317] for t in range(rng.randint(1, 7))]
+    rows += [(c, 0, "user", "x") for c in range(401, 420)]  # nothing to take turns from
     seqs = sequences(rows)
     cut = {}
     for c, own in seqs.items():

@@ -636,8 +636,7 @@ def test_words_are_remembered_in_two_generations(monkeypatch):
         source = f.read()
     texts = [" ".join(f"word{i % 37} x{i}" for i in range(j, j + 50)) for j in range(0, 2000, 25)]
     want = list(tokens.WordEncoder(source).ids(texts))
-    monkeypatch.setattr(tokens, "REMEMBERED", 30)
     monkeypatch.setattr(tokens, "GROUP", 100)
-    encoder = tokens.WordEncoder(source)
+    encoder = tokens.WordEncoder(source, 30)
     assert list(encoder.ids(texts)) == want
     assert len(encoder.known) < 300 and len(encoder.older) < 300
