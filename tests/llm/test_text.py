@@ -640,3 +640,35 @@ def test_words_are_remembered_in_two_generations(monkeypatch):
     encoder = tokens.WordEncoder(source, 30)
     assert list(encoder.ids(texts)) == want
     assert len(encoder.known) < 300 and len(encoder.older) < 300
+
+
+def test_words_of_letters_go_to_the_model(tokenizer):
+    """Texts with letters beyond ASCII share words with others, and only words with other characters pass the tokenizer's preparation."""
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        encoder = tokens.WordEncoder(f.read())
+    whole, prepared = encoder.tokenizer, []
+
+    class Counted:
+        model = whole.model
+
+        def encode_batch_fast(self, words, **more):
+            prepared.extend(words)
+            return whole.encode_batch_fast(words, **more)
+
+    encoder.tokenizer = Counted()
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    texts = ["The Été über STRASSE straße the", "THE été ÜBER 12 don't", *latin, *(f"x{c}Y z{c}, {c}" for c in latin), "".join(latin), "H\u0331 h\u0331"]
+    for t, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert not any(w.isalpha() for w in prepared) and "don't" in prepared
+    assert b"the" in encoder.known and b"The" not in encoder.known and b"THE" not in encoder.known
+
+
+def test_tokenizers_with_other_added_tokens_encode_whole_texts():
+    import json
+
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokens.splits_at_spaces(spec)
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408, "content": "new york"})
+    assert not tokens.splits_at_spaces(spec)
