@@ -14,13 +14,14 @@ two words three, and so on, and lines under a common word meet under each of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -230,10 +231,24 @@ ROWS = [("key", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("
 ROWS_SQL = "key long, doc_id long, line_no int, size int, place int, low long, high long"
 
 
-def keyed(source: DataFrame, least: float, k: int, with_words: bool = False) -> DataFrame:
+def key_bit(key: np.ndarray) -> np.ndarray:
+    return (w.mixed(key.astype(np.int64).view(np.uint64), 11) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def key_bits(rows: DataFrame) -> Broadcast:
+    """A table of BITS bits of the rows' keys, broadcast."""
+
+    def bits_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"bit": key_bit(x.key.to_numpy())})
+
+    return rows.sparkSession.sparkContext.broadcast(bit_table(rows.select("key").mapInPandas(bits_of, "bit long"), BITS))
+
+
+def keyed(source: DataFrame, least: float, k: int, with_words: bool = False, wanted: Broadcast | None = None) -> DataFrame:
     """Rows of lines under keys of k + 1 words, as ROWS (and words); source: sets, or, for k > 0, rows under keys of k words with words,
     which get each of the words that may follow. size - place + k is how many words a line may share with others at most, if
-    the key's are the first of them."""
+    the key's are the first of them. wanted: key_bits; rows under other keys may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -248,6 +263,9 @@ def keyed(source: DataFrame, least: float, k: int, with_words: bool = False) ->
                 key = flat[(np.cumsum(many) - many)[row] + place].astype(np.int64)
                 if k:
                     key = w.mixed(batch.column("key").to_numpy()[row].view(np.uint64) ^ w.mixed(key.view(np.uint64), 10 + k), 20 + k).view(np.int64)
+                if wanted is not None:
+                    may = np.flatnonzero(has_bit(wanted.value, key_bit(key)))
+                    row, place, key = row[may], place[may], key[may]
                 take = pa.array(row)
                 doc, line, low, high = (batch.column(c).take(take) for c in ("doc_id", "line_no", "low", "high"))
                 columns = [pa.array(key), doc, line, pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32)), low, high]
@@ -421,9 +439,11 @@ def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, pairs
         )
         return verified(found.select(*line, "best.to_doc", "best.to_line", "more"))
 
-    def any_of(asking: DataFrame, rows: DataFrame) -> DataFrame:
-        """Lines of the asking rows that are similar to any earlier line under their keys: all pairs that may be are verified."""
-        a, b = few(asking).alias("a"), rows.alias("b")
+    def any_of(asking: DataFrame, rows_of: Callable[..., DataFrame], others: DataFrame | None = None) -> DataFrame:
+        """Lines of the asking rows that are similar to any earlier line under their keys, among those of rows_of and the others: all pairs
+        that may be are verified. Rows under keys that no row asks for don't leave Python."""
+        rows = rows_of(wanted=key_bits(asking))
+        a, b = few(asking).alias("a"), (rows if others is None else rows.unionByName(others)).alias("b")
         both = F.col("a.size") + F.col("b.size")
         need = F.ceil(both * (least / (1 + least)) - SLACK)
         rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
@@ -439,17 +459,22 @@ def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, pairs
         rows = moved(keyed(source, least, k))
         keys = common_keys(rows, None if k else sets, least, block)
         none = keys.isEmpty()
-        plain = rows if none else rows.join(few(keys), "key", "left_anti")
+
+        def plain_of(source: DataFrame = source, wanted: Broadcast | None = None, k=k, moved=moved, keys=None if none else few(keys)) -> DataFrame:
+            """The rows of source's lines under keys that aren't common."""
+            rows = moved(keyed(source, least, k, wanted=wanted))
+            return rows if keys is None else rows.join(keys, "key", "left_anti")
+
         common = None if none else stored(moved(keyed(source, least, k, True)).join(few(keys.select("key")), "key"), "rows")
-        first = plain.withColumn("whole", F.lit(True))
+        first = plain_of().withColumn("whole", F.lit(True))
         # rows under common keys are dealt out, and each part is searched by itself
         judged = nearest(first if none else first.unionByName(dealt(common.drop("words"), keys, block)))
         near.append(judged.filter("hit").select(*line))
         left = stored(judged.filter("more and not hit").select(*line), "left")
-        again = stored(plain.join(few(left), line, "left_semi"), "again")
+        again = stored(plain_of(source.join(few(left), line, "left_semi")), "again")
         if none:
             if not again.isEmpty():
-                near.append(any_of(again, plain))
+                near.append(any_of(again, plain_of))
             break
         # lines under common keys without a hit are held against all others there if these are few pairs; else their keys are made longer
         hits = stored(reduce(DataFrame.unionByName, near).distinct(), "hits")
@@ -469,10 +494,10 @@ def near_lines(sets: DataFrame, docs: DataFrame, least: float, block: int, pairs
         if k == depth(least) - 1 or many <= most:
             asking = stored(again.unionByName(asking), "asking")
             if not asking.isEmpty():
-                near.append(any_of(asking, plain.unionByName(common.drop("words"))))
+                near.append(any_of(asking, plain_of, common.drop("words")))
             break
         if not again.isEmpty():
-            near.append(any_of(again, plain))
+            near.append(any_of(again, plain_of))
         source = common.withColumn("place", F.col("place") + k)
     return reduce(DataFrame.unionByName, near).distinct()
 

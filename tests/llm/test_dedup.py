@@ -9,6 +9,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from cairn.llm import components, exact_dedup, line_dedup, queries, simhash
+from cairn.llm import words as w
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -143,3 +144,36 @@ def test_lines_by_hand(spark, block, pairs_a_row):
 
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_decisions(hard(spark).limit(0)).count() == 0
+
+
+def test_words_have_codes_of_their_own(monkeypatch):
+    """A word's code follows from its bytes alone, whatever its length, its place and what stands beside it."""
+    rng = random.Random(4)
+    lengths = [1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 72, 73, 500]
+    words = {bytes(rng.choice(b"ab\0\xc3") for _ in range(k)) for k in lengths for _ in range(30)} | {b"a" + bytes(k) for k in range(80)}
+    code = {x: int(w.words(x)[0][0]) for x in words}
+    assert len(set(code.values())) == len(words)
+    lines = [[rng.choice(sorted(words)) for _ in range(rng.randint(0, 9))] for _ in range(300)]
+    data = b"\n".join(b" \t"[: rng.randint(0, 2)] + b" ".join(x) for x in lines)
+    for size in (1 << 17, 100):
+        monkeypatch.setattr(w, "SLICE", size)
+        codes, line = w.words(data)
+        assert codes.tolist() == [code[x] for l in lines for x in l]
+        assert line.tolist() == [n for n, l in enumerate(lines) for _ in l]
+
+
+def test_lower_bytes():
+    latin = "".join(map(chr, range(256)))
+    for texts in ([latin, "É", ""], [latin, "ΑΣ İ\u0130"], ["\ud800Ä"], []):
+        assert w.lower_bytes(texts) == "\n".join(t.lower() for t in texts).encode("utf-8", "surrogatepass")
+
+
+def test_rows_under_keys_that_nobody_asks_for_stay_in_python(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"x{i} y{i} z{i} v{j} u{j}" for j in range(5))) for i in range(40)], "doc_id long, text string")
+    rank = spark.sparkContext.broadcast(np.arange(line_dedup.CELLS, dtype=np.uint64))
+    sets = line_dedup.first_lines(line_dedup.all_lines(docs, rank, 0.8)).filter("size > 0")
+    rows = line_dedup.keyed(sets, 0.8, 0)
+    asking = rows.filter("doc_id = 7")
+    got = {tuple(r) for r in line_dedup.keyed(sets, 0.8, 0, wanted=line_dedup.key_bits(asking)).collect()}
+    assert got == {tuple(r) for r in rows.join(asking.select("key").distinct(), "key", "left_semi").collect()}
+    assert 0 < len(got) < rows.count()
