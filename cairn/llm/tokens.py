@@ -14,10 +14,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse, islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,29 +28,46 @@ from pyspark.sql import functions as F
 from cairn.llm.common import ids_and_text, kept, real_id, tidy
 
 BLOCK = 1 << 16
-AFTER_LETTER = re.compile(rb"[.,;:!?*#$%&()](?<=[A-Za-z0-9].)")
 MAGIC = b"PLN1"
-#: A worker remembers the ids of so many words that it has met lately, and of as many that it had met before these.
+#: A worker remembers the ids of so many words (twice as many after a group) that it has met lately, and of those that it had met before.
 REMEMBERED = 500_000
 #: Characters of texts that are encoded together.
-GROUP = 1 << 18
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words whose ids, joined, are the text's: cut at ASCII white space and between an ASCII letter or digit and a mark, where the
-    tokenizer cuts, too. It lower-cases by itself, so that A-Z may be lower-cased first, but not into special tokens, nor before any of
-    U+0300 to U+037F (first bytes CC and CD): only these are composed with ASCII letters, some with one case only."""
-    raw = text.encode()
-    if b"<" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-        raw = raw.lower()
-    return AFTER_LETTER.sub(rb" \g<0>", raw).split()
+GROUP = 1 << 22
+#: Words that the tokenizer's model gets at once.
+RUN = 1 << 12
+
+
+BLANKS, MARKS = b" \t\n\v\f\r", b".,;:!?*#$%&()"
+#: Kinds of bytes: white space 0, ASCII letters and digits 2, marks 3, others 1.
+KINDS = bytes(0 if c in BLANKS else 3 if c in MARKS else 2 if c < 128 and chr(c).isalnum() else 1 for c in range(256))
+
+
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts whose ids, joined, are the texts', and the place of each text's first word and of the end. They are cut at ASCII
+    white space and between a letter (ASCII or U+00C0 to U+00FF) or ASCII digit and a mark, where the tokenizer cuts, too. It lower-cases by
+    itself, so that A-Z may be lower-cased first, but not into special tokens, nor before any of U+0300 to U+037F (first bytes CC and CD):
+    only these are composed with ASCII letters, some with one case only."""
+    raws = [raw if b"<" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower() for raw in map(str.encode, texts)]
+    joined = b" ".join([b"", *raws])  # a blank before each text
+    raw, kinds = np.frombuffer(joined, dtype=np.uint8), np.frombuffer(joined.translate(KINDS), dtype=np.uint8)
+    solid, letter = kinds > 0, kinds == 2
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | ((kinds[1:] == 3) & letter[:-1])
+    data = joined.translate(None, BLANKS)
+    places = np.frombuffer((solid + begins.view(np.uint8)).tobytes().translate(None, b"\0"), dtype=np.uint8) == 2
+    offsets = np.append(np.flatnonzero(places), len(data))
+    firsts = np.searchsorted(np.flatnonzero(begins), np.cumsum([0, *(len(raw) + 1 for raw in raws)]))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), firsts
 
 
 #: Words of a-z and the letters from U+00C0 to U+00FF. A tokenizer that splits_at_spaces only lower-cases such a word before its model sees
 #: it, with each byte as one character.
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_LEVEL = dict(zip(sorted(set(range(256)) - set(PRINTED)), map(chr, range(256, 512)), strict=False))
+BYTE_LEVEL = np.arange(256, dtype="<u2")
+BYTE_LEVEL[sorted(set(range(256)) - set(PRINTED))] = np.arange(256, 512 - len(PRINTED))
+BYTE_LEVEL[0x20] = 0x20  # stands between words
 
 
 #: How word_bpe_49k prepares a text.
@@ -70,6 +88,18 @@ def splits_at_spaces(spec: dict) -> bool:
     return bool(replaces and splits and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"])
 
 
+def closing(spec: dict) -> np.ndarray | None:
+    """Which ids end a word of LETTERS, for a tokenizer that splits_at_spaces; None if its file doesn't say so of each last character."""
+    model = spec["model"]
+    suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+    letters = map(chr, BYTE_LEVEL[[*range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3]].tolist())
+    if not suffix or model.get("ignore_merges") or not all(c in vocab and c + suffix in vocab for c in letters):
+        return None
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    return ends
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library. Where the tokenizer splits at white space before anything else and drops it, each
     distinct word between ASCII white space is encoded only once; texts of any other tokenizer are encoded whole.
@@ -77,10 +107,14 @@ class WordEncoder:
 
     def __init__(self, source: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        spec = json.loads(source)
         self.tokenizer, self.remembered = Tokenizer.from_str(source), remembered
-        self.wordwise = splits_at_spaces(json.loads(source))
+        self.wordwise = splits_at_spaces(spec)
+        self.ends = closing(spec) if self.wordwise else None
+        self.prepared = Tokenizer(self.tokenizer.model)  # for words as the model takes them
+        self.prepared.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -94,45 +128,58 @@ class WordEncoder:
         return f"encoder-{zlib.crc32(source.encode())}"
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text without special tokens, as little-endian unsigned 32-bit integers. Texts are taken in groups, whose new
-        words are encoded together."""
-        group: list[list[bytes]] = []
+        """Ids of each text without special tokens, as little-endian unsigned 32-bit integers. Texts are taken in groups, whose distinct
+        words are looked up once and whose new words are encoded together."""
+        group: list[str] = []
         size = 0
         for text in texts:
             if not self.wordwise:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 yield struct.pack(f"<{len(ids)}I", *ids)
                 continue
-            group.append(words_of(text))
+            group.append(text)
             if (size := size + len(text)) >= GROUP:
                 yield from self._group(group)
                 group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        if group:
+            yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        words, firsts = words_of(texts)
+        coded = words.dictionary_encode()
+        found = self._found(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        bounds, data = np.frombuffer(ends, dtype=np.int64)[firsts], memoryview(data or b"")
+        return (data[a:b].tobytes() for a, b in pairwise(bounds.tolist()))
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, remembered or new."""
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        known, new = self.known, []
-        for w in set(filterfalse(known.__contains__, chain.from_iterable(group))):
-            if (ids := self.older.get(w)) is None:
-                new.append(w)
-            else:
-                known[w] = ids
-        known.update(self._encoded(new))
-        return (b"".join(map(known.__getitem__, words)) for words in group)
+        found = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        missed = [words[k] for k in missing]
+        met = dict(zip(missed, map(self.older.get, missed), strict=True)) if self.older else {}
+        met.update(self._encoded([w for w in missed if met.get(w) is None]))
+        for k, w in zip(missing, missed, strict=True):
+            found[k] = met[w]
+        self.known.update(islice(met.items(), self.remembered))
+        return found
 
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each word with its ids. Words of letters go to the tokenizer's model at once, which takes a third of the time."""
-        rest, tokenize = [], self.tokenizer.model.tokenize
-        for w in words:
-            if not LETTERS.fullmatch(w):
-                rest.append(w)
-                continue
-            text = w.decode()
-            if not text.isascii():
-                text = text.lower().encode().decode("latin-1").translate(BYTE_LEVEL)
-            ids = [t.id for t in tokenize(text)]
-            yield w, struct.pack(f"<{len(ids)}I", *ids)
+        """Each word with its ids. Words of letters go to the tokenizer's model as it takes them, many at once: a word's last id is one
+        that only ends words."""
+        letters, rest = [], words
+        if self.ends is not None:
+            letters, rest = list(filter(LETTERS.fullmatch, words)), list(filterfalse(LETTERS.fullmatch, words))
+        for at in range(0, len(letters), RUN):
+            run = letters[at : at + RUN]
+            raw = b" ".join(run).decode().lower().encode()
+            text = BYTE_LEVEL[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.prepared.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            yield from zip(run, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             ids = e.ids
             yield w, struct.pack(f"<{len(ids)}I", *ids)

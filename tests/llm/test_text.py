@@ -672,3 +672,66 @@ def test_tokenizers_with_other_added_tokens_encode_whole_texts():
     assert tokens.splits_at_spaces(spec)
     spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408, "content": "new york"})
     assert not tokens.splits_at_spaces(spec)
+
+
+def test_distinct_words_are_looked_up_once_and_encoded_together(tokenizer):
+    """Of a group of texts each distinct word is looked up once, and its new words of letters go to the model in runs."""
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        encoder = tokens.WordEncoder(f.read())
+    asked, runs, model = [], [], encoder.prepared
+
+    class Known(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+        def __contains__(self, word):
+            asked.append(word)
+            return super().__contains__(word)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            runs.extend(texts)
+            return model.encode_batch_fast(texts, **more)
+
+    encoder.known, encoder.prepared = Known(), Counted()
+    texts = ["the cat, the Été. the ÉTÉ! straße: the cat", "", " \n", "été, and the cat" * 50, "Straße"] * 20
+    for t, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert len(asked) == len(set(asked)) < 15 and len(runs) == 1
+
+
+def test_words_are_cut_between_letters_and_marks():
+    words, firsts = tokens.words_of(["Été. (Ab,) ×, e\u0301.", "", "\t", "a\u00a0b 7%"])
+    want = "Été . (Ab ,) ×, e\u0301. a\u00a0b 7 %".split(" ")
+    assert [w.decode() for w in words.to_pylist()] == want and firsts.tolist() == [0, 6, 6, 6, 9]
+
+
+def test_words_whose_end_no_id_marks_are_encoded_exactly():
+    """A tokenizer's file that gives no suffix for ends of words, or takes words of its vocabulary as they are, is followed as well."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for model in ({"end_of_word_suffix": None}, {"ignore_merges": True}):
+        source = json.dumps({**spec, "model": {**spec["model"], **model}})
+        encoder, whole = tokens.WordEncoder(source), Tokenizer.from_str(source)
+        assert encoder.wordwise and encoder.ends is None
+        for t in ("the cat sat, été.", "inthe an"):
+            assert np.frombuffer(next(encoder.ids([t])), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        encoder = tokens.WordEncoder(f.read(), 100)
+    for j in range(4):
+        list(encoder.ids([" ".join(f"a{i}b" for i in range(j * 900, j * 900 + 1000))]))
+        assert len(encoder.known) <= 200 and len(encoder.older) <= 200
+
+
+def test_groups_of_empty_texts_have_no_ids():
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        encoder = tokens.WordEncoder(f.read())
+    assert list(encoder.ids(["", " \t", ""])) == [b"", b"", b""] and list(encoder.ids([])) == []
