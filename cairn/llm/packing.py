@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import ids_and_text, real_id, stored, tidy
 from cairn.llm.tokens import WordEncoder, tokenizer_source
 
-#: Words of either generation that a worker remembers; fewer than where ids are all that a job does.
+#: Words that a worker remembers (see tokens.REMEMBERED); fewer than where ids are all that a job does.
 REMEMBERED = 200_000
 #: A row of the plan: pieces of this length, so many of them in each of `bins` bins from bin `first`, from this offset.
 PLAN = np.dtype([("length", "<i8"), ("uses", "<i8"), ("bins", "<i8"), ("first", "<i8"), ("offset", "<i8")])

@@ -735,3 +735,26 @@ def test_groups_of_empty_texts_have_no_ids():
     with open(queries.word_bpe(), encoding="utf-8") as f:
         encoder = tokens.WordEncoder(f.read())
     assert list(encoder.ids(["", " \t", ""])) == [b"", b"", b""] and list(encoder.ids([])) == []
+
+
+def test_packing_encodes_a_table_in_runs_of_words(spark):
+    """The encoder that packing's tasks use takes a table's words of letters in few runs, and gives each document's own ids."""
+    with open(queries.word_bpe(), encoding="utf-8") as f:
+        encoder = tokens.WordEncoder(f.read(), packing.REMEMBERED)
+    runs, model = [], encoder.prepared
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            runs.extend(texts)
+            return model.encode_batch_fast(texts, **more)
+
+    encoder.prepared = Counted()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = dict(zip((d.doc_id for d in docs), encoder.ids(d.text or "" for d in docs), strict=True))
+    distinct = {w for run in runs for w in run.split()}
+    assert 0 < len(runs) <= len(distinct) // tokens.RUN + 1 and len(encoder.known) >= len(distinct)
+    pieces = packing.cut_pieces(spark.createDataFrame(docs), queries.word_bpe(), capacity=100, end_id=1).collect()
+    assert {p.doc_id for p in pieces} == set(got)
+    for p in pieces:
+        part = (got[p.doc_id] + b"\1\0\0\0")[4 * p.start : 4 * (p.start + p.length)]
+        assert p.start == 100 * p.piece and len(part) == 4 * p.length and zlib.crc32(part) == p.ids_crc32
