@@ -29,10 +29,10 @@ from cairn.llm.common import ids_and_text, kept, real_id, tidy
 
 BLOCK = 1 << 16
 MAGIC = b"PLN1"
-#: A worker remembers the ids of so many words (twice as many after a group) that it has met lately, and of those that it had met before.
+#: A worker remembers the ids of so many words at most that it has met lately, and of as many that it had met before these.
 REMEMBERED = 500_000
 #: Characters of texts that are encoded together.
-GROUP = 1 << 22
+GROUP = 1 << 21
 #: Words that the tokenizer's model gets at once.
 RUN = 1 << 12
 
@@ -155,8 +155,6 @@ class WordEncoder:
 
     def _found(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words, remembered or new."""
-        if len(self.known) > self.remembered:
-            self.known, self.older = {}, self.known
         found = list(map(self.known.get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
         missed = [words[k] for k in missing]
@@ -164,6 +162,8 @@ class WordEncoder:
         met.update(self._encoded([w for w in missed if met.get(w) is None]))
         for k, w in zip(missing, missed, strict=True):
             found[k] = met[w]
+        if len(self.known) + len(met) > self.remembered:
+            self.known, self.older = {}, self.known
         self.known.update(islice(met.items(), self.remembered))
         return found
 

@@ -728,7 +728,7 @@ def test_a_worker_remembers_a_bounded_number_of_words():
         encoder = tokens.WordEncoder(f.read(), 100)
     for j in range(4):
         list(encoder.ids([" ".join(f"a{i}b" for i in range(j * 900, j * 900 + 1000))]))
-        assert len(encoder.known) <= 200 and len(encoder.older) <= 200
+        assert len(encoder.known) <= 100 and len(encoder.older) <= 100
 
 
 def test_groups_of_empty_texts_have_no_ids():
